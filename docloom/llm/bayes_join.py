@@ -286,7 +286,7 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact, survival = Fraction(str(threshold)), survival_table(threshold)
     empty = pa.table({"digest": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "texts": pa.array([], pa.int64()), "hub": pa.array([], pa.binary())})
 
-    def work(key, table: pa.Table) -> pa.Table:
+    def work(key, table):
         found = linked_blocks(table, key[1].as_py(), key[2].as_py(), exact, survival)
         return empty if found is None else found
 
