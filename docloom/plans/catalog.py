@@ -1,4 +1,358 @@
-"""Registered queries of the document engine."""
+"""Registered queries of the document engine, with their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import geometry as G
+from docloom.functions import text as T
+from docloom.functions.fonts import digits_width
+from docloom.operators import html as H
+from docloom.operators import items as I
+from docloom.operators import layout as L
+from docloom.operators import markdown as M
+from docloom.operators import objects as O
+from docloom.operators import raster as R
+from docloom.operators import session as S
+from docloom.operators.runs import merge_runs
+from docloom.operators.textblocks import text_to_blocks
+from docloom.plans.inputs import duck, load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+TOKEN_SQL = f"""
+WITH specs AS ({duck("range_specs")}), tokens AS (
+  SELECT case_id, page_count AS n, t.i, trim(t.tok) AS tok FROM specs, (SELECT unnest(string_split_regex(trim(spec), '[,;]+')) AS tok, generate_subscripts(string_split_regex(trim(spec), '[,;]+'), 1) AS i) t WHERE trim(t.tok) <> ''
+), parsed AS (
+  SELECT *, regexp_full_match(tok, '\\d+') AS single, regexp_full_match(tok, '(\\d+)?\\s*-\\s*(\\d+)?') AS both,
+    coalesce(try_cast(regexp_extract(tok, '^(\\d+)', 1) AS INT), 1) AS low,
+    CASE WHEN regexp_full_match(tok, '\\d+') THEN try_cast(tok AS INT) ELSE coalesce(try_cast(regexp_extract(tok, '-\\s*(\\d+)$', 1) AS INT), n) END AS high
+  FROM tokens
+), judged AS (
+  SELECT *, CASE WHEN NOT single AND NOT both THEN '"' || tok || '" isn''t a page or range — use numbers like "3" or "2-5".' WHEN low < 1 OR high < 1 THEN 'Page numbers start at 1.'
+    WHEN low > n OR high > n THEN 'This PDF only has ' || n || CASE WHEN n = 1 THEN ' page' ELSE ' pages' END || ' — "' || tok || '" is out of range.'
+    WHEN low > high THEN '"' || tok || '" is backwards — put the smaller page first.' END AS error FROM parsed
+), errors AS (SELECT case_id, arg_min(error, i) AS error FROM judged WHERE error IS NOT NULL GROUP BY case_id),
+pages AS (SELECT case_id, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN error IS NULL THEN generate_series(low, high) ELSE [] END)))), ',') AS pages FROM judged GROUP BY case_id)
+SELECT s.case_id, CASE WHEN e.error IS NULL AND p.case_id IS NOT NULL THEN p.pages END AS pages, CASE WHEN p.case_id IS NULL THEN 'Enter at least one page or range, like "1-3, 5".' ELSE e.error END AS error
+FROM specs s LEFT JOIN errors e USING (case_id) LEFT JOIN pages p USING (case_id)"""
+
+
+@query(TOKEN_SQL)
+def page_ranges(spark, sf_dir):
+    rows = load(spark, sf_dir, "range_specs")
+    return rows.select("case_id", F.array_join(T.page_ranges("spec", "page_count"), ",").alias("pages"), T.page_range_error("spec", "page_count").alias("error"))
+
+
+@query(f"""
+WITH f AS ({duck("file_names")}), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY file_id) AS nth FROM f)
+SELECT file_id, regexp_replace(name, '(?i)\\.[a-z0-9]+$', '') AS stem, regexp_replace(name, '(?i)\\.[a-z0-9]+$', '') || '-out.pdf' AS suffixed,
+  CASE WHEN nth = 1 THEN name WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_extract(name, '^(.+)(\\.[^.]*)$', 1) || ' (' || nth || ')' || regexp_extract(name, '^(.+)(\\.[^.]*)$', 2) ELSE name || ' (' || nth || ')' END AS unique_name
+FROM r""")
+def file_names(spark, sf_dir):
+    rows = S.unique_names(load(spark, sf_dir, "file_names"), "folder", "file_id")
+    return rows.select("file_id", T.strip_ext("name").alias("stem"), T.suffixed_name("name", "-out").alias("suffixed"), "unique_name")
+
+
+@query(f"""
+WITH t AS ({duck("strings")})
+SELECT id, replace(replace(replace(replace(replace(s, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS unescaped,
+  trim(regexp_replace(regexp_replace(s, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS untagged,
+  CASE WHEN regexp_full_match(trim(s), '-?\\d+(\\.\\d+)?') THEN CAST(trim(s) AS DOUBLE) END AS number,
+  regexp_matches(s, '[^ -~\\x{{a0}}-\\x{{ff}}]') AS non_winansi, regexp_replace(s, '[^ -~\\x{{a0}}-\\x{{ff}}]', '?', 'g') AS degraded,
+  CASE WHEN regexp_matches(s, '[\\x{{600}}-\\x{{6ff}}]') THEN 'arabic' ELSE 'latin' END AS script
+FROM t""")
+def string_functions(spark, sf_dir):
+    return load(spark, sf_dir, "strings").select(
+        "id", T.unescape_markdown("s").alias("unescaped"), T.strip_tags("s").alias("untagged"), T.cell_number("s").alias("number"),
+        T.has_non_winansi("s").alias("non_winansi"), T.clean_degraded("s").alias("degraded"), T.detect_script("s").alias("script"),
+    )
+
+
+@query(f"""
+WITH t AS ({duck("colors")}), h AS (SELECT id, CASE WHEN shape <> 0 THEN '#' || printf('%02x%02x%02x', r, g, b) END AS hex, CASE WHEN shape <> 0 THEN r / 255.0 END AS red FROM t)
+SELECT id, hex, red::DOUBLE AS red FROM h""")
+def css_colors(spark, sf_dir):
+    rows = load(spark, sf_dir, "colors").withColumn("hex", T.css_color("css"))
+    return rows.select("id", "hex", T.hex_channels("hex")["r"].alias("red"))
+
+
+PAGES_SQL = f"""sources AS ({duck("sources")}), pages AS (
+  SELECT session_id, source_id, source_index, concat('p-', source_id, '-', CAST(source_index AS VARCHAR)) AS page_id,
+    row_number() OVER (PARTITION BY session_id ORDER BY source_no, source_index) - 1 AS pos
+  FROM (SELECT *, unnest(range(greatest(page_count, 1))) AS source_index FROM sources) x)"""
+
+
+def _pages(spark, sf_dir):
+    sources = load(spark, sf_dir, "sources")
+    return sources, S.source_pages(sources)
+
+
+@query(f"WITH {PAGES_SQL} SELECT session_id, pos, page_id, source_id, source_index::INT AS source_index FROM pages")
+def session_pages(spark, sf_dir):
+    return _pages(spark, sf_dir)[1].select("session_id", "pos", "page_id", "source_id", "source_index")
+
+
+@query(f"WITH {PAGES_SQL} SELECT session_id, page_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS pos FROM pages WHERE source_index % 3 <> 1")
+def remove_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    return S.remove_pages(pages, pages.where("source_index % 3 = 1").select("session_id", "page_id")).select("session_id", "page_id", "pos")
+
+
+@query(f"WITH {PAGES_SQL} SELECT session_id, page_id, CASE WHEN source_index % 2 = 0 THEN 270 ELSE 0 END::INT AS rotation FROM pages")
+def rotate_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    return S.rotate_pages(pages, pages.where("source_index % 2 = 0").select("session_id", "page_id"), -90).select("session_id", "page_id", "rotation")
+
+
+@query(f"""WITH {PAGES_SQL}, twice AS (SELECT session_id, page_id, pos, 0 AS tie FROM pages UNION ALL SELECT session_id, page_id || '-copy', pos, 1 FROM pages WHERE source_index % 4 = 0)
+SELECT session_id, page_id, row_number() OVER (PARTITION BY session_id ORDER BY pos, tie) - 1 AS pos FROM twice""")
+def duplicate_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    return S.duplicate_pages(pages, pages.where("source_index % 4 = 0").select("session_id", "page_id")).select("session_id", "page_id", "pos")
+
+
+@query(f"""WITH {PAGES_SQL}, n AS (SELECT session_id, count(*) AS n FROM pages GROUP BY session_id),
+both_lists AS (SELECT session_id, page_id, pos, 1 AS tie, NULL::DOUBLE AS blank_w FROM pages UNION ALL SELECT session_id, 'blank', least(n, 3), 0, 595.28 FROM n)
+SELECT session_id, page_id, row_number() OVER (PARTITION BY session_id ORDER BY pos, tie) - 1 AS pos, blank_w FROM both_lists""")
+def insert_blank_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    at = pages.select("session_id").distinct().withColumns({"index": F.lit(3), "page_id": F.lit("blank")})
+    return S.insert_blank_pages(pages, at).select("session_id", "page_id", "pos", "blank_w")
+
+
+@query(f"""WITH {PAGES_SQL} SELECT p.session_id, p.pos AS out_pos, p.page_id, CASE WHEN s.kind = 'pdf' THEN 'copy' WHEN regexp_matches(s.mime, '/jpe?g$') OR regexp_matches(s.name, '\\.jpe?g$') THEN 'embed_jpg' ELSE 'embed_png' END AS action
+FROM pages p JOIN sources s ON p.session_id = s.session_id AND p.source_id = s.source_id""")
+def export_plan(spark, sf_dir):
+    sources, pages = _pages(spark, sf_dir)
+    return S.export_plan(pages, sources).select("session_id", "out_pos", "page_id", "action")
+
+
+@query(f"""WITH {PAGES_SQL}, n AS (SELECT *, pos + 3 AS number, count(*) OVER (PARTITION BY session_id) + 2 AS last FROM pages),
+t AS (SELECT *, number || ' / ' || last AS stamp FROM n)
+SELECT session_id, pos, stamp, round(612 - 24 - (length(regexp_replace(stamp, '[^0-9]', '', 'g')) * 556 + 3 * 278) * 10.0 / 1000, 6)::DOUBLE AS x, (792 - 24 - 10)::DOUBLE AS y FROM t WHERE number > 3""")
+def page_number_stamps(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1].withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return S.page_number_stamps(pages, digits_width, position="top-right", start_at=3, skip_first=True).withColumn("x", F.round("x", 6))
+
+
+ITEMS_SQL = f"items AS ({duck('items')}), eff AS (SELECT *, CASE WHEN h > 0 THEN h ELSE 10.0 END AS eh FROM items)"
+KEYS = ["page_no"]
+
+
+@query(f"WITH {ITEMS_SQL} SELECT page_no, greatest(4.0, 0.6 * list_sort(list(eh))[1 + len(list(eh)) // 2])::DOUBLE AS x_tol FROM eff GROUP BY page_no")
+def x_tolerances(spark, sf_dir):
+    return I.x_tolerances(load(spark, sf_dir, "items"), KEYS)
+
+
+# lines of an order lie 20 points apart and items of a line on one height, so a line is (page, y)
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT page_no, y, max(eh) AS h, count(*) AS n, string_agg(str, ' ' ORDER BY x) AS text FROM eff GROUP BY page_no, y)
+SELECT page_no, (row_number() OVER (PARTITION BY page_no ORDER BY y DESC) - 1)::INT AS line_no, y, h, n::INT AS n_items, text FROM l""")
+def group_lines(spark, sf_dir):
+    return I.group_lines(load(spark, sf_dir, "items"), KEYS)
+
+
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT page_no, y, string_agg(str, ' ' ORDER BY x) AS text FROM eff GROUP BY page_no, y)
+SELECT page_no, (row_number() OVER (PARTITION BY page_no ORDER BY y DESC) - 1)::INT AS row_no, text FROM l""")
+def lines_to_rows(spark, sf_dir):
+    return I.lines_to_rows(load(spark, sf_dir, "items"), KEYS)
+
+
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT page_no, y, max(eh) AS h, row_number() OVER (PARTITION BY page_no ORDER BY y DESC) - 1 AS row_no, count(*) OVER (PARTITION BY page_no) AS n FROM eff GROUP BY page_no, y),
+b AS (SELECT page_no, max(y + h) FILTER (row_no = 0) AS y_top, max(y - h) FILTER (row_no = n - 1) AS y_bottom FROM l WHERE n >= 3 GROUP BY page_no)
+SELECT i.page_no, 0 AS table_no, l.row_no::INT AS row_no, (i.item_no % 10)::INT AS col_no, i.str AS text, b.y_top, b.y_bottom FROM items i JOIN l USING (page_no, y) JOIN b USING (page_no)""")
+def detect_tables(spark, sf_dir):
+    return I.detect_tables(load(spark, sf_dir, "items"), KEYS)
+
+
+@query(f"WITH {ITEMS_SQL}, bands AS ({duck('bands')}) SELECT page_no, item_no FROM items i WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE b.page_no = i.page_no AND i.y BETWEEN b.y_bottom AND b.y_top)")
+def outside_bands(spark, sf_dir):
+    return I.outside_bands(load(spark, sf_dir, "items"), load(spark, sf_dir, "bands"), KEYS).select("page_no", "item_no")
+
+
+@query(f"""WITH {ITEMS_SQL}, s AS (SELECT page_no, y, floor(font_size * 2 + 0.5) / 2 AS size, sum(length(trim(str))) AS chars, min(x) AS first, sum(CASE WHEN bold THEN length(trim(str)) ELSE 0 END) AS bc FROM items GROUP BY ALL)
+SELECT page_no, y, arg_max(size, chars)::DOUBLE AS font_size, sum(bc) / sum(chars) > 0.5 AS bold FROM s GROUP BY page_no, y""")
+def line_font_sizes(spark, sf_dir):
+    return I.line_font_sizes(load(spark, sf_dir, "items"), ["page_no", "y"])
+
+
+@query(f"""WITH t AS ({duck("lines")}) SELECT line_id, CASE WHEN regexp_matches(text, '^(•|\\d{{1,3}}[.)])\\s') THEN 'bullet' WHEN length(text) > 120 THEN 'paragraph' WHEN font_size / page_median >= 1.5 THEN 'heading1'
+  WHEN font_size / page_median >= 1.15 THEN 'heading2' WHEN font_size / page_median >= 1.05 AND bold THEN 'heading2' ELSE 'paragraph' END AS kind, regexp_replace(text, '^(•|\\d{{1,3}}[.)])\\s+', '') AS body FROM t""")
+def classify_lines(spark, sf_dir):
+    rows = load(spark, sf_dir, "lines")
+    return rows.select("line_id", I.classify_line(F.col("text"), F.col("font_size"), F.col("bold"), F.col("page_median")).alias("kind"), T.strip_bullet("text").alias("body"))
+
+
+@query()
+def reconstruct_blocks(spark, sf_dir):
+    return I.reconstruct_blocks(load(spark, sf_dir, "items"), KEYS)
+
+
+@query()
+def word_parts(spark, sf_dir):
+    items = load(spark, sf_dir, "items")
+    return I.word_parts(items, items.select("page_no").distinct(), KEYS)
+
+
+@query(f"""WITH {ITEMS_SQL}, n AS (SELECT page_no, count(DISTINCT y) AS n FROM items GROUP BY page_no),
+l AS (SELECT page_no, y, row_number() OVER (PARTITION BY page_no ORDER BY y DESC) - 1 AS row_no, string_agg(str, ' ' ORDER BY x) AS text FROM items GROUP BY page_no, y)
+SELECT 1 AS doc, 'Page ' || page_no || ' Table 1' AS sheet, row_no::INT AS row_no, (item_no % 10)::INT AS col_no, str AS text, CASE WHEN item_no % 10 = 1 THEN str::DOUBLE END AS number FROM items JOIN l USING (page_no, y) JOIN n USING (page_no) WHERE n >= 3
+UNION ALL SELECT 1, 'Page ' || page_no || ' text', row_no::INT, 0, text, NULL FROM l JOIN n USING (page_no) WHERE n < 3""")
+def sheet_cells(spark, sf_dir):
+    items = load(spark, sf_dir, "items").withColumn("doc", F.lit(1))
+    return I.sheet_cells(items, items.select("doc", "page_no").distinct(), "doc", "page_no").select("doc", "sheet", "row_no", "col_no", "text", "number")
+
+
+@query(f"""WITH t AS ({duck("texts")}), b AS (
+  SELECT doc_id, unnest([
+    {{'ord': 0, 'kind': 'heading', 'level': 2, 'n': length(regexp_extract(text, '^([^\\n]+)', 1))}}, {{'ord': 1, 'kind': 'paragraph', 'level': NULL, 'n': length(string_split(text, chr(10))[3]) + 14}},
+    {{'ord': 2, 'kind': 'listItem', 'level': NULL, 'n': length(string_split(text, chr(10))[6]) - 2}}, {{'ord': 3, 'kind': 'listItem', 'level': NULL, 'n': length(string_split(text, chr(10))[7]) - 4}}, {{'ord': 4, 'kind': 'listItem', 'level': NULL, 'n': 5}},
+    {{'ord': 5, 'kind': 'blockquote', 'level': NULL, 'n': length(string_split(text, chr(10))[10]) - 2 + 6}}, {{'ord': 6, 'kind': 'code', 'level': NULL, 'n': length(string_split(text, chr(10))[13]) - 4}},
+    {{'ord': 7, 'kind': 'heading', 'level': 3, 'n': 11}}, {{'ord': 8, 'kind': 'paragraph', 'level': NULL, 'n': 3}}, {{'ord': 9, 'kind': 'hr', 'level': NULL, 'n': NULL}}, {{'ord': 10, 'kind': 'heading', 'level': 1, 'n': 5}}]) AS b FROM t)
+SELECT doc_id, b.ord::INT AS ord, b.kind AS kind, b.level::INT AS level, b.n::INT AS n FROM b""")
+def text_blocks(spark, sf_dir):
+    return text_to_blocks(load(spark, sf_dir, "texts")).select("doc_id", "ord", "kind", "level", F.char_length("text").alias("n"))
+
+
+@query("""SELECT lang, 'paragraph' AS kind, count(*) AS n, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS chars FROM documents WHERE trim(text) <> '' GROUP BY lang""")
+def text_block_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.struct("doc_id", "lang").alias("id"), "text")
+    blocks = text_to_blocks(docs, "id")
+    return blocks.groupBy(F.col("id.lang").alias("lang"), "kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query()
+def markdown_blocks(spark, sf_dir):
+    blocks = M.markdown_to_blocks(load(spark, sf_dir, "texts"))
+    return blocks.select("doc_id", "ord", "kind", "level", "ordered", "index", "depth", "text", "lang")
+
+
+PAGE_BLOCKS_SQL = """
+SELECT page_id, 'heading' AS kind, len(regexp_extract_all(html, '<h1>'))::BIGINT AS n FROM pages UNION ALL
+SELECT page_id, 'listItem', len(regexp_extract_all(html, '<li>'))::BIGINT FROM pages UNION ALL
+SELECT page_id, 'paragraph', (len(list_filter(string_split(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '<p>')[2:], lambda p: trim(regexp_replace(p, '<[^>]+>', ' ', 'g')) <> '')) + 2)::BIGINT FROM pages"""
+
+
+@query(PAGE_BLOCKS_SQL)
+def html_block_counts(spark, sf_dir):
+    blocks = H.html_to_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return blocks.groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def html_headings(spark, sf_dir):
+    return H.html_to_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).where("kind = 'heading'").select("page_id", F.col("text").alias("title"))
+
+
+@query(f"""WITH r AS (SELECT block_ord, run_ord, text, coalesce(bold, false) AS bold, coalesce(italic, false) AS italic, href FROM ({duck("runs")}) x WHERE text <> ''),
+k AS (SELECT *, CASE WHEN lag(run_ord) OVER w IS NULL OR lag(bold) OVER w IS DISTINCT FROM bold OR lag(italic) OVER w IS DISTINCT FROM italic OR lag(href) OVER w IS DISTINCT FROM href THEN 1 ELSE 0 END AS starts FROM r WINDOW w AS (PARTITION BY block_ord ORDER BY run_ord)),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY block_ord ORDER BY run_ord) - 1 AS island FROM k)
+SELECT block_ord, island::INT AS run_ord, string_agg(text, '' ORDER BY run_ord) AS text, bold, italic, href FROM i GROUP BY block_ord, island, bold, italic, href""")
+def merged_runs(spark, sf_dir):
+    return merge_runs(load(spark, sf_dir, "runs"), ["block_ord"]).select("block_ord", "run_ord", "text", "bold", "italic", "href")
+
+
+@query(f"""WITH t AS ({duck("code")}), l AS (SELECT doc_id, generate_subscripts(string_split(replace(text, chr(9), '  '), chr(10)), 1) AS i, unnest(string_split(replace(text, chr(9), '  '), chr(10))) AS line FROM t),
+c AS (SELECT doc_id, i, k, substr(line, k * 40 + 1, 40) AS piece FROM (SELECT *, unnest(range(greatest(1, (length(line) + 39) // 40))) AS k FROM l) x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS line_no, piece FROM c""")
+def code_lines(spark, sf_dir):
+    rows = load(spark, sf_dir, "code")
+    return rows.select("doc_id", F.posexplode(L.code_chunks(F.col("text"), 40)).alias("line_no", "piece"))
+
+
+@query()
+def typeset_blocks(spark, sf_dir):
+    return L.typeset_blocks(M.markdown_to_blocks(load(spark, sf_dir, "texts"))).drop("href")
+
+
+PIXELS_SQL = f"px AS ({duck('pixels')}), gray AS (SELECT *, (77 * r + 151 * g + 28 * b) >> 8 AS gray FROM px)"
+
+
+@query(f"WITH {PIXELS_SQL} SELECT img_id, gray::INT AS gray, count(*) AS n FROM gray GROUP BY img_id, gray")
+def gray_histogram(spark, sf_dir):
+    return R.gray_histogram(load(spark, sf_dir, "pixels"))
+
+
+@query(f"""WITH {PIXELS_SQL}, h AS (SELECT img_id, gray, count(*) AS n FROM gray GROUP BY img_id, gray),
+a AS (SELECT *, sum(n) OVER (PARTITION BY img_id ORDER BY gray) AS up, sum(n) OVER (PARTITION BY img_id ORDER BY gray DESC) AS down, sum(n) OVER (PARTITION BY img_id) AS total FROM h),
+lv AS (SELECT img_id, min(gray) FILTER (up > total * 0.01) AS low, max(gray) FILTER (down > total * 0.01) AS high FROM a GROUP BY img_id)
+SELECT img_id, x, y, least(255, greatest(0, round_even((r - low) * 255.0 / (high - low), 0)))::INT AS r, least(255, greatest(0, round_even((g - low) * 255.0 / (high - low), 0)))::INT AS g, least(255, greatest(0, round_even((b - low) * 255.0 / (high - low), 0)))::INT AS b
+FROM px JOIN lv USING (img_id)""")
+def auto_levels(spark, sf_dir):
+    return R.auto_levels(load(spark, sf_dir, "pixels"))
+
+
+@query(f"""WITH {PIXELS_SQL}, ink AS (SELECT img_id, x, y FROM gray JOIN (SELECT img_id, avg(gray) AS mean FROM gray GROUP BY img_id) m USING (img_id) WHERE gray < mean * 0.85),
+rows_ AS (SELECT img_id, angle, floor(y - x * tan(radians(angle)) + 4 + 0.5) AS row FROM ink, (SELECT unnest(range(41)) * 0.25 - 5 AS angle) a),
+c AS (SELECT img_id, angle, row, count(*) AS c FROM rows_ GROUP BY ALL)
+SELECT img_id, angle::DOUBLE AS angle, round(sum(c * c) / 24.0 - pow(sum(c) / 24.0, 2), 6)::DOUBLE AS variance FROM c GROUP BY img_id, angle""")
+def skew_profile(spark, sf_dir):
+    return R.skew_profile(load(spark, sf_dir, "pixels")).select("img_id", F.col("angle").cast("double").alias("angle"), F.round("variance", 6).alias("variance"))
+
+
+def _fields(spark, sf_dir):
+    return load(spark, sf_dir, "fields").withColumn("options", F.when(F.col("field_type").isin("dropdown", "radio"), F.array(F.lit("red"), F.lit("green"))))
+
+
+@query(f"""WITH f AS ({duck("fields")}), v AS ({duck("values")}), j AS (SELECT f.*, v.value AS new FROM f LEFT JOIN v USING (doc_id, name)),
+t AS (SELECT *, coalesce(new IS NOT NULL AND NOT read_only AND (field_type IN ('text', 'checkbox') OR (new <> '' AND (field_type = 'dropdown' OR (field_type = 'radio' AND new IN ('red', 'green'))))), false) AS touched FROM j)
+SELECT doc_id, name, CASE WHEN touched AND field_type <> 'checkbox' THEN new ELSE value_str END AS value_str, CASE WHEN touched AND field_type = 'checkbox' THEN new = 'true' ELSE value_bool END AS value_bool, touched FROM t""")
+def fill_form(spark, sf_dir):
+    return O.fill_form(_fields(spark, sf_dir), load(spark, sf_dir, "values")).select("doc_id", "name", "value_str", "value_bool", "touched")
+
+
+IMAGES_SQL = f"""im AS ({duck("images")}), masks AS (SELECT DISTINCT doc_id, smask_ref AS ref FROM im WHERE smask_ref IS NOT NULL),
+k AS (SELECT im.*, CASE WHEN cs_family = 'DeviceRGB' OR (cs_family = 'ICCBased' AND icc_n = 3) THEN 'rgb' WHEN cs_family = 'DeviceGray' OR (cs_family = 'ICCBased' AND icc_n = 1) THEN 'gray' WHEN cs_family = 'DeviceCMYK' OR (cs_family = 'ICCBased' AND icc_n = 4) THEN 'cmyk' ELSE 'other' END AS color,
+  m.ref IS NOT NULL AS is_mask FROM im LEFT JOIN masks m ON m.doc_id = im.doc_id AND m.ref = im.ref),
+e AS (SELECT *, NOT is_mask AND NOT image_mask AND NOT has_external AND n_filters = 1 AND width > 0 AND height > 0 AND width::BIGINT * height > 102400 AND n_bytes >= 24576 AND color IN ('rgb', 'gray') AND NOT has_decode
+  AND (filter_name = 'DCTDecode' OR (filter_name = 'FlateDecode' AND cs_family <> 'ICCBased' AND NOT has_decode_parms AND bpc = 8)) AS eligible FROM k)"""
+
+
+def _images(spark, sf_dir):
+    return O.recompressible(load(spark, sf_dir, "images").withColumn("filters", F.array_repeat("filter_name", F.col("n_filters"))))
+
+
+@query(f"WITH {IMAGES_SQL} SELECT doc_id, ref, color, eligible FROM e")
+def compress_eligible(spark, sf_dir):
+    return _images(spark, sf_dir).select("doc_id", "ref", F.col("color.kind").alias("color"), "eligible")
+
+
+@query(f"""WITH {IMAGES_SQL}, r AS (SELECT *, eligible AND new_bytes < n_bytes AS replaced FROM e)
+SELECT doc_id, ref, replaced, CASE WHEN replaced THEN greatest(1, floor(width * least(1.0, 1100.0 / greatest(width, height)) + 0.5))::INT ELSE width END AS out_width, CASE WHEN replaced THEN new_bytes ELSE n_bytes END AS out_bytes FROM r""")
+def compress_result(spark, sf_dir):
+    return O.recompressed(_images(spark, sf_dir), "extreme").select("doc_id", "ref", "replaced", "out_width", "out_bytes")
+
+
+@query(f"""WITH w AS ({duck("words")}) SELECT word_id, round(x0 * 0.5, 6)::DOUBLE AS x, round(700 - y1 * 0.5, 6)::DOUBLE AS y, least(60, greatest(4, (y1 - y0) * 0.5))::DOUBLE AS font_size, 'Helvetica' AS face FROM w WHERE trim(text) <> ''""")
+def ocr_placement(spark, sf_dir):
+    rows = O.placed_words(load(spark, sf_dir, "words"))
+    return rows.select("word_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "font_size", "face")
+
+
+@query(f"""WITH p AS ({duck("progress")}) SELECT event_id, least(100, floor((page_no + CASE stage WHEN 'render' THEN 0 WHEN 'cleanup' THEN 0.1 WHEN 'ocr' THEN 0.15 ELSE 0.95 END::DOUBLE + CASE stage WHEN 'render' THEN 0.1 WHEN 'ocr' THEN 0.8 ELSE 0.05 END::DOUBLE * least(1, greatest(0, part))) / 8 * 100 + 0.5))::INT AS pct FROM p""")
+def ocr_progress(spark, sf_dir):
+    return O.recognition_progress(load(spark, sf_dir, "progress")).select("event_id", "pct")
+
+
+@query("SELECT doc_id, floor(n_chars / 7.0 * 2 + 0.5) / 2 AS half, floor(n_chars / 7.0 * 100 + 0.5) / 100 AS cents, ((n_chars - 1000) % 360 + 360) % 360 AS turned FROM documents")
+def geometry_functions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    x = F.col("n_chars") / 7.0
+    return docs.select("doc_id", G.half_points(x).alias("half"), G.hundredths(x).alias("cents"), G.rotated(F.col("n_chars"), -1000).cast("long").alias("turned"))
