@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bayes_join import band_keys, minhashes, mixed, shingles, word_hashes
-from docloom.llm.common import crc_mod, map_slices, segment_sum, split_words, text_array, unit_hash
+from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, text_array, unit_hash
 
 BUCKETS, PREFIXES, SUFFIXES = 1 << 17, (3, 4, 5, 6, 7, 8), (3, 4)
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 ROUNDS, RATE, DECAY = 60, 0.25, 1e-4
 LEAST_EVIDENCE, NEAR, LEAD = 1.8, 10, 64
 SEGMENT = 64
@@ -160,13 +160,21 @@ def constant_model(share: float) -> ToxicityModel:
     return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
 
 
+def text_slices(texts: pa.StringArray):
+    """Runs of texts of about two megabytes: the driver's memory stays small."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return (part.column("text") for part in slices(batch, limit=2 << 20))
+
+
 def without_near_copies(texts: pa.StringArray) -> np.ndarray:
     """Places of texts that share no MinHash band with an earlier text of the sample."""
-    keys, seen, kept = band_keys(minhashes(*shingles(*word_hashes(texts)))), set(), []
-    for k, row in enumerate(keys.tolist()):
-        if seen.isdisjoint(row):
-            kept.append(k)
-        seen.update(row)
+    seen, kept, at = set(), [], 0
+    for part in text_slices(texts):
+        for row in band_keys(minhashes(*shingles(*word_hashes(part)))).tolist():
+            if seen.isdisjoint(row):
+                kept.append(at)
+            seen.update(row)
+            at += 1
     return np.array(kept, np.int64)
 
 
@@ -247,7 +255,8 @@ def train(texts: pa.StringArray, toxic: np.ndarray, share: float) -> ToxicityMod
     parts = np.concatenate([[0], cut, [len(at)]])
     weights, bias, transition = fit_field(codes[at], parts, features, label[at])
     model = ToxicityModel(weights, bias, transition, np.zeros(4))
-    x = document_features(forward_backward((weights[features].sum(1) + bias)[codes].astype(np.float64), offsets, transition)[0], offsets)
+    del codes, features, label, evidence, near, place, chosen, doc, at
+    x = np.concatenate([document_features(*model.marginals(part)) for part in text_slices(texts)])
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     model.logistic = fit_logistic(x, toxic.astype(np.float64), weight)
     return model
