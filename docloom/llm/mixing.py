@@ -142,7 +142,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, 's' || source AS key,
-         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> ''))::BIGINT AS n
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS n
   FROM documents
 ), s AS (SELECT key, sum(n)::BIGINT AS tokens FROM d GROUP BY key),
 t AS (SELECT sum(tokens)::DOUBLE AS total, ln(count(*)::DOUBLE) AS greatest, count(*) AS k FROM s WHERE tokens > 0),
