@@ -15,13 +15,14 @@ import re
 from itertools import pairwise
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.geometry import half_points
 from docloom.functions.text import is_bullet, units
+from docloom.operators.grouped import map_groups
 from docloom.operators.textblocks import JS_SPACE, LAST_PLAIN, S, tidy
 
 #: Tolerances and ratios of the layout rules.
@@ -284,17 +285,10 @@ def blocks_of(items: list[dict]) -> list[tuple[str, str]]:
 
 
 def per_page(items: DataFrame, keys: list[str], f, schema: str, columns: list[str]) -> DataFrame:
-    """Applies f to the items (dicts, in item_no order) of each page."""
-    kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = f(pdf.sort_values("item_no", kind="stable").to_dict("records"))
-        out = pd.DataFrame(rows, columns=columns)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return items.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    """Rows of f(items of a page as dicts, in item_no order)."""
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    return map_groups(items, keys, ["item_no"], f, schema, columns, types)
 
 
 def group_lines(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fonts import MONO, face_of, text_width, words_and_spaces
 from docloom.functions.geometry import A4
+from docloom.operators.grouped import map_groups
 
 #: Sizes, ratios and gaps of the layout.
 MARGIN, BODY, RATIO = 72.0, 11.0, 1.5
@@ -292,17 +293,13 @@ DRAWN = ["page_no", "what", "x", "y", "w", "h", "text", "face", "size", "href"]
 
 def typeset_blocks(blocks: DataFrame, id_col: str = "doc_id", size: tuple[float, float] = A4, margin: float = MARGIN) -> DataFrame:
     """Drawn pieces (draw_no, page_no, what, x, y, w, h, text, face, size, href) of each document."""
-    kind = blocks.schema[id_col].dataType.simpleString()
+    def rows(found: list[dict]) -> list[tuple]:
+        return [(k, *d) for k, d in enumerate(typeset(found, size, margin).drawn)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord", kind="stable").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        out = pd.DataFrame(typeset(rows, size, margin).drawn, columns=DRAWN)
-        out.insert(0, "draw_no", range(len(out)))
-        out.insert(0, id_col, pdf[id_col].iloc[0])
-        return out
-
-    schema = f"{id_col} {kind}, draw_no int, page_no int, what string, x double, y double, w double, h double, text string, face string, size double, href string"
-    return blocks.groupBy(id_col).applyInPandas(run, schema)
+    schema = "draw_no int, page_no int, what string, x double, y double, w double, h double, text string, face string, size double, href string"
+    number, word = pa.float64(), pa.string()
+    types = [pa.int32(), pa.int32(), word, number, number, number, number, word, word, number, word]
+    return map_groups(blocks, [id_col], ["ord"], rows, schema, ["draw_no", *DRAWN], types)
 
 
 # column forms for monospaced text -------------------------------------------

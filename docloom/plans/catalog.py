@@ -41,12 +41,12 @@ TOKEN_SQL = f"""
 WITH specs AS ({duck("range_specs")}), tokens AS (
   SELECT case_id, page_count AS n, t.i, trim(t.tok) AS tok FROM specs, (SELECT unnest(string_split_regex(trim(spec), '[,;]+')) AS tok, generate_subscripts(string_split_regex(trim(spec), '[,;]+'), 1) AS i) t WHERE trim(t.tok) <> ''
 ), parsed AS (
-  SELECT *, regexp_full_match(tok, '\\d+') AS single, regexp_full_match(tok, '(\\d+)?\\s*-\\s*(\\d+)?') AS both,
+  SELECT *, regexp_full_match(tok, '\\d+') AS single, regexp_full_match(tok, '(\\d+)?\\s*-\\s*(\\d+)?') AS is_range,
     coalesce(try_cast(regexp_extract(tok, '^(\\d+)', 1) AS INT), 1) AS low,
     CASE WHEN regexp_full_match(tok, '\\d+') THEN try_cast(tok AS INT) ELSE coalesce(try_cast(regexp_extract(tok, '-\\s*(\\d+)$', 1) AS INT), n) END AS high
   FROM tokens
 ), judged AS (
-  SELECT *, CASE WHEN NOT single AND NOT both THEN '"' || tok || '" isn''t a page or range — use numbers like "3" or "2-5".' WHEN low < 1 OR high < 1 THEN 'Page numbers start at 1.'
+  SELECT *, CASE WHEN NOT single AND NOT is_range THEN '"' || tok || '" isn''t a page or range — use numbers like "3" or "2-5".' WHEN low < 1 OR high < 1 THEN 'Page numbers start at 1.'
     WHEN low > n OR high > n THEN 'This PDF only has ' || n || CASE WHEN n = 1 THEN ' page' ELSE ' pages' END || ' — "' || tok || '" is out of range.'
     WHEN low > high THEN '"' || tok || '" is backwards — put the smaller page first.' END AS error FROM parsed
 ), errors AS (SELECT case_id, arg_min(error, i) AS error FROM judged WHERE error IS NOT NULL GROUP BY case_id),
