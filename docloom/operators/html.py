@@ -85,10 +85,17 @@ class Builder:
         self.stack = [self.root, self.body]
         self.formats: list[Element | None] = []  # None marks a cell's border
 
+    def cut(self, k: int) -> None:
+        """Closes the open elements from place k on; a cell takes its border with it."""
+        cells = sum(e.tag in ("td", "th") for e in self.stack[k:])
+        del self.stack[k:]
+        while cells and self.formats:
+            cells -= self.formats.pop() is None
+
     def close_to(self, tags: frozenset, limits: frozenset) -> None:
         for k in range(len(self.stack) - 1, 1, -1):
             if self.stack[k].tag in tags:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if self.stack[k].tag in limits:
                 return
@@ -154,15 +161,14 @@ class Builder:
                         del self.stack[next(i for i, e in enumerate(self.stack) if e is gone) :]
                     return
             return
+        if tag in ("table", "tbody", "thead", "tfoot", "tr"):
+            limits = frozenset(["table"]) - {tag}
         for k in range(len(self.stack) - 1, 1, -1):
             if self.stack[k].tag == tag:
-                del self.stack[k:]
-                break
+                self.cut(k)
+                return
             if self.stack[k].tag in limits:
                 return
-        if tag in ("td", "th"):
-            while self.formats and self.formats.pop() is not None:
-                pass
 
 
 def attributes(raw: str) -> dict[str, str]:
