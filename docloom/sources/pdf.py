@@ -1,0 +1,342 @@
+"""A reader of PDF files: pages and text layers as rows.
+
+It takes classic and compressed object streams, Flate streams (with PNG rows),
+simple fonts in the standard and WinAnsi encodings, and two-byte fonts through
+their ToUnicode map.  Encrypted files and files without a page tree come back
+with a status instead of pages.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions.fonts import MEAN_WIDTH, MONO, SANS
+from docloom.functions.text import CORRUPT, ENCRYPTED
+
+TOKEN = re.compile(
+    rb"%[^\r\n]*|<<|>>|\[|\]|/(?P<name>[^\s()<>\[\]{}/%]*)|\((?P<text>)|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<ref>\d+\s+\d+\s+R)(?![A-Za-z])|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<word>[A-Za-z'\"*][^\s()<>\[\]{}/%]*)"
+)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+MAX_DEPTH = 64
+
+
+class Name(str):
+    pass
+
+
+class Word(bytes):
+    pass
+
+
+class Ref(int):
+    pass
+
+
+class PdfError(ValueError):
+    pass
+
+
+def string_at(data: bytes, at: int) -> tuple[bytes, int]:
+    """A literal string whose opening bracket ends before `at`, and the place behind it."""
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at : at + 1]
+        at += 1
+        if c == b"\\":
+            c = data[at : at + 1]
+            at += 1
+            if m := re.match(rb"[0-7]{1,3}", data[at - 1 : at + 2]):
+                out.append(int(m[0], 8) & 255)
+                at += len(m[0]) - 1
+            elif c not in b"\r\n":
+                out += ESCAPES.get(c, c)
+            elif c == b"\r" and data[at : at + 1] == b"\n":
+                at += 1
+            continue
+        depth += (c == b"(") - (c == b")")
+        if not depth:
+            break
+        out += c
+    return bytes(out), at
+
+
+def objects_in(data: bytes, at: int = 0, one: bool = False):
+    """Yields values and operators of a stretch of PDF syntax, or only the first value."""
+    stack: list[list] = [[]]
+    while m := TOKEN.search(data, at):
+        at, head = m.end(), m[0][:1]
+        if head == b"%":
+            continue
+        if m[0] in (b"<<", b"["):
+            stack.append([m[0]])
+            if len(stack) > MAX_DEPTH:
+                raise PdfError("nesting too deep")
+            continue
+        if m[0] in (b">>", b"]"):
+            if len(stack) < 2:
+                continue
+            inner = stack.pop()[1:]
+            value = inner if m[0] == b"]" else {k: v for k, v in zip(inner[::2], inner[1::2], strict=False) if isinstance(k, Name)}
+        elif m["name"] is not None:
+            value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes((int(x[1], 16),)), m["name"]).decode("latin-1"))
+        elif m["text"] is not None:
+            value, at = string_at(data, at)
+        elif m["hex"] is not None:
+            raw = re.sub(rb"\s", b"", m["hex"])
+            value = bytes.fromhex((raw + b"0" * (len(raw) % 2)).decode())
+        elif m["ref"]:
+            value = Ref(int(m["ref"].split()[0]))
+        elif m["number"]:
+            value = float(m["number"]) if b"." in m["number"] else int(m["number"])
+        else:
+            value = {b"true": True, b"false": False, b"null": None}.get(m["word"], Word(m["word"]))
+        stack[-1].append(value)
+        if len(stack) == 1:
+            yield stack[0].pop()
+            if one:
+                return
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if b"%PDF" not in data[:1024]:
+            raise PdfError("no header")
+        self.places = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data)}
+        self.data, self.known = data, {}
+        self.encrypted = bool(re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data))
+        if not self.encrypted:
+            for number in list(self.places):
+                value = self.value(number)
+                if isinstance(value, dict) and value.get("Type") == "ObjStm":
+                    self.unpack(number, value)
+
+    def unpack(self, number: int, head: dict) -> None:
+        body = self.stream(number)
+        pairs = [int(x) for x in body[: int(self.get(head, "First", 0))].split()[: 2 * int(self.get(head, "N", 0))]]
+        for n, offset in zip(pairs[::2], pairs[1::2], strict=False):
+            if n not in self.places:
+                self.known[n] = next(objects_in(body, int(self.get(head, "First", 0)) + offset, one=True), None)
+
+    def value(self, number: int):
+        if number not in self.known:
+            self.known[number] = next(objects_in(self.data, self.places[number], one=True), None) if number in self.places else None
+        return self.known[number]
+
+    def resolve(self, value):
+        for _ in range(MAX_DEPTH):
+            if not isinstance(value, Ref):
+                return value
+            value = self.value(value)
+        return None
+
+    def get(self, d, key: str, default=None):
+        value = self.resolve(d.get(key)) if isinstance(d, dict) else None
+        return default if value is None else value
+
+    def stream(self, ref) -> bytes:
+        head = self.resolve(ref if isinstance(ref, Ref) else Ref(ref))
+        begin = re.compile(rb"stream\r?\n").search(self.data, self.places[int(ref)])
+        if not isinstance(head, dict) or not begin:
+            return b""
+        length = self.get(head, "Length")
+        stop = begin.end() + length if isinstance(length, int) and self.data[begin.end() + length :].lstrip()[:9] == b"endstream" else self.data.find(b"endstream", begin.end())
+        data = self.data[begin.end() : stop]
+        filters = self.get(head, "Filter", [])
+        for f in filters if isinstance(filters, list) else [filters]:
+            if self.resolve(f) != "FlateDecode":
+                return b""
+            data = zlib.decompressobj().decompress(data)
+            parms = self.get(head, "DecodeParms", {})
+            if self.get(parms, "Predictor", 1) >= 10:
+                data = unfiltered(data, self.get(parms, "Columns", 1) * self.get(parms, "Colors", 1))
+        return data
+
+    def pages(self) -> list[dict]:
+        root = next((v for n in [*self.places, *self.known] if isinstance(v := self.value(n), dict) and v.get("Type") == "Catalog"), None)
+        if root is None:
+            raise PdfError("no catalog")
+        out, seen = [], set()
+        stack = [(root.get("Pages"), {})]
+        while stack:
+            ref, inherited = stack.pop()
+            node = self.resolve(ref)
+            if not isinstance(node, dict) or (isinstance(ref, Ref) and ref in seen):
+                continue
+            seen.add(ref)
+            inherited = inherited | {k: node[k] for k in ("MediaBox", "Rotate", "Resources") if k in node}
+            if "Kids" in node:
+                stack += [(k, inherited) for k in reversed(self.get(node, "Kids", []))]
+            else:
+                out.append(inherited | node)
+        return out
+
+
+def unfiltered(data: bytes, width: int) -> bytes:
+    """Undoes PNG row filters of one byte a sample."""
+    out, above = bytearray(), bytes(width)
+    for at in range(0, len(data), width + 1):
+        kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
+        for k in range(len(row)):
+            a, b, c = (row[k - 1] if k else 0), above[k], (above[k - 1] if k else 0)
+            p = a + b - c
+            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            row[k] = (row[k] + (0, a, b, (a + b) // 2, nearest)[kind]) & 255
+        out += row
+        above = bytes(row)
+    return bytes(out)
+
+
+class Font:
+    def __init__(self, doc: Document, d):
+        self.name = str(doc.get(d, "BaseFont", ""))
+        self.wide = doc.get(d, "Subtype") == "Type0"
+        self.widths, self.first = doc.get(d, "Widths", []), doc.get(d, "FirstChar", 0)
+        self.map: dict[int, str] = {}
+        if isinstance(d, dict) and isinstance(d.get("ToUnicode"), Ref):
+            self.read_map(doc.stream(d["ToUnicode"]))
+
+    def read_map(self, text: bytes) -> None:
+        word = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", text, re.S):
+            self.map |= {int(a, 16): word(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", text, re.S):
+            for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF) + 1):
+                    self.map[k] = chr(int(c, 16) + k - int(a, 16)) if len(c) <= 4 else word(c)
+
+    def decode(self, raw: bytes) -> tuple[str, float]:
+        """Text and advance in 1/1000 em of a shown string."""
+        codes = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
+        text = "".join(self.map.get(c) or ("" if self.wide else bytes((c,)).decode("cp1252", "replace")) for c in codes)
+        total = 0.0
+        for c in codes:
+            k = c - self.first
+            if not self.wide and 0 <= k < len(self.widths) and isinstance(self.widths[k], (int, float)):
+                total += self.widths[k]
+            else:
+                total += 600 if self.name.startswith(MONO) else SANS[c - 32] if 32 <= c < 127 else MEAN_WIDTH
+        return text, total
+
+
+def times(a, b):
+    return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
+
+
+def shown_text(doc: Document, page: dict) -> list[tuple]:
+    """(str, transform, width, height, font name) of each shown string of a page."""
+    contents = doc.resolve(page.get("Contents"))
+    refs = contents if isinstance(contents, list) else [page.get("Contents")]
+    data = b"\n".join(doc.stream(r) for r in refs if isinstance(r, Ref))
+    fonts = {k: Font(doc, doc.resolve(v)) for k, v in doc.get(doc.get(page, "Resources", {}), "Font", {}).items()}
+    one = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    ctm, saved, tm, line, font, size, lead, space, gap = one, [], one, one, None, 0.0, 0.0, 0.0, 0.0
+    out, args = [], []
+
+    def show(raw: bytes) -> None:
+        nonlocal tm
+        if font is None or not isinstance(raw, bytes):
+            return
+        text, units = font.decode(raw)
+        advance = units * size / 1000 + gap * len(text) + space * text.count(" ")
+        at = times([size, 0, 0, size, 0, 0], times(tm, ctm))
+        scale = (at[0] ** 2 + at[1] ** 2) ** 0.5 / size if size else 1.0
+        out.append((text, at, advance * scale, (at[2] ** 2 + at[3] ** 2) ** 0.5, font.name))
+        tm = times([1, 0, 0, 1, advance, 0], tm)
+
+    for value in objects_in(data):
+        if not isinstance(value, Word):
+            args.append(value)
+            continue
+        op, a = bytes(value), args
+        args = []
+        try:
+            if op == b"q":
+                saved.append(ctm)
+            elif op == b"Q" and saved:
+                ctm = saved.pop()
+            elif op == b"cm":
+                ctm = times(a[-6:], ctm)
+            elif op == b"BT":
+                tm = line = one
+            elif op == b"Tf":
+                font, size = fonts.get(a[-2]), float(a[-1])
+            elif op in (b"Td", b"TD"):
+                lead = -a[-1] if op == b"TD" else lead
+                tm = line = times([1, 0, 0, 1, a[-2], a[-1]], line)
+            elif op == b"Tm":
+                tm = line = [float(x) for x in a[-6:]]
+            elif op in (b"TL", b"Tw", b"Tc"):
+                lead, space, gap = (a[-1] if op == k else v for k, v in ((b"TL", lead), (b"Tw", space), (b"Tc", gap)))
+            elif op in (b"T*", b"'", b'"'):
+                tm = line = times([1, 0, 0, 1, 0, -lead], line)
+                if op != b"T*":
+                    show(a[-1])
+            elif op == b"Tj":
+                show(a[-1])
+            elif op == b"TJ":
+                for part in a[-1]:
+                    if isinstance(part, bytes):
+                        show(part)
+                    elif isinstance(part, (int, float)):
+                        tm = times([1, 0, 0, 1, -part * size / 1000, 0], tm)
+        except (IndexError, TypeError, ValueError):
+            continue
+    return out
+
+
+def read(data: bytes | None) -> tuple[str, str | None, list[tuple]]:
+    """Status (ok, encrypted, corrupt), message and pages (width, height, rotation, texts)."""
+    try:
+        doc = Document(data or b"")
+        if doc.encrypted:
+            return "encrypted", ENCRYPTED, []
+        out = []
+        for page in doc.pages():
+            box = [float(doc.resolve(x)) for x in doc.get(page, "MediaBox", [0, 0, 612, 792])]
+            out.append((box[2] - box[0], box[3] - box[1], int(doc.get(page, "Rotate", 0)) % 360, shown_text(doc, page)))
+        return "ok", None, out
+    except (PdfError, zlib.error, RecursionError, ValueError, TypeError, KeyError):
+        return "corrupt", CORRUPT, []
+
+
+def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "content") -> DataFrame:
+    """id, page_no (from 1), width, height, rotation, status, message; one row for a file without pages."""
+    kind = sources.schema[id_col].dataType.simpleString()
+    names = ["page_no", "width", "height", "rotation", "status", "message"]
+    types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                status, message, pages = read(batch.column("content")[k].as_py())
+                rows = [(n, w, h, r, status, None) for n, (w, h, r, _) in enumerate(pages, 1)] or [(0, None, None, None, status, message)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
+
+    chosen = sources.select(F.col(id_col).alias("id"), F.col(content).alias("content"))
+    return chosen.mapInArrow(run, f"id {kind}, page_no int, width double, height double, rotation int, status string, message string").withColumnRenamed("id", id_col)
+
+
+def pdf_text_layer(sources: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
+    """doc_id, page_no, item_no, str, transform, w, h, font_name: input of files.text_items."""
+    kind = sources.schema[id_col].dataType.simpleString()
+    names = ["page_no", "item_no", "str", "transform", "w", "h", "font_name"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pages = read(batch.column("content")[k].as_py())[2]
+                rows = [(n, i, *t) for n, page in enumerate(pages, 1) for i, t in enumerate(page[3])]
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
+
+    chosen = sources.select(F.col(id_col).alias("id"), F.col(content).alias("content"))
+    schema = f"id {kind}, page_no int, item_no int, str string, transform array<double>, w double, h double, font_name string"
+    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
