@@ -356,3 +356,64 @@ def geometry_functions(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     x = F.col("n_chars") / 7.0
     return docs.select("doc_id", G.half_points(x).alias("half"), G.hundredths(x).alias("cents"), G.rotated(F.col("n_chars"), -1000).cast("long").alias("turned"))
+
+
+@query(f"""WITH {PAGES_SQL}, m AS (SELECT 's' AS s, session_id, page_id, pos, 0 AS tie FROM pages WHERE session_id = 's1' UNION ALL SELECT 's', session_id, page_id, pos, 1 FROM pages WHERE session_id = 's2')
+SELECT page_id, row_number() OVER (ORDER BY tie, pos) - 1 AS pos FROM m""")
+def merge_sessions(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    part = lambda s: pages.where(F.col("session_id") == s).withColumn("session_id", F.lit("s"))
+    return S.merge_sessions(part("s1"), part("s2")).select("page_id", "pos")
+
+
+@query(f"""WITH {PAGES_SQL} SELECT session_id, page_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS pos FROM pages WHERE pos + 1 BETWEEN 2 AND 4 OR pos = 0""")
+def extract_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)[1]
+    counts = pages.groupBy("session_id").agg(F.count("*").cast("int").alias("n"))
+    ranges = counts.select("session_id", T.page_ranges(F.concat(F.lit("1, 2-"), F.least("n", F.lit(4)).cast("string")), "n").alias("page_numbers"))
+    return S.extract_pages(pages, ranges).select("session_id", "page_id", "pos")
+
+
+@query(f"""WITH t AS ({duck("texts")}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t), w AS (SELECT doc_id, trim(line) AS line FROM l WHERE trim(line) <> ''),
+c AS (SELECT doc_id, length(line) BETWEEN 2 AND 80 AND NOT regexp_matches(line, '[.!?]$') AND length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_replace(line, '[^A-Za-z]', '', 'g') = upper(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS caps FROM w)
+SELECT doc_id, round(avg(CASE WHEN caps THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS caps_share FROM c GROUP BY doc_id""")
+def caps_share(spark, sf_dir):
+    lines = load(spark, sf_dir, "texts").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(~T.is_blank("line"))
+    return lines.groupBy("doc_id").agg(F.round(F.avg(F.when(T.is_caps_heading("line"), 1.0).otherwise(0.0)), 9).alias("caps_share"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'encrypted' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'cancelled' ELSE 'other' END AS kind, CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN 'No PASSWORD given' ELSE o_orderpriority END AS message FROM orders)
+SELECT id, CASE kind WHEN 'cancelled' THEN '' WHEN 'encrypted' THEN coalesce(message, 'This PDF is password-protected.') WHEN 'corrupt' THEN coalesce(message, 'This file couldn''t be read as a PDF — it may be corrupted.') ELSE coalesce(message, 'Something went wrong while processing the PDF.') END AS friendly,
+  regexp_matches(kind || ' ' || coalesce(message, ''), '(?i)encrypt|password') AS encrypted FROM e""")
+def error_messages(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey") % 4
+    kind = F.when(k == 0, "encrypted").when(k == 1, "corrupt").when(k == 2, "cancelled").otherwise("other")
+    c = F.col("o_custkey") % 3
+    message = F.when(c == 0, F.lit(None)).when(c == 1, "No PASSWORD given").otherwise(F.col("o_orderpriority"))
+    return orders.select(F.col("o_orderkey").alias("id"), T.friendly_error(kind, message).alias("friendly"), T.is_encrypted_error(kind, message).alias("encrypted"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || 'x' || lower(o_orderpriority[3:]) ELSE o_orderstatus || 'x- ' || o_orderpriority END AS joined FROM orders""")
+def joined_lines(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    before = F.concat("o_orderstatus", F.lit("x-"))
+    after = F.when(F.col("o_orderkey") % 2 == 0, F.lower(F.substring("o_orderpriority", 3, 99))).otherwise(F.col("o_orderpriority"))
+    return orders.select(F.col("o_orderkey").alias("id"), T.join_lines(before, after).alias("joined"))
+
+
+@query(f"""WITH {IMAGES_SQL}, r AS (SELECT *, eligible AND new_bytes < n_bytes AS replaced FROM e)
+SELECT doc_id, count(*) FILTER (replaced) AS n_replaced, count(*) FILTER (NOT replaced) AS n_skipped, sum(n_bytes)::BIGINT AS n_bytes, sum(CASE WHEN replaced THEN new_bytes ELSE n_bytes END)::BIGINT AS out_bytes, NOT bool_or(replaced) AS used_original FROM r GROUP BY doc_id""")
+def compress_summary(spark, sf_dir):
+    images = O.recompressed(_images(spark, sf_dir))
+    return O.compress_summary(images, images.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes")))
+
+
+@query("""SELECT doc_id, CASE WHEN count(*) > 1 THEN string_agg('──── Page ' || page_no || ' ────' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) ELSE any_value(text) END AS text
+FROM (SELECT c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS page_no, c_name AS text FROM customer) p GROUP BY doc_id""")
+def recognised_text(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    page = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return O.recognised_text(rows.select(F.col("c_nationkey").alias("doc_id"), page.alias("page_no"), F.col("c_name").alias("text")))
