@@ -45,37 +45,48 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, the base counts, and the further counts n_lines, n_unique, n_upper, n_shouts, n_chars."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pattern = r"[\x20\x09-\x0D]+"
-    rows = rows.select("id", "text", F.filter(F.split("text", pattern), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"))
-    long = F.size("words") >= WINDOW
-    windows = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
-    counted = rows.select(
-        "id",
-        F.size("words").cast("long").alias("n_words"),
-        without(F.col("text"), SPACE).alias("word_chars"),
-        F.char_length("text").cast("long").alias("n_chars"),
-        without(F.col("text"), SYMBOLS).alias("plain"),
-        without(F.col("text"), UPPER).alias("not_upper"),
-        without(F.col("text"), "!").alias("not_shouts"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("lines")).cast("long").alias("n_distinct_lines"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_unique"),
-        F.when(long, windows).otherwise(F.array().cast("array<bigint>")).alias("windows"),
+    words = F.filter(F.split("text", pattern), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    rows = bound(rows, ["id", "text"], words=words, lines=lines)
+    counted = bound(
+        rows,
+        ["id"],
+        n_words=F.size("words").cast("long"),
+        word_chars=F.char_length(F.array_join("words", "")).cast("long"),
+        n_chars=F.char_length("text").cast("long"),
+        plain=without(F.col("text"), SYMBOLS),
+        not_upper=without(F.col("text"), UPPER),
+        not_shouts=F.char_length(F.replace("text", F.lit("!"), F.lit(""))).cast("long"),
+        n_lines=F.size("lines").cast("long"),
+        n_distinct_lines=F.size(F.array_distinct("lines")).cast("long"),
+        n_unique=F.size(F.array_distinct("words")).cast("long"),
+        windows=F.transform("words", lambda w: F.xxhash64(w)),
     )
-    return counted.select(
-        "id",
-        "n_words",
-        "word_chars",
-        (F.col("n_chars") - F.col("plain")).alias("n_symbols"),
-        (F.col("n_lines") - F.col("n_distinct_lines")).alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(repeated_words(F.col("windows"))).cast("long").alias("n_repeat_words"),
-        "n_lines",
-        "n_unique",
-        (F.col("n_chars") - F.col("not_upper")).alias("n_upper"),
-        (F.col("n_chars") - F.col("not_shouts")).alias("n_shouts"),
-        "n_chars",
+    kept = [c for c in counted.columns if c != "windows"]
+    step = 1
+    while step < WINDOW:  # hashes of 2, 4 and 8 words from those of half as many
+        left = F.greatest(F.lit(0), F.size("windows") - step)
+        halves = F.slice("windows", F.lit(1), left), F.slice("windows", F.lit(1 + step), left)
+        counted = bound(counted, kept, windows=F.zip_with(*halves, lambda a, b: F.xxhash64(a, b)))
+        step *= 2
+    once = F.size(F.array_distinct("windows")) == F.size("windows")
+    return bound(
+        counted,
+        ["id", "n_words", "word_chars", "n_lines", "n_unique", "n_chars"],
+        n_symbols=F.col("n_chars") - F.col("plain"),
+        n_dup_lines=F.col("n_lines") - F.col("n_distinct_lines"),
+        n_repeat_words=F.when(once, F.lit(0)).otherwise(repeated_words(F.col("windows"))).cast("long"),
+        n_upper=F.col("n_chars") - F.col("not_upper"),
+        n_shouts=F.col("n_chars") - F.col("not_shouts"),
     )
 
 
+def bound(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
+    """Columns `kept` and `made`, each made value computed once: a generator of one row
+    stands between, so that filters above don't repeat the expressions below."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
 def repeated_words(windows: Column) -> Column:
     """Number of words in windows whose hash occurs again: sorts (hash, place), takes the
     places whose neighbour has the same hash, and adds what each covers beyond the one before."""
@@ -164,9 +175,12 @@ def learn_rules(table: DataFrame) -> list[Rule]:
             out[r["c"]][r["b"]] = [r["good"], r["bad"]]
         return out
 
-    def precision(rows: DataFrame, rule: Rule) -> tuple[int, int]:
-        r = rows.where(conjunction(rule, own)).agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
-        return r[0], r[1]
+    def judged(rows: DataFrame, rule: Rule) -> list[tuple[Rule, int, int]]:
+        """The rule and its shorter forms with the bad and good rows they cover, in one pass."""
+        forms = [rule[:k] for k in range(len(rule), 0, -1)]
+        hit = [conjunction(form, own) for form in forms]
+        r = rows.agg(*[F.count_if(h & F.col("bad")) for h in hit], *[F.count_if(h & ~F.col("bad")) for h in hit]).first()
+        return [(form, r[k], r[k + len(forms)]) for k, form in enumerate(forms)]
 
     rules: list[Rule] = []
     left = table
@@ -191,16 +205,25 @@ def learn_rules(table: DataFrame) -> list[Rule]:
             rule.append(best)
         if not rule:
             break
-        scored = [(rule[:k], *precision(prune, rule[:k])) for k in range(len(rule), 0, -1)]
+        scored = judged(prune, rule)
         worth = lambda x: (x[1] - x[2]) / (x[1] + x[2]) if x[1] + x[2] else -1.0
         rule, bad, good = max(scored, key=worth)
         if bad < LEAST_COVERED or bad < LEAST_PRECISION * (bad + good):
             break
+        rule = centred(left, rule)
         rules.append(rule)
         left = left.where(~conjunction(rule, own))
     return rules
 
 
+def centred(rows: DataFrame, rule: Rule) -> Rule:
+    """The rule with each threshold moved to the middle of the gap it stands in."""
+    c = [F.col(x.statistic) for x in rule]
+    r = rows.agg(*[F.max(F.when(v <= x.threshold, v)) for v, x in zip(c, rule, strict=True)], *[F.min(F.when(v > x.threshold, v)) for v, x in zip(c, rule, strict=True)]).first()
+    middle = lambda low, high, t: t if low is None or high is None else (low + high) / 2
+    return [Condition(x.statistic, x.below, middle(r[k], r[k + len(rule)], x.threshold)) for k, x in enumerate(rule)]
+
+
 def fit_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules from a sample of about `sample_rows` labelled documents that the base rules keep."""
     known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).alias("quality"))
@@ -210,7 +233,7 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     stats = text_statistics(chosen.select(F.struct(id_col, "quality").alias("id"), text_col), "id", text_col).where(~base_failed())
     columns = [c.alias(k) for k, c in ratios().items()]
     table = stats.select(*columns, (F.col("id.quality") == 0).alias("bad"), (unit_hash(F.col(f"id.{id_col}"), 5) < 1 / 3).alias("prune"))
-    return learn_rules(stored(table, "quality-sample"))
+    return learn_rules(stored(table, "quality-sample").coalesce(4))
 
 
 def quality_verdicts(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
