@@ -109,10 +109,13 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     norm = full.agg(F.sum(power)).first()[0] or 1.0
     weight = F.when(F.col("tokens") > 0, F.round(power / F.lit(norm), 12)).otherwise(0.0)
     plan = sums.select("key", "tokens", weight.alias("weight"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias("n_blocks"))
-    part = F.floor(F.col("weight") * F.lit(float(budget))).cast("long")
-    plan = plan.withColumn("part", part)
-    plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("part") / F.greatest("tokens", F.lit(1))).cast("long")).otherwise(F.lit(1).cast("long")))
-    plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, F.col("part") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0).cast("long"))).drop("part")
+    # weights are good to about 1e-12 of the budget; a share that close to whole epochs is whole
+    slack = math.ceil(budget * 1e-11)
+    plan = plan.withColumn("part", F.floor(F.col("weight") * F.lit(float(budget)) + 0.5).cast("long"))
+    epochs = F.floor((F.col("part") + slack) / F.greatest("tokens", F.lit(1))).cast("long")
+    plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, epochs).otherwise(F.lit(1).cast("long")))
+    rest = F.greatest(F.lit(0), F.col("part") - F.col("epochs") * F.col("tokens")).cast("long")
+    plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, rest).otherwise(F.lit(0).cast("long"))).drop("part")
     block = F.pmod(hashed(seed, F.coalesce("id", F.lit(""))), "n_blocks").alias("block")
     dealt = rows.join(plan, "key").select("*", block)
     block_key = lambda epoch: hashed(seed, epoch, F.col("key"), F.col("block"))
@@ -170,9 +173,8 @@ e AS (
          greatest(1, ceil(s.tokens / {BLOCK_TOKENS}.0))::BIGINT AS n_blocks, total
   FROM s, t, a
 ), plan AS (
-  SELECT *, CASE WHEN tokens > 0 THEN floor(weight * total)::BIGINT // greatest(tokens, 1) ELSE 1 END AS epochs,
-         CASE WHEN tokens > 0 THEN floor(weight * total)::BIGINT % greatest(tokens, 1) ELSE 0 END AS rest
-  FROM p
+  SELECT *, CASE WHEN tokens > 0 THEN greatest(0, part - epochs * tokens) ELSE 0 END AS rest
+  FROM (SELECT *, CASE WHEN tokens > 0 THEN (part + ceil(total * 1e-11)::BIGINT) // greatest(tokens, 1) ELSE 1 END AS epochs FROM (SELECT *, floor(weight * total + 0.5)::BIGINT AS part FROM p) y) x
 ), dealt AS (
   SELECT d.*, plan.weight, plan.epochs, plan.rest, (('0x' || substr(md5('{SEED}:' || doc_id), 1, 15))::BIGINT) % n_blocks AS block
   FROM d JOIN plan USING (key)
