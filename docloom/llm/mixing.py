@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.llm.common import stored
+
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, SEED = 0.93, 4.0, 1 << 20, "mix"
 LEVELS, AT_ONCE = 40, 4
 
@@ -100,7 +102,7 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     key = F.concat_ws("", F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.col(source_col).cast("string"))
     tokens = word_count(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
     rows = df.select(F.struct("*").alias("row"), key.alias("key"), tokens.alias("n"), F.col(id_col).cast("string").alias("id"))
-    sums = rows.groupBy("key").agg(F.sum("n").alias("tokens"))
+    sums = stored(rows.groupBy("key").agg(F.sum("n").alias("tokens")), "source-tokens")  # read again by every halving
     full = sums.where("tokens > 0")
     total = full.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
@@ -137,7 +139,7 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    light = docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
+    light = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "word-counts")
     mixed = mixture(light, tokens=F.col("n_words"))
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.epoch", "mix.block", "mix.block_key", "mix.place_key", F.round("mix.weight", 9).alias("weight"))
 
