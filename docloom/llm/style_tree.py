@@ -31,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices
+from docloom.llm.common import slices, stored
 
 GAMMA, LOW, LOW_IN_ARTICLE, LEAN = 0.9, 0.4, 0.1, 8
-MAX_DEPTH, FLUSH = 24, 100_000
+MAX_DEPTH, FLUSH, SALTS = 24, 100_000, 32
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,9 +45,9 @@ SCOPE = {"li": "ul ol menu dir", "dd": "dl", "dt": "dl", "tr": "table", "td": "t
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head fieldset datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
-    "header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
-    "recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads adbox adslot adunit advert adverts advertisement advertising alert alerts announcement banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
+    "header login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices notification pager pagination popup promo promoted promotion "
+    "recommended related replies respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription subnav toolbar topbar topnav widget widgets".split()
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -70,7 +70,8 @@ class Node:
 
 def opened(parent: Node, depth: int, tag: str, raw: str) -> Node:
     given = attributes(raw)
-    words = [w for k in ("class", "id") for w in re.split(r"[\s_-]+", given.get(k, "").lower()) if w]
+    named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{given.get('class', '')} {given.get('id', '')}").lower()
+    words = [w.rstrip("0123456789") for w in re.split(r"[\s_:-]+", named) if w]
     inside = parent.article or tag in ("article", "main") or given.get("role") == "main"
     names = set(words) & NOISE_WORDS
     if parent.article:
@@ -206,7 +207,7 @@ def importances(rows: DataFrame) -> DataFrame:
 
 def unimportant_paths(pages: DataFrame) -> DataFrame:
     """(host, low): the paths of each host's style tree below the limits."""
-    rows = tree_rows(pages)
+    rows = stored(tree_rows(pages), "style-tree")
     per_host = importances(rows)
     every = importances(rows.groupBy("path", "style", "hash").agg(F.sum("n").alias("n")).withColumn("host", F.lit("")))
     joined = per_host.join(every.select("path", F.col("importance").alias("all")), "path")
@@ -239,7 +240,10 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """id, url, text and n_chars of every page."""
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     pages = with_host(pages, "url")
-    joined = pages.join(unimportant_paths(pages), "host", "left").select("id", "url", "html", "low")
+    # a stored list has a known size: a small one is broadcast, a large one meets salted hosts
+    low = stored(unimportant_paths(pages), "style-tree-low").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(low, ["host", "salt"], "left").select("id", "url", "html", "low")
     kind, url_kind = (joined.schema[c].dataType.simpleString() for c in ("id", "url"))
 
     def run(batches):
