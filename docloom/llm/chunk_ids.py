@@ -84,10 +84,10 @@ class Store:
 
 
 class ChunkEncoder:
-    """Encodes slices of texts; keeps at most about CACHE_CHUNKS chunks between slices."""
+    """Encodes slices of texts; keeps at most about `cache` chunks between slices."""
 
-    def __init__(self, path: str):
-        self.path, self.chunks, self.pieces = path, Store(), Store()
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+        self.path, self.cache, self.chunks, self.pieces = path, cache, Store(), Store()
 
     def _pieces(self, pieces: list[str]) -> None:
         fresh = list(dict.fromkeys(x for x in pieces if x not in self.pieces.known))
@@ -118,7 +118,7 @@ class ChunkEncoder:
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and len(texts) + 1 offsets."""
         codes, offsets, words = split_words(texts, ascii_only=True)
-        if len(self.chunks.known) + len(words) > CACHE_CHUNKS:
+        if len(self.chunks.known) + len(words) > self.cache:
             self.chunks, self.pieces = Store(), Store()
         chunks = words.to_pylist()
         self._learn([x for x in chunks if x not in self.chunks.known])

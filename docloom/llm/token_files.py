@@ -31,6 +31,10 @@ from docloom.llm.chunk_ids import ChunkEncoder
 from docloom.llm.common import checkpoint_dir, slices, text_array, tokenizer_path
 
 
+#: Sorting whole texts takes memory beside the encoder's, so that it keeps fewer chunks here.
+SORTING_CACHE = 400_000
+
+
 def storage(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -76,7 +80,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "
     ordered = rows.repartitionByRange(n_shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches):
-        encoder, shard, sizes, names, total = ChunkEncoder(vocabulary), TaskContext.get().partitionId(), [], [], 0
+        encoder, shard, sizes, names, total = ChunkEncoder(vocabulary, SORTING_CACHE), TaskContext.get().partitionId(), [], [], 0
         schema = []
 
         def flat():
