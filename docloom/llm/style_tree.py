@@ -10,8 +10,9 @@ hosts with few pages lean on the tree of all hosts.  Branches of low importance
 leave every page, together with branches whose tags, roles or class words name
 menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
-Trees merge by grouped counts of (host, path, hash); pages meet only their own
-host's list of unimportant paths.
+Trees merge by grouped counts of (host, path, hash) over distinct pages, as copies
+of a page tell nothing of its template; pages meet only their own host's list of
+unimportant paths.
 
 Defined results: null html and pages without main text give an empty text; a
 null url is a host of its own; repeated rows give repeated results; unclosed and
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -158,29 +158,41 @@ def hashed(value: str) -> int:
 
 
 def tree_rows(pages: DataFrame) -> DataFrame:
-    """(host, html) to (host, path, style, hash, n): pages that show a child sequence or text block."""
+    """(host, html) to (host, path, style, hash, page): what each distinct page of a host shows, child sequences and text blocks."""
 
     def run(batches):
-        counts: Counter = Counter()
+        seen: set = set()
+        found: dict = {}
 
         def rows():
-            keys = list(counts)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], ["host", "path", "style", "hash", "n"])
-            counts.clear()
+            keys = list(found)
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)], ["host", "path", "style", "hash", "page"])
+            seen.clear()
+            found.clear()
             return out
 
         for batch in batches:
             for part in slices(batch, "html"):
                 for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    seen = {(node.path, text is None, hashed(" ".join(node.children) if text is None else text)) for node, text in blocks(page or "") if not node.noise}
-                    counts.update((host, *x) for x in seen)
-                    if len(counts) > FLUSH:
+                    digest = hashed(page or "")
+                    if (host, digest) in seen:  # copies show nothing new
+                        continue
+                    seen.add((host, digest))
+                    for node, text in blocks(page or ""):
+                        if not node.noise:
+                            found[host, node.path, text is None, hashed(" ".join(node.children) if text is None else text), digest] = None
+                    if len(found) > FLUSH:
                         yield rows()
         yield rows()
 
-    kinds = "host string, path string, style boolean, hash long, n long"
-    return pages.select("host", "html").mapInArrow(run, kinds).groupBy("host", "path", "style", "hash").agg(F.sum("n").alias("n"))
+    kinds = "host string, path string, style boolean, hash long, page long"
+    return pages.select("host", "html").mapInArrow(run, kinds)
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Distinct pages that show each child sequence or text block, by `keys`."""
+    return rows.groupBy(*keys, "path", "style", "hash").agg(F.count_distinct("page").alias("n"))
 
 
 def importances(rows: DataFrame) -> DataFrame:
@@ -208,8 +220,8 @@ def importances(rows: DataFrame) -> DataFrame:
 def unimportant_paths(pages: DataFrame) -> DataFrame:
     """(host, low): the paths of each host's style tree below the limits."""
     rows = stored(tree_rows(pages), "style-tree")
-    per_host = importances(rows)
-    every = importances(rows.groupBy("path", "style", "hash").agg(F.sum("n").alias("n")).withColumn("host", F.lit("")))
+    per_host = importances(counted(rows, "host"))
+    every = importances(counted(rows).withColumn("host", F.lit("")))
     joined = per_host.join(every.select("path", F.col("importance").alias("all")), "path")
     mixed = (F.col("pages") * F.col("importance") + LEAN * F.col("all")) / (F.col("pages") + LEAN)
     inside = F.col("path").rlike(r"/(article|main)\b")

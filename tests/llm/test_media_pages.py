@@ -101,3 +101,15 @@ def test_importance_against_the_formula(spark):
 
 def test_no_pages(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_copies_are_no_template(spark, prose):
+    page = lambda k: f"<html><body><div class='x'><p>{prose(20, k)}</p></div><div class='y'>same on all</div></body></html>"
+    rows = [(k, "http://copies.example/", page(0)) for k in range(300)] + [(1000 + k, "http://copies.example/", page(k)) for k in range(1, 12)]
+    rows += [(2000 + k, f"http://mirror{k}.example/", page(500)) for k in range(100)]
+    out = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    for k in (*range(300), *range(1001, 1012)):
+        assert out[k] == prose(20, k - 1000 if k > 1000 else 0)
+    for k in range(2000, 2100):
+        assert prose(20, 500) in out[k]
