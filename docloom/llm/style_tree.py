@@ -6,9 +6,11 @@ the base of its number of pages, of the child sequences it shows; its content
 importance is one minus the mean entropy of the text blocks below it, where a
 block that stands on n of m pages has entropy log n / log m.  Both mix as
 (1 - GAMMA**l) * presentation + GAMMA**l * content with l child sequences, and
-hosts with few pages lean on the tree of all hosts.  Branches of low importance
-leave every page, together with branches whose tags, roles or class words name
-menus, headers, footers, sidebars, notices, adverts, forms or comments.
+hosts with few pages lean on the tree of all hosts.  The mixture shrinks as a host
+grows, so a branch leaves every page only where importance and content importance
+are low in its node and in all nodes below.  Branches leave as well whose tags,
+roles or class words name menus, headers, footers, sidebars, notices, adverts,
+forms or comments.
 
 Trees merge by grouped counts of (host, path, hash) over distinct pages, as copies
 of a page tell nothing of its template; pages meet only their own host's list of
@@ -214,7 +216,20 @@ def importances(rows: DataFrame) -> DataFrame:
     presentation = F.when(F.col("m") > 1, (log("m") - F.col("style_log") / F.col("m")) / base).otherwise(1.0)
     content = F.when(F.col("m") > 1, F.coalesce(1 - F.try_divide(F.col("text_log"), F.col("texts")) / base, F.lit(0.0))).otherwise(1.0)
     keep = F.pow(F.lit(GAMMA), F.greatest("styles", F.lit(1)))
-    return sums.select("host", "path", F.col("m").alias("pages"), ((1 - keep) * F.least(presentation, content) + keep * content).alias("importance"))
+    return sums.select("host", "path", F.col("m").alias("pages"), ((1 - keep) * F.least(presentation, content) + keep * content).alias("importance"), content.alias("content"))
+
+
+def low_branches(per_host: DataFrame, every: DataFrame) -> DataFrame:
+    """(host, path): nodes below the limits in importance and content, with all nodes below them."""
+    joined = per_host.join(every.select("path", F.col("importance").alias("all"), F.col("content").alias("all_content")), "path")
+    lean = lambda own, other: (F.col("pages") * F.col(own) + LEAN * F.col(other)) / (F.col("pages") + LEAN)
+    limit = F.when(F.col("path").rlike(r"/(article|main)\b"), LOW_IN_ARTICLE).otherwise(LOW)
+    # importance never exceeds content: content decides, whatever the number of pages
+    low = (lean("importance", "all") < limit) & (lean("content", "all_content") < limit)
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    branches = joined.select("host", low.alias("low"), F.explode(above).alias("path")).groupBy("host", "path").agg(F.bool_and("low").alias("low"))
+    return branches.where("low AND path != ''").select("host", "path")
 
 
 def unimportant_paths(pages: DataFrame) -> DataFrame:
@@ -222,11 +237,7 @@ def unimportant_paths(pages: DataFrame) -> DataFrame:
     rows = stored(tree_rows(pages), "style-tree")
     per_host = importances(counted(rows, "host"))
     every = importances(counted(rows).withColumn("host", F.lit("")))
-    joined = per_host.join(every.select("path", F.col("importance").alias("all")), "path")
-    mixed = (F.col("pages") * F.col("importance") + LEAN * F.col("all")) / (F.col("pages") + LEAN)
-    inside = F.col("path").rlike(r"/(article|main)\b")
-    low = joined.where(mixed < F.when(inside, LOW_IN_ARTICLE).otherwise(LOW)).where("path != ''")
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    return low_branches(per_host, every).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
 
 
 def main_text(page: str, low: frozenset[str]) -> str:

@@ -113,3 +113,23 @@ def test_copies_are_no_template(spark, prose):
         assert out[k] == prose(20, k - 1000 if k > 1000 else 0)
     for k in range(2000, 2100):
         assert prose(20, 500) in out[k]
+
+
+@pytest.mark.parametrize("m", [100, 100_000])
+def test_one_layout_on_small_and_large_hosts(spark, m):
+    from pyspark.sql import functions as F
+
+    def rows(path, style, hashes, n):
+        return spark.range(hashes).select(F.lit("h").alias("host"), F.lit(path).alias("path"), F.lit(style).alias("style"), F.col("id").alias("hash"), F.lit(n).cast("long").alias("n"))
+
+    body, content, menu = "/html/body", "/html/body/div.content", "/html/body/div.m"
+    tree = rows(body, True, 20, m // 20).union(rows(content, True, 20, m // 20)).union(rows(content, False, m, 1)).union(rows(menu, True, 1, m)).union(rows(menu, False, 1, m))
+    found = H.importances(tree)
+    assert {r["path"] for r in H.low_branches(found, found).collect()} == {menu}
+
+
+def test_a_low_node_with_a_high_one_below_stays(spark):
+    node = lambda path, value: ("h", path, 1000, value, value)
+    nodes = [node("", 0.5), node("/html", 0.3), node("/html/div", 0.2), node("/html/div/article", 0.9), node("/html/p", 0.1)]
+    found = spark.createDataFrame(nodes, "host string, path string, pages long, importance double, content double")
+    assert {r["path"] for r in H.low_branches(found, found).collect()} == {"/html/p"}
