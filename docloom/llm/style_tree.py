@@ -8,9 +8,12 @@ block that stands on n of m pages has entropy log n / log m.  Both mix as
 (1 - GAMMA**l) * presentation + GAMMA**l * content with l child sequences, and
 hosts with few pages lean on the tree of all hosts.  The mixture shrinks as a host
 grows, so a branch leaves every page only where importance and content importance
-are low in its node and in all nodes below.  Branches leave as well whose tags,
-roles or class words name menus, headers, footers, sidebars, notices, adverts,
-forms or comments.
+are low in its node and in all nodes below.  Branches leave as well whose tags or
+roles name menus, headers, footers, asides or forms, and hidden ones.  A class or id
+with a word for a menu, sidebar, notice, advert, comments and the like lowers both
+importances to WORD of their values: outside an article that is below the limit,
+inside it the entropy still decides.  Words do not count for a block that holds an
+article, main or h1 or more than half of the page's text.
 
 Trees merge by grouped counts of (host, path, hash) over distinct pages, as copies
 of a page tell nothing of its template; pages meet only their own host's list of
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import slices, stored
 
-GAMMA, LOW, LOW_IN_ARTICLE, LEAN = 0.9, 0.4, 0.1, 8
+GAMMA, LOW, LOW_IN_ARTICLE, LEAN, WORD = 0.9, 0.4, 0.1, 8, 0.35
 MAX_DEPTH, FLUSH, SALTS = 24, 100_000, 32
 
 #: Element kinds of HTML.
@@ -54,6 +57,8 @@ NOISE_WORDS = frozenset(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Behind a step whose class or id has a noise word; no class contains a space.
+MARK = " ~"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -62,12 +67,13 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 class Node:
-    """An open block element: its path, and whether it or an ancestor is noise."""
+    """An open block element: whether it or an ancestor is noise, its noise words, and what placed() finds."""
 
-    __slots__ = ("tag", "path", "noise", "article", "children")
+    __slots__ = ("tag", "parent", "label", "noise", "article", "children", "word", "holds", "size", "path")
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool):
-        self.tag, self.path, self.noise, self.article, self.children = tag, path, noise, article, []
+    def __init__(self, tag: str, parent: Node | None, label: str, noise: bool, article: bool, word: bool = False):
+        self.tag, self.parent, self.label, self.noise, self.article, self.word = tag, parent, label, noise, article, word
+        self.children, self.holds, self.size, self.path = [], False, 0, ""
 
 
 def opened(parent: Node, depth: int, tag: str, raw: str) -> Node:
@@ -79,19 +85,40 @@ def opened(parent: Node, depth: int, tag: str, raw: str) -> Node:
     if parent.article:
         names.discard("header")
     noise = parent.noise
+    word = bool(names) if tag not in ("html", "body", "main", "article") else tag == "article" and bool(names & {"comment", "comments", "reply", "replies"})
     if tag not in ("html", "body", "main", "article"):
-        noise = noise or tag in NOISE_TAGS or (tag == "header" and not parent.article) or bool(names) or given.get("role", "").lower() in NOISE_ROLES
-    elif tag == "article":
-        noise = noise or bool(names & {"comment", "comments", "reply", "replies"})
+        noise = noise or tag in NOISE_TAGS or (tag == "header" and not parent.article) or given.get("role", "").lower() in NOISE_ROLES
     noise = noise or "hidden" in given or given.get("aria-hidden", "") == "true" or bool(HIDDEN.search(given.get("style", "")))
     label = tag + "".join(f".{c}" for c in sorted(given.get("class", "").split())[:3])
-    path = parent.path if depth > MAX_DEPTH else f"{parent.path}/{label}"
-    return Node(tag, path, noise, inside)
+    return Node(tag, parent, "" if depth > MAX_DEPTH else label, noise, inside, word)
 
 
-def blocks(page: str):
-    """Yields (node, text) in page order, and nodes as (node, None) when they close."""
-    stack = [Node("", "", False, False)]
+def placed(found: list[tuple[Node, str | None]]) -> list[tuple[Node, str | None]]:
+    """Sets the paths of a page's nodes.  A step is marked where a noise word counts: the
+    block holds no article, main or h1 and at most half of the page's text."""
+    total = sum(len(text) for node, text in found if text and not node.noise)
+    for node, text in found:
+        if text is not None:
+            node.size += 0 if node.noise else len(text)
+            continue
+        node.word = node.word and not node.holds and 2 * node.size <= total
+        if node.parent is not None and not node.noise:
+            node.parent.holds |= node.holds or node.tag in ("main", "h1") or (node.tag == "article" and not node.word)
+            node.parent.size += node.size
+    # nodes close from below: their paths follow from above
+    for node, text in reversed(found):
+        if text is None and node.parent is not None:
+            node.path = node.parent.path + (f"/{node.label}{MARK if node.word else ''}" if node.label else "")
+    return found
+
+
+def blocks(page: str) -> list[tuple[Node, str | None]]:
+    """(node, text) in page order, and nodes as (node, None) where they close."""
+    return placed(list(walked(page)))
+
+
+def walked(page: str):
+    stack = [Node("", None, "", False, False)]
     text: list[str] = []
 
     def flush():
@@ -223,9 +250,10 @@ def low_branches(per_host: DataFrame, every: DataFrame) -> DataFrame:
     """(host, path): nodes below the limits in importance and content, with all nodes below them."""
     joined = per_host.join(every.select("path", F.col("importance").alias("all"), F.col("content").alias("all_content")), "path")
     lean = lambda own, other: (F.col("pages") * F.col(own) + LEAN * F.col(other)) / (F.col("pages") + LEAN)
-    limit = F.when(F.col("path").rlike(r"/(article|main)\b"), LOW_IN_ARTICLE).otherwise(LOW)
+    limit = F.when(F.col("path").rlike(rf"/(article|main)\b(?![^/]*{MARK})"), LOW_IN_ARTICLE).otherwise(LOW)
+    by_word = F.when(F.col("path").contains(MARK), WORD).otherwise(1.0)
     # importance never exceeds content: content decides, whatever the number of pages
-    low = (lean("importance", "all") < limit) & (lean("content", "all_content") < limit)
+    low = (by_word * lean("importance", "all") < limit) & (by_word * lean("content", "all_content") < limit)
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     branches = joined.select("host", low.alias("low"), F.explode(above).alias("path")).groupBy("host", "path").agg(F.bool_and("low").alias("low"))

@@ -133,3 +133,16 @@ def test_a_low_node_with_a_high_one_below_stays(spark):
     nodes = [node("", 0.5), node("/html", 0.3), node("/html/div", 0.2), node("/html/div/article", 0.9), node("/html/p", 0.1)]
     found = spark.createDataFrame(nodes, "host string, path string, pages long, importance double, content double")
     assert {r["path"] for r in H.low_branches(found, found).collect()} == {"/html/p"}
+
+
+def test_words_alone_do_not_drop_articles(spark, prose):
+    wraps = ["<div id='content-sidebar-wrap'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<div class='page with-header'>{}</div>", "<main class='social'>{}</main>"]
+    inner = ["<article class='post comments-open'><p>{a}</p></article>", "<article><p>{a}</p><div class='social-history'>{b}</div></article>", "<h1>{a}</h1><p>{b}</p>", "<p>{a}</p><p>{b}</p>"]
+    side = "<div class='ad'>{}</div><div class='sidebar'><p>{}</p></div><section id='comments'><article class='comment'><p>{}</p></article></section>"
+    rows = []
+    for k in range(64):
+        a, b = prose(60, k), prose(12, 100 + k)
+        page = wraps[k % 4].format(inner[k // 4 % 4].format(a=a, b=b)) + side.format(prose(5, 200 + k), "same links", prose(5, 300 + k))
+        rows.append((k, "http://w.example/", f"<html><body>{page}</body></html>", a if k // 4 % 4 == 0 else f"{a} {b}"))
+    found = H.extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {r[0]: r[3] for r in rows}
