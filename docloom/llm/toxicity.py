@@ -9,8 +9,8 @@ these labels by gradient descent with exact forward-backward expectations, and
 forward-backward marginals aggregate to a document score by a small logistic
 model over the strongest word, the expected number of toxic words and their share.
 
-Fitting takes a sample of about MAX_TOXIC and MAX_CLEAN labelled documents,
-without near copies of each other, on the driver.  The model (2**17 weights) is
+Fitting takes the whole texts of a sample of about MAX_TOXIC and MAX_CLEAN labelled
+documents, without near copies of each other, on the driver.  The model (2**17 weights) is
 broadcast; scoring is one pass over slices of texts.
 
 Defined results: null and empty texts get the score of a text without toxic
@@ -37,8 +37,8 @@ from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_w
 BUCKETS, PREFIXES, SUFFIXES = 1 << 17, (3, 4, 5, 6, 7, 8), (3, 4)
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 ROUNDS, RATE, DECAY = 60, 0.25, 1e-4
-LEAST_EVIDENCE, NEAR, LEAD = 1.8, 10, 64
-SEGMENT = 64
+LEAST_EVIDENCE = 1.8
+SEGMENT, FIELD_TOKENS = 64, 1 << 17
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…–—"
 
 
@@ -197,8 +197,6 @@ def token_labels(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, t
 
 def fit_field(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Gradient ascent (Adam) on the conditional likelihood of the tokens' labels."""
-    used, codes = np.unique(codes, return_inverse=True)
-    features = features[used]
     n_features = BUCKETS + 5  # weights, bias, transitions
     theta, m, v = np.zeros(n_features), np.zeros(n_features), np.zeros(n_features)
     theta[BUCKETS] = -4.0
@@ -208,10 +206,17 @@ def fit_field(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, labe
     previous = np.where(begins, 0, np.concatenate([[0], y[:-1]]))
     observed = np.bincount(previous * 2 + y, minlength=4).astype(np.float64)
     flat = features.ravel()
+    # whole texts in runs of about FIELD_TOKENS words, whose gradients add up
+    runs = np.flatnonzero(np.diff(offsets[:-1] // FIELD_TOKENS, prepend=-1))
+    runs = list(zip(runs, [*runs[1:], len(offsets) - 1], strict=True))
     for k in range(1, ROUNDS + 1):
         each = theta[features].sum(1) + theta[BUCKETS]
-        marginal, expected = forward_backward(each[codes], offsets, theta[BUCKETS + 1 :].reshape(2, 2))
-        by_word = np.bincount(codes, weights=y - marginal, minlength=len(used))
+        by_word, expected = np.zeros(len(features)), np.zeros((2, 2))
+        for a, b in runs:
+            part = slice(offsets[a], offsets[b])
+            marginal, some = forward_backward(each[codes[part]], offsets[a : b + 1] - offsets[a], theta[BUCKETS + 1 :].reshape(2, 2))
+            by_word += np.bincount(codes[part], weights=y[part] - marginal, minlength=len(features))
+            expected += some
         slope = np.empty(n_features)
         slope[:BUCKETS] = np.bincount(flat, weights=np.repeat(by_word, features.shape[1]), minlength=BUCKETS)
         slope[0] = 0.0
@@ -244,18 +249,10 @@ def train(texts: pa.StringArray, toxic: np.ndarray, share: float) -> ToxicityMod
         return constant_model(share)
     codes, offsets, words = split_words(texts)
     features = word_features(words)
-    label, evidence = token_labels(codes, offsets, features, toxic)
-    # what the field learns from: the lead of each text and the surroundings of suspicious words
-    near = np.convolve(evidence[codes] >= LEAST_EVIDENCE - 1, np.ones(2 * NEAR + 1), "same") > 0 if len(codes) else np.zeros(0, bool)
-    place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
-    chosen = near | (place < LEAD)
-    doc = np.repeat(np.arange(len(toxic)), np.diff(offsets))
-    at = np.flatnonzero(chosen)
-    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) > 0)) + 1
-    parts = np.concatenate([[0], cut, [len(at)]])
-    weights, bias, transition = fit_field(codes[at], parts, features, label[at])
+    label, _ = token_labels(codes, offsets, features, toxic)
+    weights, bias, transition = fit_field(codes, offsets, features, label)
     model = ToxicityModel(weights, bias, transition, np.zeros(4))
-    del codes, features, label, evidence, near, place, chosen, doc, at
+    del codes, features, label
     x = np.concatenate([document_features(*model.marginals(part)) for part in text_slices(texts)])
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     model.logistic = fit_logistic(x, toxic.astype(np.float64), weight)

@@ -166,3 +166,21 @@ def test_ordered_verdict(spark):
     rules = [[Q.Condition("a", True, 1.0)], [Q.Condition("a", False, 5.0), Q.Condition("a", True, 9.0)]]
     kept = [r["k"] for r in spark.range(12).select(F.col("id").cast("double").alias("a")).select("a", Q.verdict(rules, of).alias("k")).orderBy("a").collect()]
     assert kept == [not (a <= 1 or 5 < a <= 9) for a in range(12)]
+
+
+def test_the_field_is_fitted_on_whole_texts(monkeypatch, prose):
+    bad = "vexulon gromitar"
+    texts = [f"{prose(300, k)} {bad} {prose(200, 1000 + k)}" if k < 20 else prose(500, k) for k in range(60)]
+    toxic = np.arange(60) < 20
+    given, fit = {}, X.fit_field
+
+    def fit_field(codes, offsets, features, label):
+        given.update(codes=codes, offsets=offsets, features=features, label=label)
+        return fit(codes, offsets, features, label)
+
+    monkeypatch.setattr(X, "fit_field", fit_field)
+    monkeypatch.setattr(X, "FIELD_TOKENS", 4000)
+    model = X.train(pa.array(texts), toxic, 0.3)
+    assert len(given["codes"]) == sum(len(t.split()) for t in texts)
+    monkeypatch.setattr(X, "FIELD_TOKENS", 1 << 40)
+    assert np.allclose(fit(**given)[0], model.weights, atol=1e-3)
