@@ -39,10 +39,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; rows without id and groups stay."""
-    links = jaccard_links(docs)
-    others = links.where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each group, the one with the least key; rows of groups of one stay.
+
+    The key is the id and a hash of the text, so that rows that repeat an id or
+    have none are told apart; a null id comes last.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    keyed = docs.withColumn("corpus_pipeline_key", key)
+    links = jaccard_links(keyed.select("corpus_pipeline_key", "text"), id_col="corpus_pipeline_key")
+    others = links.where("corpus_pipeline_key != class_id").select("corpus_pipeline_key").distinct()
+    kept = keyed.join(others, "corpus_pipeline_key", "left_anti").dropDuplicates(["corpus_pipeline_key"])
+    return kept.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

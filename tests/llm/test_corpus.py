@@ -162,3 +162,15 @@ def brute_representatives(df):
     rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
     classes = brute_links(rows)
     return {k for k, (root, *_) in classes.items() if k == root}
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark, prose):
+    import corpus_pipeline as P
+
+    a, b, c, d, e = (prose(200, 900 + k) for k in range(5))
+    near = lambda text: text + " close"
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, near(c)), (None, d), (None, near(d)), (4, near(d)), (None, e), (5, "x"), (5, "x")]
+    found = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(found) == 6
+    assert {(1, a), (2, b), (4, near(d)), (None, e), (5, "x")} < set(found)
+    assert sum(k == 3 for k, _ in found) == 1
