@@ -3,9 +3,9 @@
 A word, lower-cased and between boundary marks, gives its character n-grams of 1
 to 4 characters, hashed into BUCKETS.  Counts per language come from a sample of
 about ROWS_PER_LANGUAGE documents of each language; the matrix of log
-probabilities (languages x BUCKETS floats, MAX_LANGUAGES at most) is broadcast.
+probabilities (languages x BUCKETS floats, every language) is broadcast.
 A slice of texts is scored through its distinct words: one sparse sum of matrix
-rows a word, then one sum of word vectors a text.
+rows a word, then one sum of word vectors a text, for LANGUAGE_BLOCK languages at a time.
 
 Defined results: `und` with score 0 where a text is null or has no letter, or
 where nothing was learned; equal scores go to the language that sorts first; a
@@ -25,7 +25,7 @@ from docloom.llm.bayes_join import mixed
 from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, text_array, unit_hash
 
 BUCKETS, LONGEST = 1 << 15, 4
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, SMOOTHING = 3000, 512, 0.5
+ROWS_PER_LANGUAGE, LANGUAGE_BLOCK, SMOOTHING = 3000, 512, 0.5
 UNKNOWN = "und"
 
 
@@ -89,8 +89,8 @@ class LanguageModel:
             return [UNKNOWN] * n, np.zeros(n)
         codes, offsets, words = split_words(texts)
         grams, at = word_ngrams(words)
-        vectors = segment_sum(self.weights[grams], at)
-        per_text = segment_sum(vectors[codes], offsets)
+        blocks = [self.weights[:, k : k + LANGUAGE_BLOCK] for k in range(0, len(self.languages), LANGUAGE_BLOCK)]
+        per_text = np.concatenate([segment_sum(segment_sum(w[grams], at)[codes], offsets) for w in blocks], 1)
         best = per_text.argmax(1)
         # the winner's share, with the evidence scaled to a mean n-gram so that long texts differ
         sizes = segment_sum(np.diff(at)[codes], offsets)
@@ -104,7 +104,7 @@ class LanguageModel:
 def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Counts n-grams of about rows_per_language documents of each language, chosen by the id's hash."""
     known = df.where(F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["count"])))])

@@ -184,3 +184,11 @@ def test_the_field_is_fitted_on_whole_texts(monkeypatch, prose):
     assert len(given["codes"]) == sum(len(t.split()) for t in texts)
     monkeypatch.setattr(X, "FIELD_TOKENS", 1 << 40)
     assert np.allclose(fit(**given)[0], model.weights, atol=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    n = 520
+    rows = [(k, chr(0x4E00 + k) * 5, f"l{k:03}") for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = L.identify_languages(df, L.fit_language_model(df)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {k: lang for k, _, lang in rows}
