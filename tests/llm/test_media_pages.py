@@ -89,14 +89,121 @@ def test_main_text(spark, prose):
     assert (text[100], text[101], text[102]) == ("", "", "only one")
 
 
-def test_importance_against_the_formula(spark):
+def plain_low(rows):
+    """The style tree by its definition, one page at a time: the unimportant (host, node)."""
     import math
+    from collections import Counter, defaultdict
+    from urllib.parse import urlparse
+
+    stats = defaultdict(lambda: {"words": Counter(), "styles": Counter(), "m": 0, "s": 0.0, "k": 0.0, "l": 0.0, "parent": 0, "prior": 0.0})
+    for host, page in dict.fromkeys((urlparse(u).netloc, p) for _, u, p in rows):
+        nodes, found = H.blocks(page)
+        own, chars, linked = defaultdict(list), Counter(), Counter()
+        for node, text, n in found:
+            own[node.key] += text.split()
+            chars[node.key] += len(text)
+            linked[node.key] += n
+        for node in nodes:
+            if not node.hidden:
+                at = stats[host, node.key]
+                at["styles"][H.style_of(node)] += 1
+                at["parent"], at["prior"] = node.parent.key if node.parent else 0, node.prior()
+        for key, words in own.items():
+            at, others = stats[host, key], {w for k, ws in own.items() if k != key for w in ws}
+            at["words"].update(set(words))
+            at["m"] += 1
+            at["s"] += len(words) / sum(map(len, own.values()))
+            at["k"] += len(set(words) & others) / len(set(words))
+            at["l"] += min(1, linked[key] / chars[key])
+    for at in stats.values():
+        n, m = sum(at["styles"].values()), at["m"]
+        at["P"] = max(0, -sum(x / n * math.log(x / n) for x in at["styles"].values()) / math.log(H.STYLES))
+        if m:
+            c = 1 - sum(math.log(x) for x in at["words"].values()) / len(at["words"]) / math.log(m) if m > 1 else 1.0
+            at["I"] = c * (1 - at["l"] / m) * math.sqrt(1 - (1 - at["s"] / m) * (1 - at["k"] / m))
+    low = set()
+    for (host, key), at in stats.items():
+        if at["m"]:
+            same = [x for (_, k), x in stats.items() if k == key and x["m"]]
+            mean = lambda c: sum(x["m"] * x[c] for x in same) / sum(x["m"] for x in same)
+            lean = lambda c: (at["m"] * at[c] + H.LEAN * mean(c)) / (at["m"] + H.LEAN)
+            p = min(0.99, max(0.01, lean("I")))
+            shown = min(1, max(lean("P"), stats[host, at["parent"]]["P"] if (host, at["parent"]) in stats else 0))
+            if math.log(p / (1 - p)) + H.PRESENTED * (shown - 0.25) + at["prior"] < math.log(H.LOW / (1 - H.LOW)):
+                low.add((host, key))
+    return low
+
+
+def site_pages(prose, n, hosts=3):
+    """Pages with menus, adverts, footers and prose, none of them named."""
+    vocabulary = prose(60, 9000).split()
+    some = lambda k, r: " ".join(random.Random(r).sample(vocabulary, k))
+    page = "<html><body><div><ul>{m}</ul></div><div class=q1>{ad}</div><section><h2>{t}</h2>{ps}<table><tr><td>{c}</td></tr></table></section><div class=q2>{f}</div></body></html>"
+    rows = []
+    for k in range(n):
+        ps = "".join(f"<p>{prose(30 + 7 * (k % 5), 50 * k + j)} w{k}x{j}</p>" for j in range(1 + k % 4))
+        menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in some(5, k).split())
+        rows.append((k, f"http://h{k % hosts}.example/{k}", page.format(m=menu, ad=some(4, 100 + k), t=prose(40, 50 * k)[:40], ps=ps, c=f"cell{k} {prose(12, 50 * k)}", f="all rights " + some(4, 200 + k))))
+    return rows
+
+
+def test_the_tree_against_its_definition(spark, prose):
+    rows = site_pages(prose, 40)
+    df = spark.createDataFrame([*rows, *rows[:5]], "page_id long, url string, html string")
+    low = plain_low(rows)
+    sites = {r["url"]: r["site"] for r in H.with_site(df, "url").collect()}
+    expected = {k: H.main_text(page, {key for host, key in low if f"http://{host}/" in url}) for k, url, page in rows}
+    site_of = {url.split("/")[2]: sites[url] for _, url, _ in rows}
+    found = {(r["site"], r["node"] % (1 << 64)) for r in H.unimportant_nodes(H.with_site(df, "url")).collect()}
+    assert found == {(site_of[host], key) for host, key in low}
+    out = H.extract_main_text(df).collect()
+    assert len(out) == 45
+    assert all(r["text"] == expected[r["page_id"]] for r in out)
+
+
+def test_the_tree_decides(spark, prose):
+    """No block is named: menus, adverts and footers leave by the tree alone, and stay without it."""
+    rows = site_pages(prose, 400, 2)
+    out = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, page in rows:
+        body = page[page.index("<h2>") : page.index("</section>")]
+        assert out[k] == " ".join(__import__("re").sub("<[^>]*>", " ", body).split())
+        assert len(H.main_text(page, frozenset())) > len(out[k])
+
+
+def test_broadcast_and_stream_agree(spark, prose):
+    rows = [*site_pages(prose, 60), (100, None, None), (101, "http://b.example/", ""), (0, "http://h0.example/0", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = (sorted(tuple(r) for r in H.extract_main_text(df, broadcast_nodes=n).fillna("null", ["url"]).collect()) for n in (10**6, -1))
+    assert one == other and len(one) == len(rows)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<form id="aspnetForm"><article><p>the body of it</p></article></form>', "the body of it"),
+    ("<article><section id='discussion'><p>what we found</p></section></article>", "what we found"),
+    ("<article><div class='related-work'><p>others found</p></div></article>", "others found"),
+    ("<object><p>fallback", "fallback"), ("<noscript><p>a</noscript><p>b", "b"), ("<p>a < b <3 c", "a < b <3 c"), ("<p title='>'>x</p>", "x"), ("a<!-- <p>b", "a"),
+    ("<p>1<p hidden>2<p style='display: none'>3<p>4", "1 4"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a b c"), ("<p>&lt;b&gt; &amp;amp;&nbsp;z", "<b> &amp; z"), ("x</p></div>y", "x y"),
+])
+def test_blocks(page, text):
+    assert H.main_text(page, frozenset()) == text
+
 
-    rows = [("h", "/a", True, 1, 10), ("h", "/a", False, 2, 10), ("h", "/b", True, 1, 5), ("h", "/b", True, 9, 5), *[("h", "/b", False, k, 1) for k in range(10)]]
-    found = {r["path"]: r["importance"] for r in H.importances(spark.createDataFrame(rows, "host string, path string, style boolean, hash long, n long")).collect()}
-    assert found["/a"] == pytest.approx(0.0, abs=1e-12)
-    presentation = -2 * 0.5 * math.log(0.5, 10)
-    assert found["/b"] == pytest.approx((1 - 0.9**2) * min(presentation, 1.0) + 0.9**2)
+@pytest.mark.parametrize("page", [
+    '<a "' * 250_000, '<p x="' * 170_000, "<div>" * 100_000 + "</p>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, '<a x=">" ' * 100_000, "<!" * 300_000, "<!-- " * 200_000,
+    "<" * 500_000, "</" * 300_000, "<a '\"'" * 100_000, "<select>" * 100_000 + "x", "&" * 300_000, "<p>" * 100_000 + "<b>" * 100_000, "<td>" * 60_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    begin = time.time()
+    H.main_text(page, frozenset())
+    assert time.time() - begin < 10
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + "<p>bottom of it" + "</div>" * 5000
+    assert [r["text"] for r in H.extract_main_text(spark.createDataFrame([(1, "u", deep)], "page_id long, url string, html string")).collect()] == ["bottom of it"]
 
 
 def test_no_pages(spark):
@@ -117,22 +224,14 @@ def test_copies_are_no_template(spark, prose):
 
 @pytest.mark.parametrize("m", [100, 100_000])
 def test_one_layout_on_small_and_large_hosts(spark, m):
-    from pyspark.sql import functions as F
-
-    def rows(path, style, hashes, n):
-        return spark.range(hashes).select(F.lit("h").alias("host"), F.lit(path).alias("path"), F.lit(style).alias("style"), F.col("id").alias("hash"), F.lit(n).cast("long").alias("n"))
-
-    body, content, menu = "/html/body", "/html/body/div.content", "/html/body/div.m"
-    tree = rows(body, True, 20, m // 20).union(rows(content, True, 20, m // 20)).union(rows(content, False, m, 1)).union(rows(menu, True, 1, m)).union(rows(menu, False, 1, m))
-    found = H.importances(tree)
-    assert {r["path"] for r in H.low_branches(found, found).collect()} == {menu}
-
+    import math
 
-def test_a_low_node_with_a_high_one_below_stays(spark):
-    node = lambda path, value: ("h", path, 1000, value, value)
-    nodes = [node("", 0.5), node("/html", 0.3), node("/html/div", 0.2), node("/html/div/article", 0.9), node("/html/p", 0.1)]
-    found = spark.createDataFrame(nodes, "host string, path string, pages long, importance double, content double")
-    assert {r["path"] for r in H.low_branches(found, found).collect()} == {"/html/p"}
+    names = [c.split()[0] for c in H.SUMS.split(", ")]
+    node = lambda key, share, words, each: dict(zip(names, (1, key, 0, 0.0, float(m), share * m, 0.1 * m, 0.0, words, words * math.log(each), m, m * math.log(m / 4)), strict=True))
+    # prose draws on ever new words, a menu on 300 and a notice on 10
+    rows = [node(1, 0.8, 30 * m, 2), node(2, 0.05, 300, max(1, 6 * m / 300)), node(3, 0.15, 10, m)]
+    sums = spark.createDataFrame(rows, H.SUMS)
+    assert {r["node"] for r in H.low_nodes(H.importances(sums)).collect()} == {2, 3}
 
 
 def test_words_alone_do_not_drop_articles(spark, prose):
