@@ -4,44 +4,50 @@ Documents are sets of five-word shingles; two documents are linked at a Jaccard
 similarity of 0.8 or more.
 
 1. Equal word sequences form one class, found by a 128-bit digest; the join runs
-   on classes and carries their numbers of copies.
+   on one row of each class and carries its number of copies.
 2. Bands of MinHash values propose candidates: 32 bands of 6 values find a pair
    at 0.8 with probability 0.99994 and one of higher similarity surely enough.
-   Buckets become stars around their least member, and connected components of
-   these stars confine the search: every candidate pair lies in one component.
-3. A component is cut into blocks of bounded numbers of documents and shingles,
-   and each pair of blocks is one task.  It takes the pairs that share a band,
-   compares their MinHash values 32 at a time and drops a pair as soon as the
-   posterior probability of reaching the threshold, under a uniform prior, is
-   below the tolerance; the rest is verified exactly on the shingle sets.
-4. A task returns one row per member: links counted with copies, and the least
-   member of its local cluster.  Pairs are never emitted, so a large group of
-   near copies costs rows in proportion to members times blocks.
+   The texts of a band's key are a bucket; of buckets with the same texts one is
+   compared, and a pair counts in the first compared bucket that both are in.
+3. A bucket over a size is cut into blocks of bounded numbers of documents and
+   shingles, and each pair of blocks is a group of its own.  Signatures alone meet
+   first: MinHash values are compared 32 at a time, and a pair is dropped as soon as
+   the posterior probability of reaching the threshold, under a uniform prior, is
+   below the tolerance.
+4. Shingle sets are made for texts with a surviving pair only and meet in the same
+   groups, where the surviving pairs are verified exactly.
+5. A group returns one row per linked member: links counted with copies, and the
+   least member of its local cluster.  Pairs are never emitted.  Groups are read in
+   one sorted stream, many small ones at a time.
 
 Defined results: a text of one to four words is one shingle of all its words; a
 document without words (null, empty, white space) links to nothing; copies link
-to each other; repeated ids are separate rows whose links both count; an empty
-table gives an empty result; further columns are ignored.
+to each other; rows are told apart by a number of their own, so that repeated and
+null ids are separate rows whose links all count; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_slices, split_words, stored, text_array
+from docloom.llm.common import forget, map_slices, ragged_gather, slices, split_words, stored, text_array
 from docloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE, STEP = 1e-5, 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+GROUP_ROWS, GROUP_BYTES, PAIRS = 4096, 32 << 20, 1 << 20
 SEED = 20_240_801
 
 _draw = np.random.default_rng(SEED)
@@ -138,35 +144,36 @@ def digests(h: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 
 def signed(df: DataFrame) -> DataFrame:
-    """(id, text) to (id, digest, n_words, bands)."""
-    kind = df.schema["id"].dataType.simpleString()
+    """(id, text, ...) with row (a number of its own), digest, n_words, signature and bands."""
+    names = df.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch):
+                h, offsets = word_hashes(text_array(part.column("text")))
+                signature = minhashes(*shingles(h, offsets))
+                keys = band_keys(signature)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                made = [pa.array(np.arange(row, row + len(keys))), pa.array(digests(h, offsets), pa.binary()), pa.array(np.diff(offsets)), pa.array([x.tobytes() for x in signature], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "row", "digest", "n_words", "signature", "bands"])
+                row += len(keys)
+
+    return df.mapInArrow(run, f"{kinds}, row long, digest binary, n_words long, signature binary, bands array<long>")
+
+
+def shingle_sets(df: DataFrame) -> DataFrame:
+    """(row, text, ...) to (row, ..., shingles): sorted distinct 64-bit hashes."""
+    names = [c for c in df.columns if c != "text"]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, offsets = word_hashes(text_array(batch.column("text")))
-        keys = band_keys(minhashes(*shingles(h, offsets)))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests(h, offsets), pa.binary()), pa.array(np.diff(offsets)), lists], ["id", "digest", "n_words", "bands"])
+        values, at = shingles(*word_hashes(text_array(batch.column("text"))))
+        sets = [np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return map_slices(df, run, f"id {kind}, digest binary, n_words long, bands array<long>")
-
-
-def shingled(df: DataFrame, passed: str) -> DataFrame:
-    """(id, text, digest, ...) to (digest, signature, shingles, ...): rows whose text has that digest."""
-    names = [c.split()[0] for c in passed.split(", ")]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, offsets = word_hashes(text_array(batch.column("text")))
-        own = digests(h, offsets)
-        values, at = shingles(h, offsets)
-        signature = minhashes(values, at)
-        keep = [k for k, (x, y) in enumerate(zip(own, batch.column("digest").to_pylist(), strict=True)) if x == y]
-        if not keep:
-            return None
-        sets = [np.unique(values[at[k] : at[k + 1]]).tobytes() for k in keep]
-        columns = [batch.column("digest").take(pa.array(keep)), pa.array([signature[k].tobytes() for k in keep], pa.binary()), pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(keep)) for c in names)], ["digest", "signature", "shingles", *names])
-
-    return map_slices(df, run, f"digest binary, signature binary, shingles binary, {passed}")
+    return map_slices(df, run, f"{kinds}, shingles binary")
 
 
 def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,16 +190,16 @@ def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else (i, j)
 
 
-def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs' sets, exactly: one by one where pairs
     are few, else as products of 0/1 matrices over the shingles that both sides have."""
-    if len(i) <= 2 * (len(sets_a) + len(sets_b)):
-        return np.array([len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
     used_a, used_b = np.unique(i), np.unique(j)
-    flat_a, flat_b = np.concatenate([sets_a[k] for k in used_a]), np.concatenate([sets_b[k] for k in used_b])
+    if len(i) <= 2 * (len(used_a) + len(used_b)):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    flat_a, flat_b = np.concatenate([sets[k] for k in used_a]), np.concatenate([sets[k] for k in used_b])
     common = np.intersect1d(flat_a, flat_b)
-    row_a = np.repeat(np.arange(len(used_a)), [len(sets_a[k]) for k in used_a])
-    row_b = np.repeat(np.arange(len(used_b)), [len(sets_b[k]) for k in used_b])
+    row_a = np.repeat(np.arange(len(used_a)), [len(sets[k]) for k in used_a])
+    row_b = np.repeat(np.arange(len(used_b)), [len(sets[k]) for k in used_b])
 
     def columns(flat, rows):
         at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
@@ -202,7 +209,7 @@ def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray,
 
     col_a, r_a = columns(flat_a, row_a)
     col_b, r_b = columns(flat_b, row_b)
-    total = np.zeros((len(used_a), len(used_b)), np.float64)
+    total = np.zeros((len(used_a), len(used_b)), np.float32)  # whole numbers up to 2**24 are exact
     for c in range(0, len(common), 2048):
         pieces = []
         for col, r, n in ((col_a, r_a, len(used_a)), (col_b, r_b, len(used_b))):
@@ -214,49 +221,171 @@ def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray,
     return total[np.searchsorted(used_a, i), np.searchsorted(used_b, j)].astype(np.int64)
 
 
-def linked_blocks(table: pa.Table, bi: int, bj: int, threshold: Fraction, survival: dict[int, int]) -> pa.Table | None:
-    """One pair of blocks: a row for each member with a link."""
-    block = table.column("block").to_numpy()
-    digest = table.column("digest").to_pylist()
-    copies = table.column("copies").to_numpy()
-    first = list(dict(zip(digest[::-1], range(len(digest) - 1, -1, -1), strict=True)).values())  # repeated rows count once
-    first.sort()
-    side = [np.array([k for k in first if block[k] == b], np.int64) for b in ((bi, bj) if bi != bj else (bi,))]
-    a, b = side[0], side[-1]
-    if not len(a) or not len(b):
-        return None
-    raw, held = table.column("signature").to_pylist(), table.column("shingles").to_pylist()
-    signature = {k: np.frombuffer(raw[k], np.uint32) for k in first}
-    sig_a, sig_b = (np.stack([signature[k] for k in s]) for s in (a, b))
-    keys_a, keys_b = band_keys(sig_a), band_keys(sig_b)
-    share = np.zeros((len(a), len(b)), bool)
-    for k in range(BANDS):
-        share |= keys_a[:, k, None] == keys_b[None, :, k]
-    if bi == bj:
-        share = np.triu(share, 1)
-    i, j = surviving(sig_a, sig_b, *np.nonzero(share), survival)
-    if not len(i):
-        return None
-    sets_a, sets_b = ([np.frombuffer(held[k], np.uint64) for k in s] for s in (a, b))
-    inter = overlaps(sets_a, sets_b, i, j)
-    union = np.array([len(x) for x in sets_a])[i] + np.array([len(x) for x in sets_b])[j] - inter
-    good = inter * threshold.denominator >= union * threshold.numerator
-    i, j = a[i[good]], b[j[good]]
-    if not len(i):
-        return None
-    links, texts = np.zeros(len(digest), np.int64), np.zeros(len(digest), np.int64)
-    np.add.at(links, i, copies[j])
-    np.add.at(links, j, copies[i])
-    np.add.at(texts, i, 1)
-    np.add.at(texts, j, 1)
-    label, before = np.arange(len(digest)), None
-    while before is None or (label != before).any():
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-    some = np.flatnonzero(texts)
-    return pa.table({"digest": pa.array([digest[k] for k in some], pa.binary()), "links": links[some], "texts": texts[some], "hub": pa.array([digest[k] for k in label[some]], pa.binary())})
+def pairs_within(starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of groups of neighbouring entries, about PAIRS at a time: each of a group's
+    first `left` entries with all behind it where the group is whole, else with those from `left` on."""
+    group = np.repeat(np.arange(len(sizes)), left)
+    place = np.arange(len(group)) - np.repeat(np.cumsum(left) - left, left)
+    first = starts[group] + place
+    begin = np.where(whole[group], first + 1, starts[group] + left[group])
+    count = starts[group] + sizes[group] - begin
+    total = np.cumsum(count)
+    at = 0
+    while at < len(first):
+        done = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        i = np.repeat(first[at:stop], count[at:stop])
+        yield i, ragged_gather(begin[at:stop], count[at:stop])
+        at = stop
+
+
+class Groups:
+    """Whole groups (key, bi, bj) of a sorted stream; in a group the entries of block bi come first."""
+
+    def __init__(self, table: pa.Table, survival: dict[int, int]):
+        self.table, self.survival = table, survival
+        column = lambda c: table.column(c).to_numpy()
+        at = np.stack([column(c) for c in ("key", "bi", "bj")])
+        self.starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0).any(0)])) if table.num_rows else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.append(self.starts, table.num_rows))
+        self.left = np.add.reduceat((column("block") == at[1]).astype(np.int64), self.starts) if table.num_rows else self.sizes
+        self.whole = at[1][self.starts] == at[2][self.starts]
+        raw = table.column("signature").combine_chunks()
+        self.signature = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        self.band, self.mask = column("band").astype(np.int64), column("mask")
+
+    def survivors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that the posterior keeps, each in the first bucket of both that is compared."""
+        keys = band_keys(self.signature)
+        bit = np.int64(1) << np.arange(BANDS)
+        for i, j in pairs_within(self.starts, self.sizes, self.left, self.whole):
+            i, j = surviving(self.signature, self.signature, i, j, self.survival)
+            same = (keys[i] == keys[j]) & ((self.mask[i, None] & bit) != 0)
+            own = same.argmax(1) == self.band[i]
+            yield i[own], j[own]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A stream sorted by (key, bi, bj) in runs of whole groups of about GROUP_ROWS rows or GROUP_BYTES."""
+    held: list[pa.RecordBatch] = []
+    rows, size, last = 0, 0.0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(c).to_numpy() for c in ("key", "bi", "bj")])
+        new = np.concatenate([[last is not None and (at[:, 0] != last).any()], (np.diff(at) != 0).any(0)])
+        last, width, begin = at[:, -1], batch.nbytes / batch.num_rows, 0
+        for cut in np.flatnonzero(new).tolist():  # a group begins here
+            if rows + cut - begin >= GROUP_ROWS or size + (cut - begin) * width >= GROUP_BYTES:
+                if cut > begin:
+                    held.append(batch.slice(begin, cut - begin))
+                yield pa.Table.from_batches(held)
+                held, rows, size, begin = [], 0, 0.0, cut
+        held.append(batch.slice(begin))
+        rows += batch.num_rows - begin
+        size += (batch.num_rows - begin) * width
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sorted_groups(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", F.col("block") != F.col("bi"), "row")
+
+
+def with_survivors(df: DataFrame, survival: dict[int, int]) -> DataFrame:
+    """The (row, key, band, block, bi, bj) of entries that have a pair to verify."""
+    names = ["row", "key", "band", "block", "bi", "bj"]
+
+    def run(batches):
+        for table in whole_groups(batches):
+            groups, hit = Groups(table, survival), np.zeros(table.num_rows, bool)
+            for i, j in groups.survivors():
+                hit[i] = hit[j] = True
+            if hit.any():
+                yield from table.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return sorted_groups(df).mapInArrow(run, "row long, key long, band int, block long, bi long, bj long")
+
+
+def verified(df: DataFrame, threshold: Fraction, survival: dict[int, int]) -> DataFrame:
+    """(row, links, texts, hub) of entries with a link: links counts copies, hub is the least row of the local cluster."""
+
+    def run(batches):
+        for table in whole_groups(batches):
+            groups, n = Groups(table, survival), table.num_rows
+            row, copies = table.column("row").to_numpy(), table.column("copies").to_numpy()
+            held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in held], np.int64)
+            links, texts, label = np.zeros(n, np.int64), np.zeros(n, np.int64), row.copy()
+            found = []
+            for i, j in groups.survivors():
+                inter = overlaps(held, i, j)
+                good = inter * threshold.denominator >= (size[i] + size[j] - inter) * threshold.numerator
+                found.append((i[good], j[good]))
+            if not found:
+                continue
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            np.add.at(texts, i, 1)
+            np.add.at(texts, j, 1)
+            before = None
+            while before is None or (label != before).any():
+                before = label.copy()
+                least = np.minimum(label[i], label[j])
+                np.minimum.at(label, i, least)
+                np.minimum.at(label, j, least)
+            some = np.flatnonzero(texts)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (row, links, texts, label)], ["row", "links", "texts", "hub"])
+
+    return sorted_groups(df).mapInArrow(run, "row long, links long, texts long, hub long")
+
+
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """(row, mask, places): the buckets in which a text is compared, as structs (key, band, n_blocks).
+
+    A bucket is compared if it has two texts or more and no other bucket with the same
+    texts has a lesser key; mask has a bit for each of a text's bands that is compared.
+    """
+    keys = reps.select("row", "n_words", F.posexplode("bands").alias("band", "key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    alike = counts.where("n > 1").groupBy("n", "w", "x", "y").agg(F.min("key").alias("key"))
+    n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("long")
+    chosen = stored(alike.select("key", n_blocks.alias("n_blocks")), "buckets")
+    places = stored(keys.join(chosen, "key").groupBy("row").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"), F.collect_list(F.struct("key", "band", "n_blocks")).alias("places")), "bucket-members")  # BANDS places a row at most
+    forget(chosen)
+    return places
+
+
+def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, text, ...) to its stored rows with `row` and `digest`, and the stored classes of
+    equal texts: digest, copy (least (no id, id, text hash, row)), copies, links, texts, class."""
+    if threshold < 0.8:
+        raise ValueError("the bands are laid out for thresholds of 0.8 and more")
+    exact, survival = Fraction(str(threshold)), survival_table(threshold)
+    marks = stored(signed(rows), "signatures")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
+    classes = stored(marks.where("digest is not null").select("digest", name.alias("copy")).groupBy("digest").agg(F.min("copy").alias("copy"), F.count("*").alias("copies")), "copies")
+    first = classes.select(F.col("copy.row").alias("row"), "copies")
+    places = bucket_members(marks.select("row", "n_words", "bands").join(first.select("row"), "row"))
+    block = F.pmod(F.xxhash64("row"), F.col("p.n_blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
+    entries = marks.select("row", "signature").join(places, "row").select("row", "signature", "mask", F.explode("places").alias("p"))
+    entries = entries.select("row", "signature", "mask", "p.key", "p.band", "p.n_blocks", block.alias("block")).withColumn("other", F.explode(others))
+    entries = entries.select("row", "signature", "mask", "key", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    hits = stored(with_survivors(entries, survival), "survivors")
+    texts = marks.select("row", "text", "signature").join(hits.select("row").distinct(), "row").join(places.select("row", "mask"), "row").join(first, "row")
+    sets = stored(shingle_sets(texts), "shingles")
+    links = stored(verified(hits.join(sets, "row"), exact, survival), "links")
+    counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    tree = components(links.select(F.col("row").alias("a"), F.col("hub").alias("b")), "classes")
+    info = classes.withColumn("row", F.col("copy.row")).join(counts, "row", "left").join(tree.withColumnRenamed("node", "row"), "row", "left")
+    info = stored(info.select("digest", "copy", "copies", F.coalesce("root", "row").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")), "linked")
+    least = stored(info.groupBy("root").agg(F.min("copy").alias("class")), "least")  # stored: a hot root's join can be split
+    linked = stored(info.join(least, "root").drop("root"), "linked-classes")
+    forget(classes, places, hits, sets, links, tree, info, least)
+    return marks, linked
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -266,40 +395,23 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The bands are laid out for thresholds of 0.8 and more.
     """
-    if threshold < 0.8:
-        raise ValueError("the bands are laid out for thresholds of 0.8 and more")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = stored(signed(rows), "signatures")
-    has = marks.where("digest is not null")
-    classes = has.groupBy("digest").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
-    keys = has.select("digest", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most")
-    stars = keys.join(shared, "key").select(F.col("digest").alias("a"), F.col("least").alias("b"))
-    confined = components(stars, "candidates").join(classes, F.col("node") == F.col("digest")).drop("node")
-    size = confined.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    size = size.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("long").alias("n_blocks"))
-    members = confined.join(size, "root").select("root", "digest", "copy_id", "copies", "n_blocks", F.pmod(F.xxhash64("digest"), "n_blocks").alias("block"))
-    with_text = members.join(rows, members["copy_id"].eqNullSafe(rows["id"])).select("text", "digest", "root", "copies", "n_blocks", "block")
-    held = shingled(with_text, "root binary, copies long, n_blocks long, block long")
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    dealt = dealt.select("digest", "signature", "shingles", "copies", "block", "root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    exact, survival = Fraction(str(threshold)), survival_table(threshold)
-    empty = pa.table({"digest": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "texts": pa.array([], pa.int64()), "hub": pa.array([], pa.binary())})
-
-    def work(key, table):
-        found = linked_blocks(table, key[1].as_py(), key[2].as_py(), exact, survival)
-        return empty if found is None else found
-
-    links = stored(dealt.groupBy("root", "bi", "bj").applyInArrow(work, "digest binary, links long, texts long, hub binary"), "links")
-    counts = links.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
-    tree = components(links.select(F.col("digest").alias("a"), F.col("hub").alias("b")), "classes")
-    info = classes.join(counts, "digest", "left").join(tree.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = info.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = info.join(least, "root").select("digest", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
-    info = info.where("n_links > 0")
+    marks, info = link_classes(rows, threshold)
     joined = marks.select("id", "digest").join(info, "digest", "left")
-    own = [F.coalesce(c, "id").alias(c) for c in ("class_id", "copy_id")]
-    return joined.select(F.col("id").alias(id_col), *own, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    n_links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long"))
+    own = [F.coalesce(F.col(f"{c}.id"), F.col("id")).alias(f"{c}_id") for c in ("class", "copy")]
+    return joined.select(F.col("id").alias(id_col), *own, n_links.alias("n_links"), F.coalesce("texts", F.lit(0).cast("long")).alias("n_texts"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df` without near copies: of each class the row with the least id (none
+    comes last; then by the text's hash) stays, and every row without words."""
+    others = [c for c in df.columns if c != text_col]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("others"))
+    marks, info = link_classes(rows, threshold)
+    heads = info.where("copy = class").select(F.col("copy.row").alias("row"))
+    kept = marks.join(heads, "row", "left_semi").select("others", "text").unionByName(marks.where("digest is null").select("others", "text"))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"others.{c}") for c in df.columns])
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

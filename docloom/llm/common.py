@@ -108,13 +108,15 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is set."""
+    """The cluster's shared folder; only a local master without one gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="docloom-")
     spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -126,7 +128,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these; no result may still read them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unit_hash(column: Column, seed: int = 0) -> Column:
@@ -135,8 +146,8 @@ def unit_hash(column: Column, seed: int = 0) -> Column:
 
 
 def crc_mod(column: Column, m: int) -> Column:
-    """crc32 of the column as text, modulo m."""
-    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(m))
+    """crc32 of the column as text, modulo m; null counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
 @functools.lru_cache(maxsize=2)

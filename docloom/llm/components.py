@@ -1,7 +1,8 @@
 """Connected components of an edge list by alternating large and small stars.
 
-Every round is two grouped minima and two joins on the grouping key, and ends in
-a stored table; hub nodes are pre-aggregated and their joins can be split.
+Every round is two grouped minima and two joins on the grouping key.  The minima
+are pre-aggregated and stored: a join then knows their size, broadcasts few of them,
+and splits the edges of a hub where there are many.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored
+from docloom.llm.common import forget, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -25,14 +26,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = stored(small.where("a != b").distinct(), name)
-        new = _state(e)
-        if new == state:
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), name)
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), name)
+        below = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(below, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        new = stored(small.where("a != b").distinct(), name)
+        forget(e, least, large, below)
+        e, was = new, state
+        state = _state(e)
+        if state == was:
             break
-        state = new
     roots = e.select(F.col("b").alias("node")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+    found = stored(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node"))), name)
+    forget(e)
+    return found

@@ -174,3 +174,51 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark, prose):
     assert len(found) == 6
     assert {(1, a), (2, b), (4, near(d)), (None, e), (5, "x")} < set(found)
     assert sum(k == 3 for k, _ in found) == 1
+
+
+@pytest.mark.parametrize("group_rows", [16, 4096])
+def test_groups_of_any_size(spark, monkeypatch, near_rows, group_rows):
+    monkeypatch.setattr(B, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(B, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(B, "PAIRS", 7)
+    df = spark.createDataFrame(near_rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"], r["n_texts"]) for r in B.jaccard_links(df).collect()}
+    assert got == brute_links(near_rows)
+
+
+def test_links_without_ids(spark, near_rows):
+    """Null and repeated ids don't change what is linked."""
+    some = [(None if k % 3 == 0 else 7, t, k) for k, t in near_rows]
+    rows = B.jaccard_links(spark.createDataFrame(some, "doc_id long, text string, k long")).collect()
+    want = brute_links(near_rows)
+    assert sorted((r["n_links"], r["n_texts"]) for r in rows) == sorted(w[2:] for w in want.values())
+    assert len(B.representatives(spark.createDataFrame(some, "doc_id long, text string, k long")).collect()) == len({w[0] for w in want.values()})
+
+
+def test_representatives_keep_columns(spark, odd, empty, near_rows):
+    kept = B.representatives(spark.createDataFrame([(k, 1.5, t, "x", [k]) for k, t in near_rows], "doc_id long, row double, text string, digest string, others array<long>"))
+    assert kept.columns == ["doc_id", "row", "text", "digest", "others"]
+    assert {r["doc_id"] for r in kept.collect()} == {w[0] for w in brute_links(near_rows).values()}
+    assert B.representatives(odd).count() == odd.count() - 1
+    assert B.representatives(empty).collect() == []
+
+
+def test_recall_on_documents(spark):
+    """Every pair at 0.8 or more of sf0.01, found by an inverted index over shingles, is linked."""
+    from collections import Counter, defaultdict
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {k: shingles(t) for k, t in docs}
+    at = defaultdict(list)
+    for k, held in sets.items():
+        for x in held or ():
+            at[x].append(k)
+    common = Counter((a, b) for held in at.values() for i, a in enumerate(held) for b in held[:i])
+    want = Counter()
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            want[a] += 1
+            want[b] += 1
+    assert want
+    found = {r["doc_id"]: r["n_links"] for r in B.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {k: want[k] for k, _ in docs}
