@@ -40,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import forget, map_slices, ragged_gather, slices, split_words, stored, text_array
+from docloom.llm.common import arrow_rows, few, forget, map_slices, ragged_gather, segment_sum, slices, split_words, stored, text_array
 from docloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE, STEP = 1e-5, 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-GROUP_ROWS, GROUP_BYTES, PAIRS = 4096, 32 << 20, 1 << 20
+GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS = 4096, 16 << 20, 1 << 19, 500
 SEED = 20_240_801
 
 _draw = np.random.default_rng(SEED)
@@ -190,12 +190,33 @@ def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else (i, j)
 
 
-def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs' sets, exactly: one by one where pairs
-    are few, else as products of 0/1 matrices over the shingles that both sides have."""
-    used_a, used_b = np.unique(i), np.unique(j)
-    if len(i) <= 2 * (len(used_a) + len(used_b)):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs' sets, exactly.  group: of each pair, ascending."""
+    out = np.zeros(len(i), np.int64)
+    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        used_a, used_b = np.unique(i[a:b]), np.unique(j[a:b])
+        dense = b - a > 2 * (len(used_a) + len(used_b))
+        out[a:b] = (products if dense else searches)(sets, i[a:b], j[a:b], used_a, used_b)
+    return out
+
+
+def searches(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, used_a: np.ndarray, used_b: np.ndarray) -> np.ndarray:
+    """By searching the partners' shingles in each left set."""
+    out = np.zeros(len(i), np.int64)
+    order = np.argsort(i, kind="stable")
+    cuts = np.searchsorted(i[order], used_a)
+    for x, pairs in zip(used_a.tolist(), np.split(order, cuts[1:]), strict=True):
+        own, others = sets[x], [sets[k] for k in j[pairs].tolist()]
+        flat = np.concatenate(others) if len(others) > 1 else others[0]
+        if len(own) and len(flat):
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            out[pairs] = segment_sum(hit.astype(np.int64), np.cumsum([0, *map(len, others)]))
+    return out
+
+
+def products(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, used_a: np.ndarray, used_b: np.ndarray) -> np.ndarray:
+    """By products of 0/1 matrices over the shingles that both sides have, where pairs are dense."""
     flat_a, flat_b = np.concatenate([sets[k] for k in used_a]), np.concatenate([sets[k] for k in used_b])
     common = np.intersect1d(flat_a, flat_b)
     row_a = np.repeat(np.arange(len(used_a)), [len(sets[k]) for k in used_a])
@@ -319,7 +340,7 @@ def verified(df: DataFrame, threshold: Fraction, survival: dict[int, int]) -> Da
             links, texts, label = np.zeros(n, np.int64), np.zeros(n, np.int64), row.copy()
             found = []
             for i, j in groups.survivors():
-                inter = overlaps(held, i, j)
+                inter = overlaps(held, i, j, np.searchsorted(groups.starts, i, "right"))
                 good = inter * threshold.denominator >= (size[i] + size[j] - inter) * threshold.numerator
                 found.append((i[good], j[good]))
             if not found:
@@ -368,23 +389,26 @@ def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     name = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
     classes = stored(marks.where("digest is not null").select("digest", name.alias("copy")).groupBy("digest").agg(F.min("copy").alias("copy"), F.count("*").alias("copies")), "copies")
     first = classes.select(F.col("copy.row").alias("row"), "copies")
-    places = bucket_members(marks.select("row", "n_words", "bands").join(first.select("row"), "row"))
+    places = bucket_members(marks.select("row", "n_words", "bands").join(few(first.select("row")), "row"))
     block = F.pmod(F.xxhash64("row"), F.col("p.n_blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
-    entries = marks.select("row", "signature").join(places, "row").select("row", "signature", "mask", F.explode("places").alias("p"))
+    met = marks.select("row", "signature").join(few(places.select("row")), "row")
+    entries = met.join(places, "row").select("row", "signature", "mask", F.explode("places").alias("p"))
     entries = entries.select("row", "signature", "mask", "p.key", "p.band", "p.n_blocks", block.alias("block")).withColumn("other", F.explode(others))
     entries = entries.select("row", "signature", "mask", "key", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    hits = stored(with_survivors(entries, survival), "survivors")
-    texts = marks.select("row", "text", "signature").join(hits.select("row").distinct(), "row").join(places.select("row", "mask"), "row").join(first, "row")
-    sets = stored(shingle_sets(texts), "shingles")
-    links = stored(verified(hits.join(sets, "row"), exact, survival), "links")
+    with arrow_rows(marks.sparkSession, WIDE_ROWS):
+        hits = stored(with_survivors(entries, survival), "survivors")
+        wanted = stored(hits.select("row").distinct(), "wanted")
+        texts = marks.select("row", "text", "signature").join(few(wanted), "row").join(places.select("row", "mask"), "row").join(first, "row")
+        sets = stored(shingle_sets(texts), "shingles")
+        links = stored(verified(hits.join(sets, "row"), exact, survival), "links")
     counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     tree = components(links.select(F.col("row").alias("a"), F.col("hub").alias("b")), "classes")
     info = classes.withColumn("row", F.col("copy.row")).join(counts, "row", "left").join(tree.withColumnRenamed("node", "row"), "row", "left")
     info = stored(info.select("digest", "copy", "copies", F.coalesce("root", "row").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")), "linked")
     least = stored(info.groupBy("root").agg(F.min("copy").alias("class")), "least")  # stored: a hot root's join can be split
     linked = stored(info.join(least, "root").drop("root"), "linked-classes")
-    forget(classes, places, hits, sets, links, tree, info, least)
+    forget(classes, places, hits, wanted, sets, links, tree, info, least)
     return marks, linked
 
 

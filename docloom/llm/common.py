@@ -7,6 +7,7 @@ the slice's distinct words only.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, BROADCAST_ROWS = 8 << 20, 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -140,6 +141,23 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Batches of at most n rows to Python workers, for stages that start and end inside: rows are wide there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a long or two, to be broadcast where it has at most `most` rows; otherwise joined as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def unit_hash(column: Column, seed: int = 0) -> Column:
     """A value in [0, 1) that depends on the column alone."""
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
