@@ -10,18 +10,18 @@ forward-backward marginals aggregate to a document score by a small logistic
 model over the strongest word, the expected number of toxic words and their share.
 
 Fitting takes the whole texts of a sample of about MAX_TOXIC and MAX_CLEAN labelled
-documents, without near copies of each other, on the driver.  The model (2**17 weights) is
-broadcast; scoring is one pass over slices of texts.
+documents of MAX_BYTES in all at most, without near copies of each other, on the driver.
+The model (2**17 weights) is broadcast; scoring is one pass over slices of texts.
 
 Defined results: null and empty texts get the score of a text without toxic
-words; a null id is kept; repeated rows give repeated results; without labels of
-both kinds every score is the share of toxic labels (0 without labels); an empty
-table gives an empty one; further columns are ignored.
+words and no spans; a null id is kept, has no label and counts as the id '' where ids
+are hashed; repeated rows give repeated results; without labels of both kinds every
+score is the share of toxic labels (0 without labels); an empty table gives an empty
+one; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bayes_join import band_keys, minhashes, mixed, shingles, word_hashes
-from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, text_array, unit_hash
+from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
 
 BUCKETS, PREFIXES, SUFFIXES = 1 << 17, (3, 4, 5, 6, 7, 8), (3, 4)
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 64 << 20
 ROUNDS, RATE, DECAY = 60, 0.25, 1e-4
 LEAST_EVIDENCE = 1.8
 SEGMENT, FIELD_TOKENS = 64, 1 << 17
@@ -135,7 +135,7 @@ def document_features(marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(sizes > 0)
     if len(some):
         best[some] = np.maximum.reduceat(p, offsets[some])
-    count = segment_sum(np.where(p > 0.05, p, 0.0), offsets)
+    count = segment_sum(p, offsets)
     return np.stack([np.clip(np.log(best / (1 - best)), -6, 6), np.log1p(count), 10 * count / np.maximum(1, sizes)], 1)
 
 
@@ -259,8 +259,10 @@ def train(texts: pa.StringArray, toxic: np.ndarray, share: float) -> ToxicityMod
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
-    """A model from about max_toxic and max_clean labelled documents, chosen by the id's hash."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                 max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """A model from about max_toxic and max_clean labelled documents, chosen by the id's
+    hash; beyond max_bytes, as many of these in the hash's order as fit, whole."""
     known = labels.where(F.col(label_col).isNotNull()).select(id_col, (F.col(label_col) == 1).alias("toxic"))
     sizes = known.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not sizes[0] or not sizes[1]:
@@ -268,8 +270,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = [min(1.0, most / n) for most, n in zip((max_toxic, max_clean), sizes, strict=True)]
     drawn = unit_hash(F.col(id_col), 1)
     known = known.where(drawn < F.when(F.col("toxic"), share[0]).otherwise(share[1]))
-    sample = docs.where(drawn < max(share)).select(id_col, F.col(text_col).cast("string").alias("text")).join(known, id_col)
-    table = sample.orderBy(F.xxhash64(id_col), id_col).select("text", "toxic").toArrow()
+    sample = docs.where(drawn < max(share)).select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, id_col)
+    order = [F.xxhash64(id_col), F.xxhash64("text"), F.col("toxic")]
+    sample = stored(sample.select(*[c.alias(f"order{k}") for k, c in enumerate(order)], F.octet_length("text").alias("size"), "text", "toxic"), "toxicity-sample")
+    # about max_toxic + max_clean rows: their sizes fit the driver, and then the chosen texts
+    orders = ["order0", "order1", "order2"]
+    listed = sample.select(*orders, "size").orderBy(*orders).toPandas()
+    over = np.flatnonzero(listed["size"].to_numpy(np.int64).cumsum() > max_bytes)
+    if len(over):
+        sample = sample.where(F.col("order0") < int(listed["order0"][max(1, int(over[0]))]))
+    table = sample.orderBy(*orders).select("text", "toxic").toArrow()
     return train(text_array(table.column("text")), table.column("toxic").to_numpy(), sizes[0] / sum(sizes))
 
 
@@ -290,7 +300,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
         columns = [batch.column("id"), *(batch.column(k) for k in passed), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
         names = ["id", *passed, "score", "predicted"]
         if spans:
-            columns.append(pa.array([offending(t, marginal[a:b]) for t, a, b in zip(texts.to_pylist(), offsets[:-1], offsets[1:], strict=True)], span_type))
+            some = segment_sum((marginal >= 0.5).astype(np.int64), offsets) > 0
+            columns.append(pa.array([offending(texts[k].as_py(), marginal[offsets[k] : offsets[k + 1]]) if some[k] else [] for k in range(len(texts))], span_type))
             names.append("spans")
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -300,17 +311,17 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 def offending(text: str, marginal: np.ndarray) -> list[dict]:
     """Character ranges of runs of words whose marginal is at least one half."""
-    if not (marginal >= 0.5).any():
-        return []
     found: list[dict] = []
-    last = -2
-    for k, word in enumerate(re.finditer(r"\S+", text)):
-        if k < len(marginal) and marginal[k] >= 0.5:
+    at, last = 0, -2
+    for k, word in enumerate(w for w in pc.utf8_split_whitespace(pa.array([text], pa.string()))[0].as_py() if w):
+        start = text.index(word, at)
+        at = start + len(word)
+        if marginal[k] >= 0.5:
             if last == k - 1:
-                found[-1]["end"] = word.end()
+                found[-1]["end"] = at
                 found[-1]["probability"] = max(found[-1]["probability"], float(marginal[k]))
             else:
-                found.append({"start": word.start(), "end": word.end(), "probability": float(marginal[k])})
+                found.append({"start": start, "end": at, "probability": float(marginal[k])})
             last = k
     return found
 
@@ -320,4 +331,4 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     model = fit_toxicity(docs, labels.where(~held_out))
-    return score_toxicity(docs, model, extra={"held_out": held_out})
+    return score_toxicity(docs, model, extra={"held_out": held_out}, spans=True)
