@@ -1,16 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 A word, lower-cased and between boundary marks, gives its character n-grams of 1
-to 4 characters, hashed into BUCKETS.  Counts per language come from a sample of
-about ROWS_PER_LANGUAGE documents of each language; the matrix of log
-probabilities (languages x BUCKETS floats, every language) is broadcast.
-A slice of texts is scored through its distinct words: one sparse sum of matrix
-rows a word, then one sum of word vectors a text, for LANGUAGE_BLOCK languages at a time.
+to 4 characters, hashed into BUCKETS.  Priors come from the languages of all rows,
+counts from a sample of about ROWS_PER_LANGUAGE documents of each language.
+Every language is learned; the matrix of log probabilities is made and broadcast
+for LANGUAGE_BLOCK languages at a time (64 MB), and one pass a block keeps each
+row's best language so far and the sum of all.  A slice of texts is scored through
+its distinct words: one sparse sum of matrix rows a word, then one sum of word
+vectors a text.  The score is the winner's posterior probability.
 
 Defined results: `und` with score 0 where a text is null or has no letter, or
 where nothing was learned; equal scores go to the language that sorts first; a
-null id is kept; repeated rows give repeated results; an empty table gives an
-empty one; further columns are ignored.
+null id is kept and counts as the id '' where ids are hashed; repeated rows give
+repeated results; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bayes_join import mixed
-from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, text_array, unit_hash
+from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
 
 BUCKETS, LONGEST = 1 << 15, 4
 ROWS_PER_LANGUAGE, LANGUAGE_BLOCK, SMOOTHING = 3000, 512, 0.5
@@ -78,58 +80,74 @@ def ngram_counts(df: DataFrame) -> DataFrame:
 
 
 class LanguageModel:
-    """Log probabilities of hashed n-grams by language."""
-
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.weights = languages, weights  # buckets x languages
-
-    def score(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray]:
-        n = len(texts)
-        if not self.languages:
-            return [UNKNOWN] * n, np.zeros(n)
-        codes, offsets, words = split_words(texts)
-        grams, at = word_ngrams(words)
-        blocks = [self.weights[:, k : k + LANGUAGE_BLOCK] for k in range(0, len(self.languages), LANGUAGE_BLOCK)]
-        per_text = np.concatenate([segment_sum(segment_sum(w[grams], at)[codes], offsets) for w in blocks], 1)
-        best = per_text.argmax(1)
-        # the winner's share, with the evidence scaled to a mean n-gram so that long texts differ
-        sizes = segment_sum(np.diff(at)[codes], offsets)
-        scaled = per_text / np.sqrt(np.maximum(1, sizes))[:, None]
-        shares = np.exp(scaled - scaled.max(1, keepdims=True))
-        score = shares[np.arange(n), best] / shares.sum(1)
-        letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-        return [self.languages[b] if has else UNKNOWN for b, has in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0)
+    """Languages in order, their log priors, and the stored counts of n-grams (lang, bucket, n)."""
+
+    def __init__(self, languages: list[str], documents: list[int], counts: DataFrame | None):
+        self.languages, self.counts = languages, counts
+        self.priors = np.log(np.array(documents, np.float64) / max(1, sum(documents)))
+
+    def blocks(self):
+        """(first language, log probabilities of buckets x languages) for LANGUAGE_BLOCK languages at a time."""
+        for k in range(0, len(self.languages), LANGUAGE_BLOCK):
+            names = self.languages[k : k + LANGUAGE_BLOCK]
+            index = {x: j for j, x in enumerate(names)}
+            weights = np.full((BUCKETS, len(names)), SMOOTHING, np.float32)
+            packed = self.counts.where(F.col("lang").between(names[0], names[-1])).groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+            for row in packed.toArrow().to_batches(max_chunksize=64):  # BUCKETS counts a language at most
+                for lang, bucket, n in zip(row.column("lang").to_pylist(), row.column("bucket"), row.column("n"), strict=True):
+                    weights[bucket.values.to_numpy(), index[lang]] += n.values.to_numpy()
+            yield k, np.log(weights / weights.sum(0, dtype=np.float64)).astype(np.float32)
+
+
+def log_likelihoods(texts: pa.StringArray, weights: np.ndarray) -> np.ndarray:
+    """Texts x languages: sums of the log probabilities of all n-grams of a text."""
+    codes, offsets, words = split_words(texts)
+    grams, at = word_ngrams(words)
+    return segment_sum(segment_sum(weights[grams].astype(np.float64), at)[codes], offsets)
 
 
 def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Counts n-grams of about rows_per_language documents of each language, chosen by the id's hash."""
-    known = df.where(F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
+    """Priors from all rows with a language; n-gram counts of about rows_per_language of each, chosen by the id's hash."""
+    known = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
+    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
     if not sizes:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["count"])))])
-    sample = known.where(unit_hash(F.col(id_col), 6) < F.try_element_at(share, F.col(lang_col).cast("string"))).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    languages = sorted(r["lang"] for r in sizes)
-    index = {x: k for k, x in enumerate(languages)}
-    counts = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for r in ngram_counts(sample).toPandas().itertuples(index=False):  # languages x BUCKETS rows at most
-        counts[r.bucket, index[r.lang]] += r.n
-    return LanguageModel(languages, np.log(counts / counts.sum(0)).astype(np.float32))
+        return LanguageModel([], [], None)
+    share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / n)))])
+    sample = known.where(unit_hash(F.col("id"), 6) < F.try_element_at(share, F.col("lang")))
+    return LanguageModel([lang for lang, _ in sizes], [n for _, n in sizes], stored(ngram_counts(sample), "language-counts"))
 
 
 def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """id, the columns of `extra`, lang_pred and score of every row."""
+    """id, the columns of `extra`, lang_pred and score (the posterior) of every row."""
     extra = extra or {}
-    passed = list(extra)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in extra.items()])
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ["id", *extra])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = LanguageModel(*shared.value).score(text_array(batch.column("text")))
-        return pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(k) for k in passed), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], ["id", *passed, "lang_pred", "score"])
-
-    return map_slices(rows, run, f"{kinds}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    # the best language so far, its log joint probability, and the log of the sum of all
+    rows = rows.withColumns({"best_": F.lit(-1), "top_": F.lit(float("-inf")), "sum_": F.lit(float("-inf"))})
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    context = df.sparkSession.sparkContext
+    for first, weights in model.blocks():
+        shared = context.broadcast((weights, model.priors[first : first + LANGUAGE_BLOCK]))  # LANGUAGE_BLOCK * BUCKETS floats at most
+
+        def run(batch: pa.RecordBatch, shared=shared, first=first) -> pa.RecordBatch:
+            matrix, priors = shared.value
+            joint = log_likelihoods(text_array(batch.column("text")), matrix) + priors
+            here = joint.argmax(1)
+            value = joint[np.arange(len(here)), here]
+            best, top, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("best_", "top_", "sum_"))
+            better = value > top
+            best, top = np.where(better, first + here, best), np.where(better, value, top)
+            total = np.logaddexp(total, value + np.log(np.exp(joint - value[:, None]).sum(1)))
+            columns = [*batch.columns[:-3], pa.array(best.astype(np.int32)), pa.array(top), pa.array(total)]
+            return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        rows = map_slices(rows, run, kinds)
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col("best_") >= 0)
+    names = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
+    return rows.select(
+        F.col("id").alias(id_col), *extra,
+        F.when(has, F.get(names, F.col("best_"))).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(has, F.least(F.lit(1.0), F.exp(F.col("top_") - F.col("sum_")))).otherwise(0.0).alias("score"),
+    )
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
