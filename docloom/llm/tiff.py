@@ -3,10 +3,11 @@
 The reader takes both byte orders and 64-bit files, strips and tiles, chunky and
 planar samples of 1 to 32 bits, no compression, PackBits, LZW and deflate, and
 undoes horizontal differencing and the floating-point predictor.  The writer
-makes multi-page files of 8-bit gray samples in strips.
+makes multi-page files of 8-bit gray samples in strips; its pages take deflate,
+PackBits and LZW in turn.
 
-Defined results: null bytes give no page; a broken file gives the pages before
-the fault and one row with `error`; a directory that was seen before ends the
+Defined results: null bytes give no page; a broken file (any of FAULTS) gives the
+pages before the fault and one row with `error`; a directory that was seen before ends the
 walk; null ids are kept; repeated rows give repeated pages; further columns are
 ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import map_slices
 
-WIDTH, PAGE_ROWS, STRIP_ROWS = 192, 4096, 512
+WIDTH, PAGE_ROWS, STRIP_ROWS = 192, 64, 32
 #: Fixed values of the format: bytes per value of the field types; tags; compression schemes.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 TYPE_CODE = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -33,12 +34,18 @@ T_WIDTH, T_HEIGHT, T_BITS, T_COMPRESSION, T_PHOTOMETRIC, T_FILL = 256, 257, 258,
 T_STRIPS, T_SAMPLES, T_ROWS, T_STRIP_BYTES, T_PLANAR, T_PREDICTOR = 273, 277, 278, 279, 284, 317
 T_TILE_W, T_TILE_H, T_TILES, T_TILE_BYTES, T_FORMAT = 322, 323, 324, 325, 339
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Schemes of the pages that are written, in turn; deflate and LZW reach at most about 1 : 1400.
+SCHEMES, MOST_EXPANDED = (DEFLATE, PACKBITS, LZW), 4096
 
 
 class TiffError(ValueError):
     """A file that can't be read as TIFF, or a part of the format that isn't supported."""
 
 
+#: What a broken file can raise; each becomes a row.
+FAULTS = (ValueError, TypeError, ArithmeticError, LookupError, struct.error, MemoryError)
+
+
 @dataclass
 class Page:
     number: int
@@ -243,12 +250,15 @@ class Reader:
 
     def page(self, f: dict[int, tuple], number: int) -> Page:
         one = lambda tag, default=None: f[tag][0] if tag in f else default
+        plain = (T_WIDTH, T_HEIGHT, T_BITS, T_COMPRESSION, T_FILL, T_STRIPS, T_SAMPLES, T_ROWS, T_STRIP_BYTES, T_PLANAR, T_PREDICTOR, T_TILE_W, T_TILE_H, T_TILES, T_TILE_BYTES)
+        if any(not isinstance(x, int) or x < 0 for tag in plain for x in f.get(tag, ())):
+            raise TiffError("a field that isn't a whole number")
         width, height, samples = one(T_WIDTH), one(T_HEIGHT), one(T_SAMPLES, 1)
-        if not width or not height:
+        if not width or not height or not samples:
             raise TiffError("a page without size")
         bits, scheme, predictor = one(T_BITS, 1), one(T_COMPRESSION, PLAIN), one(T_PREDICTOR, 1)
-        if len(set(f.get(T_BITS, (1,)))) > 1:
-            raise TiffError("samples of different widths")
+        if len(set(f.get(T_BITS, (1,)))) > 1 or not 1 <= bits <= 64:
+            raise TiffError("samples of different or unknown widths")
         planes = samples if one(T_PLANAR, 1) == 2 else 1
         per_pixel = samples // planes
         row_bytes = lambda w: (w * per_pixel * bits + 7) // 8
@@ -264,6 +274,9 @@ class Reader:
             raise TiffError("too few parts")
         if bits % 8 and tiled and tw * per_pixel * bits % 8:
             raise TiffError("tiles of broken bytes")
+        most = sum(sizes) * MOST_EXPANDED
+        if planes * height * row_bytes(width) > most:  # no scheme makes so much of so little
+            raise TiffError("too little data")
         image = np.zeros((planes, height, row_bytes(width)), np.uint8)
         for k in range(across * down * planes):
             plane, rest = divmod(k, across * down)
@@ -281,6 +294,9 @@ class Reader:
             used[:] = part[: used.shape[0], : used.shape[1]]
         if planes > 1 and bits % 8 == 0:  # samples of one pixel side by side
             image = image.reshape(planes, height, width, bits // 8).transpose(1, 2, 0, 3)
+        elif planes > 1:
+            each = np.unpackbits(image, axis=2)[:, :, : width * bits].reshape(planes, height, width, bits)
+            image = np.packbits(each.transpose(1, 2, 0, 3).reshape(height, -1), axis=1)
         return Page(number, width, height, samples, bits, scheme, predictor, image.tobytes())
 
 
@@ -288,15 +304,15 @@ def read_pages(data: bytes):
     return Reader(data).pages()
 
 
-def write_gray(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS, scheme: int = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS) -> bytes:
-    """A little-endian file of 8-bit gray pages that hold `payload` row by row."""
+def write_gray(payload: bytes, width: int = WIDTH, page_rows: int = PAGE_ROWS, schemes: tuple[int, ...] = SCHEMES, predictor: int = 2, strip_rows: int = STRIP_ROWS) -> bytes:
+    """A little-endian file of 8-bit gray pages that hold `payload` row by row; pages take the schemes in turn."""
     if not payload or len(payload) % width:
         raise TiffError(f"the payload must be a positive multiple of {width} bytes")
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out = bytearray(b"II" + struct.pack("<HI", 42, 0))
     link = 4  # where the next directory's offset goes
     for top in range(0, len(image), page_rows):
-        page = image[top : top + page_rows]
+        page, scheme = image[top : top + page_rows], schemes[top // page_rows % len(schemes)]
         starts, sizes = [], []
         for y in range(0, len(page), strip_rows):
             strip = page[y : y + strip_rows]
@@ -352,8 +368,8 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 try:
                     for p in read_pages(data) if data is not None else ():
                         rows.append((k, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
-                except (TiffError, struct.error, MemoryError) as e:
-                    rows.append((k, len(rows), *[None] * 7, str(e)))
+                except FAULTS as e:
+                    rows.append((k, len(rows), *[None] * 7, str(e) or type(e).__name__))
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(columns[0]), *columns[1:]], ["id", *schema.names[1:]])
