@@ -5,13 +5,15 @@ A data set is a folder of shards in ascending order of document id.  Shard k has
   docs-k.idx  64-bit unsigned offsets into the data set's ids, one per document
               and one at the end; the shard's base comes from prefix sums,
   names-k.arrow  the document ids (Arrow file).
+Texts are encoded where they are read and stored as packed ids; these, not texts, are
+then dealt by ranges of (id, hash of the text) into shards of about SHARD_BYTES.
 Files are written under a name of their own and moved into place, so that a task
 that runs again leaves the same files.  The folder is in the shared storage that
 spark.checkpoint.dir names; local files are memory-mapped when read.
 
 Defined results: null texts count as empty (the end id alone); null ids come
-first; equal ids stand in the order of their texts' hashes; an empty table gives
-an empty data set; further columns are ignored.
+first; equal ids stand in the order of their texts' hashes and may lie in several
+shards; an empty table gives an empty data set; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.chunk_ids import ChunkEncoder
-from docloom.llm.common import checkpoint_dir, slices, text_array, tokenizer_path
+from docloom.llm.common import checkpoint_dir, forget, library_tokenizer, slices, stored, text_array, tokenizer_path
 
-
-#: Sorting whole texts takes memory beside the encoder's, so that it keeps fewer chunks here.
-SORTING_CACHE = 400_000
+SHARD_BYTES = 64 << 20
 
 
 def storage(path: str) -> tuple[pafs.FileSystem, str]:
@@ -68,40 +69,55 @@ def names_of(path: str, shard: int) -> pa.Array:
     return table.column(0).combine_chunks() if table.num_rows else pa.array([], table.schema.field(0).type)
 
 
-def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocabulary_size: int = 49408, rows_per_shard: int = 20_000) -> dict:
+def packed_ids(df: DataFrame, vocabulary: str, dtype: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash of the text, ids as bytes) of every row; the end id stands last."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        encoder = ChunkEncoder(vocabulary)
+        for batch in batches:
+            for part in slices(batch):
+                ids, offsets = encoder.encode(text_array(part.column("text")))
+                ends = np.cumsum(np.diff(offsets) + 1)
+                out = np.full(len(ids) + len(ends), end_id, dtype)
+                spot = np.ones(len(out), bool)
+                spot[ends - 1] = False
+                out[spot] = ids
+                at = pa.py_buffer((np.append(0, ends) * out.itemsize).astype("<i8"))
+                long = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, at, pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), long.cast(pa.binary())], ["id", "hash", "ids"])
+
+    return rows.mapInArrow(run, f"id {kind}, hash long, ids binary")
+
+
+def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> dict:
     """Encodes every row and writes the shards; returns the data set's description."""
     spark = df.sparkSession
-    dtype = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+    dtype = "<u2" if max(end_id, *library_tokenizer(vocabulary).get_vocab().values()) < 1 << 16 else "<u4"
     kind = df.schema[id_col].dataType.simpleString()
     fs, at = storage(path)
     fs.create_dir(at, recursive=True)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_shards = max(1, -(-df.select(id_col).count() // rows_per_shard), spark.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(n_shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    packed = stored(packed_ids(df, vocabulary, dtype, end_id, id_col, text_col), "packed-ids")
+    size = packed.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    n_shards = max(-(-size // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-size // (1 << 20))), 1)
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    ordered = packed.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
 
     def write(batches):
-        encoder, shard, sizes, names, total = ChunkEncoder(vocabulary, SORTING_CACHE), TaskContext.get().partitionId(), [], [], 0
-        schema = []
+        shard, sizes, names, total = TaskContext.get().partitionId(), [], [], 0
 
         def flat():
             nonlocal total
             for batch in batches:
-                schema[:] = [batch.schema.field("id")]
-                for part in slices(batch):
-                    ids, offsets = encoder.encode(text_array(part.column("text")))
-                    size = np.diff(offsets) + 1
-                    out = np.full(len(ids) + len(size), end_id, dtype)
-                    spot = np.ones(len(out), bool)
-                    spot[np.cumsum(size) - 1] = False
-                    out[spot] = ids
-                    sizes.append(size)
-                    names.append(part.column("id"))
-                    total += len(out)
-                    yield out.tobytes()
+                ids = batch.column("ids")
+                names.append(batch.column("id"))
+                sizes.append(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize)
+                total += int(sizes[-1].sum())
+                yield from (x.as_buffer() for x in ids)
 
         put(path, f"ids-{shard:06d}.bin", flat())
-        field = schema[0] if schema else None
-        column = pa.chunked_array(names, field.type) if names else pa.array([], pa.int64())
+        column = pa.chunked_array(names) if names else pa.array([], pa.int64())
         sink = pa.BufferOutputStream()
         table = pa.table({"id": column})
         with pa.ipc.new_file(sink, table.schema) as file:
@@ -111,6 +127,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(table)]), pa.array([total])], ["shard", "n_docs", "n_tokens"])
 
     done = sorted(ordered.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())  # one row a shard
+    forget(packed)
     bases, base = {}, 0
     for shard, _, tokens in done:
         bases[shard] = base
