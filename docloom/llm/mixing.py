@@ -9,13 +9,16 @@ epoch.  An epoch is a permutation of the source's blocks of about BLOCK_TOKENS
 tokens and of the documents in each block; the part epoch takes blocks, and
 documents of the block at the border, in that order while their tokens fit.
 
-Only sources and blocks are summed over windows; no source meets in one task.
-Documents within a border block, about BLOCK_TOKENS tokens, are ordered in one.
+Only ranges of blocks and the blocks of a range are summed over windows; no source
+meets in one task.  Documents within a border block, about BLOCK_TOKENS tokens, are
+ordered in one.  Texts are split once, and again in border blocks; whole rows are
+shuffled in border blocks alone, while the table of blocks is small enough to broadcast.
 
 Defined results: a null source is a source of its own; null and empty texts have
 no tokens; a source without tokens is taken once; equal ids are ordered by their
-number of tokens; an empty table gives an empty one; columns of the input are
-kept, and the outcome is one struct column.
+number of tokens, then by their texts' hashes; a row without id goes by its text's
+hash; an empty table gives an empty one; columns of the input are kept, and the
+outcome is one struct column.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 from docloom.llm.common import stored
 
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, SEED = 0.93, 4.0, 1 << 20, "mix"
-LEVELS, AT_ONCE = 40, 4
+LEVELS, AT_ONCE, RANGE_BITS = 40, 4, 10
 
 
 def word_count(text: Column) -> Column:
@@ -99,10 +102,14 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     weight, epoch, block (its place in the epoch's permutation is block_key), block_key,
     place_key, n_tokens.  budget: tokens in all; by default those of the input.
     """
+    text = F.xxhash64(F.col(text_col).cast("string")) if text_col in df.columns else F.lit(0).cast("long")
     key = F.concat_ws("", F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.col(source_col).cast("string"))
-    tokens = word_count(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
-    rows = df.select(F.struct("*").alias("row"), key.alias("key"), tokens.alias("n"), F.col(id_col).cast("string").alias("id"))
-    sums = stored(rows.groupBy("key").agg(F.sum("n").alias("tokens")), "source-tokens")  # read again by every halving
+    count = word_count(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
+    id_text = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), text.cast("string")))
+    light = df.select(key.alias("key"), count.alias("n"), id_text.alias("id"))
+    if tokens is None:  # texts are split once; every halving and every block reads the counts
+        light = stored(light, "mixing-counts")
+    sums = stored(light.groupBy("key").agg(F.sum("n").alias("tokens")), "source-tokens")
     full = sums.where("tokens > 0")
     total = full.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
@@ -118,20 +125,26 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, epochs).otherwise(F.lit(1).cast("long")))
     rest = F.greatest(F.lit(0), F.col("part") - F.col("epochs") * F.col("tokens")).cast("long")
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, rest).otherwise(F.lit(0).cast("long"))).drop("part")
-    block = F.pmod(hashed(seed, F.coalesce("id", F.lit(""))), "n_blocks").alias("block")
-    dealt = rows.join(plan, "key").select("*", block)
+    block = F.pmod(hashed(seed, F.col("id")), "n_blocks").alias("block")
     block_key = lambda epoch: hashed(seed, epoch, F.col("key"), F.col("block"))
     place_key = lambda epoch: hashed(seed, epoch, F.col("id"))
-    sizes = dealt.groupBy("key", "block").agg(F.sum("n").alias("size"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("key").orderBy(block_key(F.col("epochs")), "block")
-    sizes = sizes.withColumn("before", F.sum("size").over(order) - F.col("size"))
+    sizes = light.join(plan, "key").select("key", "n", "epochs", "rest", block).groupBy("key", "block").agg(F.sum("n").alias("size"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"))
+    # prefix sums over a source's blocks: over RANGES ranges of its order, then within each
+    sizes = stored(sizes.withColumn("order", block_key(F.col("epochs"))).withColumn("range", F.expr(f"shiftright(order, {60 - RANGE_BITS})")), "mixing-blocks")
+    ranges = sizes.groupBy("key", "range").agg(F.sum("size").alias("in_range"))
+    ranges = ranges.withColumn("ahead", F.sum("in_range").over(Window.partitionBy("key").orderBy("range")) - F.col("in_range")).drop("in_range")
+    before = F.sum("size").over(Window.partitionBy("key", "range").orderBy("order", "block")) - F.col("size") + F.col("ahead")
+    placed = sizes.join(ranges, ["key", "range"]).withColumn("before", before)
     border = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))
     state = F.when(border, "border").when((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") <= F.col("rest")), "in").otherwise("out")
-    placed = dealt.join(sizes.select("key", "block", "before", state.alias("state")), ["key", "block"])
-    inside = Window.partitionBy("key", "block").orderBy(place_key(F.col("epochs")), "n").rowsBetween(Window.unboundedPreceding, 0)
-    sure = placed.where("state != 'border'").withColumn("more", (F.col("state") == "in").cast("long"))
-    edge = placed.where("state = 'border'").withColumn("more", (F.col("before") + F.sum("n").over(inside) <= F.col("rest")).cast("long"))
-    counted = sure.unionByName(edge).where(F.col("epochs") + F.col("more") > 0)
+    placed = stored(placed.select("key", "block", "before", state.alias("state")), "mixing-places")  # a known size: no shuffle of texts for few blocks
+    rows = df.select(F.struct("*").alias("row"), key.alias("key"), id_text.alias("id"), text.alias("text_hash"), *([] if tokens is None else [count.alias("given")]))
+    again = word_count(F.col(f"row.{text_col}")) if tokens is None else F.col("given")
+    dealt = rows.join(plan, "key").select("*", block).join(placed, ["key", "block"])
+    inside = Window.partitionBy("key", "block").orderBy(place_key(F.col("epochs")), "n", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    sure = dealt.where("state != 'border'").withColumn("more", (F.col("state") == "in").cast("long")).withColumn("n", again)
+    edge = dealt.where("state = 'border'").withColumn("n", again).withColumn("more", (F.col("before") + F.sum("n").over(inside) <= F.col("rest")).cast("long"))
+    counted = sure.unionByName(edge.select(sure.columns)).where(F.col("epochs") + F.col("more") > 0)
     repeated = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") + F.col("more") - 1)))
     mix = F.struct("weight", "epoch", "block", block_key(F.col("epoch")).alias("block_key"), place_key(F.col("epoch")).alias("place_key"), F.col("n").alias("n_tokens"))
     return repeated.select("row.*", mix.alias(out))
