@@ -19,7 +19,7 @@ import regex
 
 from docloom.llm.common import library_tokenizer, ragged_gather, split_words
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS, CACHE_BYTES = 800_000, 64 << 20
 SIMPLE = regex.compile(r"[!-~¡-ÿ]+")
 
 
@@ -84,10 +84,10 @@ class Store:
 
 
 class ChunkEncoder:
-    """Encodes slices of texts; keeps at most about `cache` chunks between slices."""
+    """Encodes slices of texts; keeps at most about CACHE_CHUNKS chunks of CACHE_BYTES between slices."""
 
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
-        self.path, self.cache, self.chunks, self.pieces = path, cache, Store(), Store()
+    def __init__(self, path: str):
+        self.path, self.chunks, self.pieces, self.held = path, Store(), Store(), 0
 
     def _pieces(self, pieces: list[str]) -> None:
         fresh = list(dict.fromkeys(x for x in pieces if x not in self.pieces.known))
@@ -118,10 +118,12 @@ class ChunkEncoder:
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and len(texts) + 1 offsets."""
         codes, offsets, words = split_words(texts, ascii_only=True)
-        if len(self.chunks.known) + len(words) > self.cache:
-            self.chunks, self.pieces = Store(), Store()
+        if len(self.chunks.known) + len(words) > CACHE_CHUNKS or self.held + words.nbytes > CACHE_BYTES:
+            self.chunks, self.pieces, self.held = Store(), Store(), 0
         chunks = words.to_pylist()
-        self._learn([x for x in chunks if x not in self.chunks.known])
+        fresh = [x for x in chunks if x not in self.chunks.known]
+        self.held += sum(map(len, fresh))
+        self._learn(fresh)
         place = np.fromiter(map(self.chunks.known.__getitem__, chunks), np.int64, len(chunks))
         ids, lengths = self.chunks.gather(place)
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.chunk_ids import CACHE_CHUNKS, LETTERS, SIMPLE, pattern_of, pre_tokens
+from docloom.llm.chunk_ids import CACHE_BYTES, CACHE_CHUNKS, LETTERS, SIMPLE, pattern_of, pre_tokens
 from docloom.llm.common import library_tokenizer, map_slices, ragged_gather, segment_sum, split_words, text_array, tokenizer_path
 
 NO_RANK = np.int64(1 << 40)
@@ -99,10 +99,10 @@ def merge_table(path: str) -> MergeTable:
 
 
 class TokenCounter:
-    """Counts tokens of slices of texts; keeps at most about CACHE_CHUNKS chunks between slices."""
+    """Counts tokens of slices of texts; keeps at most about CACHE_CHUNKS chunks of CACHE_BYTES between slices."""
 
     def __init__(self, path: str):
-        self.path, self.chunks, self.pieces = path, {}, {}
+        self.path, self.chunks, self.pieces, self.held = path, {}, {}, 0
 
     def cut(self, chunk: str) -> tuple[list[str], int]:
         """Pre-tokens of any chunk, and how many special strings stand in it."""
@@ -129,10 +129,12 @@ class TokenCounter:
 
     def count(self, texts: pa.StringArray) -> np.ndarray:
         codes, offsets, words = split_words(texts, ascii_only=True)
-        if len(self.chunks) + len(words) > CACHE_CHUNKS:
-            self.chunks, self.pieces = {}, {}
+        if len(self.chunks) + len(words) > CACHE_CHUNKS or self.held + words.nbytes > CACHE_BYTES:
+            self.chunks, self.pieces, self.held = {}, {}, 0
         chunks = words.to_pylist()
-        self._learn([x for x in chunks if x not in self.chunks])
+        fresh = [x for x in chunks if x not in self.chunks]
+        self.held += sum(map(len, fresh))
+        self._learn(fresh)
         sizes = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
         return segment_sum(sizes[codes] if len(codes) else np.zeros(0, np.int64), offsets)
 
