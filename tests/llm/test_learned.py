@@ -82,6 +82,35 @@ def test_toxicity_without_labels(spark, odd):
 
 def test_spans():
     assert X.offending("ab  cd ef", np.array([0.9, 0.8, 0.1])) == [{"start": 0, "end": 6, "probability": 0.9}]
+    assert X.offending(" \x1cab\u00a0ab\u2003c ab", np.array([0.1, 0.9, 0.2, 0.6])) == [{"start": 5, "end": 7, "probability": 0.9}, {"start": 10, "end": 12, "probability": 0.6}]
+
+
+def test_scores_equal_enumeration(toxic_corpus):
+    """Marginals by enumeration of all paths, then the document features and the logistic by hand."""
+    texts, toxic = pa.array([t for _, t, _ in toxic_corpus]), np.array([t == 1 for *_, t in toxic_corpus])
+    model = X.train(texts, toxic, 0.2)
+    for text in ("", "vile scum here", "what a loserly day it is", "Scum!"):
+        words = text.split()
+        emission = [float(model.weights[X.word_features(pa.array([w]))[0]].sum()) + model.bias for w in words]
+        marginal = brute_marginals(emission, model.transition)[0] if words else []
+        p = [min(max(m, 1e-6), 1 - 1e-6) for m in marginal]
+        best, count = max(p, default=1e-6), sum(p)
+        x = [min(6.0, max(-6.0, np.log(best / (1 - best)))), np.log1p(count), 10 * count / max(1, len(words))]
+        want = 1 / (1 + np.exp(-(model.logistic[0] + np.dot(model.logistic[1:], x))))
+        found, offsets = model.marginals(pa.array([text]))
+        assert np.allclose(found, marginal, atol=1e-6)
+        assert model.score(found, offsets)[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_sample_is_bounded_by_bytes(spark, toxic_corpus, monkeypatch):
+    given = {}
+    monkeypatch.setattr(X, "train", lambda texts, toxic, share: given.update(texts=texts.to_pylist(), share=share))
+    df = spark.createDataFrame(toxic_corpus, "doc_id long, text string, toxic int")
+    X.fit_toxicity(df, df.select("doc_id", "toxic"), max_bytes=20_000)
+    whole = {t for _, t, _ in toxic_corpus}
+    assert 15_000 < sum(map(len, given["texts"])) <= 20_000 and set(given["texts"]) <= whole
+    X.fit_toxicity(df, df.select("doc_id", "toxic"))
+    assert len(given["texts"]) == len(toxic_corpus)
 
 
 LANGUAGES = {"en": "the cat sat with that other thing while it rained", "fr": "le chat était assis avec cette autre chose pendant qu'il pleuvait", "de": "die katze saß mit jenem anderen ding während es regnete"}
@@ -106,19 +135,37 @@ def test_languages(spark, odd, empty):
     assert {x["lang_pred"] for x in L.identify_languages(odd, none).collect()} == {L.UNKNOWN}
 
 
-def test_language_scores_equal_plain_bayes(spark):
-    df = spark.createDataFrame([(1, "aab b", "x"), (2, "ba bb", "y"), (3, "ab", None)], "doc_id long, text string, lang string")
+def test_predictions_equal_plain_bayes(spark):
+    rows = [(1, "aab b", "x"), (2, "ba bb", "y"), (3, "ab", None), (4, "b", "x"), (5, "abba", "z"), (6, "7 8", None), (7, "zz top ab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_language_model(df)
+    counts, documents = {}, {}
+    for _, text, lang in rows:
+        if lang:
+            documents[lang] = documents.get(lang, 0) + 1
+            for g in L.word_ngrams(pa.array(text.split()))[0]:
+                counts[lang, g] = counts.get((lang, g), 0) + 1
+    found = {r["doc_id"]: r for r in L.identify_languages(df, model).collect()}
+    for k, text, _ in rows:
+        joint = {}
+        for lang, n in documents.items():
+            total = sum(v for (x, _), v in counts.items() if x == lang) + L.SMOOTHING * L.BUCKETS
+            joint[lang] = np.log(n / sum(documents.values())) + sum(np.log((counts.get((lang, g), 0) + L.SMOOTHING) / total) for g in L.word_ngrams(pa.array(text.split()))[0])
+        best = max(sorted(joint), key=joint.get)
+        if k == 6:
+            assert (found[k]["lang_pred"], found[k]["score"]) == (L.UNKNOWN, 0.0)
+        else:
+            assert found[k]["lang_pred"] == best
+            assert found[k]["score"] == pytest.approx(1 / sum(np.exp(v - joint[best]) for v in joint.values()), rel=1e-4)
+
+
+def test_blocks_of_languages_agree(spark, monkeypatch):
+    rows = [(k, "".join(random.Random(k).choices("abcdefgh ", k=40)), f"l{k % 7}") for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = L.fit_language_model(df)
-    counts = {}
-    for text, lang in (("aab b", "x"), ("ba bb", "y")):
-        grams, at = L.word_ngrams(pa.array(text.split()))
-        for g in grams:
-            counts[lang, g] = counts.get((lang, g), 0) + 1
-    grams, _ = L.word_ngrams(pa.array(["ab"]))
-    for k, lang in enumerate(["x", "y"]):
-        total = sum(n for (x, _), n in counts.items() if x == lang) + L.SMOOTHING * L.BUCKETS
-        want = sum(np.log((counts.get((lang, g), 0) + L.SMOOTHING) / total) for g in grams)
-        assert model.weights[grams, k].sum() == pytest.approx(want, rel=1e-4)
+    whole = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in L.identify_languages(df, model).collect())
+    monkeypatch.setattr(L, "LANGUAGE_BLOCK", 2)
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in L.identify_languages(df, model).collect()) == whole
 
 
 def brute_statistics(text):

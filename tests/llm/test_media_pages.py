@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docloom.llm import style_tree as H
 from docloom.llm import tiff as T
@@ -18,7 +20,7 @@ from .conftest import ODD_TEXTS
 @pytest.mark.parametrize("rows", [1, 7, 300])
 def test_round_trip(scheme, predictor, rows):
     payload = (b"hello hello aaaaaaaaaaaaa" * 4000)[: 96 * rows] + os.urandom(192 * rows - 96 * rows)
-    pages = list(T.read_pages(T.write_gray(payload, page_rows=100, scheme=scheme, predictor=predictor, strip_rows=33)))
+    pages = list(T.read_pages(T.write_gray(payload, page_rows=100, schemes=(scheme,), predictor=predictor, strip_rows=33)))
     assert b"".join(p.pixels for p in pages) == payload and len(pages) == -(-rows // 100)
 
 
@@ -30,24 +32,92 @@ def test_known_codes():
         assert T.lzw_decode(T.lzw_encode(data), n) == data == T.unpack_bits(T.pack_bits(data), n)
 
 
-def tiff(fields, data, order=">"):
-    """A file of one directory whose parts come first."""
-    out = (b"MM" if order == ">" else b"II") + struct.pack(order + "HI", 42, 8 + len(data)) + data + struct.pack(order + "H", len(fields))
+CODES = {3: "H", 4: "I", 11: "f", 16: "Q"}
+
+
+def tiff(fields, data, order=">", big=False):
+    """A file of one directory whose parts come first; long values stand behind the directory."""
+    head, count, value, room = (16, "Q", "Q", 8) if big else (8, "I", "I", 4)
+    mark = b"MM" if order == ">" else b"II"
+    start = struct.pack(order + "HHHQ", 43, 8, 0, head + len(data)) if big else struct.pack(order + "HI", 42, head + len(data))
+    out = mark + start + data + struct.pack(order + ("Q" if big else "H"), len(fields))
+    behind, at = b"", len(out) + len(fields) * (20 if big else 12) + (8 if big else 4)
     for tag, kind, values in fields:
-        code = {3: "H", 4: "I"}[kind]
-        raw = struct.pack(f"{order}{len(values)}{code}", *values)
-        assert len(raw) <= 4
-        out += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-    return out + b"\0\0\0\0"
+        raw = struct.pack(f"{order}{len(values)}{CODES[kind]}", *values)
+        if len(raw) > room:
+            raw, behind = struct.pack(order + value, at + len(behind)), behind + raw
+        out += struct.pack(order + "HH" + count, tag, kind, len(values)) + raw.ljust(room, b"\0")
+    return out + b"\0" * (8 if big else 4) + behind
+
+
+def page_of(fields, data, **how):
+    return next(iter(T.read_pages(tiff(fields, data, **how)))).pixels
 
 
-def test_tiles_planes_and_wide_samples():
-    image = np.arange(16 * 16, dtype=">u2").reshape(16, 16) * 200
-    coded = np.diff(image.astype(np.int64), axis=1, prepend=0).astype(">i4").astype(">u2")
+def fields_of(width, height, bits, at, sizes, samples=1, scheme=1, planar=1, predictor=1, fill=1, rows=None):
+    out = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits] * samples), (259, 3, [scheme]), (266, 3, [fill]), (273, 4, at), (277, 3, [samples]), (278, 4, [rows or height]), (279, 4, sizes)]
+    return [*out, (284, 3, [planar]), (317, 3, [predictor])]
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiles_of_wide_samples(order):
+    image = np.arange(16 * 16, dtype=f"{order}u2").reshape(16, 16) * 200
+    coded = np.diff(image.astype(np.int64), axis=1, prepend=0).astype("i4").astype(f"{order}u2")
     data = zlib.compress(coded.tobytes())
     base = [(256, 4, [10]), (257, 4, [12]), (258, 3, [16]), (259, 3, [8]), (277, 3, [1]), (317, 3, [2])]
-    page = next(iter(T.read_pages(tiff([*base, (322, 4, [16]), (323, 4, [16]), (324, 4, [8]), (325, 4, [len(data)])], data))))
-    assert np.array_equal(np.frombuffer(page.pixels, ">u2").reshape(12, 10), image[:12, :10])
+    found = page_of([*base, (322, 4, [16]), (323, 4, [16]), (324, 4, [8]), (325, 4, [len(data)])], data, order=order)
+    assert np.array_equal(np.frombuffer(found, f"{order}u2").reshape(12, 10), image[:12, :10])
+
+
+def test_planes_big_files_and_bit_order():
+    r = np.random.default_rng(1)
+    image = r.integers(0, 256, (5, 7, 3), np.uint8)
+    planes = image.transpose(2, 0, 1).tobytes()
+    for big in (False, True):
+        head = 16 if big else 8
+        assert page_of(fields_of(7, 5, 8, [head, head + 35, head + 70], [35] * 3, 3, planar=2), planes, big=big) == image.tobytes()
+    # samples of one bit in three planes become neighbours
+    bits = r.integers(0, 2, (4, 10, 3), np.uint8)
+    data = b"".join(np.packbits(bits[:, :, k], axis=1).tobytes() for k in range(3))
+    assert page_of(fields_of(10, 4, 1, [8, 16, 24], [8] * 3, 3, planar=2), data) == np.packbits(bits.reshape(4, 30), axis=1).tobytes()
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in planes[:35])
+    assert page_of(fields_of(7, 5, 8, [8], [35], fill=2), turned) == planes[:35]
+    assert page_of(fields_of(7, 5, 8, [8, 22], [14, 21], rows=2, scheme=1)[:0] + fields_of(7, 5, 8, [8, 22, 36], [14, 14, 7], rows=2), planes[:35]) == planes[:35]
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_floating_point_predictor(order):
+    image = np.random.default_rng(2).normal(size=(3, 6)).astype(f"{order}f4")
+    big = image.astype(">f4").view(np.uint8).reshape(3, 6, 4).transpose(0, 2, 1).reshape(3, 24)
+    data = np.diff(big.astype(np.int16), axis=1, prepend=np.zeros((3, 1), np.int16)).astype(np.uint8).tobytes()
+    assert page_of(fields_of(6, 3, 32, [8], [len(data)], predictor=3), data, order=order) == image.tobytes()
+
+
+HOSTILE = [
+    tiff([(256, 11, [4.0]), *fields_of(4, 4, 8, [8], [16])[1:]], b"x" * 16),
+    tiff([*fields_of(4, 4, 8, [8], [16], planar=2)[:6], (277, 3, [0]), *fields_of(4, 4, 8, [8], [16], planar=2)[7:]], b"x" * 16),
+    tiff(fields_of(1 << 31, 1 << 31, 8, [8], [16]), b"x" * 16), tiff(fields_of(4, 4, 0, [8], [16]), b"x" * 16), tiff(fields_of(4, 4, 8, [1 << 31], [16]), b"x" * 16),
+    tiff([(256, 16, [1 << 62]), (257, 16, [1 << 62]), *fields_of(4, 4, 8, [16], [16])[2:]], b"x" * 16, big=True), tiff(fields_of(4, 4, 8, [8], [16], scheme=7), b"x" * 16),
+    tiff(fields_of(4, 4, 8, [8], [16], predictor=9), b"x" * 16), b"", b"II", b"II*\0", b"MM\0+\0\x08\0\0" + b"\xff" * 30,
+]
+
+
+def test_hostile_files_are_rows(spark):
+    rows = [(k, x) for k, x in enumerate(HOSTILE)]
+    found = T.tiff_pages(spark.createDataFrame(rows, "doc_id int, media binary")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(HOSTILE))) and all(r["error"] for r in found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_mutated_files(data):
+    file = bytearray(T.write_gray(b"some text here, some there  " * 192, page_rows=10, strip_rows=5))
+    for _ in range(data.draw(st.integers(1, 6))):
+        file[data.draw(st.integers(0, len(file) - 1))] = data.draw(st.integers(0, 255))
+    try:
+        list(T.read_pages(bytes(file)))
+    except T.FAULTS:
+        pass
 
 
 def test_faults(spark):
