@@ -47,7 +47,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE, STEP = 1e-5, 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS = 4096, 16 << 20, 1 << 19, 500
+GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS, SIGNED_BYTES = 4096, 16 << 20, 1 << 19, 500, 4 << 20
 SEED = 20_240_801
 
 _draw = np.random.default_rng(SEED)
@@ -151,7 +151,7 @@ def signed(df: DataFrame) -> DataFrame:
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SIGNED_BYTES):
                 h, offsets = word_hashes(text_array(part.column("text")))
                 signature = minhashes(*shingles(h, offsets))
                 keys = band_keys(signature)
@@ -374,7 +374,7 @@ def bucket_members(reps: DataFrame) -> DataFrame:
     alike = counts.where("n > 1").groupBy("n", "w", "x", "y").agg(F.min("key").alias("key"))
     n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("long")
     chosen = stored(alike.select("key", n_blocks.alias("n_blocks")), "buckets")
-    places = stored(keys.join(chosen, "key").groupBy("row").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"), F.collect_list(F.struct("key", "band", "n_blocks")).alias("places")), "bucket-members")  # BANDS places a row at most
+    places = stored(keys.join(few(chosen), "key").groupBy("row").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"), F.collect_list(F.struct("key", "band", "n_blocks")).alias("places")), "bucket-members")  # BANDS places a row at most
     forget(chosen)
     return places
 

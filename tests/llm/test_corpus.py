@@ -222,3 +222,34 @@ def test_recall_on_documents(spark):
     assert want
     found = {r["doc_id"]: r["n_links"] for r in B.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {k: want[k] for k, _ in docs}
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_tables(spark, sf_dir, prose, tokens, stage):
+    """Null, empty and long texts, repeated rows and ids, null ids and sources, clashing names, an empty table."""
+    import corpus_pipeline as P
+
+    name, run = P.STAGES[stage]
+    good = [prose(80, 7000 + k) for k in range(6)]
+    texts = [None, "", "  ", *good, good[0], good[0] + " more", "short", prose(20_000, 8000)]
+    rows = [(None if k % 5 == 4 else k // 2, t, "en", None if k % 3 else "s", k, 1.5, "x", [k]) for k, t in enumerate(texts)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row string, key array<long>")
+    found = run(spark, docs, sf_dir)
+    kept = found.collect()
+    assert run(spark, docs.limit(0), sf_dir).collect() == []
+    if name == "packing":
+        assert sum(r["start"] == 0 for r in kept) == len(rows)
+        return
+    assert found.columns == docs.columns
+    every = [tuple(r) for r in docs.collect()]
+    assert all(tuple(r) in every for r in kept)
+    words = [len((t or "").split()) for _, t, *_ in rows]
+    if name == "quality":
+        assert len(kept) == sum(w >= 20 for w in words)
+    if name == "toxicity":
+        assert len(kept) == len(rows)
+    if name == "near_duplicates":
+        assert len(kept) == 3 + len(good) + 2
+    if name == "mixing":
+        took = sum(len((r["text"] or "").split()) for r in kept)
+        assert 0 < took <= sum(words) + 1 and {r["source"] for r in kept} == {None, "s"}
