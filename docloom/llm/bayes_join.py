@@ -47,7 +47,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE, STEP = 1e-5, 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS, SIGNED_BYTES = 4096, 16 << 20, 1 << 19, 500, 4 << 20
+GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS, SIGNED_BYTES, FEW_ENTRIES = 4096, 16 << 20, 1 << 19, 500, 4 << 20, 250_000
 SEED = 20_240_801
 
 _draw = np.random.default_rng(SEED)
@@ -398,10 +398,10 @@ def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     entries = entries.select("row", "signature", "mask", "key", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     with arrow_rows(marks.sparkSession, WIDE_ROWS):
         hits = stored(with_survivors(entries, survival), "survivors")
-        wanted = stored(hits.select("row").distinct(), "wanted")
-        texts = marks.select("row", "text", "signature").join(few(wanted), "row").join(places.select("row", "mask"), "row").join(first, "row")
-        sets = stored(shingle_sets(texts), "shingles")
-        links = stored(verified(hits.join(sets, "row"), exact, survival), "links")
+        wanted = hits.select("row").distinct().join(places.select("row", "mask"), "row").join(first, "row")
+        wanted = stored(wanted, "wanted")
+        sets = stored(shingle_sets(marks.select("row", "text", "signature").join(few(wanted, FEW_ENTRIES), "row")), "shingles")
+        links = stored(verified(sets.join(few(hits, FEW_ENTRIES), "row"), exact, survival), "links")
     counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     tree = components(links.select(F.col("row").alias("a"), F.col("hub").alias("b")), "classes")
     info = classes.withColumn("row", F.col("copy.row")).join(counts, "row", "left").join(tree.withColumnRenamed("node", "row"), "row", "left")
