@@ -199,7 +199,8 @@ def _ranges(spec: Column | str, pages: Column | str) -> Column:
 
     def parsed(t: Column) -> Column:
         single, both = rf"^(\d+)\z", rf"^(\d+)?[{SPACE}]*-[{SPACE}]*(\d+)?\z"
-        number = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit("")).try_cast("long")
+        given = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
+        number = lambda p, k: F.when(given(p, k).isNotNull(), F.coalesce(given(p, k).try_cast("long"), F.lit((1 << 63) - 1)))  # noqa: E731  a longer number is out of any range
         is_single = t.rlike(single)
         low = F.when(is_single, number(single, 1)).otherwise(F.coalesce(number(both, 1), F.lit(1)))
         high = F.when(is_single, number(single, 1)).otherwise(F.coalesce(number(both, 2), n.cast("long")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fonts import ocr_font
 from docloom.functions.geometry import clamp, fit_scale, fitted, progress
+from docloom.functions.text import trim
 
 #: Recompression presets and floors, size warning, word sizes, stage windows.
 PRESETS = {"high": (2048, 0.82), "balanced": (1600, 0.72), "extreme": (1100, 0.58)}
@@ -50,14 +51,17 @@ def fill_form(fields: DataFrame, values: DataFrame, flatten: bool = True) -> Dat
 
 
 def appearance(fields: DataFrame) -> DataFrame:
-    """The face that draws each touched text: the form's own, a script's, or none."""
+    """The face that draws each touched text: the form's own, a script's, or none; need_appearances
+    where a touched text of the document has none, or where the form stays a form."""
     from docloom.functions.fonts import SCRIPT_FONTS
     from docloom.functions.text import detect_script, has_non_winansi
 
     text = F.coalesce("value_str", F.lit(""))
     face = F.when(~has_non_winansi(text), "Helvetica").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in SCRIPT_FONTS.items() for x in kv]), detect_script(text)))
     whole = F.col("touched") & (F.col("field_type") != "checkbox")
-    return fields.withColumn("face", F.when(whole, face)).withColumn("need_appearances", F.lit(False))
+    drawn = fields.withColumn("face", F.when(whole, face))
+    missing = drawn.groupBy("doc_id").agg(F.bool_or(whole & F.col("face").isNull()).alias("missing"))
+    return drawn.join(missing, "doc_id").withColumn("need_appearances", F.coalesce("missing", F.lit(False)) | ~F.col("flattened")).drop("missing")
 
 
 def color_class(family: Column, icc_n: Column) -> Column:
@@ -75,7 +79,8 @@ def color_class(family: Column, icc_n: Column) -> Column:
 
 def recompressible(images: DataFrame) -> DataFrame:
     """Image objects with `eligible`: no mask of another image, one plain filter, large
-    enough, and of a layout that can be rebuilt sample by sample."""
+    enough, and of a layout that can be rebuilt sample by sample.  Where the table has
+    `inflated_bytes`, a Flate image must inflate to just its samples (null: it doesn't inflate)."""
     masks = images.select("doc_id", F.explode(F.array("smask_ref", "mask_ref")).alias("ref")).where("ref is not null").distinct()
     flagged = images.join(masks.withColumn("is_mask", F.lit(True)), ["doc_id", "ref"], "left")
     color = color_class(F.col("cs_family"), F.col("icc_n"))
@@ -83,6 +88,8 @@ def recompressible(images: DataFrame) -> DataFrame:
     known = F.col("color.kind").isin("rgb", "gray")
     jpeg = (F.col("filter") == "DCTDecode") & known & ~F.col("has_decode")
     flate = (F.col("filter") == "FlateDecode") & known & F.col("color.device") & ~F.col("has_decode") & ~F.col("has_decode_parms") & (F.col("bpc") == 8)
+    if "inflated_bytes" in images.columns:
+        flate = flate & (F.col("inflated_bytes") == F.col("width").cast("long") * F.col("height") * F.when(F.col("color.kind") == "rgb", 3).otherwise(1))
     large = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width").cast("long") * F.col("height") > LEAST_PIXELS) & (F.col("n_bytes") >= LEAST_BYTES)
     fine = F.col("is_mask").isNull() & ~F.col("image_mask") & ~F.col("has_external") & large & (jpeg | flate)
     return flagged.withColumn("eligible", F.coalesce(fine, F.lit(False))).drop("is_mask")
@@ -128,7 +135,7 @@ def placed_words(words: DataFrame) -> DataFrame:
     words: text, x0, y0, x1, y1, canvas_w, canvas_h, page_w, page_h."""
     fx, fy = F.col("page_w") / F.col("canvas_w"), F.col("page_h") / F.col("canvas_h")
     size = clamp((F.col("y1") - F.col("y0")) * fy, *WORD_SIZE)
-    return words.where(F.trim("text") != "").withColumns({"x": F.col("x0") * fx, "y": F.col("page_h") - F.col("y1") * fy, "font_size": size, "face": ocr_font(F.col("text"))})
+    return words.where(trim("text") != "").withColumns({"x": F.col("x0") * fx, "y": F.col("page_h") - F.col("y1") * fy, "font_size": size, "face": ocr_font(F.col("text"))})
 
 
 def recognition_progress(events: DataFrame) -> DataFrame:
@@ -143,7 +150,7 @@ def recognition_progress(events: DataFrame) -> DataFrame:
 def recognised_text(pages: DataFrame) -> DataFrame:
     """Text of each document from doc_id, page_no (from 1) and text, pages apart by a blank line."""
     title = F.concat(F.lit("──── Page "), F.col("page_no").cast("string"), F.lit(" ────\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", F.trim("text").alias("plain"), F.concat(title, F.trim("text")).alias("titled"))))
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", trim("text").alias("plain"), F.concat(title, trim("text")).alias("titled"))))
     packed = pages.groupBy("doc_id").agg(ordered.alias("p"))
     many = F.array_join(F.transform("p", lambda x: x["titled"]), "\n\n")
     return packed.select("doc_id", F.when(F.size("p") > 1, many).otherwise(F.get("p", F.lit(0))["plain"]).alias("text"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from docloom.functions.geometry import A4, rotated
 
 PAGE_COLUMNS = ["session_id", "pos", "page_id", "source_id", "source_index", "rotation", "blank_w", "blank_h"]
+COPY = r"\A(.*)-copy(?:-(\d+))?\z"
 NOTHING_LEFT = "Nothing to export — every page was removed."
 
 
@@ -60,17 +61,23 @@ def rotate_pages(pages: DataFrame, ids: DataFrame, delta: int) -> DataFrame:
 
 
 def duplicate_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """A copy of each page of `ids` right behind it; unknown ids do nothing."""
-    copies = pages.join(ids.select("session_id", "page_id").distinct(), ["session_id", "page_id"]).withColumn("page_id", F.concat("page_id", F.lit("-copy"))).withColumn("tie", F.lit(1))
+    """A copy of each page of `ids` right behind it; unknown ids do nothing.  The first copy of a
+    page p is p-copy, further ones p-copy-2 and so on, so that no id repeats."""
+    made = pages.select("session_id", F.regexp_extract("page_id", COPY, 1).alias("page_id"), F.coalesce(F.nullif(F.regexp_extract("page_id", COPY, 2), F.lit("")).cast("int"), F.lit(1)).alias("nth"))
+    made = made.where("page_id != ''").groupBy("session_id", "page_id").agg(F.max("nth").alias("nth"))
+    wanted = ids.select("session_id", "page_id").distinct().join(made, ["session_id", "page_id"], "left")
+    suffix = F.when(F.col("nth").isNull(), "-copy").otherwise(F.concat(F.lit("-copy-"), (F.col("nth") + 1).cast("string")))
+    copies = pages.join(wanted, ["session_id", "page_id"]).withColumn("page_id", F.concat("page_id", suffix)).withColumn("tie", F.lit(1)).drop("nth")
     return renumbered(pages.withColumn("tie", F.lit(0)).unionByName(copies), F.col("pos"), F.col("tie"))
 
 
 def insert_blank_pages(pages: DataFrame, at: DataFrame, size: tuple[float, float] = A4) -> DataFrame:
-    """A blank page before place `index` of each row of `at` (session_id, index, page_id), clamped to the list."""
+    """A blank page before place `index` of each row of `at` (session_id, index, page_id), clamped
+    to the list; a session without pages gets it as its first."""
     counts = pages.groupBy("session_id").agg(F.count("*").alias("n"))
-    blank = at.join(counts, "session_id").select(
+    blank = at.join(counts, "session_id", "left").select(
         "session_id",
-        F.greatest(F.lit(0), F.least("index", F.col("n"))).cast("int").alias("pos"),
+        F.greatest(F.lit(0), F.least("index", F.coalesce("n", F.lit(0)))).cast("int").alias("pos"),
         "page_id",
         F.lit(None).cast("string").alias("source_id"),
         F.lit(0).alias("source_index"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import trim
 from docloom.operators.session import sniffed
 
 
@@ -26,7 +27,7 @@ def text_items(raw: DataFrame, fonts: DataFrame | None = None, keep_blank: bool
     w, h and font_name; marked content has no str.  fonts: font_name, real_name."""
     bold = r"(?i)bold|black|heavy|semibold|demibold"
     rows = raw.where(F.col("str").isNotNull())
-    rows = rows if keep_blank else rows.where(F.trim("str") != "")
+    rows = rows if keep_blank else rows.where(trim("str") != "")
     t = lambda k: F.get("transform", F.lit(k))
     size = F.coalesce(F.nullif(F.hypot(t(2), t(3)), F.lit(0.0)), F.nullif("h", F.lit(0.0)), F.lit(12.0))
     real = F.lit(None).cast("string")
