@@ -37,8 +37,10 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 SCOPES = frozenset("td th caption table html button object marquee applet".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""")
+BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 NAMES = ["ord", "kind", "level", "ordered", "index", "depth", "text", "lang", "src", "runs", "header", "rows"]
 RUN_TYPE = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("code", pa.bool_()), ("href", pa.string())]))
@@ -50,10 +52,10 @@ SCHEMA = (
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "nodes")
+    __slots__ = ("tag", "attrs", "nodes", "open")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.nodes = tag, attrs, []
+        self.tag, self.attrs, self.nodes, self.open = tag, attrs, [], False
 
     @property
     def children(self) -> list[Element]:
@@ -78,37 +80,54 @@ class Element:
 
 
 class Builder:
+    """Open elements with the places of each tag, so that no search runs down the stack."""
+
     def __init__(self):
         self.root = Element("html", {})
         self.body = Element("body", {})
         self.root.nodes.append(self.body)
         self.stack = [self.root, self.body]
+        self.places: dict[str, list[int]] = {}
         self.formats: list[Element | None] = []  # None marks a cell's border
 
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+        e.open = True
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.places[e.tag].pop()
+        e.open = False
+        return e
+
+    def last(self, tags) -> int:
+        """The topmost open element of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def cut(self, k: int) -> None:
         """Closes the open elements from place k on; a cell takes its border with it."""
-        cells = sum(e.tag in ("td", "th") for e in self.stack[k:])
-        del self.stack[k:]
+        cells = 0
+        while len(self.stack) > k:
+            cells += self.pop().tag in ("td", "th")
         while cells and self.formats:
             cells -= self.formats.pop() is None
 
     def close_to(self, tags: frozenset, limits: frozenset) -> None:
-        for k in range(len(self.stack) - 1, 1, -1):
-            if self.stack[k].tag in tags:
-                self.cut(k)
-                return
-            if self.stack[k].tag in limits:
-                return
+        k = self.last(tags)
+        if k and k > self.last(limits - tags):
+            self.cut(k)
 
     def reopen(self) -> None:
         """Formatting elements that a block's end closed open again."""
-        begin = max((k + 1 for k, f in enumerate(self.formats) if f is None), default=0)
+        begin = len(self.formats)
+        while begin and self.formats[begin - 1] is not None and not self.formats[begin - 1].open:
+            begin -= 1
         for k in range(begin, len(self.formats)):
-            if not any(self.formats[k] is e for e in self.stack):
-                again = Element(self.formats[k].tag, self.formats[k].attrs)
-                self.stack[-1].nodes.append(again)
-                self.stack.append(again)
-                self.formats[k] = again
+            again = Element(self.formats[k].tag, self.formats[k].attrs)
+            self.stack[-1].nodes.append(again)
+            self.push(again)
+            self.formats[k] = again
 
     def text(self, value: str) -> None:
         if value.strip(" \t\n\f\r"):
@@ -116,6 +135,18 @@ class Builder:
         if self.stack[-1].tag not in ("table", "tr", "tbody", "thead", "tfoot") or value.strip():
             self.stack[-1].nodes.append(value)
 
+    def format(self, e: Element) -> None:
+        """Of equal formatting elements the last three stay in the list, as in browsers."""
+        alike = []
+        for k in range(len(self.formats) - 1, max(-1, len(self.formats) - 64), -1):
+            if self.formats[k] is None:
+                break
+            if self.formats[k].tag == e.tag and self.formats[k].attrs == e.attrs:
+                alike.append(k)
+        if len(alike) >= 3:
+            del self.formats[alike[2]]
+        self.formats.append(e)
+
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in ("html", "head", "body"):
             if tag == "body":
@@ -126,7 +157,7 @@ class Builder:
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.stack[-1].tag):
-            self.stack.pop()
+            self.pop()
         if tag in ("td", "th"):
             if self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 self.start("tr", {}, False)
@@ -141,12 +172,12 @@ class Builder:
         self.stack[-1].nodes.append(e)
         if tag in VOID or (closed and tag in ("svg", "path")):
             return
-        self.stack.append(e)
+        self.push(e)
         if tag in FORMATTING:
-            self.formats.append(e)
+            self.format(e)
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(e.tag == "p" for e in self.stack):
+        if tag == "p" and not self.places.get("p"):
             self.start("p", {}, False)
         if tag in ("html", "body", "head"):
             return
@@ -157,33 +188,59 @@ class Builder:
                     break
                 if self.formats[k].tag == tag:
                     gone = self.formats.pop(k)
-                    if any(gone is e for e in self.stack):
-                        del self.stack[next(i for i, e in enumerate(self.stack) if e is gone) :]
+                    if gone.open:
+                        while self.pop() is not gone:
+                            pass
                     return
             return
         if tag in ("table", "tbody", "thead", "tfoot", "tr"):
             limits = frozenset(["table"]) - {tag}
-        for k in range(len(self.stack) - 1, 1, -1):
-            if self.stack[k].tag == tag:
-                self.cut(k)
-                return
-            if self.stack[k].tag in limits:
-                return
+        k = self.last([tag])
+        if k and k > self.last(limits):
+            self.cut(k)
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
+def tags_of(page: str):
+    """(text before, tag match or None, place behind) of all tags and other markup, in linear time.
+
+    The caller may send a place to go on from.  A < that opens nothing is text; where every
+    > behind is quoted, quotes hide none from there on.
+    """
+    at, last, quotes, begin = 0, page.rfind(">"), True, 0
+    while True:
+        lt = page.find("<", at) if at <= last else -1
+        if lt < 0 or lt > last:
+            yield page[begin:], None, len(page)
+            return
+        m = (TAG if quotes else BARE_TAG).match(page, lt)
+        other = None if m else OTHER.match(page, lt)
+        if not m and not other:
+            if quotes and BARE_TAG.match(page, lt):
+                quotes, at = False, lt
+            else:
+                at = lt + 1
+            continue
+        stop = (m or other).end()
+        asked = yield page[begin:lt], m, stop
+        begin = at = stop if asked is None else asked
+
+
 def build(page: str) -> Element:
     """The body element of a page."""
-    tree, at, in_head = Builder(), 0, False
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        plain = page[at : m.start()]
-        at = m.end()
+    tree, in_head, tags, asked = Builder(), False, tags_of(page), None
+    while True:
+        try:
+            plain, m, at = tags.send(asked)
+        except StopIteration:
+            return tree.body
+        asked = None
         if plain and not in_head:
             tree.text(references.unescape(plain))
-        if not m[2]:
+        if not m:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag == "head":
@@ -195,16 +252,13 @@ def build(page: str) -> Element:
             continue
         if tag in RAW_TEXT:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            content, at = page[at : close.start() if close else len(page)], close.end() if close else len(page)
+            content, asked = page[at : close.start() if close else len(page)], close.end() if close else len(page)
             if not in_head:
                 tree.start(tag, attributes(m[3]), False)
                 tree.stack[-1].nodes.append(content)
-                tree.stack.pop()
+                tree.pop()
         elif not in_head or tag not in ("meta", "link", "base"):
             tree.start(tag, attributes(m[3]), m[3].endswith("/"))
-    if at < len(page) and not in_head:
-        tree.text(references.unescape(page[at:]))
-    return tree.body
 
 
 def collapse(text: str) -> str:
@@ -267,47 +321,61 @@ def image(e: Element, caption: str | None = None) -> list[tuple]:
     return [block("image", text=caption, src=e.attrs.get("src"))]
 
 
-def walk(e: Element, depth: int = 0) -> list[tuple]:
+def walk(body: Element) -> list[tuple]:
+    """Blocks in page order; elements wait on a stack with their list depth, blocks as they are."""
+    out: list[tuple] = []
+    waiting: list[tuple] = [(body, 0)]
+    while waiting:
+        e, depth = waiting.pop()
+        if not isinstance(e, Element):
+            out += e
+            continue
+        found, inner = own_blocks(e, depth)
+        out += found
+        waiting += reversed(inner)
+    return out
+
+
+def own_blocks(e: Element, depth: int) -> tuple[list[tuple], list[tuple]]:
+    """An element's blocks, and what follows: (element or blocks, depth)."""
     if e.tag in SKIPPED or "hidden" in e.attrs:
-        return []
+        return [], []
     if re.fullmatch("h[1-6]", e.tag):
-        return with_runs("heading", e, level=min(3, int(e.tag[1])))
+        return with_runs("heading", e, level=min(3, int(e.tag[1]))), []
     if e.tag in ("p", "blockquote"):
-        return with_runs("paragraph" if e.tag == "p" else "blockquote", e)
+        return with_runs("paragraph" if e.tag == "p" else "blockquote", e), []
     if e.tag == "pre":
         code = next((x for x in e.descend() if x.tag == "code"), None)
         lang = re.search(r"language-(\w+)", code.attrs.get("class", "")) if code else None
         text = e.text().strip("\n")
-        return [block("code", text=text, lang=lang[1] if lang else None)] if text.strip() else []
+        return [block("code", text=text, lang=lang[1] if lang else None)] if text.strip() else [], []
     if e.tag in ("ul", "ol"):
-        given = re.fullmatch(r"\s*(-?\d+)\s*", e.attrs.get("start", "1"))
-        start, out = (int(given[1]) if given else 1) or 1, []
+        given = re.fullmatch(r"\s*(-?\d{1,9})\s*", e.attrs.get("start", "1"))
+        start, inner = (int(given[1]) if given else 1) or 1, []
         for k, li in enumerate(c for c in e.children if c.tag == "li"):
-            out += with_runs("listItem", li, ordered=e.tag == "ol", index=start + k, depth=depth)
-            for nested in li.children:
-                if nested.tag in ("ul", "ol"):
-                    out += walk(nested, depth + 1)
-        return out
+            inner.append((with_runs("listItem", li, ordered=e.tag == "ol", index=start + k, depth=depth), depth))
+            inner += [(nested, depth + 1) for nested in li.children if nested.tag in ("ul", "ol")]
+        return [], inner
     if e.tag == "table":
-        return table(e)
+        return table(e), []
     if e.tag == "hr":
-        return [block("hr")]
+        return [block("hr")], []
     if e.tag == "img":
-        return image(e)
+        return image(e), []
     if e.tag == "figure":
         img = next((c for c in e.children if c.tag == "img"), None)
         caption = next((collapse(c.text()).strip() for c in e.children if c.tag == "figcaption"), "")
         if img is not None:
-            return image(img, caption or None)
+            return image(img, caption or None), []
     if e.tag in CONTAINERS:
         if e.tag != "body" and all(c.tag in INLINE for c in e.descend() if c is not e):
-            return with_runs("paragraph", e) + [b for c in e.descend() if c.tag == "img" for b in image(c)]
-        out = [b for c in e.children for b in walk(c, depth)]
+            return with_runs("paragraph", e) + [b for c in e.descend() if c.tag == "img" for b in image(c)], []
+        inner = [(c, depth) for c in e.children]
         loose = collapse(" ".join(n for n in e.nodes if isinstance(n, str))).strip()
         if loose:
-            out.append(block("paragraph", [{"text": loose, "bold": False, "italic": False, "code": False, "href": None}]))
-        return out
-    return with_runs("paragraph", e)
+            inner.append(([block("paragraph", [{"text": loose, "bold": False, "italic": False, "code": False, "href": None}])], depth))
+        return [], inner
+    return with_runs("paragraph", e), []
 
 
 def parse_html(page: str) -> list[tuple]:

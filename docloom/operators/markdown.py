@@ -4,6 +4,7 @@ Blocks: ATX and setext headings, paragraphs, fenced and indented code, quotes,
 bulleted and numbered lists with nesting, pipe tables, rules, raw HTML (tags
 stripped).  Inline: emphasis by * and _, code spans, links, autolinks, images,
 strikethrough, backslash escapes, hard breaks, character references of Markdown.
+Quotes, lists and inline styles nest MOST_NESTED deep; what lies deeper is plain text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ INLINE = re.compile(
     r"|(\*\*\*|___)(?=\S)(.+?)(?<=\S)\8|(\*\*|__)(?=\S)(.+?)(?<=\S)\10|([*_])(?=\S)(.+?)(?<=\S)\12|~~(?=\S)(.+?)(?<=\S)~~|(  +\n|\\\n)",
     re.S,
 )
+MOST_NESTED = 64
 REFERENCES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 NAMES = ["ord", "kind", "level", "ordered", "index", "depth", "text", "lang", "runs", "header", "rows"]
@@ -46,9 +48,11 @@ def unescaped(text: str) -> str:
     return text
 
 
-def inline_runs(text: str, style: dict | None = None) -> list[dict]:
+def inline_runs(text: str, style: dict | None = None, nested: int = 0) -> list[dict]:
     """Styled runs of a stretch of Markdown."""
     style = style or {"bold": False, "italic": False, "code": False, "href": None}
+    if nested > MOST_NESTED:
+        return [{"text": unescaped(text.replace("\n", " "))} | style]
     out: list[dict] = []
     at = 0
 
@@ -67,17 +71,17 @@ def inline_runs(text: str, style: dict | None = None) -> list[dict]:
         elif m[4] == "!":
             add(f"[{m[5]}]", italic=True)
         elif m[5] is not None:
-            out += inline_runs(m[5], style | {"href": m[6] or None})
+            out += inline_runs(m[5], style | {"href": m[6] or None}, nested + 1)
         elif m[7]:
             add(m[7], href=m[7])
         elif m[8]:
-            out += inline_runs(m[9], style | {"bold": True, "italic": True})
+            out += inline_runs(m[9], style | {"bold": True, "italic": True}, nested + 1)
         elif m[10]:
-            out += inline_runs(m[11], style | {"bold": True})
+            out += inline_runs(m[11], style | {"bold": True}, nested + 1)
         elif m[12]:
-            out += inline_runs(m[13], style | {"italic": True})
+            out += inline_runs(m[13], style | {"italic": True}, nested + 1)
         elif m[14] is not None:
-            out += inline_runs(m[14], style)
+            out += inline_runs(m[14], style, nested + 1)
         else:
             add(" ")
     if at < len(text):
@@ -101,8 +105,11 @@ def cells(line: str) -> list[str]:
     return [plain(inline_runs(p.strip().replace("\\|", "|"))) for p in parts]
 
 
-def parse(lines: list[str], depth: int = 0) -> list[tuple]:
+def parse(lines: list[str], depth: int = 0, nested: int = 0) -> list[tuple]:
     out: list[tuple] = []
+    if nested > MOST_NESTED:
+        text = tidy("\n".join(lines))
+        return [block("paragraph", [{"text": text, "bold": False, "italic": False, "code": False, "href": None}])] if text else []
     at = 0
     while at < len(lines):
         line = lines[at]
@@ -131,7 +138,7 @@ def parse(lines: list[str], depth: int = 0) -> list[tuple]:
             stop = at
             while stop < len(lines) and (QUOTE.match(lines[stop]) or (lines[stop].strip() and not starts_block(lines, stop))):
                 stop += 1
-            inner = parse([m[1] if (m := QUOTE.match(x)) else x for x in lines[at:stop]])
+            inner = parse([m[1] if (m := QUOTE.match(x)) else x for x in lines[at:stop]], nested=nested + 1)
             runs: list[dict] = []
             for b in inner:
                 if b[7] is not None:
@@ -140,7 +147,7 @@ def parse(lines: list[str], depth: int = 0) -> list[tuple]:
                 out.append(block("blockquote", runs))
             at = stop
         elif ITEM.match(line) and (depth or not RULE.match(line)):
-            found, at = parse_list(lines, at, depth)
+            found, at = parse_list(lines, at, depth, nested)
             out += found
         elif "|" in line and at + 1 < len(lines) and DELIMITER.match(lines[at + 1]) and len(cells(line)) == len(cells(lines[at + 1])):
             header, stop, rows = cells(line), at + 2, []
@@ -178,7 +185,7 @@ def starts_block(lines: list[str], at: int) -> bool:
     return bool(ATX.match(line) or FENCE.match(line) or RULE.match(line) or QUOTE.match(line) or (m and m[4] and (not m[2][0].isdigit() or int(m[2][:-1]) == 1)))
 
 
-def parse_list(lines: list[str], at: int, depth: int) -> tuple[list[tuple], int]:
+def parse_list(lines: list[str], at: int, depth: int, nested: int = 0) -> tuple[list[tuple], int]:
     """Items of one list; nested lists follow the item that holds them."""
     first = ITEM.match(lines[at])
     ordered = first[2][0].isdigit()
@@ -206,18 +213,17 @@ def parse_list(lines: list[str], at: int, depth: int) -> tuple[list[tuple], int]
             at += 1
         while at < len(lines) and not lines[at].strip() and at + 1 < len(lines) and (n := ITEM.match(lines[at + 1])) and n[2][-1] == mark:
             at += 1
-        inner = parse(own, depth + 1)
         runs: list[dict] = []
-        nested = []
-        for b in inner:
+        behind = []
+        for b in parse(own, depth + 1, nested + 1):
             if b[0] == "listItem":
-                nested.append(b)
-            elif b[7] is not None and not nested:
+                behind.append(b)
+            elif b[7] is not None and not behind:
                 runs += ([{"text": " "}] if runs else []) + b[7]
             else:
-                nested.append(b)
+                behind.append(b)
         out.append(block("listItem", runs, ordered=ordered, index=start + number, depth=depth))
-        out += nested
+        out += behind
         number += 1
     return out, at
 
