@@ -7,12 +7,14 @@ back as a column, so that any Spark sink can store them.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.functions.fonts import MONO
 
@@ -157,18 +159,28 @@ def per_file(rows: DataFrame, key: str, make, suffix: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, name string, data binary")
 
 
-def write_workbooks(cells: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Workbooks from sheet, row_no, col_no, text, number."""
+def page_order(sheet: str) -> list:
+    """Sorts numbers in a sheet's name by value, so that page 10 comes behind page 2."""
+    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", sheet) if x]
+
+
+def write_workbooks(cells: DataFrame, key: str = "doc_id", files: DataFrame | None = None) -> DataFrame:
+    """Workbooks from sheet, row_no, col_no, text, number: key, name, data and error.
+    files: the keys of all files; those without cells come back without data and with an error."""
     def make(pdf: pd.DataFrame) -> bytes:
         sheets = []
-        for name, sheet in pdf.groupby("sheet", sort=True):
+        for name, sheet in sorted(pdf.groupby("sheet"), key=lambda x: page_order(x[0])):
             rows: dict[int, dict[int, tuple]] = {}
             for r in sheet.itertuples():
                 rows.setdefault(r.row_no, {})[r.col_no] = (r.text or "", None if r.number is None else float(r.number))
             sheets.append((name, [[row.get(c, ("", None)) for c in range(max(row) + 1)] for _, row in sorted(rows.items())]))
         return workbook(sheets)
 
-    return per_file(cells, key, make, ".xlsx")
+    made = per_file(cells, key, make, ".xlsx").withColumn("error", F.lit(None).cast("string"))
+    if files is None:
+        return made
+    empty = files.select(key).distinct().join(cells.select(key).distinct(), key, "left_anti")
+    return made.unionByName(empty.select(key, F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("data"), F.lit(NO_TEXT).alias("error")))
 
 
 def write_pdfs(drawn: DataFrame, size: tuple[float, float], key: str = "doc_id") -> DataFrame:
