@@ -87,11 +87,12 @@ def string_functions(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS ({duck("colors")}), h AS (SELECT id, CASE WHEN shape <> 0 THEN '#' || printf('%02x%02x%02x', r, g, b) END AS hex, CASE WHEN shape <> 0 THEN r / 255.0 END AS red FROM t)
-SELECT id, hex, red::DOUBLE AS red FROM h""")
+WITH t AS ({duck("colors")}), h AS (SELECT id, r, g, b, CASE WHEN shape <> 0 THEN '#' || printf('%02x%02x%02x', r, g, b) END AS hex FROM t)
+SELECT id, hex, CASE WHEN hex IS NOT NULL THEN r / 255.0::DOUBLE END AS red, CASE WHEN hex IS NOT NULL THEN g / 255.0::DOUBLE END AS green, CASE WHEN hex IS NOT NULL THEN b / 255.0::DOUBLE END AS blue FROM h""")
 def css_colors(spark, sf_dir):
     rows = load(spark, sf_dir, "colors").withColumn("hex", T.css_color("css"))
-    return rows.select("id", "hex", T.hex_channels("hex")["r"].alias("red"))
+    channels = T.hex_channels("hex")
+    return rows.select("id", "hex", *[channels[c[0]].alias(c) for c in ("red", "green", "blue")])
 
 
 PAGES_SQL = f"""sources AS ({duck("sources")}), pages AS (
@@ -138,11 +139,19 @@ def insert_blank_pages(spark, sf_dir):
     return S.insert_blank_pages(pages, at).select("session_id", "page_id", "pos", "blank_w")
 
 
-@query(f"""WITH {PAGES_SQL} SELECT p.session_id, p.pos AS out_pos, p.page_id, CASE WHEN s.kind = 'pdf' THEN 'copy' WHEN regexp_matches(s.mime, '/jpe?g$') OR regexp_matches(s.name, '\\.jpe?g$') THEN 'embed_jpg' ELSE 'embed_png' END AS action
-FROM pages p JOIN sources s ON p.session_id = s.session_id AND p.source_id = s.source_id""")
+# a blank page at place 3 of each session, sources that are gone, and pages turned by themselves
+@query(f"""WITH {PAGES_SQL}, both_lists AS (SELECT session_id, pos, 1 AS tie, page_id, source_id, source_index FROM pages UNION ALL SELECT session_id, least(count(*), 3), 0, 'blank', NULL, 0 FROM pages GROUP BY session_id),
+j AS (SELECT b.*, s.kind, s.mime, s.name, s.source_no FROM both_lists b LEFT JOIN (SELECT * FROM sources WHERE source_no % 7 <> 3) s ON b.session_id = s.session_id AND b.source_id = s.source_id WHERE b.source_id IS NULL OR s.kind IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos, tie) - 1 AS out_pos, page_id,
+  CASE WHEN source_id IS NULL THEN 'blank' WHEN kind = 'pdf' THEN 'copy' WHEN regexp_matches(mime, '/jpe?g$') OR regexp_matches(name, '\\.jpe?g$') THEN 'embed_jpg' ELSE 'embed_png' END AS action,
+  CASE WHEN kind = 'pdf' THEN ((source_index % 4) * 90 + 90) % 360 WHEN source_id IS NULL THEN 0 ELSE 90 END::INT AS rotation, CASE WHEN source_id IS NULL THEN 595.28::DOUBLE END AS blank_w FROM j""")
 def export_plan(spark, sf_dir):
     sources, pages = _pages(spark, sf_dir)
-    return S.export_plan(pages, sources).select("session_id", "out_pos", "page_id", "action")
+    own = pages.select("session_id", "source_id", "source_index", (F.col("source_index") % 4 * 90).alias("rotation"))
+    turned = S.rotate_pages(pages, pages.select("session_id", "page_id"), 90)
+    at = pages.select("session_id").distinct().withColumns({"index": F.lit(3), "page_id": F.lit("blank")})
+    plan = S.export_plan(S.insert_blank_pages(turned, at), sources.where("source_no % 7 <> 3"), own)
+    return plan.select("session_id", "out_pos", "page_id", "action", "rotation", "blank_w")
 
 
 @query(f"""WITH {PAGES_SQL}, n AS (SELECT *, pos + 3 AS number, count(*) OVER (PARTITION BY session_id) + 2 AS last FROM pages),
@@ -200,15 +209,39 @@ def classify_lines(spark, sf_dir):
     return rows.select("line_id", I.classify_line(F.col("text"), F.col("font_size"), F.col("bold"), F.col("page_median")).alias("kind"), T.strip_bullet("text").alias("body"))
 
 
-@query()
+@query(f"""WITH p AS ({duck("prose_items")}), o AS (SELECT o_orderkey AS page_no, o_orderpriority, o_orderkey, o_custkey, o_orderstatus FROM orders),
+b AS (SELECT page_no, unnest([{{'ord': 0, 'kind': 'heading1', 'text': o_orderpriority}}, {{'ord': 1, 'kind': 'paragraph', 'text': 'The order ' || o_orderkey || ' came from customer ' || o_custkey || ' and is done.'}},
+  {{'ord': 2, 'kind': 'paragraph', 'text': 'A second text follows and goes on'}}, {{'ord': 3, 'kind': 'bullet', 'text': 'item ' || o_orderstatus || CASE WHEN page_no IN (SELECT page_no FROM p WHERE item_no = 6) THEN ' wrapped on' ELSE '' END}},
+  {{'ord': 4, 'kind': 'paragraph', 'text': 'abcd'}}, {{'ord': 5, 'kind': 'heading2', 'text': 'Part B continued'}}]) AS b FROM o)
+SELECT page_no, b.ord::INT AS ord, b.kind AS kind, b.text AS text FROM b""")
 def reconstruct_blocks(spark, sf_dir):
+    return I.reconstruct_blocks(load(spark, sf_dir, "prose_items"), KEYS)
+
+
+# lines of an order are blocks of their own, as they lie too far apart; sizes and weights decide their kinds
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT page_no, y, any_value(font_size) AS size, any_value(bold) AS bold, string_agg(str, ' ' ORDER BY x) AS text FROM items GROUP BY page_no, y),
+m AS (SELECT *, size / median(size) OVER (PARTITION BY page_no) AS ratio FROM l)
+SELECT page_no, (row_number() OVER (PARTITION BY page_no ORDER BY y DESC) - 1)::INT AS ord, CASE WHEN ratio >= 1.15 OR (ratio >= 1.05 AND bold) THEN 'heading2' ELSE 'paragraph' END AS kind, text FROM m""")
+def reconstruct_lines(spark, sf_dir):
     return I.reconstruct_blocks(load(spark, sf_dir, "items"), KEYS)
 
 
-@query()
+MIXED_SQL = f"""items AS ({duck('mixed_items')}), numbered AS (SELECT *, item_no // 10 AS line, item_no % 10 AS col FROM items),
+cells AS (SELECT page_no, (line // 4)::INT AS table_no, (line % 4 - 1)::INT AS row_no, col::INT AS col_no, str AS text FROM numbered WHERE line % 4 <> 0),
+texts AS (SELECT page_no, line // 4 AS place, str AS text FROM numbered WHERE line % 4 = 0)"""
+
+
+@query(f"""WITH {MIXED_SQL} SELECT page_no, table_no, row_no, col_no, text, (740 - 160 * table_no - 40 + 10)::DOUBLE AS y_top, (740 - 160 * table_no - 120 - 10)::DOUBLE AS y_bottom FROM cells""")
+def mixed_tables(spark, sf_dir):
+    return I.detect_tables(load(spark, sf_dir, "mixed_items"), KEYS)
+
+
+@query(f"""WITH {MIXED_SQL} SELECT page_no, (table_no * 2 + 1)::INT AS part, row_no, col_no, 'cell' AS kind, text FROM cells
+UNION ALL SELECT page_no, CASE WHEN page_no % 3 = 0 THEN 0 ELSE place * 2 END::INT, CASE WHEN page_no % 3 = 0 THEN place ELSE 0 END::INT, 0, 'paragraph', text FROM texts
+UNION ALL SELECT p_partkey, 0, 0, 0, 'note', '{I.SCANNED_PAGE_NOTE}' FROM part WHERE p_partkey % 5 = 0""")
 def word_parts(spark, sf_dir):
-    items = load(spark, sf_dir, "items")
-    return I.word_parts(items, items.select("page_no").distinct(), KEYS)
+    pages = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("page_no"))
+    return I.word_parts(load(spark, sf_dir, "mixed_items"), pages, KEYS)
 
 
 @query(f"""WITH {ITEMS_SQL}, n AS (SELECT page_no, count(DISTINCT y) AS n FROM items GROUP BY page_no),
@@ -220,15 +253,17 @@ def sheet_cells(spark, sf_dir):
     return I.sheet_cells(items, items.select("doc", "page_no").distinct(), "doc", "page_no").select("doc", "sheet", "row_no", "col_no", "text", "number")
 
 
-@query(f"""WITH t AS ({duck("texts")}), b AS (
+@query(f"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM ({duck("texts")}) y), b AS (
   SELECT doc_id, unnest([
-    {{'ord': 0, 'kind': 'heading', 'level': 2, 'n': length(regexp_extract(text, '^([^\\n]+)', 1))}}, {{'ord': 1, 'kind': 'paragraph', 'level': NULL, 'n': length(string_split(text, chr(10))[3]) + 14}},
-    {{'ord': 2, 'kind': 'listItem', 'level': NULL, 'n': length(string_split(text, chr(10))[6]) - 2}}, {{'ord': 3, 'kind': 'listItem', 'level': NULL, 'n': length(string_split(text, chr(10))[7]) - 4}}, {{'ord': 4, 'kind': 'listItem', 'level': NULL, 'n': 5}},
-    {{'ord': 5, 'kind': 'blockquote', 'level': NULL, 'n': length(string_split(text, chr(10))[10]) - 2 + 6}}, {{'ord': 6, 'kind': 'code', 'level': NULL, 'n': length(string_split(text, chr(10))[13]) - 4}},
-    {{'ord': 7, 'kind': 'heading', 'level': 3, 'n': 11}}, {{'ord': 8, 'kind': 'paragraph', 'level': NULL, 'n': 3}}, {{'ord': 9, 'kind': 'hr', 'level': NULL, 'n': NULL}}, {{'ord': 10, 'kind': 'heading', 'level': 1, 'n': 5}}]) AS b FROM t)
-SELECT doc_id, b.ord::INT AS ord, b.kind AS kind, b.level::INT AS level, b.n::INT AS n FROM b""")
+    {{'ord': 0, 'kind': 'heading', 'level': 2, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': x[1]}}, {{'ord': 1, 'kind': 'paragraph', 'level': NULL, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': x[3] || ' goes on here.'}},
+    {{'ord': 2, 'kind': 'listItem', 'level': NULL, 'ordered': false, 'index': 0, 'depth': 0, 'text': x[6][3:]}}, {{'ord': 3, 'kind': 'listItem', 'level': NULL, 'ordered': false, 'index': 0, 'depth': 1, 'text': x[7][5:]}},
+    {{'ord': 4, 'kind': 'listItem', 'level': NULL, 'ordered': true, 'index': 1, 'depth': 0, 'text': 'first'}}, {{'ord': 5, 'kind': 'blockquote', 'level': NULL, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': x[10][3:] || ' twice'}},
+    {{'ord': 6, 'kind': 'code', 'level': NULL, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': x[13][5:]}}, {{'ord': 7, 'kind': 'heading', 'level': 3, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': 'Next steps:'}},
+    {{'ord': 8, 'kind': 'paragraph', 'level': NULL, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': 'end'}}, {{'ord': 9, 'kind': 'hr', 'level': NULL, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': NULL}},
+    {{'ord': 10, 'kind': 'heading', 'level': 1, 'ordered': NULL, 'index': NULL, 'depth': NULL, 'text': 'Title'}}]) AS b FROM t)
+SELECT doc_id, b.ord::INT AS ord, b.kind AS kind, b.level::INT AS level, b.ordered AS ordered, b.index AS index, b.depth AS depth, b.text AS text FROM b""")
 def text_blocks(spark, sf_dir):
-    return text_to_blocks(load(spark, sf_dir, "texts")).select("doc_id", "ord", "kind", "level", F.char_length("text").alias("n"))
+    return text_to_blocks(load(spark, sf_dir, "texts")).select("doc_id", "ord", "kind", "level", "ordered", "index", "depth", "text")
 
 
 @query("""SELECT lang, 'paragraph' AS kind, count(*) AS n, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS chars FROM documents WHERE trim(text) <> '' GROUP BY lang""")
@@ -238,9 +273,31 @@ def text_block_counts(spark, sf_dir):
     return blocks.groupBy(F.col("id.lang").alias("lang"), "kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query()
+@query("""SELECT doc_id, b.ord::INT AS ord, b.kind AS kind, b.level AS level, b.ordered AS ordered, b.index AS index, b.depth AS depth, b.text AS text, b.lang AS lang FROM (
+  SELECT p_partkey AS doc_id, unnest([
+    {'ord': 0, 'kind': 'heading', 'level': 1::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': p_brand, 'lang': NULL::VARCHAR},
+    {'ord': 1, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'Some em and ' || p_type || ' with code. next line', 'lang': NULL::VARCHAR},
+    {'ord': 2, 'kind': 'listItem', 'level': NULL::INT, 'ordered': false::BOOLEAN, 'index': 1::INT, 'depth': 0::INT, 'text': 'one ' || p_size, 'lang': NULL::VARCHAR},
+    {'ord': 3, 'kind': 'listItem', 'level': NULL::INT, 'ordered': false::BOOLEAN, 'index': 1::INT, 'depth': 1::INT, 'text': 'two', 'lang': NULL::VARCHAR},
+    {'ord': 4, 'kind': 'listItem', 'level': NULL::INT, 'ordered': false::BOOLEAN, 'index': 2::INT, 'depth': 0::INT, 'text': 'three', 'lang': NULL::VARCHAR},
+    {'ord': 5, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 1::INT, 'depth': 0::INT, 'text': 'first', 'lang': NULL::VARCHAR},
+    {'ord': 6, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 2::INT, 'depth': 0::INT, 'text': 'second', 'lang': NULL::VARCHAR},
+    {'ord': 7, 'kind': 'blockquote', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'quoted ' || p_brand, 'lang': NULL::VARCHAR},
+    {'ord': 8, 'kind': 'code', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'select 1', 'lang': 'sql'::VARCHAR},
+    {'ord': 9, 'kind': 'hr', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': NULL, 'lang': NULL::VARCHAR}]) AS b FROM part WHERE p_partkey % 3 = 0
+UNION ALL   SELECT p_partkey AS doc_id, unnest([
+    {'ord': 0, 'kind': 'heading', 'level': 1::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'Title ' || p_brand, 'lang': NULL::VARCHAR},
+    {'ord': 1, 'kind': 'table', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': NULL, 'lang': NULL::VARCHAR},
+    {'ord': 2, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'raw ' || p_brand, 'lang': NULL::VARCHAR},
+    {'ord': 3, 'kind': 'code', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'indented', 'lang': NULL::VARCHAR}]) AS b FROM part WHERE p_partkey % 3 = 1
+UNION ALL   SELECT p_partkey AS doc_id, unnest([
+    {'ord': 0, 'kind': 'heading', 'level': 2::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': p_brand, 'lang': NULL::VARCHAR},
+    {'ord': 1, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'line link and [img] gone a*b & c', 'lang': NULL::VARCHAR},
+    {'ord': 2, 'kind': 'heading', 'level': 2::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'Sub', 'lang': NULL::VARCHAR},
+    {'ord': 3, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 5::INT, 'depth': 0::INT, 'text': 'five', 'lang': NULL::VARCHAR},
+    {'ord': 4, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 6::INT, 'depth': 0::INT, 'text': 'six', 'lang': NULL::VARCHAR}]) AS b FROM part WHERE p_partkey % 3 = 2) x""")
 def markdown_blocks(spark, sf_dir):
-    blocks = M.markdown_to_blocks(load(spark, sf_dir, "texts"))
+    blocks = M.markdown_to_blocks(load(spark, sf_dir, "markdown"))
     return blocks.select("doc_id", "ord", "kind", "level", "ordered", "index", "depth", "text", "lang")
 
 
@@ -277,9 +334,19 @@ def code_lines(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(L.code_chunks(F.col("text"), 40)).alias("line_no", "piece"))
 
 
-@query()
+# a paragraph, a box with its code, a number with its item, and a rule, each below the last
+@query(f"""WITH c AS ({duck("cards")}), d AS (SELECT doc_id, max(text) FILTER (ord = 0) AS t0, max(text) FILTER (ord = 1) AS t1, max(index) AS n FROM c GROUP BY doc_id),
+b AS (SELECT doc_id, unnest([
+  {{'draw_no': 0, 'what': 'text', 'x': 72, 'y': 769.89 - 16.5 + 2.75, 'w': length(t0) * 6.116, 'h': 11, 'text': t0, 'face': 'Helvetica', 'size': 11::DOUBLE}},
+  {{'draw_no': 1, 'what': 'box', 'x': 72, 'y': 769.89 - 24.5 - 25.3, 'w': 451.28, 'h': 25.3, 'text': NULL, 'face': NULL, 'size': NULL}},
+  {{'draw_no': 2, 'what': 'text', 'x': 78, 'y': 769.89 - 24.5 - 6 - 13.3 + 1.9, 'w': length(t1) * 5.7, 'h': 9.5, 'text': t1, 'face': 'Courier', 'size': 9.5}},
+  {{'draw_no': 3, 'what': 'text', 'x': 76, 'y': 769.89 - 57.8 - 16.5 + 2.75, 'w': length(n::VARCHAR) * 6.116 + 3.058, 'h': 11, 'text': n || '.', 'face': 'Helvetica', 'size': 11}},
+  {{'draw_no': 4, 'what': 'text', 'x': 90, 'y': 769.89 - 57.8 - 16.5 + 2.75, 'w': 6.116, 'h': 11, 'text': '0', 'face': 'Helvetica', 'size': 11}},
+  {{'draw_no': 5, 'what': 'rule', 'x': 72, 'y': 769.89 - 57.8 - 20.5 - 10, 'w': 451.28, 'h': 0.5, 'text': NULL, 'face': NULL, 'size': NULL}}]) AS b FROM d)
+SELECT doc_id, b.draw_no::INT AS draw_no, 0 AS page_no, b.what AS what, round(b.x, 3)::DOUBLE AS x, round(b.y, 3)::DOUBLE AS y, round(b.w, 3)::DOUBLE AS w, round(b.h, 3)::DOUBLE AS h, b.text AS text, b.face AS face, b.size::DOUBLE AS size FROM b""")
 def typeset_blocks(spark, sf_dir):
-    return L.typeset_blocks(M.markdown_to_blocks(load(spark, sf_dir, "texts"))).drop("href")
+    drawn = L.typeset_blocks(load(spark, sf_dir, "cards")).drop("href")
+    return drawn.withColumns({c: F.round(c, 3) for c in ("x", "y", "w", "h")})
 
 
 PIXELS_SQL = f"px AS ({duck('pixels')}), gray AS (SELECT *, (77 * r + 151 * g + 28 * b) >> 8 AS gray FROM px)"
@@ -358,12 +425,14 @@ def geometry_functions(spark, sf_dir):
     return docs.select("doc_id", G.half_points(x).alias("half"), G.hundredths(x).alias("cents"), G.rotated(F.col("n_chars"), -1000).cast("long").alias("turned"))
 
 
-@query(f"""WITH {PAGES_SQL}, m AS (SELECT 's' AS s, session_id, page_id, pos, 0 AS tie FROM pages WHERE session_id = 's1' UNION ALL SELECT 's', session_id, page_id, pos, 1 FROM pages WHERE session_id = 's2')
-SELECT page_id, row_number() OVER (ORDER BY tie, pos) - 1 AS pos FROM m""")
+# every odd session behind the even one before it
+@query(f"""WITH {PAGES_SQL}, n AS (SELECT *, substr(session_id, 2)::INT AS k FROM pages)
+SELECT 's' || (k - k % 2) AS session_id, page_id, row_number() OVER (PARTITION BY k - k % 2 ORDER BY k, pos) - 1 AS pos FROM n""")
 def merge_sessions(spark, sf_dir):
-    pages = _pages(spark, sf_dir)[1]
-    part = lambda s: pages.where(F.col("session_id") == s).withColumn("session_id", F.lit("s"))
-    return S.merge_sessions(part("s1"), part("s2")).select("page_id", "pos")
+    pages = _pages(spark, sf_dir)[1].withColumn("k", F.substring("session_id", 2, 9).cast("int"))
+    even = F.concat(F.lit("s"), (F.col("k") - F.col("k") % 2).cast("string"))
+    part = lambda odd: pages.where(F.col("k") % 2 == odd).withColumn("session_id", even).drop("k")
+    return S.merge_sessions(part(0), part(1)).select("session_id", "page_id", "pos")
 
 
 @query(f"""WITH {PAGES_SQL} SELECT session_id, page_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS pos FROM pages WHERE pos + 1 BETWEEN 2 AND 4 OR pos = 0""")

@@ -99,6 +99,37 @@ INPUTS = {
     "progress": """
         SELECT o_orderkey AS event_id, CAST(o_custkey % 7 AS INT) AS page_no, 8 AS pages, CASE o_orderkey % 4 WHEN 0 THEN 'render' WHEN 1 THEN 'cleanup' WHEN 2 THEN 'ocr' ELSE 'build' END AS stage, CAST((o_custkey % 9 - 1) / 7.0 AS DOUBLE) AS part
         FROM {orders}""",
+    # a page of prose: a title, paragraphs that wrap, a hyphen, an item that goes on, shifted pieces of a word
+    "prose_items": """
+        SELECT o_orderkey AS page_no, CAST(n.k AS INT) AS item_no,
+          CASE n.k WHEN 0 THEN o_orderpriority WHEN 1 THEN concat('The order ', CAST(o_orderkey AS VARCHAR(19)), ' came from cus-') WHEN 2 THEN concat('tomer ', CAST(o_custkey AS VARCHAR(19)), ' and is done.')
+            WHEN 3 THEN 'A second text follows' WHEN 4 THEN 'and goes on' WHEN 5 THEN concat(CASE o_orderkey % 3 WHEN 0 THEN '1) ' WHEN 1 THEN '- ' ELSE '• ' END, 'item ', o_orderstatus)
+            WHEN 6 THEN 'wrapped on' WHEN 7 THEN 'ab' WHEN 8 THEN 'cd' WHEN 9 THEN 'Part B' WHEN 10 THEN 'continued' ELSE '  ' END AS str,
+          CAST(CASE n.k WHEN 6 THEN 62 WHEN 8 THEN 60.5 ELSE 50 END AS DOUBLE) AS x,
+          CAST(CASE n.k WHEN 0 THEN 700 WHEN 1 THEN 660 WHEN 2 THEN 648 WHEN 3 THEN 636 WHEN 4 THEN 624 WHEN 5 THEN 590 WHEN 6 THEN 578 WHEN 7 THEN 540 WHEN 8 THEN 541.5 WHEN 9 THEN 500 WHEN 10 THEN 486 ELSE 400 END AS DOUBLE) AS y,
+          CAST(CASE n.k WHEN 0 THEN 120 WHEN 1 THEN 400 WHEN 4 THEN 400 WHEN 2 THEN 200 WHEN 3 THEN 150 WHEN 7 THEN 10 WHEN 8 THEN 10 ELSE 70 END AS DOUBLE) AS w,
+          CAST(CASE WHEN n.k = 0 THEN 18 WHEN n.k IN (9, 10) THEN 12 ELSE 10 END AS DOUBLE) AS h, CAST(CASE WHEN n.k = 0 THEN 18 WHEN n.k IN (9, 10) THEN 12 ELSE 10 END AS DOUBLE) AS font_size, n.k = 9 AS bold
+        FROM {orders} CROSS JOIN (SELECT DISTINCT n_nationkey AS k FROM {nation} WHERE n_nationkey < 12) n
+        WHERE n.k <> 6 OR o_orderkey % 2 = 0""",
+    # text, two tables and text on a page, with starts off by a point or two; every fifth page is blank, every third has no table
+    "mixed_items": """
+        SELECT p_partkey AS page_no, CAST(l.k * 10 + c.k AS INT) AS item_no,
+          CASE WHEN l.k IN (0, 4, 8) THEN concat('Text ', CAST(l.k AS VARCHAR(9)), ' of ', CAST(p_partkey AS VARCHAR(19))) ELSE concat(CASE c.k WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, CAST(l.k AS VARCHAR(9)), ' ', CAST(p_size AS VARCHAR(9))) END AS str,
+          CAST(50 + 150 * c.k + CASE WHEN l.k IN (0, 4, 8) THEN 0 ELSE (l.k + c.k) % 3 END AS DOUBLE) AS x, CAST(740 - 40 * l.k + CASE WHEN l.k % 4 = 2 THEN 0.5 * c.k ELSE 0 END AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS w, CAST(10 AS DOUBLE) AS h, CAST(10 AS DOUBLE) AS font_size, false AS bold
+        FROM {part} CROSS JOIN (SELECT DISTINCT n_nationkey AS k FROM {nation} WHERE n_nationkey < 9) l CROSS JOIN (SELECT DISTINCT r_regionkey AS k FROM {region} WHERE r_regionkey < 3) c
+        WHERE p_partkey % 5 <> 0 AND (p_partkey % 3 <> 0 OR l.k IN (0, 4, 8)) AND (l.k NOT IN (0, 4, 8) OR c.k = 0)""",
+    "markdown": """
+        SELECT p_partkey AS doc_id, CASE p_partkey % 3
+            WHEN 0 THEN concat('# ', p_brand, chr(10), chr(10), 'Some *em* and **', p_type, '** with `code`.', chr(10), 'next line', chr(10), chr(10), '- one ', CAST(p_size AS VARCHAR(9)), chr(10), '  - two', chr(10), '- three', chr(10), chr(10),
+              '1. first', chr(10), '2. second', chr(10), chr(10), '> quoted ', p_brand, chr(10), chr(10), '```sql', chr(10), 'select 1', chr(10), '```', chr(10), chr(10), '---', chr(10))
+            WHEN 1 THEN concat('Title ', p_brand, chr(10), '=====', chr(10), chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '| ', CAST(p_size AS VARCHAR(9)), ' | x |', chr(10), chr(10), '<div>raw ', p_brand, '</div>', chr(10), chr(10), '    indented', chr(10))
+            ELSE concat('## ', p_brand, ' ##', chr(10), chr(10), 'line [link](http://x.y) and ![img](z) ~~gone~~ a', chr(92), '*b &amp; c', chr(10), chr(10), 'Sub', chr(10), '---', chr(10), '5. five', chr(10), '6. six') END AS text
+        FROM {part}""",
+    # one-line blocks in the order of ord
+    "cards": """
+        SELECT p_partkey AS doc_id, CAST(b.k AS INT) AS ord, CASE b.k WHEN 0 THEN 'paragraph' WHEN 1 THEN 'code' WHEN 2 THEN 'listItem' ELSE 'hr' END AS kind, b.k = 2 AS ordered, CAST(p_size AS INT) AS index, 0 AS depth,
+          CASE b.k WHEN 0 THEN CAST(p_partkey AS VARCHAR(19)) WHEN 1 THEN concat('f(', CAST(p_size AS VARCHAR(9)), ')') WHEN 2 THEN '0' END AS text
+        FROM {part} CROSS JOIN (SELECT DISTINCT r_regionkey AS k FROM {region} WHERE r_regionkey < 4) b""",
     "code": """SELECT p_partkey AS doc_id, concat(repeat(p_name, 1 + p_size % 9), chr(9), 'end', chr(10), chr(10), p_type) AS text FROM {part}""",
 }
 
