@@ -13,11 +13,13 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     "spec, n, pages, error",
     [
-        ("3", 10, [3], None), ("2-5", 10, [2, 3, 4, 5], None), ("7-", 9, [7, 8, 9], None), ("-3", 10, [1, 2, 3], None), ("5, 1-3, 2", 10, [1, 2, 3, 5], None),
-        ("-", 4, [1, 2, 3, 4], None), ("5-2", 10, None, '"5-2" is backwards — put the smaller page first.'), ("11", 10, None, 'This PDF only has 10 pages — "11" is out of range.'),
-        ("2", 1, None, 'This PDF only has 1 page — "2" is out of range.'), ("11-5", 10, None, 'This PDF only has 10 pages — "11-5" is out of range.'),
-        ("abc", 10, None, '"abc" isn\'t a page or range — use numbers like "3" or "2-5".'), ("1 3", 10, None, '"1 3" isn\'t a page or range — use numbers like "3" or "2-5".'),
-        (",", 10, None, T.EMPTY_RANGE), ("  ", 10, None, T.EMPTY_RANGE), ("0", 10, None, T.BELOW_ONE), ("3, x, 0", 10, None, '"x" isn\'t a page or range — use numbers like "3" or "2-5".'),
+        ("17", 40, [17], None), ("12-14", 40, [12, 13, 14], None), ("38-", 40, [38, 39, 40], None), ("-2", 40, [1, 2], None), ("-", 3, [1, 2, 3], None),
+        ("9;6-8,9,,7", 9, [6, 7, 8, 9], None), (" 2 - 4 ; 3", 6, [2, 3, 4], None), ("6-6", 6, [6], None), ("007", 8, [7], None), ("-\u00a05", 6, [1, 2, 3, 4, 5], None),
+        ("20-13", 25, None, '"20-13" is backwards — put the smaller page first.'), ("26", 25, None, 'This PDF only has 25 pages — "26" is out of range.'),
+        ("2", 1, None, 'This PDF only has 1 page — "2" is out of range.'), ("30-4", 25, None, 'This PDF only has 25 pages — "30-4" is out of range.'),
+        ("99999999999999999999", 25, None, 'This PDF only has 25 pages — "99999999999999999999" is out of range.'), ("3-99999999999999999999", 25, None, 'This PDF only has 25 pages — "3-99999999999999999999" is out of range.'),
+        ("all", 25, None, '"all" isn\'t a page or range — use numbers like "3" or "2-5".'), ("4 6", 25, None, '"4 6" isn\'t a page or range — use numbers like "3" or "2-5".'),
+        (";,", 25, None, T.EMPTY_RANGE), ("  ", 25, None, T.EMPTY_RANGE), ("0-3", 25, None, T.BELOW_ONE), ("3, x, 0", 25, None, '"x" isn\'t a page or range — use numbers like "3" or "2-5".'),
     ],
 )
 def test_page_ranges(spark, spec, n, pages, error):
@@ -44,9 +46,9 @@ def test_strings(spark):
     assert one(spark, T.join_lines(F.lit("exam-"), F.lit("ple"))) == "example"
     assert one(spark, T.join_lines(F.lit("exam-"), F.lit("Ple"))) == "exam- Ple"
     assert one(spark, T.ends_sentence(s), s='Yes!"') is True
-    assert one(spark, T.is_caps_heading("s"), s="SHIPPING ADDRESS") is True
-    assert one(spark, T.is_caps_heading("s"), s="THANK YOU.") is False
-    assert one(spark, T.is_label_heading("s"), s="Next steps:") is True
+    assert one(spark, T.is_caps_heading("s"), s="GOODS RETURNED") is True
+    assert one(spark, T.is_caps_heading("s"), s="SEE BELOW.") is False
+    assert one(spark, T.is_label_heading("s"), s="Open points:") is True
     assert one(spark, T.is_encrypted_error(F.lit("E"), s), s="no Password given") is True
     assert one(spark, T.friendly_error(F.lit("corrupt"), F.lit(None).cast("string"))) == T.CORRUPT
     assert one(spark, T.friendly_error(F.lit("cancelled"), s), s="x") == ""

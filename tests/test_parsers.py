@@ -14,9 +14,9 @@ def kinds(blocks):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("- apples\n- pears\n- flour", ["listItem"] * 3), ("The quick brown fox\njumps over the lazy dog.", ["paragraph"]), ("SHIPPING ADDRESS\n\nbody", ["heading", "paragraph"]),
-        ("INVOICE FOR SERVICES\nPAYMENT DUE ON RECEIPT\nTHANK YOU", ["paragraph"]), ("This is a normal sentence.", ["paragraph"]), ("> quoted", ["blockquote"]),
-        ("above\n\n***\n\nbelow", ["paragraph", "hr", "paragraph"]), ("    const x = 1;", ["code"]), ("Next steps:\ngo", ["heading", "paragraph"]), ("", []), ("\n \n", []),
+        ("* oak\n* elm\n• ash\n+ fir", ["listItem"] * 4), ("Rain fell on the hills\nall night, and the river\nrose by a foot.", ["paragraph"]), ("OPENING HOURS\n\nNine to five.", ["heading", "paragraph"]),
+        ("NO ENTRY\nKEEP THE DOOR SHUT\nRING TWICE", ["paragraph"]), ("We met at noon.", ["paragraph"]), ("> so she said", ["blockquote"]), ("one\n\n---\n\ntwo\n\n___", ["paragraph", "hr", "paragraph", "hr"]),
+        ("    while True: pass", ["code"]), ("What to bring:\nboots", ["heading", "paragraph"]), ("A: b: c", ["paragraph"]), ("1. once\n\n    x = 1\n\n> y", ["listItem", "code", "blockquote"]), ("", []), ("\n \n", []),
     ],
 )
 def test_text_kinds(text, expected):
@@ -24,15 +24,15 @@ def test_text_kinds(text, expected):
 
 
 def test_text_details():
-    assert parse_text("The quick brown fox\njumps over the lazy dog.")[0][5] == "The quick brown fox jumps over the lazy dog."
-    assert [b[3] for b in parse_text("1. first\n(2) second\n3) third")] == [1, 2, 3]
-    assert [b[4] for b in parse_text("- top\n  - child\n- back")] == [0, 1, 0]
+    assert parse_text("Rain fell on the hills\nall night, and the river\nrose by a foot.")[0][5] == "Rain fell on the hills all night, and the river rose by a foot."
+    assert [b[3] for b in parse_text("4. mix\n(5) bake\n6) cool")] == [4, 5, 6]
+    assert [b[4] for b in parse_text("* box\n  * lid\n  * key\n* bag")] == [0, 1, 1, 0]
     assert [b[4] for b in parse_text("- a\n    - b\n  - c")] == [0, 1, 1]
-    assert parse_text("    const a = 1;\n    const b = 2;")[0][5] == "const a = 1;\nconst b = 2;"
+    assert parse_text("    while ready:\n    go()")[0][5] == "while ready:\ngo()"
     assert kinds(parse_text("    a\n\n    b\n\n\n    c")) == ["code", "code"]
-    assert parse_text("Title\n=====")[0][:2] == ("heading", 1)
-    assert parse_text("- a\n---")[0] == ("heading", 2, None, None, None, "- a")
-    assert parse_text("> a\n> b")[0][5] == "a b"
+    assert parse_text("Field notes\n===========")[0][:2] == ("heading", 1)
+    assert parse_text("* pond\n---")[0] == ("heading", 2, None, None, None, "* pond")
+    assert parse_text("> first half\n> second half")[0][5] == "first half second half"
     assert parse_text("a\r\nb\rc")[0][5] == "a b c"
 
 
@@ -78,3 +78,18 @@ def test_blocks_of_rows(spark):
     df = spark.createDataFrame([(1, "a\n\nb"), (2, None), (3, ""), (1, "a\n\nb")], "doc_id long, text string")
     rows = sorted((r["doc_id"], r["ord"], r["text"]) for r in text_to_blocks(df).collect())
     assert rows == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (1, 1, "b")]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "x", "<ul><li>" * 3000 + "x", '<a "' * 50_000, '<p x="' * 50_000, "<p>" * 5000 + "<b>" * 5000 + "<p>x" * 500, "<table><tr><td>" * 1000 + "x", "<!" * 50_000, '<i title=">" ' * 20_000])
+def test_hostile_html_is_read_in_time(page):
+    import time
+
+    began = time.time()
+    blocks = parse_html(page)
+    assert time.time() - began < 10
+    assert "x" not in page or "x" in str(blocks)
+
+
+@pytest.mark.parametrize("text", [">" * 3000 + " x", "- " * 2000 + "x", "**a _b " * 200 + "x" + " b_ a**" * 200, "> - " * 500 + "x"])
+def test_deep_markdown_keeps_its_text(text):
+    assert "x" in "".join(b[5] or "" for b in parse_markdown(text))

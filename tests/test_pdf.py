@@ -38,6 +38,46 @@ def test_text_operators():
     body = zlib.compress(page)
     out = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] /MediaBox [0 0 200 800] /Rotate 90 >> endobj "
     out += b"3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 << /BaseFont /Courier >> >> >> >> endobj 4 0 obj << /Filter /FlateDecode /Length %d >> stream\n" % len(body) + body + b"\nendstream endobj"
-    status, _, ((w, h, rotation, texts),) = pdf.read(out)
-    assert (status, w, h, rotation) == ("ok", 200.0, 800.0, 90)
+    status, _, ((w, h, rotation, texts, faults),) = pdf.read(out)
+    assert (status, w, h, rotation, faults) == ("ok", 200.0, 800.0, 90, 0)
     assert [(t[0], t[1][4], t[1][5]) for t in texts] == [("one", 50.0, 700.0), ("t", 50.0, 688.0), ("wo", 61.0, 688.0), ("three", 50.0, 646.0)]
+
+
+def document(page, objects=(), extra=b""):
+    """A file of one page; objects are numbered from 4, the first being the page's contents."""
+    out = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Contents 4 0 R " + page + b" >> endobj "
+    for number, (head, data) in enumerate(objects, 4):
+        out += b"%d 0 obj << %s /Length %d >> stream\n" % (number, head, len(data)) + data + b"\nendstream endobj "
+    return out + extra
+
+
+FONT = b"/Resources << /Font << /F1 << /BaseFont /Courier >> >> /XObject << /X1 5 0 R >> >>"
+TEXT = b"BT /F1 10 Tf 1 0 0 1 5 6 Tm (hi) Tj ET"
+
+
+def texts(data):
+    return [(t[0], t[1][4:]) for t in pdf.read(data)[2][0][3]]
+
+
+def test_filters_and_forms():
+    import base64
+    import zlib
+
+    packed = zlib.compress(TEXT)
+    for head, data in ((b"/Filter [/AHx /FlateDecode]", packed.hex().encode() + b">"), (b"/Filter [/ASCII85Decode /Fl]", base64.a85encode(packed) + b"~>"), (b"/Filter /RL", bytes((len(TEXT) - 1,)) + TEXT + b"\x80"), (b"", TEXT)):
+        assert texts(document(FONT, [(head, data)])) == [("hi", [5.0, 6.0])]
+    form = [(b"", b"q 2 0 0 2 10 20 cm /X1 Do Q"), (b"/Subtype /Form /Matrix [1 0 0 1 1 1]", TEXT)]
+    assert texts(document(FONT, form)) == [("hi", [22.0, 34.0])]
+    status, _, ((*_, found, faults),) = pdf.read(document(FONT, [(b"", b"/X1 Do " + TEXT), (b"/Subtype /Form", b"/X1 Do")]))
+    assert (status, len(found), faults) == ("ok", 1, 1)  # a form that holds itself ends
+
+
+def test_broken_files_are_rows(spark):
+    good = document(FONT + b" /MediaBox [0 0 50 60]", [(b"", TEXT)])
+    rows = [("box", good.replace(b"[0 0 50 60]", b"[0 0]")), ("filter", document(FONT, [(b"/Filter /JBIG2Decode", TEXT)])), ("flate", document(FONT, [(b"/Filter /FlateDecode", b"nothing")])), ("none", None), ("good", good)]
+    rows += [(f"cut{k}", good[:k]) for k in range(0, len(good), 7)] + [(f"bad{k}", good[:k] + b"<<[(" + good[k + 4 :]) for k in range(0, len(good), 11)]
+    found = {r["source_id"]: r for r in pdf.pdf_pages(spark.createDataFrame(rows, "source_id string, content binary")).collect()}
+    assert len(found) == len(rows)
+    assert (found["box"]["status"], found["box"]["width"], found["box"]["height"]) == ("ok", 612.0, 792.0)
+    assert found["filter"]["status"] == found["flate"]["status"] == "partial" and found["none"]["status"] == "corrupt"
+    assert (found["good"]["status"], found["good"]["width"]) == ("ok", 50.0)
