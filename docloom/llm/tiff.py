@@ -411,3 +411,14 @@ def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op2_tiff(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return media_digests(store_texts(docs))
+
+
+def tiff_payloads(spark, sf_dir: str) -> DataFrame:
+    """What SQL can state of op2: sizes and digest of the payload that is read back."""
+    return op2_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_SQL = """
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(text || repeat(' ', (m - n)::INT)) AS payload_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT AS n, (greatest(1, (strlen(coalesce(text, '')) + 191) // 192) * 192)::BIGINT AS m FROM documents) x
+"""

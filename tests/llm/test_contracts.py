@@ -118,15 +118,22 @@ def test_op7(spark, sf_dir):
         assert (r["url"], r["text"], r["n_chars"]) == (page["url"], text, len(text))
 
 
-def test_op8_equals_its_sql(spark, sf_dir):
+def test_op8(spark, sf_dir):
+    answer(spark, sf_dir, "op8_mixing", "doc_id bigint, source string, n_tokens bigint, epoch bigint, block bigint, block_key bigint, place_key bigint, weight double")
+
+
+@pytest.mark.parametrize("name", entries.ORACLE_SQL)
+def test_queries_equal_their_sql(spark, sf_dir, name):
     import duckdb
 
-    rows = answer(spark, sf_dir, "op8_mixing", "doc_id bigint, source string, n_tokens bigint, epoch bigint, block bigint, block_key bigint, place_key bigint, weight double")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    found = con.execute(entries.ORACLE_SQL["op8_mixing"])
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    found = con.execute(entries.ORACLE_SQL[name])
     names = [c[0] for c in found.description]
-    assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(found.fetchall())
+    rows = entries.QUERIES[name](spark, sf_dir)
+    assert sorted(rows.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in rows.collect()), key=repr) == sorted(found.fetchall(), key=repr)
 
 
 def test_op9(spark, sf_dir, encoded):
