@@ -35,7 +35,9 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[[li
 
         for batch in batches:
             key_types[:] = [batch.schema.field(k).type for k in keys]
-            for row in batch.to_pylist():
+            names_in = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(names_in, values, strict=True))
                 own = tuple(row[k] for k in keys)
                 if own != key:
                     if held:

@@ -299,10 +299,14 @@ def group_lines(items: DataFrame, keys: list[str]) -> DataFrame:
     return per_page(items, keys, rows, "line_no int, y double, h double, n_items int, text string", ["line_no", "y", "h", "n_items", "text"])
 
 
+def sheet_lines(page: list[dict]) -> list[str]:
+    """Texts of a page's lines that have any."""
+    return [text for line in visual_lines(page) if (text := joined_items(line["items"]))]
+
+
 def lines_to_rows(items: DataFrame, keys: list[str]) -> DataFrame:
     """Lines with text, numbered anew: what a sheet shows where no table is found."""
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    return group_lines(items, keys).where("text != ''").select(*keys, (F.row_number().over(w) - 1).alias("row_no"), "text")
+    return per_page(items, keys, lambda page: list(enumerate(sheet_lines(page))), "row_no int, text string", ["row_no", "text"])
 
 
 def detect_tables(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -320,31 +324,42 @@ def reconstruct_blocks(items: DataFrame, keys: list[str]) -> DataFrame:
     return per_page(items, keys, lambda page: [(k, *b) for k, b in enumerate(blocks_of(page))], "ord int, kind string, text string", ["ord", "kind", "text"])
 
 
+def parts_of(page: list[dict]) -> list[tuple]:
+    """(part, row_no, col_no, kind, text): tables, and the blocks of the segments around them, from the top."""
+    tables = sorted(tables_of(page), key=lambda t: -t["y_top"])
+    segments: list[list[dict]] = [[] for _ in range(len(tables) + 1)]
+    for item in page:
+        if not any(t["y_bottom"] <= item["y"] <= t["y_top"] for t in tables):
+            segments[sum(t["y_top"] >= item["y"] for t in tables)].append(item)
+    out = [(2 * k + 1, r, c, "cell", text) for k, t in enumerate(tables) for r, row in enumerate(t["rows"]) for c, text in enumerate(row)]
+    return out + [(2 * k, n, 0, kind, text) for k, segment in enumerate(segments) for n, (kind, text) in enumerate(blocks_of(segment))]
+
+
 def word_parts(items: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """A document's parts in reading order: tables (cells joined) and blocks between them,
     and a note for pages without text."""
-    cells = detect_tables(items, keys)
-    bands = cells.select(*keys, "table_no", "y_top", "y_bottom").distinct()
-    order = Window.partitionBy(*keys).orderBy(F.desc("y_top"))
-    tables = cells.join(bands.withColumn("segment", F.row_number().over(order) - 1), [*keys, "table_no", "y_top", "y_bottom"])
-    table_rows = tables.select(*keys, (F.col("segment") * 2 + 1).alias("part"), "row_no", "col_no", F.lit("cell").alias("kind"), "text")
-    segments = page_parts(items, bands, keys)
-    prose = reconstruct_blocks(segments, [*keys, "segment"]).select(*keys, (F.col("segment") * 2).alias("part"), F.col("ord").alias("row_no"), F.lit(0).alias("col_no"), "kind", "text")
-    scanned = pages.select(*keys).join(items.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).alias("part"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit("note").alias("kind"), F.lit(SCANNED_PAGE_NOTE).alias("text"))
-    return table_rows.unionByName(prose).unionByName(scanned)
-
-
-def sheet_cells(items: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
+    names = ["part", "row_no", "col_no", "kind", "text"]
+    found = per_page(items, keys, parts_of, "part int, row_no int, col_no int, kind string, text string", names)
+    scanned = pages.select(*keys).join(items.select(*keys).distinct(), keys, "left_anti")
+    zero = [F.lit(0).alias(c) for c in names[:3]]
+    return found.unionByName(scanned.select(*keys, *zero, F.lit("note").alias("kind"), F.lit(SCANNED_PAGE_NOTE).alias("text")))
+
+
+def sheets_of(page: list[dict]) -> list[tuple]:
+    """(name, row_no, col_no, text) of a page's tables, or of its lines where it has none."""
+    tables = tables_of(page)
+    cells = [(f"Table {t}", r, c, text) for t, table in enumerate(tables, 1) for r, row in enumerate(table["rows"]) for c, text in enumerate(row)]
+    return cells or [("text", r, 0, text) for r, text in enumerate(sheet_lines(page))]
+
+
+def sheet_cells(items: DataFrame, doc: str, page: str) -> DataFrame:
     """Cells of the sheets of a workbook: one sheet for each table, or one of text lines
     for a page without tables; numbers apart from texts."""
     from docloom.functions.text import cell_number
 
-    keys = [doc, page]
-    cells = detect_tables(items, keys)
-    named = cells.select(*keys, F.concat(F.lit("Page "), (F.col(page)).cast("string"), F.lit(" Table "), (F.col("table_no") + 1).cast("string")).alias("sheet"), "row_no", "col_no", "text")
-    lines = lines_to_rows(items, keys).join(cells.select(*keys).distinct(), keys, "left_anti")
-    texts = lines.select(*keys, F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(" text")).alias("sheet"), "row_no", F.lit(0).alias("col_no"), "text")
-    return named.unionByName(texts).withColumn("number", cell_number("text"))
+    found = per_page(items, [doc, page], sheets_of, "what string, row_no int, col_no int, text string", ["what", "row_no", "col_no", "text"])
+    sheet = F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(" "), F.col("what"))
+    return found.select(doc, page, sheet.alias("sheet"), "row_no", "col_no", "text", cell_number("text").alias("number"))
 
 
 #: Fixed value: what stands for a page without text.

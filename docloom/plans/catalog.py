@@ -250,7 +250,7 @@ SELECT 1 AS doc, 'Page ' || page_no || ' Table 1' AS sheet, row_no::INT AS row_n
 UNION ALL SELECT 1, 'Page ' || page_no || ' text', row_no::INT, 0, text, NULL FROM l JOIN n USING (page_no) WHERE n < 3""")
 def sheet_cells(spark, sf_dir):
     items = load(spark, sf_dir, "items").withColumn("doc", F.lit(1))
-    return I.sheet_cells(items, items.select("doc", "page_no").distinct(), "doc", "page_no").select("doc", "sheet", "row_no", "col_no", "text", "number")
+    return I.sheet_cells(items, "doc", "page_no").select("doc", "sheet", "row_no", "col_no", "text", "number")
 
 
 @query(f"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM ({duck("texts")}) y), b AS (

@@ -6,17 +6,20 @@ meet by session, and one file is one task's work; a source is parsed once a sess
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import CORRUPT, ENCRYPTED
 from docloom.operators.session import NOTHING_LEFT
-from docloom.sources.pdf import FAULTS, Document, Name, PdfError, Ref, Word, page_box, unfiltered
+from docloom.sources.pdf import FAULTS, WRONG_PASSWORD, Document, Name, PdfError, Ref, Word, page_box, unfiltered
+from docloom.sources.security import Handler, new_handler
 
 A4 = (595.28, 841.89)
 #: Keys of a page that stay with its copy; the rest of a document hangs on others.
@@ -46,6 +49,94 @@ def written(value, number) -> bytes:
     return b"<< " + b" ".join(written(Name(k), number) + b" " + written(v, number) for k, v in value.items()) + b" >>"
 
 
+def rewritten(doc: Document, handler: Handler | None = None) -> bytes:
+    """All objects of a document anew, under their numbers; closed by the handler where one is given."""
+    numbers = sorted(n for n in {*doc.places, *doc.known} if n != doc.security)
+    kept = [(n, doc.value(n)) for n in numbers]
+    kept = [(n, v) for n, v in kept if v is not None and not (isinstance(v, dict) and v.get("Type") in ("ObjStm", "XRef"))]
+    root = next((n for n, v in kept if isinstance(v, dict) and v.get("Type") == "Catalog"), None)
+    if root is None:
+        raise PdfError("no catalog")
+
+    def closed(value, n: int):
+        if isinstance(value, Word) or handler is None:
+            return value
+        if isinstance(value, bytes):
+            return handler.encrypt(value, n)
+        if isinstance(value, list):
+            return [closed(v, n) for v in value]
+        return {k: closed(v, n) for k, v in value.items()} if isinstance(value, dict) else value
+
+    out, places = bytearray(b"%PDF-1.6\n%\xe2\xe3\xcf\xd3\n"), {}
+
+    def put(n: int, body: bytes) -> None:
+        places[n] = len(out)
+        out.extend(b"%d 0 obj\n" % n + body + b"\nendobj\n")
+
+    for n, value in kept:
+        data = doc.raw(n) if n in doc.places else None
+        if data is None:
+            put(n, written(closed(value, n), int))
+        else:
+            data = handler.encrypt(data, n) if handler else data
+            put(n, written(closed(value, n) | {"Length": len(data)}, int) + b"\nstream\n" + data + b"\nendstream")
+    last = max(places) + 1
+    trailer = {"Root": Ref(root)}
+    if isinstance(doc.trailer.get("Info"), Ref) and int(doc.trailer["Info"]) in places:
+        trailer["Info"] = doc.trailer["Info"]
+    if handler:
+        filters = {"StdCF": {"CFM": Name("AESV2"), "AuthEvent": Name("DocOpen"), "Length": 16}}
+        head = {"Filter": Name("Standard"), "V": 4, "R": 4, "Length": 128, "CF": filters, "StmF": Name("StdCF"), "StrF": Name("StdCF"), "O": handler.owner, "U": handler.user, "P": handler.permissions}
+        put(last, written(head, int))
+        trailer |= {"Encrypt": Ref(last), "ID": [handler.file_id, handler.file_id]}
+        last += 1
+    start = len(out)
+    lines = b"".join(b"%010d 00000 n \n" % places[n] if n in places else b"0000000000 65535 f \n" for n in range(last))
+    return bytes(out + b"xref\n0 %d\n" % last + lines + b"trailer\n" + written(trailer | {"Size": last}, int) + b"\nstartxref\n%d\n%%%%EOF\n" % start)
+
+
+def protected(data: bytes, user: str, owner: str | None = None, current: str | None = None) -> bytes:
+    """The file under a password (the owner's is the user's by default), without permissions."""
+    doc = Document(data, current)
+    if doc.encrypted:
+        raise PdfError(ENCRYPTED)
+    return rewritten(doc, new_handler(user, owner, hashlib.md5(data, usedforsecurity=False).digest()))
+
+
+def unlocked(data: bytes, password: str) -> bytes:
+    doc = Document(data, password)
+    if doc.encrypted:
+        raise PdfError(WRONG_PASSWORD)
+    return rewritten(doc)
+
+
+def per_source(sources: DataFrame, key: str, content: str, f) -> DataFrame:
+    """key, data, error: f(row as a dict) of each file."""
+    kind = sources.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                try:
+                    data, error = f(row), None
+                except FAULTS as e:
+                    data, error = None, str(e) if str(e) in (ENCRYPTED, WRONG_PASSWORD) else CORRUPT
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, 1), pa.array([data], pa.binary()), pa.array([error], pa.string())], [key, "data", "error"])
+
+    return sources.mapInArrow(run, f"{key} {kind}, data binary, error string")
+
+
+def protect_pdfs(sources: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """Files under new passwords: sources has user_password and may have owner_password and password (the present one)."""
+    return per_source(sources, key, content, lambda r: protected(r[content] or b"", r["user_password"], r.get("owner_password"), r.get("password")))
+
+
+def unlock_pdfs(sources: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """Files without their password (column password)."""
+    return per_source(sources, key, content, lambda r: unlocked(r[content] or b"", r["password"]))
+
+
 class Assembly:
     """The objects of a file in the making."""
 

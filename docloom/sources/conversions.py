@@ -28,7 +28,7 @@ def pdf_to_excel(sources: DataFrame, key: str = "doc_id", content: str = "conten
     """
     pages = pdf_pages(sources, key, content)
     items = text_items(pdf_text_layer(sources, key, content).withColumnRenamed(key, "doc_id"), keep_blank=False)
-    cells = sheet_cells(items, items.select("doc_id", "page_no").distinct(), "doc_id", "page_no").withColumnRenamed("doc_id", key)
+    cells = sheet_cells(items, "doc_id", "page_no").withColumnRenamed("doc_id", key)
     readable = pages.where("page_no > 0").select(key).distinct()
     books = write_workbooks(cells, key, readable).unionByName(failed(faulty(pages, key), key))
     fallback = F.col("sheet").endswith(" text")

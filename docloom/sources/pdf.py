@@ -3,8 +3,8 @@
 It takes classic and compressed object streams, streams in Flate (with PNG rows),
 LZW, run lengths and the two ASCII codes, form XObjects, simple fonts in the
 standard and WinAnsi encodings, and two-byte fonts through their ToUnicode map.
-Encrypted files and files without a page tree come back with a status instead of
-pages; a page of which something could not be read has the status `partial` and a
+Encrypted files open with passwords (see security); others, and files without a page
+tree, come back with a status instead of pages; a page of which something could not be read has the status `partial` and a
 message that counts it.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fonts import MEAN_WIDTH, MONO, SANS
 from docloom.functions.text import CORRUPT, ENCRYPTED
+from docloom.sources import security
 
 TOKEN = re.compile(
     rb"%[^\r\n]*|<<|>>|\[|\]|/(?P<name>[^\s()<>\[\]{}/%]*)|\((?P<text>)|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<ref>\d+\s+\d+\s+R)(?![A-Za-z])|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<word>[A-Za-z'\"*][^\s()<>\[\]{}/%]*)"
 )
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-MAX_DEPTH, MOST_FORMS = 64, 16
+MAX_DEPTH, MOST_FORMS, MOST_TRIES = 64, 16, 3
+WRONG_PASSWORD = "Wrong password — this PDF stays locked."
 LETTER = [0.0, 0.0, 612.0, 792.0]
 
 
@@ -115,18 +118,60 @@ def objects_in(data: bytes, at: int = 0, one: bool = False):
 
 
 class Document:
-    def __init__(self, data: bytes):
+    """Objects of a file.  An encrypted one stays `encrypted` unless the password, or none, opens it."""
+
+    def __init__(self, data: bytes, password: str | None = None):
         if b"%PDF" not in data[:1024]:
             raise PdfError("no header")
         self.places = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data)}
-        self.data, self.known = data, {}
-        self.encrypted = bool(re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data))
+        self.data, self.known, self.handler, self.security = data, {}, None, None
+        self.trailer = self.last_trailer()
+        self.encrypted = "Encrypt" in self.trailer
+        if self.encrypted:
+            handler = self.security_handler()
+            if handler and (handler.opened("") or (password is not None and handler.opened(password))):
+                self.handler, self.encrypted, self.known = handler, False, {}
         if not self.encrypted:
             for number in list(self.places):
                 value = self.value(number)
                 if isinstance(value, dict) and value.get("Type") == "ObjStm":
                     self.unpack(number, value)
 
+    def last_trailer(self) -> dict:
+        at = self.data.rfind(b"trailer")
+        found = next(objects_in(self.data, at + 7, one=True), None) if at >= 0 else None
+        if not isinstance(found, dict):
+            streams = (v for n in reversed(self.places) if isinstance(v := self.value(n), dict) and v.get("Type") == "XRef")
+            found = next(streams, {})
+        if "Encrypt" not in found and (m := re.search(rb"/Encrypt\s+(\d+)\s+\d+\s+R", self.data)):
+            found = found | {"Encrypt": Ref(int(m[1]))}
+        return found
+
+    def security_handler(self) -> security.Handler | None:
+        """None for a handler that isn't known."""
+        ref = self.trailer["Encrypt"]
+        self.security = int(ref) if isinstance(ref, Ref) else None
+        head, ids = self.resolve(ref), self.get(self.trailer, "ID", [b""])
+        entry = lambda k, kind: v if isinstance(v := self.get(head, k), kind) else None
+        version, revision, owner, user, permissions = entry("V", int), entry("R", int), entry("O", bytes), entry("U", bytes), entry("P", int)
+        if version not in (1, 2, 4) or revision not in (2, 3, 4) or owner is None or user is None or permissions is None:
+            return None
+        method = self.get(self.get(self.get(head, "CF", {}), self.get(head, "StmF", "Identity"), {}), "CFM") if version == 4 else "V2"
+        if method not in ("V2", "AESV2"):
+            return None
+        length = 5 if revision == 2 else 16 if version == 4 else max(5, min(16, (entry("Length", int) or 40) // 8))
+        first = ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b""
+        return security.Handler(revision, length, owner[:32], user[:32], permissions, first, method == "AESV2", self.get(head, "EncryptMetadata", True))
+
+    def opened_strings(self, value, number: int):
+        if isinstance(value, Word) or not self.handler:
+            return value
+        if isinstance(value, bytes):
+            return self.handler.decrypt(value, number)
+        if isinstance(value, list):
+            return [self.opened_strings(v, number) for v in value]
+        return {k: self.opened_strings(v, number) for k, v in value.items()} if isinstance(value, dict) else value
+
     def unpack(self, number: int, head: dict) -> None:
         body = self.stream(number)
         pairs = [int(x) for x in body[: int(self.get(head, "First", 0))].split()[: 2 * int(self.get(head, "N", 0))]]
@@ -136,7 +181,8 @@ class Document:
 
     def value(self, number: int):
         if number not in self.known:
-            self.known[number] = next(objects_in(self.data, self.places[number], one=True), None) if number in self.places else None
+            value = next(objects_in(self.data, self.places[number], one=True), None) if number in self.places else None
+            self.known[number] = self.opened_strings(value, number) if number != self.security else value
         return self.known[number]
 
     def resolve(self, value):
@@ -165,8 +211,10 @@ class Document:
             return None
         length = self.get(head, "Length")
         if isinstance(length, int) and self.data[begin.end() + length : begin.end() + length + 32].lstrip()[:9] == b"endstream":
-            return self.data[begin.end() : begin.end() + length]
-        return self.data[begin.end() : self.data.find(b"endstream", begin.end())].rstrip(b"\r\n")
+            data = self.data[begin.end() : begin.end() + length]
+        else:
+            data = self.data[begin.end() : self.data.find(b"endstream", begin.end())].rstrip(b"\r\n")
+        return self.handler.decrypt(data, int(ref)) if self.handler and head.get("Type") != "XRef" else data
 
     def decoded(self, head: dict, data: bytes) -> bytes:
         filters, parms = self.get(head, "Filter", []), self.get(head, "DecodeParms", [])
@@ -414,12 +462,32 @@ def page_box(doc: Document, page: dict) -> list[float]:
     return box if len(box) == 4 else LETTER
 
 
-def read(data: bytes | None) -> tuple[str, str | None, list[tuple]]:
-    """Status (ok, encrypted, corrupt), message and pages (width, height, rotation, texts, faults)."""
+def opened(data: bytes, known: str | None = None, tries: list[str | None] | None = None) -> tuple[Document | None, str, str | None]:
+    """The document, a status (ok, encrypted, cancelled) and a message.
+
+    Without a password first, then with the known one, then with up to MOST_TRIES of `tries`;
+    a null among these means that nobody gave one.
+    """
+    doc = Document(data, known)
+    if not doc.encrypted:
+        return doc, "ok", None
+    if tries is None:
+        return None, "encrypted", ENCRYPTED
+    for given in tries[:MOST_TRIES]:
+        if given is None:
+            return None, "cancelled", None
+        doc = Document(data, given)
+        if not doc.encrypted:
+            return doc, "ok", None
+    return None, "encrypted", WRONG_PASSWORD
+
+
+def read(data: bytes | None, known: str | None = None, tries: list[str | None] | None = None) -> tuple[str, str | None, list[tuple]]:
+    """Status (ok, encrypted, cancelled, corrupt), message and pages (width, height, rotation, texts, faults)."""
     try:
-        doc = Document(data or b"")
-        if doc.encrypted:
-            return "encrypted", ENCRYPTED, []
+        doc, status, message = opened(data or b"", known, tries)
+        if doc is None:
+            return status, message, []
         out = []
         for page in doc.pages():
             box = page_box(doc, page)
@@ -430,40 +498,53 @@ def read(data: bytes | None) -> tuple[str, str | None, list[tuple]]:
         return "corrupt", CORRUPT, []
 
 
-def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "content") -> DataFrame:
-    """id, page_no (from 1), width, height, rotation, status, message; one row for a file without pages."""
+def columns_of(sources: DataFrame, id_col: str, content: str) -> DataFrame:
+    """id, content, password (the known one) and tries, the latter two null where a table has none."""
+    own = {"password": "string", "tries": "array<string>"}
+    extra = [(F.col(c) if c in sources.columns else F.lit(None)).cast(kind).alias(c) for c, kind in own.items()]
+    return sources.select(F.col(id_col).alias("id"), F.col(content).alias("content"), *extra)
+
+
+def files_of(batches):
+    """(batch, place, content, password, tries) of every row, one file in memory at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch, k, *(batch.column(c)[k].as_py() for c in ("content", "password", "tries"))
+
+
+def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "content", parser: Callable = read) -> DataFrame:
+    """id, page_no (from 1), width, height, rotation, status, message; one row for a file without pages.
+
+    sources may have a password and further tries.  parser: what reads a file, in place of read().
+    """
     kind = sources.schema[id_col].dataType.simpleString()
     names = ["page_no", "width", "height", "rotation", "status", "message"]
     types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                status, message, pages = read(batch.column("content")[k].as_py())
-                rows = [(n, w, h, r, "partial" if faults else status, f"{faults} parts of this page can't be read" if faults else None) for n, (w, h, r, _, faults) in enumerate(pages, 1)]
-                rows = rows or [(0, None, None, None, status, message)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
+        for batch, k, *given in files_of(batches):
+            status, message, pages = parser(*given)
+            rows = [(n, w, h, r, "partial" if faults else status, f"{faults} parts of this page can't be read" if faults else None) for n, (w, h, r, _, faults) in enumerate(pages, 1)]
+            rows = rows or [(0, None, None, None, status, message)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
 
-    chosen = sources.select(F.col(id_col).alias("id"), F.col(content).alias("content"))
-    return chosen.mapInArrow(run, f"id {kind}, page_no int, width double, height double, rotation int, status string, message string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, page_no int, width double, height double, rotation int, status string, message string"
+    return columns_of(sources, id_col, content).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def pdf_text_layer(sources: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
+def pdf_text_layer(sources: DataFrame, id_col: str = "doc_id", content: str = "content", parser: Callable = read) -> DataFrame:
     """doc_id, page_no, item_no, str, transform, w, h, font_name: input of files.text_items."""
     kind = sources.schema[id_col].dataType.simpleString()
     names = ["page_no", "item_no", "str", "transform", "w", "h", "font_name"]
     types = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]
 
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                pages = read(batch.column("content")[k].as_py())[2]
-                rows = [(n, i, *t) for n, page in enumerate(pages, 1) for i, t in enumerate(page[3])]
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
-
-    chosen = sources.select(F.col(id_col).alias("id"), F.col(content).alias("content"))
+        for batch, k, *given in files_of(batches):
+            rows = [(n, i, *t) for n, page in enumerate(parser(*given)[2], 1) for i, t in enumerate(page[3])]
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
+
     schema = f"id {kind}, page_no int, item_no int, str string, transform array<double>, w double, h double, font_name string"
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return columns_of(sources, id_col, content).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -59,5 +59,5 @@ def test_parts_and_sheets(spark):
     parts = sorted((r["page_no"], r["part"], r["row_no"], r["col_no"], r["kind"], r["text"]) for r in I.word_parts(items, pages, ["doc", "page_no"]).collect())
     assert parts[0] == (1, 0, 0, 0, "paragraph", "above") and parts[1][4] == "cell" and parts[-2] == (1, 2, 0, 0, "paragraph", "below.")
     assert parts[-1][4:] == ("note", I.SCANNED_PAGE_NOTE)
-    cells = I.sheet_cells(items, pages, "doc", "page_no").collect()
+    cells = I.sheet_cells(items, "doc", "page_no").collect()
     assert {r["sheet"] for r in cells} == {"Page 1 Table 1"} and sorted(r["number"] for r in cells if r["number"] is not None) == [4.0, 7.0, 7.0, 12.0, 19.0, 31.0]
