@@ -1,13 +1,14 @@
 """Font faces, glyph widths and script fonts.
 
 Widths of the fixed-pitch face are exact (600 units).  The sans faces carry the
-advance widths of the standard fonts for printable ASCII; other characters take
-MEAN_WIDTH.  Further metrics can be registered by name.
+advance widths of the standard fonts for printable ASCII and for accented letters;
+other characters take MEAN_WIDTH.  Further metrics can be registered by name.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,12 @@ SANS = [
     1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
     333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
 ]
+#: The same of the bold face.
+SANS_BOLD = [
+    278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611,
+    975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556,
+    333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584,
+]
 MONO_WIDTH, MEAN_WIDTH = 600, 556
 SCRIPT_FONTS = {"latin": "NotoSans-Regular", "arabic": "NotoNaskhArabic-Regular", "devanagari": "NotoSansDevanagari-Regular"}
 FACES = {(False, False): "Helvetica", (True, False): "Helvetica-Bold", (False, True): "Helvetica-Oblique", (True, True): "Helvetica-BoldOblique"}
@@ -41,7 +48,18 @@ def text_width(text: str, face: str, size: float) -> float:
     own = _metrics.get(face)
     if own:
         return sum(own.get(c, MEAN_WIDTH) for c in text) * size / 1000
-    return sum(SANS[ord(c) - 32] if 32 <= ord(c) < 127 else MEAN_WIDTH for c in text) * size / 1000
+    widths = SANS_BOLD if "Bold" in face else SANS
+    return sum(glyph_width(c, widths) for c in text) * size / 1000
+
+
+def glyph_width(c: str, widths: list[int]) -> int:
+    """Accented letters are as wide as their base."""
+    base = c if c < "\x7f" else unicodedata.normalize("NFD", c)[0]
+    return widths[ord(base) - 32] if 32 <= ord(base) < 127 else MEAN_WIDTH
+
+
+def is_registered(face: str) -> bool:
+    return face in _metrics
 
 
 def mono_width(text: Column, size: float) -> Column:

@@ -2,7 +2,8 @@
 
 The builder repairs what the HTML standard repairs in common pages: implied ends
 of paragraphs, items and cells, raw-text elements, void elements, and formatting
-elements that stay open across blocks.  Styles come from tags alone.
+elements that stay open across blocks.  Styles come from tags and from style
+attributes (weight, slant, fixed pitch, capitals, hidden); style sheets aren't read.
 """
 
 from __future__ import annotations
@@ -265,15 +266,39 @@ def collapse(text: str) -> str:
     return re.sub(f"{S}+", " ", text)
 
 
+def declared(e: Element) -> dict[str, str]:
+    """Declarations of an element's style attribute."""
+    parts = (d.partition(":") for d in e.attrs.get("style", "").split(";"))
+    return {k.strip().lower(): v.strip().lower() for k, _, v in parts if v}
+
+
+def is_hidden(e: Element) -> bool:
+    style = declared(e) if "style" in e.attrs else {}
+    return "hidden" in e.attrs or style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 def styled(e: Element, style: dict) -> dict:
+    """A run's style inside an element: by its tag, then by its style attribute (weight, slant, family, case)."""
     if e.tag in ("strong", "b"):
-        return style | {"bold": True}
-    if e.tag in ("em", "i"):
-        return style | {"italic": True}
-    if e.tag in ("code", "kbd", "samp"):
-        return style | {"code": True}
-    if e.tag == "a" and re.match("(?i)https?://", e.attrs.get("href", "")):
-        return style | {"href": e.attrs["href"]}
+        style = style | {"bold": True}
+    elif e.tag in ("em", "i"):
+        style = style | {"italic": True}
+    elif e.tag in ("code", "kbd", "samp"):
+        style = style | {"code": True}
+    elif e.tag == "a" and re.match("(?i)https?://", e.attrs.get("href", "")):
+        style = style | {"href": e.attrs["href"]}
+    if "style" not in e.attrs:
+        return style
+    css = declared(e)
+    weight = css.get("font-weight", "")
+    if weight:
+        style = style | {"bold": weight in ("bold", "bolder") or (weight.isdigit() and int(weight) >= 600)}
+    if "font-style" in css:
+        style = style | {"italic": css["font-style"] in ("italic", "oblique")}
+    if re.search("mono|courier|consolas|menlo", css.get("font-family", "")):
+        style = style | {"code": True}
+    if "text-transform" in css:
+        style = style | {"upper": css["text-transform"] == "uppercase"}
     return style
 
 
@@ -285,10 +310,11 @@ def inline_runs(e: Element) -> list[dict]:
     while stack:
         n, style = stack.pop()
         if isinstance(n, str):
-            out.append({"text": collapse(n)} | style)
+            text = collapse(n)
+            out.append({k: v for k, v in style.items() if k != "upper"} | {"text": text.upper() if style.get("upper") else text})
         elif n.tag == "br":
             out.append({"text": " "} | none)
-        elif n.tag not in ("ul", "ol") and n.tag not in SKIPPED and "hidden" not in n.attrs:
+        elif n.tag not in ("ul", "ol") and n.tag not in SKIPPED and not is_hidden(n):
             inner = styled(n, style)
             stack += [(c, inner) for c in reversed(n.nodes)]
     return merged(out)
@@ -338,7 +364,7 @@ def walk(body: Element) -> list[tuple]:
 
 def own_blocks(e: Element, depth: int) -> tuple[list[tuple], list[tuple]]:
     """An element's blocks, and what follows: (element or blocks, depth)."""
-    if e.tag in SKIPPED or "hidden" in e.attrs:
+    if e.tag in SKIPPED or is_hidden(e):
         return [], []
     if re.fullmatch("h[1-6]", e.tag):
         return with_runs("heading", e, level=min(3, int(e.tag[1]))), []

@@ -7,15 +7,18 @@ The result names pages, positions, faces and texts, and a writer turns it into a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.fonts import MONO, face_of, text_width, words_and_spaces
+from docloom.functions.fonts import MONO, SCRIPT_FONTS, face_of, is_registered, register_metrics, text_width, words_and_spaces
 from docloom.functions.geometry import A4
+from docloom.functions.text import CP1252_EXTRA
 from docloom.operators.grouped import map_groups
+from docloom.operators.textblocks import LAST_PLAIN
 
 #: Sizes, ratios and gaps of the layout.
 MARGIN, BODY, RATIO = 72.0, 11.0, 1.5
@@ -24,6 +27,9 @@ CODE_SIZE, CODE_RATIO, CODE_PAD = 9.5, 1.4, 6.0
 TABLE_SIZE, TABLE_RATIO, CELL_PAD, LEAST_COLUMN = 9.5, 1.35, 4.0, 40.0
 GAPS = {"heading": 6.0, "paragraph": 8.0, "splitRow": 2.0, "listItem": 4.0, "blockquote": 8.0, "code": 8.0, "table": 10.0, "image": 10.0, "hr": 10.0}
 INDENT, CAPTION = 18.0, 16.0
+CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+UNSHOWN = re.compile(rf"[^\x20-\x7e\xa0-\xff{CP1252_EXTRA}]")
+SCRIPTS = re.compile("[\u0600-\u06ff\u0750-\u077f\u0900-\u097f]")
 
 
 @dataclass
@@ -45,6 +51,8 @@ class Layout:
     margin: float = MARGIN
     page: int = 0
     drawn: list[tuple] = field(default_factory=list)
+    fallback: str | None = None  # the face of words that code page 1252 can't show
+    degrade: bool = False  # no such face: their characters become question marks
 
     def __post_init__(self):
         self.y = self.height - self.margin
@@ -85,6 +93,7 @@ class Layout:
             if p.text.strip():
                 self.put("text", x, baseline, p.width, p.size, p.text, p.face, p.size, p.href)
                 if p.href:
+                    self.put("underline", x, baseline - 1.5, p.width, 0.5)
                     self.put("link", x, baseline - 2, p.width, p.size + 3, href=p.href)
             x += p.width
 
@@ -93,6 +102,7 @@ def wrapped(runs: list[dict], limit: float, size: float, bold: bool = False) ->
     """Greedy lines of pieces no wider than `limit`; one line at least."""
     lines: list[list[Piece]] = [[]]
     used = 0.0
+    limit += 1e-6  # sums of widths in another order differ by as much
 
     def end() -> None:
         nonlocal used
@@ -111,7 +121,7 @@ def wrapped(runs: list[dict], limit: float, size: float, bold: bool = False) ->
         used += text_width(text, face, size)
 
     for run in runs:
-        face, href = face_of(bold or run.get("bold"), run.get("italic"), run.get("code")), run.get("href")
+        face, href = run.get("face") or face_of(bold or run.get("bold"), run.get("italic"), run.get("code")), run.get("href")
         for token in words_and_spaces(run["text"]):
             blank, w = token.isspace(), text_width(token, face, size)
             if blank and not lines[-1]:
@@ -134,8 +144,47 @@ def wrapped(runs: list[dict], limit: float, size: float, bold: bool = False) ->
     return lines[:-1] or [[]]
 
 
+def inline(text: str) -> str:
+    return re.sub(r"\r?\n", " ", CONTROL.sub("", text))
+
+
+def shown(text: str, page: Layout) -> str:
+    """Without control characters; what can't be shown as question marks, one a UTF-16 unit."""
+    text = inline(text)
+    return UNSHOWN.sub(lambda m: "?" * (1 + (m[0] > LAST_PLAIN)), text) if page.degrade else text
+
+
+def faced(run: dict, page: Layout) -> list[dict]:
+    """A run, with the words that need the fallback face apart."""
+    text = shown(run.get("text") or "", page)
+    if not page.fallback or not UNSHOWN.search(text):
+        return [run | {"text": text}]
+    return [run | {"text": token} | ({"face": page.fallback} if UNSHOWN.search(token) else {}) for token in words_and_spaces(text)]
+
+
+def block_text(b: dict) -> str:
+    """All text of a block: runs, both sides of a split row, code, cells, a caption."""
+    if b["kind"] == "table":
+        cells = [*(b.get("header") if b.get("header") is not None else []), *(c for r in (b.get("rows") if b.get("rows") is not None else []) for c in r)]
+        return " ".join(cells)
+    if b["kind"] == "splitRow":
+        return " ".join(r["text"] for side in ("left", "right") for r in b[side])
+    if b.get("runs") is not None and b["kind"] not in ("code", "image"):
+        return " ".join(r["text"] for r in b["runs"])
+    return b.get("text") or ""
+
+
+def fonts_for(blocks: list[dict], page: Layout) -> None:
+    """Standard faces where they show all; else the script's face for single words, if it has metrics here."""
+    text = CONTROL.sub("", " ".join(map(block_text, blocks)))
+    if UNSHOWN.search(text.replace("\n", " ").replace("\t", " ")):
+        first = SCRIPTS.search(text)
+        face = SCRIPT_FONTS["latin" if not first else "devanagari" if "\u0900" <= first[0] <= "\u097f" else "arabic"]
+        page.fallback, page.degrade = (face, False) if is_registered(face) else (None, True)
+
+
 def flow(page: Layout, runs: list[dict], x: float, w: float, size: float, ratio: float = RATIO, bold: bool = False, align: str = "left") -> None:
-    for line in wrapped(runs, w, size, bold):
+    for line in wrapped([r for run in runs for r in faced(run, page)], w, size, bold):
         page.line(line, x, w, size * ratio, size, align)
 
 
@@ -149,6 +198,7 @@ def code_limit(content: float) -> int:
 
 
 def code(page: Layout, text: str) -> None:
+    text = "\n".join(shown(line, page) for line in text.replace("\t", "  ").split("\n"))
     h, lines = CODE_SIZE * CODE_RATIO, code_lines(text, code_limit(page.content))
     while lines:
         page.need(h + 2 * CODE_PAD)
@@ -189,7 +239,7 @@ def table(page: Layout, header: list[str], rows: list[list[str]], hints: list[fl
     h, pad = TABLE_SIZE * TABLE_RATIO, 1.0 if borderless else CELL_PAD
 
     def draw(cells: list[str], bold: bool, again: bool) -> None:
-        lines = [wrapped([{"text": t}], max(20.0, w - 2 * pad), TABLE_SIZE, bold) for t, w in zip(cells, widths, strict=True)]
+        lines = [wrapped(faced({"text": t}, page), max(20.0, w - 2 * pad), TABLE_SIZE, bold) for t, w in zip(cells, widths, strict=True)]
         row_h = max(map(len, lines)) * h + 2 * pad
         if page.room < row_h:
             page.turn()
@@ -213,6 +263,7 @@ def table(page: Layout, header: list[str], rows: list[list[str]], hints: list[fl
 
 def split_row(page: Layout, left: list[dict], right: list[dict], size: float) -> None:
     h = size * RATIO
+    left, right = ([r for run in side for r in faced(run, page)] for side in (left, right))
     aside = wrapped(right, page.content, size)[0]
     right_w = sum(p.width for p in aside)
     lines = wrapped(left, max(60.0, page.content - right_w - 8), size)
@@ -230,7 +281,7 @@ def image(page: Layout, w: float, h: float, caption: str | None, src: str | None
     page.y -= h
     page.put("image", page.margin + (page.content - w) / 2, page.y, w, h, href=src)
     if caption:
-        page.line(wrapped([{"text": caption, "italic": True}], page.content, 9.0)[0], page.margin, page.content, CAPTION, 9.0, "center")
+        page.line(wrapped(faced({"text": caption, "italic": True}, page), page.content, 9.0)[0], page.margin, page.content, CAPTION, 9.0, "center")
 
 
 def place(page: Layout, b: dict) -> None:
@@ -283,6 +334,7 @@ def place(page: Layout, b: dict) -> None:
 
 def typeset(blocks: list[dict], size: tuple[float, float] = A4, margin: float = MARGIN) -> Layout:
     page = Layout(*size, margin)
+    fonts_for(blocks, page)
     for b in blocks:
         place(page, b)
     return page
@@ -291,9 +343,12 @@ def typeset(blocks: list[dict], size: tuple[float, float] = A4, margin: float =
 DRAWN = ["page_no", "what", "x", "y", "w", "h", "text", "face", "size", "href"]
 
 
-def typeset_blocks(blocks: DataFrame, id_col: str = "doc_id", size: tuple[float, float] = A4, margin: float = MARGIN) -> DataFrame:
-    """Drawn pieces (draw_no, page_no, what, x, y, w, h, text, face, size, href) of each document."""
+def typeset_blocks(blocks: DataFrame, id_col: str = "doc_id", size: tuple[float, float] = A4, margin: float = MARGIN, metrics: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Drawn pieces (draw_no, page_no, what, x, y, w, h, text, face, size, href) of each document.
+    metrics: widths by character of further faces; they travel to the workers with the task."""
     def rows(found: list[dict]) -> list[tuple]:
+        for face, widths in (metrics or {}).items():
+            register_metrics(face, widths)
         return [(k, *d) for k, d in enumerate(typeset(found, size, margin).drawn)]
 
     schema = "draw_no int, page_no int, what string, x double, y double, w double, h double, text string, face string, size double, href string"
@@ -313,10 +368,15 @@ def code_chunks(text: Column, limit: int) -> Column:
 
 
 def document_text(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All text of a document's blocks, in order, and whether code page 1252 can show it."""
+    """All text of a document's blocks (runs, code, cells and captions), in order, and whether
+    code page 1252 can show it."""
     from docloom.functions.text import has_non_winansi
 
-    ordered = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("t"))))
+    has = lambda c: c in blocks.columns
+    cells = [F.coalesce(F.col(c), F.array().cast("array<string>")) if c == "header" else F.coalesce(F.flatten(c), F.array().cast("array<string>")) for c in ("header", "rows") if has(c)]
+    plain = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("kind") == "table", F.array_join(F.concat(*cells), " ")).otherwise(plain) if cells else plain
+    ordered = F.array_sort(F.collect_list(F.struct("ord", text.alias("t"))))
     joined = blocks.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
     return joined.withColumn("standard_fonts", ~has_non_winansi(one_line(F.col("text"))))
 

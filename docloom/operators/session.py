@@ -7,7 +7,7 @@ Edits rewrite the page list; contents are only touched on export.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,15 @@ COPY = r"\A(.*)-copy(?:-(\d+))?\z"
 NOTHING_LEFT = "Nothing to export — every page was removed."
 
 
+PAGES = "session_id string, pos int, page_id string, source_id string, source_index int, rotation int, blank_w double, blank_h double"
+SOURCES = "session_id string, source_id string, source_no int, name string, kind string, mime string, page_count int, content binary"
+
+
+def empty_session(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Sources and pages of nothing yet."""
+    return spark.createDataFrame([], SOURCES), spark.createDataFrame([], PAGES)
+
+
 def sniffed(content: Column, name: Column, mime: Column) -> DataFrame | Column:
     """Struct of kind, mime and name that a file gets from its type, first bytes and name."""
     magic = (F.length(content) > 4) & (F.hex(F.substring(content, 1, 4)) == "25504446")

@@ -26,6 +26,14 @@ A4 = (595.28, 841.89)
 PAGE_KEYS = ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox", "Resources", "Contents", "Rotate", "Annots", "Group", "UserUnit")
 
 
+OVER = "FOver"
+FACE = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}
+
+
+class Made(Ref):
+    """A reference to an object of the new file."""
+
+
 def written(value, number) -> bytes:
     """PDF syntax of a value; number(ref) gives a reference's number in the new file."""
     if isinstance(value, Ref):
@@ -157,8 +165,9 @@ class Assembly:
     def blank(self, width: float, height: float, rotation: int) -> None:
         self.page({"MediaBox": [0, 0, width, height]} | ({"Rotate": rotation} if rotation else {}))
 
-    def copy(self, doc: Document, page: dict, rotation: int, known: dict[int, int]) -> None:
-        """A page with all that it needs; known: numbers of objects copied from this source."""
+    def copy(self, doc: Document, page: dict, rotation: int, known: dict[int, int], over: bytes = b"") -> None:
+        """A page with all that it needs; known: numbers of objects copied from this source;
+        over: operators that are shown after the page's own, in the face OVER."""
         todo: list[int] = []
 
         def number(ref: Ref) -> int:
@@ -171,7 +180,15 @@ class Assembly:
         old = doc.get(page, "Rotate", 0)
         turn = ((int(old) if isinstance(old, (int, float)) else 0) + rotation) % 360
         own = {k: v for k, v in body.items() if k != "Rotate"} | ({"Rotate": turn} if turn else {})
-        self.page(own, number)
+        fresh = lambda ref: int(ref) if isinstance(ref, Made) else number(ref)
+        if over:
+            resources = doc.get(page, "Resources", {})
+            faces = doc.get(resources, "Font", {}) | {OVER: FACE}
+            before = doc.resolve(page.get("Contents"))
+            before = before if isinstance(before, list) else [page["Contents"]] if "Contents" in page else []
+            parts = [Made(self.stream({}, b"q")), *before, Made(self.stream({}, b"Q")), Made(self.stream({}, over))]
+            own |= {"Resources": resources | {"Font": faces}, "Contents": parts}
+        self.page(own, fresh)
         while todo:
             ref = todo.pop()
             value, data = doc.value(ref), doc.raw(ref)
@@ -182,19 +199,22 @@ class Assembly:
             body = written(value if data is None else value | {"Length": len(data)}, number)
             self.objects[known[ref] - 1] = body if data is None else body + b"\nstream\n" + data + b"\nendstream"
 
-    def image(self, head: dict, data: bytes, width: int, height: int, rotation: int, alpha: bytes | None = None) -> None:
+    def image(self, head: dict, data: bytes, width: int, height: int, rotation: int, alpha: bytes | None = None, over: bytes = b"") -> None:
         kind = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height}
         if alpha is not None:
             mask = {"ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8, "Filter": Name("FlateDecode")}
             head = head | {"SMask": Ref(self.stream(kind | mask, zlib.compress(alpha)))}
         image = self.stream(kind | head, data)
-        contents = self.stream({}, b"q %d 0 0 %d 0 0 cm /Im0 Do Q" % (width, height))
-        self.page({"MediaBox": [0, 0, width, height], "Resources": {"XObject": {"Im0": Ref(image)}}, "Contents": Ref(contents)} | ({"Rotate": rotation} if rotation else {}))
+        contents = self.stream({}, b"q %d 0 0 %d 0 0 cm /Im0 Do Q " % (width, height) + over)
+        self.page({"MediaBox": [0, 0, width, height], "Resources": {"XObject": {"Im0": Ref(image)}, "Font": {OVER: FACE}}, "Contents": Ref(contents)} | ({"Rotate": rotation} if rotation else {}))
 
-    def file(self) -> bytes:
+    def file(self, compressed: bool = False) -> bytes:
+        """The whole file; compressed: objects without streams share one, as newer readers take it."""
         self.objects[0] = b"<< /Type /Catalog /Pages 2 0 R >>"
         self.objects[1] = b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % p for p in self.pages) + b"] /Count %d >>" % len(self.pages)
         out, places = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
+        if compressed:
+            return self.compressed(out)
         for k, body in enumerate(self.objects, 1):
             places.append(len(out))
             out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
@@ -203,6 +223,30 @@ class Assembly:
         return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, start))
 
 
+    def compressed(self, out: bytearray) -> bytes:
+        inside = [k for k, body in enumerate(self.objects, 1) if b"stream\n" not in body]
+        at, heads, bodies = 0, [], []
+        for k in inside:
+            heads.append(b"%d %d" % (k, at))
+            bodies.append(self.objects[k - 1])
+            at += len(bodies[-1]) + 1
+        head = b" ".join(heads) + b" "
+        data = zlib.compress(head + b"\n".join(bodies))
+        packed = self.stream({"Type": Name("ObjStm"), "N": len(inside), "First": len(head), "Filter": Name("FlateDecode")}, data)
+        rows = {k: (2, packed, n) for n, k in enumerate(inside)}
+        for k, body in enumerate(self.objects, 1):
+            if k not in rows:
+                rows[k] = (1, len(out), 0)
+                out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+        last, start = len(self.objects) + 1, len(out)
+        rows[last] = (1, start, 0)
+        table = struct.pack(">BIH", 0, 0, 65535) + b"".join(struct.pack(">BIH", *rows[k]) for k in range(1, last + 1))
+        data = zlib.compress(table)
+        head = {"Type": Name("XRef"), "Size": last + 1, "W": [1, 4, 2], "Root": Ref(1), "Filter": Name("FlateDecode"), "Length": len(data)}
+        out += b"%d 0 obj\n" % last + written(head, int) + b"\nstream\n" + data + b"\nendstream\nendobj\n"
+        return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
+
+
 def jpeg_size(data: bytes) -> tuple[int, int, int]:
     """Width, height and number of components, from the frame header."""
     at = 2
@@ -253,15 +297,15 @@ def png_pixels(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray | None]:
     return (width, height, values[..., :-1], values[..., -1]) if color in (4, 6) else (width, height, values, None)
 
 
-def embed(out: Assembly, action: str, data: bytes, rotation: int) -> None:
+def embed(out: Assembly, action: str, data: bytes, rotation: int, over: bytes = b"") -> None:
     if action == "embed_jpg":
         width, height, n = jpeg_size(data)
         space = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}.get(n, "DeviceRGB")
-        out.image({"ColorSpace": Name(space), "BitsPerComponent": 8, "Filter": Name("DCTDecode")}, data, width, height, rotation)
+        out.image({"ColorSpace": Name(space), "BitsPerComponent": 8, "Filter": Name("DCTDecode")}, data, width, height, rotation, over=over)
         return
     width, height, samples, alpha = png_pixels(data)
     head = {"ColorSpace": Name("DeviceGray" if samples.shape[2] == 1 else "DeviceRGB"), "BitsPerComponent": 8, "Filter": Name("FlateDecode")}
-    out.image(head, zlib.compress(samples.tobytes()), width, height, rotation, None if alpha is None else alpha.tobytes())
+    out.image(head, zlib.compress(samples.tobytes()), width, height, rotation, None if alpha is None else alpha.tobytes(), over)
 
 
 def assembled(plan: list[dict], contents: dict[str, bytes]) -> tuple[bytes | None, int, str | None]:
@@ -293,6 +337,57 @@ def assembled(plan: list[dict], contents: dict[str, bytes]) -> tuple[bytes | Non
     return out.file(), len(out.pages), None
 
 
+def invisible(words: list[dict]) -> tuple[bytes, int]:
+    """Operators that put words on a page without showing them, and how many no face can write."""
+    out, skipped = [], 0
+    for w in words:
+        try:
+            text = w["text"].encode("cp1252").hex()
+        except UnicodeEncodeError:
+            skipped += 1
+            continue
+        out.append(f"BT 3 Tr /{OVER} {w['font_size']:.3f} Tf 1 0 0 1 {w['x']:.3f} {w['y']:.3f} Tm <{text}> Tj ET")
+    return "\n".join(out).encode(), skipped
+
+
+def searchable_pdfs(sources: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, data, n_pages, skipped_words, error): each file with its recognised words, unseen, over its pages.
+
+    sources: key, content, and optionally action (copy, embed_png or embed_jpg; copy by default).
+    words: rows of objects.placed_words() with key and page_no (from 1).  Words that the face's code
+    page can't write are skipped and counted.
+    """
+    kind = sources.schema[key].dataType.simpleString()
+    action = F.col("action") if "action" in sources.columns else F.lit("copy")
+    files = sources.select(F.col(key).alias("key"), "content", action.alias("action"))
+    placed = words.select(F.col(key).alias("key"), "page_no", "text", "x", "y", "font_size")
+
+    def run(of, files: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        pages = {n: page.to_dict("records") for n, page in found.groupby("page_no")}
+        for content, what in zip(files.content, files.action, strict=True):
+            out, skipped = Assembly(), 0
+            try:
+                if what != "copy":
+                    over, skipped = invisible(pages.get(1, []))
+                    embed(out, what, bytes(content), 0, over)
+                else:
+                    doc, known = Document(bytes(content)), {}
+                    if doc.encrypted:
+                        raise PdfError(ENCRYPTED)
+                    for n, page in enumerate(doc.pages(), 1):
+                        over, missed = invisible(pages.get(n, []))
+                        out.copy(doc, page, 0, known, over)
+                        skipped += missed
+                rows.append((of[0], out.file(), len(out.pages), skipped, None))
+            except FAULTS as e:
+                rows.append((of[0], None, 0, 0, ENCRYPTED if str(e) == ENCRYPTED else CORRUPT))
+        return pd.DataFrame(rows, columns=["key", "data", "n_pages", "skipped_words", "error"])
+
+    schema = f"key {kind}, data binary, n_pages int, skipped_words int, error string"
+    return files.groupBy("key").cogroup(placed.groupBy("key")).applyInPandas(run, schema).withColumnRenamed("key", key)
+
+
 def build_pdfs(plan: DataFrame, sources: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """(session_id, data, n_pages, error) for each session of a plan.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.fonts import MEAN_WIDTH, MONO, SANS
+from docloom.functions.fonts import MEAN_WIDTH, MONO, SANS, SANS_BOLD
 from docloom.functions.text import CORRUPT, ENCRYPTED
 from docloom.sources import security
 
@@ -323,6 +323,7 @@ class Font:
         self.name = str(doc.get(d, "BaseFont", ""))
         self.wide = doc.get(d, "Subtype") == "Type0"
         self.widths, self.first = doc.get(d, "Widths", []), doc.get(d, "FirstChar", 0)
+        self.standard = SANS_BOLD if "Bold" in self.name else SANS
         self.map: dict[int, str] = {}
         if isinstance(d, dict) and isinstance(d.get("ToUnicode"), Ref):
             self.read_map(doc.stream(d["ToUnicode"]))
@@ -346,7 +347,7 @@ class Font:
             if not self.wide and 0 <= k < len(self.widths) and isinstance(self.widths[k], (int, float)):
                 total += self.widths[k]
             else:
-                total += 600 if self.name.startswith(MONO) else SANS[c - 32] if 32 <= c < 127 else MEAN_WIDTH
+                total += 600 if self.name.startswith(MONO) else self.standard[c - 32] if 32 <= c < 127 else MEAN_WIDTH
         return text, total
 
 
@@ -498,6 +499,74 @@ def read(data: bytes | None, known: str | None = None, tries: list[str | None] |
         return "corrupt", CORRUPT, []
 
 
+READ_ONLY, RADIO, PUSH, COMBO = 1, 1 << 15, 1 << 16, 1 << 17
+
+
+def plain_text(value) -> str | None:
+    """A text string: in UTF-16 behind its mark, else by code page."""
+    if isinstance(value, Name):
+        return str(value)
+    if not isinstance(value, bytes):
+        return None
+    return value[2:].decode("utf-16-be", "replace") if value[:2] == b"\xfe\xff" else value.decode("cp1252", "replace")
+
+
+def fields_in(doc: Document) -> list[tuple]:
+    """(name, field_type, text_value, checked, selected, options, read_only) of a document's form fields, in order."""
+    root = next((v for n in [*doc.places, *doc.known] if isinstance(v := doc.value(n), dict) and v.get("Type") == "Catalog"), {})
+    out, seen = [], set()
+    stack = [(ref, "", {}) for ref in reversed(doc.get(doc.get(root, "AcroForm", {}), "Fields", []))]
+    while stack:
+        ref, above, given = stack.pop()
+        node = doc.resolve(ref)
+        if not isinstance(node, dict) or (isinstance(ref, Ref) and int(ref) in seen):
+            continue
+        seen.add(int(ref) if isinstance(ref, Ref) else id(node))
+        own = plain_text(doc.get(node, "T"))
+        name = f"{above}.{own}" if above and own else own or above
+        given = given | {k: node[k] for k in ("FT", "Ff", "V", "Opt") if k in node}
+        kids = [k for k in doc.get(node, "Kids", [])]
+        if any("T" in (doc.resolve(k) or {}) for k in kids):
+            stack += [(k, name, given) for k in reversed(kids)]
+            continue
+        flags, kind, value = doc.get(given, "Ff", 0), doc.get(given, "FT"), doc.get(given, "V")
+        texts = [plain_text(doc.resolve(v)) for v in (value if isinstance(value, list) else [value])]
+        options = [plain_text(doc.resolve(o[-1] if isinstance(o := doc.resolve(x), list) and o else o)) for x in doc.get(given, "Opt", [])]
+        widgets = [doc.resolve(k) for k in kids] or [node]
+        states = [k for w in widgets for k in doc.get(doc.get(w, "AP", {}), "N", {}) if k != "Off"]
+        checked = texts[0] not in (None, "Off") or any(doc.get(w, "AS", "Off") != "Off" for w in widgets)
+        if kind == "Btn":
+            kind = "button" if flags & PUSH else "radio" if flags & RADIO else "checkbox"
+        elif kind == "Ch":
+            kind = "dropdown" if flags & COMBO else "optionlist"
+        else:
+            kind = "text" if kind == "Tx" else "other"
+        chosen = [t for t in texts if t is not None and t != "Off"] if kind in ("radio", "dropdown", "optionlist") else None
+        out.append((name, kind, texts[0] if kind == "text" else None, checked if kind == "checkbox" else None, chosen, list(dict.fromkeys(states)) if kind == "radio" else options or None, bool(flags & READ_ONLY)))
+    return out
+
+
+def pdf_fields(sources: DataFrame, id_col: str = "doc_id", content: str = "content") -> DataFrame:
+    """Form fields of files: input of objects.described_fields().  Files that can't be read have none."""
+    kind = sources.schema[id_col].dataType.simpleString()
+    names = ["name", "field_type", "text_value", "checked", "selected", "options", "read_only"]
+    types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
+
+    def run(batches):
+        for batch, k, *given in files_of(batches):
+            try:
+                doc = opened(given[0] or b"", *given[1:])[0]
+                rows = fields_in(doc) if doc else []
+            except FAULTS:
+                rows = []
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([k] * len(rows))), *columns], ["id", *names])
+
+    schema = f"id {kind}, name string, field_type string, text_value string, checked boolean, selected array<string>, options array<string>, read_only boolean"
+    return columns_of(sources, id_col, content).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def columns_of(sources: DataFrame, id_col: str, content: str) -> DataFrame:
     """id, content, password (the known one) and tries, the latter two null where a table has none."""
     own = {"password": "string", "tries": "array<string>"}

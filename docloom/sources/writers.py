@@ -128,7 +128,7 @@ def pdf_file(pages: list[list[dict]], size: tuple[float, float], title: str = ""
             elif d["what"] == "link":
                 uri = pdf_text(d["href"]).decode("latin-1")
                 links.append(add(f"<< /Type /Annot /Subtype /Link /Border [0 0 0] /Rect [{d['x']:.3f} {d['y']:.3f} {d['x'] + d['w']:.3f} {d['y'] + d['h']:.3f}] /A << /S /URI /URI {uri} >> >>".encode("latin-1")))
-            elif d["what"] in ("rule", "bar", "box", "cell"):
+            elif d["what"] in ("rule", "bar", "box", "cell", "underline"):
                 fill = "S" if d["what"] == "cell" else "f"
                 out.append(f"q 0.8 g 0.75 G 0.5 w {d['x']:.3f} {d['y']:.3f} {d['w']:.3f} {d['h']:.3f} re {fill} Q".encode())
         data = zlib.compress(b"\n".join(out))
