@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom import plugins
 from docloom.operators.objects import PRESETS, recompressed, recompressible
 
 
@@ -77,12 +78,12 @@ def inflated(data: bytes) -> bytes | None:
         return None
 
 
-def recode_images(images: DataFrame, recode: Callable, preset: str = "balanced") -> DataFrame:
+def recode_images(images: DataFrame, recode: Callable | None = None, preset: str = "balanced") -> DataFrame:
     """Image objects with what recompressed() says and `out_data`, the stream that replaces the old, if any.
 
     images: the columns of recompressible() and `data`.  recode(data, kind, raw, longest, quality)
     runs where the data is: kind is jpeg with a whole file, or raw with samples and raw =
-    (width, height, color); it gives (bytes, width, height) or None.  Faults of one image
+    (width, height, color); by default it is the configured recoder.  It gives (bytes, width, height) or None.  Faults of one image
     leave it as it is.
     """
     longest, quality = PRESETS[preset]
@@ -116,6 +117,38 @@ def recode_images(images: DataFrame, recode: Callable, preset: str = "balanced")
     return done.withColumn("out_data", F.when(F.col("replaced"), F.col("new_data"))).drop("new_data", "as_", "color_")
 
 
+def recognised_words(rasters: DataFrame, factory: Callable | None = None) -> DataFrame:
+    """Words of page images: doc_id, page_no, word_no, text, x0, y0, x1, y1, canvas_w, canvas_h.
+
+    rasters: doc_id, page_no, raster, width, height.  factory() makes a recogniser once a task (by
+    default the configured one), which is closed at its end, also after a fault.
+    """
+    factory = factory or plugins.hook("recogniser")
+    kind = rasters.schema["doc_id"].dataType.simpleString()
+    names = ["word_no", "text", "x0", "y0", "x1", "y1", "canvas_w", "canvas_h"]
+    types = [pa.int32(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32()]
+
+    def run(batches):
+        recogniser = None
+        try:
+            for batch in batches:
+                recogniser = recogniser or factory()
+                for k in range(batch.num_rows):
+                    raster, w, h = (batch.column(c)[k].as_py() for c in ("raster", "width", "height"))
+                    found = recogniser.recognise(raster, w, h) if raster is not None else []
+                    rows = [(n, x["text"], *(float(x[c]) for c in ("x0", "y0", "x1", "y1")), w, h) for n, x in enumerate(found)]
+                    if rows:
+                        at = pa.array([k] * len(rows))
+                        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("page_no").cast(pa.int32()).take(at), *columns], ["doc_id", "page_no", *names])
+        finally:
+            if recogniser is not None:
+                recogniser.close()
+
+    schema = f"doc_id {kind}, page_no int, word_no int, text string, x0 double, y0 double, x1 double, y1 double, canvas_w int, canvas_h int"
+    return rasters.select("doc_id", "page_no", "raster", "width", "height").mapInArrow(run, schema)
+
+
 def png_bytes(rgba: np.ndarray) -> bytes:
     """A PNG file of RGBA samples: what a recoder may start from."""
     height, width = rgba.shape[:2]

@@ -1,4 +1,8 @@
-"""Hooks for what needs an outside codec: parsing, recognising and recoding."""
+"""Hooks for what needs an outside codec: parsing, recognising and recoding.
+
+Hooks are set on the driver.  An operator that uses one takes it when it is called and
+sends it to the workers with its task, so that a hook must be picklable.
+"""
 
 from __future__ import annotations
 
@@ -61,6 +65,10 @@ def is_configured(name: str) -> bool:
     return name in _hooks
 
 
+def configured(name: str) -> Callable[..., Any] | None:
+    return _hooks.get(name)
+
+
 def hook(name: str) -> Callable[..., Any]:
     if name not in _hooks:
         raise EngineNotConfiguredError(f"No {name} is configured: call docloom.plugins.{SETTERS[name]}() first.")

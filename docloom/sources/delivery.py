@@ -11,10 +11,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import plugins
+
 
 def save_files(files: DataFrame, folder: str, listen: Callable[[str, int], None] | None = None) -> int:
     """Writes `data` of every row as `name` under a folder that driver and executors share, each under
-    another name first; returns their number.  listen(name, size) hears of each file; its faults don't count."""
+    another name first; returns their number.  listen(name, size), by default the configured listener,
+    hears of each file; its faults don't count."""
+    listen = listen or plugins.notify
 
     def run(batches):
         fs, at = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
@@ -32,9 +36,8 @@ def save_files(files: DataFrame, folder: str, listen: Callable[[str, int], None]
     saved, n = files.where("name IS NOT NULL AND data IS NOT NULL").select("name", "data").mapInArrow(run, "name string, size long"), 0
     for row in saved.toLocalIterator():  # names and sizes alone, a partition at a time
         n += 1
-        if listen:
-            with contextlib.suppress(Exception):
-                listen(row["name"], row["size"])
+        with contextlib.suppress(Exception):
+            listen(row["name"], row["size"])
     return n
 
 

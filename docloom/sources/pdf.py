@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom import plugins
 from docloom.functions.fonts import MEAN_WIDTH, MONO, SANS, SANS_BOLD
 from docloom.functions.text import CORRUPT, ENCRYPTED
 from docloom.sources import security
@@ -581,11 +582,13 @@ def files_of(batches):
             yield batch, k, *(batch.column(c)[k].as_py() for c in ("content", "password", "tries"))
 
 
-def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "content", parser: Callable = read) -> DataFrame:
+def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "content", parser: Callable | None = None) -> DataFrame:
     """id, page_no (from 1), width, height, rotation, status, message; one row for a file without pages.
 
-    sources may have a password and further tries.  parser: what reads a file, in place of read().
+    sources may have a password and further tries.  parser: what reads a file as read() does; by
+    default the configured one, or read() itself.
     """
+    parser = parser or plugins.configured("parser") or read
     kind = sources.schema[id_col].dataType.simpleString()
     names = ["page_no", "width", "height", "rotation", "status", "message"]
     types = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
@@ -602,8 +605,9 @@ def pdf_pages(sources: DataFrame, id_col: str = "source_id", content: str = "con
     return columns_of(sources, id_col, content).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def pdf_text_layer(sources: DataFrame, id_col: str = "doc_id", content: str = "content", parser: Callable = read) -> DataFrame:
+def pdf_text_layer(sources: DataFrame, id_col: str = "doc_id", content: str = "content", parser: Callable | None = None) -> DataFrame:
     """doc_id, page_no, item_no, str, transform, w, h, font_name: input of files.text_items."""
+    parser = parser or plugins.configured("parser") or read
     kind = sources.schema[id_col].dataType.simpleString()
     names = ["page_no", "item_no", "str", "transform", "w", "h", "font_name"]
     types = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]

@@ -185,3 +185,31 @@ def test_style_attributes():
     (b,) = parse_html("<p><span style='font-weight:700'>a</span><b style='font-weight: normal'>b</b><span style='font-style:italic; font-family: Courier New, monospace'>c</span><i style='text-transform: uppercase'>d</i><span style='display:none'>e</span></p>")
     assert [(r["text"], r["bold"], r["italic"], r["code"]) for r in b[8]] == [("a", True, False, False), ("b", False, False, False), ("c", False, True, True), ("D", False, True, False)]
     assert parse_html("<div style='display: none'><p>x</div><p>y") [0][5] == "y"
+
+
+def test_configured_hooks_are_used(spark, tmp_path):
+    from docloom import plugins
+
+    class Reader:
+        def recognise(self, raster, width, height):
+            return [{"text": raster.decode(), "x0": 1, "y0": 2, "x1": width, "y1": height}]
+
+        def close(self):
+            (tmp_path / "closed").touch()
+
+    rasters = spark.createDataFrame([(1, 1, b"word", 30, 40), (1, 2, None, 30, 40)], "doc_id int, page_no int, raster binary, width int, height int").coalesce(1)
+    with pytest.raises(plugins.EngineNotConfiguredError, match="set_recogniser_factory"):
+        M.recognised_words(rasters)
+    heard = []
+    try:
+        plugins.set_recogniser_factory(Reader)
+        plugins.set_parser(lambda data, known, tries: ("ok", None, [(1.0, 2.0, 0, [("own", [1.0] * 6, 3.0, 4.0, "F")], 0)]))
+        plugins.set_output_listener(lambda name, size: heard.append((name, size)))
+        assert [tuple(r) for r in M.recognised_words(rasters).collect()] == [(1, 1, 0, "word", 1.0, 2.0, 30.0, 40.0, 30, 40)] and (tmp_path / "closed").exists()
+        source = spark.createDataFrame([(1, b"anything")], "doc_id int, content binary")
+        assert pdf.pdf_pages(source, "doc_id").first()["width"] == 1.0 and pdf.pdf_text_layer(source).first()["str"] == "own"
+        assert delivery.save_files(spark.createDataFrame([("n", b"12")], "name string, data binary"), str(tmp_path)) == 1 and heard == [("n", 2)]
+    finally:
+        plugins.set_recogniser_factory(None)
+        plugins.set_parser(None)
+        plugins.set_output_listener(None)
