@@ -253,3 +253,35 @@ def test_stages_take_odd_tables(spark, sf_dir, prose, tokens, stage):
     if name == "mixing":
         took = sum(len((r["text"] or "").split()) for r in kept)
         assert 0 < took <= sum(words) + 1 and {r["source"] for r in kept} == {None, "s"}
+
+
+def test_stages_equal_plain_evaluation(spark, sf_dir):
+    """What quality, toxicity and mixing keep, row by row in Python, from the models that the stages fit."""
+    import zlib
+    from collections import Counter
+
+    import pyarrow as pa
+
+    import corpus_pipeline as P
+    from docloom.llm.quality_rules import fit_quality_rules, quality_verdicts
+    from docloom.llm.toxicity import fit_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = P.labels_of(spark, sf_dir)
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in labels.collect())
+    good = {r["doc_id"] for r in quality_verdicts(docs, fit_quality_rules(docs, labels)).collect() if r["kept"]}
+    assert {r["doc_id"] for r in P.quality(spark, docs, sf_dir).collect()} == good
+    model, clean = fit_toxicity(docs, labels), set()
+    for r in docs.collect():
+        if model.score(*model.marginals(pa.array([r["text"] or ""])))[0] < 0.5:
+            clean.add(r["doc_id"])
+    assert {r["doc_id"] for r in P.toxicity(spark, docs, sf_dir).collect()} == clean
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in docs.collect()]
+    total = sum(n for *_, n in rows)
+    weights, full = plan(rows, total, M.TARGET_ENTROPY, M.MAX_REPEATS)
+    times = Counter(r["doc_id"] for r in P.mixing(spark, docs, sf_dir).collect())
+    for source, w in weights.items():
+        epochs = math.floor(round(w * total, 3) / full[source])
+        own = [(k, n) for k, s, n in rows if s == source]
+        assert {times[k] - epochs for k, _ in own} <= {0, 1}
+        assert sum(times[k] * n for k, n in own) <= w * total + 1

@@ -239,3 +239,82 @@ def test_every_language_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = L.identify_languages(df, L.fit_language_model(df)).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in found} == {k: lang for k, _, lang in rows}
+
+
+def plain_covering(rows, names, edges):
+    """Sequential covering in plain Python: rows are (statistics by name, bad, prune)."""
+    import math
+
+    covers = lambda rule, r: all((r[0][c] <= t) if below else (r[0][c] > t) for c, below, t in rule)
+    rules, left = [], rows
+    while len(rules) < Q.MOST_RULES:
+        rule = []
+        while len(rule) < Q.MOST_CONDITIONS:
+            here = [r for r in left if not r[2] and covers(rule, r)]
+            bad, good = sum(r[1] for r in here), sum(not r[1] for r in here)
+            if not bad or not good:
+                break
+            best, best_gain, was = None, 0.0, math.log2(bad / (bad + good))
+            for c in names:
+                for t in edges[c]:
+                    for below in (True, False):
+                        hit = [r for r in here if covers([(c, below, t)], r)]
+                        b = sum(r[1] for r in hit)
+                        gain = b * (math.log2(b / len(hit)) - was) if b else 0.0
+                        if gain > best_gain + 1e-9:
+                            best, best_gain = (c, below, t), gain
+            if best is None:
+                break
+            rule.append(best)
+        if not rule:
+            break
+        judged = []
+        for k in range(len(rule), 0, -1):
+            hit = [r for r in left if r[2] and covers(rule[:k], r)]
+            judged.append((rule[:k], sum(r[1] for r in hit), sum(not r[1] for r in hit)))
+        rule, bad, good = max(judged, key=lambda x: (x[1] - x[2]) / (x[1] + x[2]) if x[1] + x[2] else -1.0)
+        if bad < Q.LEAST_COVERED or bad < Q.LEAST_PRECISION * (bad + good):
+            break
+        moved = []
+        for c, below, t in rule:
+            low, high = [r[0][c] for r in left if r[0][c] <= t], [r[0][c] for r in left if r[0][c] > t]
+            moved.append((c, below, (max(low) + min(high)) / 2 if low and high else t))
+        rules.append(moved)
+        left = [r for r in left if not covers(moved, r)]
+    return rules
+
+
+def test_rules_equal_plain_covering(spark):
+    r, rows = random.Random(8), []
+    for k in range(500):
+        x, y, z = r.random(), r.random(), r.random()
+        bad = (x > 0.7 and y < 0.5) or z > 0.9 if r.random() > 0.02 else r.random() < 0.5
+        rows.append((x, y, z, bool(bad), k % 3 == 0))
+    table = spark.createDataFrame(rows, "x double, y double, z double, bad boolean, prune boolean")
+    names, points = ["x", "y", "z"], [(k + 1) / (Q.THRESHOLDS + 1) for k in range(Q.THRESHOLDS)]
+    cuts = [t.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in names]).first() for t in (table, table.where("bad"))]
+    edges = {c: sorted({*cuts[0][c], *cuts[1][c]}) for c in names}
+    want = plain_covering([(dict(zip(names, row[:3], strict=True)), row[3], row[4]) for row in rows], names, edges)
+    found = [[(c.statistic, c.below, c.threshold) for c in rule] for rule in Q.learn_rules(table)]
+    assert len(want) >= 2 and [[x[:2] for x in rule] for rule in found] == [[x[:2] for x in rule] for rule in want]
+    assert all(a[2] == pytest.approx(b[2]) for p, q in zip(found, want, strict=True) for a, b in zip(p, q, strict=True))
+
+
+def test_kept_follows_the_learned_list(spark, sf_dir):
+    """op4's verdict by plain evaluation of its rules on brute-force statistics."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = Q.fit_quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = {r["doc_id"]: r["kept"] for r in Q.op4_quality_rules(spark, sf_dir).collect()}
+    for d in docs.collect():
+        text = d["text"] or ""
+        n_words, chars, symbols, dup_lines, repeated = brute_statistics(text)
+        lines = [x for x in text.split("\n") if x.strip(" \t\x0b\f\r")]
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        part = lambda a, b: a / b if b else 0.0
+        own = {
+            "symbols_per_char": part(symbols, chars), "symbols_per_word": part(symbols, n_words), "shouts_per_word": part(text.count("!"), n_words), "upper_per_char": part(sum("A" <= c <= "Z" for c in text), chars),
+            "chars_per_word": part(chars, n_words), "repeated_share": part(repeated, n_words), "dup_line_share": part(dup_lines, len(lines)), "unique_share": part(len(set(words)), n_words),
+        }
+        failed = n_words < 20 or 100 * repeated > 30 * n_words
+        rejected = any(all((own[c.statistic] <= c.threshold) == c.below for c in rule) for rule in rules)
+        assert kept[d["doc_id"]] == (not failed and not rejected)
