@@ -34,6 +34,7 @@ gives an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import defaultdict
@@ -129,12 +130,19 @@ def name_of(tag: str, given: dict[str, str], article: bool) -> str:
     return found
 
 
-def opened(parent: Node, tag: str, raw: str) -> Node:
+@functools.lru_cache(maxsize=1 << 14)
+def described(tag: str, raw: str, article: bool) -> tuple[str, bool, str, bool]:
+    """Label, whether hidden, name and whether an article or main, of an element by what its tag says."""
     given = attributes(raw)
-    hidden = parent.hidden or "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style", "")))
+    hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search(given.get("style", "")))
     label = tag + "".join(sorted({"." + DIGITS.sub("#", c) for c in given.get("class", "").split()}))
-    article = parent.article or tag in ("article", "main") or given.get("role") == "main"
-    return Node(tag, parent, label, hidden, name_of(tag, given, parent.article), article)
+    return label, hidden, name_of(tag, given, article), article or tag in ("article", "main") or given.get("role") == "main"
+
+
+def opened(parent: Node, tag: str, raw: str) -> Node:
+    # long attributes (embedded data) are not worth keeping
+    label, hidden, name, article = (described if len(raw) < 200 else described.__wrapped__)(tag, raw, parent.article)
+    return Node(tag, parent, label, parent.hidden or hidden, name, article)
 
 
 def walk(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -268,6 +276,12 @@ def style_of(node: Node) -> int:
     return xxhash.xxh3_64_intdigest(f"{shape}|{node.own.bit_length()}")
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is faster here than hashing."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=values[:1] - 1))]
+
+
 class Tree:
     """What a run of pages adds to the style trees of their sites."""
 
@@ -314,7 +328,7 @@ class Tree:
         share = np.bincount(pair_of, sizes, len(pairs)) / np.bincount(page_at, sizes, len(pages))[pair_page]
         chars = np.bincount(pair_of, [len(t) for t in texts], len(pairs))
         links = np.minimum(1, np.bincount(pair_of, linked, len(pairs)) / chars)
-        triples = np.unique(np.repeat(pair_of, sizes) * len(words) + codes)
+        triples = distinct(np.repeat(pair_of, sizes) * len(words) + codes)
         pair, code = triples // len(words), triples % len(words)
         _, same, shown = np.unique(pair_page[pair] * len(words) + code, return_inverse=True, return_counts=True)
         common = np.bincount(pair, shown[same] > 1, len(pairs)) / np.bincount(pair, minlength=len(pairs))
