@@ -11,6 +11,7 @@ from docloom.functions import geometry as G
 from docloom.functions import text as T
 from docloom.functions.fonts import digits_width
 from docloom.operators import html as H
+from docloom.operators import images as E
 from docloom.operators import items as I
 from docloom.operators import layout as L
 from docloom.operators import markdown as M
@@ -20,6 +21,7 @@ from docloom.operators import session as S
 from docloom.operators.runs import merge_runs
 from docloom.operators.textblocks import text_to_blocks
 from docloom.plans.inputs import duck, load
+from docloom.sources.files import text_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -486,3 +488,133 @@ def recognised_text(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     page = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     return O.recognised_text(rows.select(F.col("c_nationkey").alias("doc_id"), page.alias("page_no"), F.col("c_name").alias("text")))
+
+
+@query(f"""WITH t AS ({duck("phrases")}) SELECT id, regexp_replace(s, '\\s+', ' ', 'g') AS collapsed, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS tidied, regexp_replace(s, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g') AS stripped,
+  regexp_replace(regexp_replace(s, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '\\r?\\n', ' ', 'g') AS one_line, regexp_matches(s, '[.!?:;]["'')\\]]?$') AS ends, nullif(regexp_extract(s, 'language-(\\w+)', 1), '') AS lang,
+  regexp_matches(trim(s), ':$') AND length(trim(s)) <= 60 AND len(string_split_regex(trim(s), '\\s+')) <= 8 AND length(regexp_replace(s, '[^:]', '', 'g')) = 1 AS label,
+  CASE WHEN s LIKE 'म%' THEN 'latin,devanagari' ELSE 'latin' END AS scripts, regexp_full_match(s, '\\s*') AS blank, length(s)::INT AS units FROM t""")
+def phrase_functions(spark, sf_dir):
+    s = F.col("s")
+    return load(spark, sf_dir, "phrases").select(
+        "id", T.collapse(s).alias("collapsed"), T.tidy(s).alias("tidied"), T.strip_control(s).alias("stripped"), T.clean_inline(s).alias("one_line"), T.ends_sentence(s).alias("ends"), T.language_of_class(s).alias("lang"),
+        T.is_label_heading(s).alias("label"), F.array_join(T.needed_fonts(F.array(F.lit("a"), s, F.lit("b"))), ",").alias("scripts"), T.is_blank(s).alias("blank"), T.units(s).alias("units"),
+    )
+
+
+@query(f"""WITH t AS ({duck("raw_layer")}), r AS (SELECT *, CASE WHEN sqrt(c * c + d * d) > 0 THEN sqrt(c * c + d * d) WHEN h > 0 THEN h ELSE 12 END::DOUBLE AS size FROM t WHERE str IS NOT NULL AND trim(str) <> '')
+SELECT doc_id, page_no, item_no, str, e AS x, f AS y, coalesce(w, 0.0)::DOUBLE AS w, CASE WHEN h > 0 THEN h ELSE size END::DOUBLE AS h, size AS font_size, font_name IN ('g_d0_f1', 'Arial-BoldMT') AS bold FROM r""")
+def positioned_items(spark, sf_dir):
+    raw = load(spark, sf_dir, "raw_layer").withColumn("transform", F.array(F.lit(1.0), F.lit(0.0), "c", "d", "e", "f"))
+    fonts = spark.createDataFrame([("g_d0_f1", "ABCDEF+Noto-SemiBold"), ("g_d0_f2", "Noto-Regular")], "font_name string, real_name string")
+    return text_items(raw, fonts, keep_blank=False)
+
+
+@query(f"""WITH t AS ({duck("uploads")}), k AS (SELECT *, CASE WHEN mime <> '' THEN mime = 'application/pdf' ELSE (length(head) > 4 AND starts_with(head, '%PDF')) OR coalesce(lower(name) LIKE '%.pdf', false) END AS pdf FROM t)
+SELECT file_id, CASE WHEN pdf THEN 'pdf' ELSE 'image' END AS kind, coalesce(nullif(mime, ''), CASE WHEN pdf THEN 'application/pdf' ELSE 'application/octet-stream' END) AS mime, coalesce(nullif(name, ''), CASE WHEN pdf THEN 'document.pdf' ELSE 'image' END) AS name FROM k""")
+def sniffed_files(spark, sf_dir):
+    rows = load(spark, sf_dir, "uploads")
+    return rows.select("file_id", S.sniffed(F.col("head").cast("binary"), F.col("name"), F.col("mime")).alias("s")).select("file_id", "s.kind", "s.mime", "s.name")
+
+
+@query(f"""WITH t AS ({duck("sources_of_images")}), o AS (SELECT *, lower(regexp_extract(page_url, '^([a-zA-Z]+://[^/]*)', 1)) AS own, lower(CASE WHEN starts_with(src, '//') THEN regexp_extract(page_url, '^([a-z]+:)', 1) || regexp_extract(src, '^(//[^/]*)', 1) ELSE regexp_extract(src, '^([a-zA-Z]+://[^/]*)', 1) END) AS other FROM t)
+SELECT id, CASE WHEN src IN ('pic.png', '/p/q.jpg') OR starts_with(src, 'data:') THEN true ELSE own = other END AS same FROM o""")
+def image_origins(spark, sf_dir):
+    return load(spark, sf_dir, "sources_of_images").select("id", E.same_origin(F.col("src"), F.col("page_url")).alias("same"))
+
+
+@query("""SELECT p_partkey AS id, ceil((CASE WHEN p_size % 2 = 1 THEN p_retailprice ELSE 800 END) * (300 / greatest(p_retailprice, 800)))::INT AS width, ceil((CASE WHEN p_size % 2 = 1 THEN 800 ELSE p_retailprice END) * (300 / greatest(p_retailprice, 800)))::INT AS height FROM part""")
+def render_sizes(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = E.render_size(F.lit(800.0), F.col("p_retailprice"), 300, F.col("p_size") % 2 * 90)
+    return parts.select(F.col("p_partkey").alias("id"), size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query(f"""WITH t AS ({duck("raw_fields")}), k AS (SELECT *, CASE WHEN field_type IN ('dropdown', 'optionlist') THEN 'dropdown' WHEN field_type = 'signature' THEN 'other' ELSE field_type END AS type FROM t)
+SELECT doc_id, name, type, CASE type WHEN 'text' THEN coalesce(text_value, '') WHEN 'dropdown' THEN coalesce(chosen, '') WHEN 'radio' THEN coalesce(chosen, '') WHEN 'other' THEN '' END AS value_str, CASE WHEN type = 'checkbox' THEN coalesce(checked, false) END AS value_bool,
+  CASE WHEN type IN ('dropdown', 'radio') THEN 'a,b' END AS options, read_only FROM k""")
+def described_fields(spark, sf_dir):
+    raw = load(spark, sf_dir, "raw_fields").withColumn("selected", F.when(F.col("chosen").isNotNull(), F.array("chosen"))).withColumn("options", F.array(F.lit("a"), F.lit("b")))
+    return O.described_fields(raw).withColumn("options", F.array_join("options", ","))
+
+
+@query(f"""WITH t AS ({duck("raw_fields")}), j AS (SELECT *, NOT read_only AND field_type IN ('text', 'checkbox') AS touched FROM t),
+d AS (SELECT doc_id, name, touched, CASE WHEN touched AND field_type = 'text' THEN CASE WHEN text_value = 'مر' THEN 'NotoNaskhArabic-Regular' ELSE 'Helvetica' END END AS face FROM j)
+SELECT doc_id, name, touched, face, false AS need_appearances FROM d""")
+def field_appearances(spark, sf_dir):
+    raw = load(spark, sf_dir, "raw_fields")
+    fields = raw.select("doc_id", "name", "field_type", F.lit("").alias("value_str"), F.lit(False).alias("value_bool"), F.lit(None).cast("array<string>").alias("options"), "read_only")
+    values = raw.where("field_type IN ('text', 'checkbox')").select("doc_id", "name", F.coalesce("text_value", F.lit("")).alias("value"))
+    return O.appearance(O.fill_form(fields, values)).select("doc_id", "name", "touched", "face", "need_appearances")
+
+
+@query(f"""WITH t AS ({duck("starts")}), l AS (SELECT page_no, count(DISTINCT line_no) AS lines FROM t GROUP BY page_no), c AS (SELECT page_no, item_no AS k, count(DISTINCT line_no) AS n_lines, avg(x) AS center FROM t GROUP BY page_no, item_no)
+SELECT page_no, k AS cluster, n_lines, round(center, 6)::DOUBLE AS center FROM c JOIN l USING (page_no) WHERE n_lines >= greatest(2, ceil(lines / 2.0))""")
+def column_clusters(spark, sf_dir):
+    found = I.x_clusters(load(spark, sf_dir, "starts"), KEYS)
+    return found.select("page_no", "cluster", "n_lines", F.round("center", 6).alias("center"))
+
+
+@query(f"""WITH t AS ({duck("starts")}), l AS (SELECT page_no, count(DISTINCT line_no) AS lines FROM t GROUP BY page_no) SELECT page_no, line_no, item_no, least(item_no, 2)::INT AS col_no FROM t JOIN l USING (page_no) WHERE lines >= 2""")
+def nearest_columns(spark, sf_dir):
+    starts = load(spark, sf_dir, "starts")
+    return I.nearest_column(starts, I.x_clusters(starts, KEYS).select("page_no", "center"), KEYS).select("page_no", "line_no", "item_no", F.col("col_no").cast("int").alias("col_no"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS page_id, p_brand, p_type FROM part), b AS (SELECT page_id, unnest([
+  {{'ord': 0, 'kind': 'heading', 'level': 2::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': p_brand::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 1, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 3::INT, 'depth': 0::INT, 'text': p_type::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 2, 'kind': 'listItem', 'level': NULL::INT, 'ordered': false::BOOLEAN, 'index': 1::INT, 'depth': 1::INT, 'text': 'in'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 3, 'kind': 'listItem', 'level': NULL::INT, 'ordered': true::BOOLEAN, 'index': 4::INT, 'depth': 0::INT, 'text': 'two'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 4, 'kind': 'code', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'a < b'::VARCHAR, 'lang': 'sql'::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 5, 'kind': 'table', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': NULL::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 6, 'kind': 'hr', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': NULL::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 7, 'kind': 'image', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'cap ' || p_brand::VARCHAR, 'lang': NULL::VARCHAR, 'src': 'i.png'::VARCHAR}},
+  {{'ord': 8, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'in line'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 9, 'kind': 'blockquote', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'said'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 10, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'yes'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 11, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'loose'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}},
+  {{'ord': 12, 'kind': 'paragraph', 'level': NULL::INT, 'ordered': NULL::BOOLEAN, 'index': NULL::INT, 'depth': NULL::INT, 'text': 'odd'::VARCHAR, 'lang': NULL::VARCHAR, 'src': NULL::VARCHAR}}
+]) AS b FROM t)
+SELECT page_id, b.ord::INT AS ord, b.kind AS kind, b.level AS level, b.ordered AS ordered, b.index AS index, b.depth AS depth, b.text AS text, b.lang AS lang, b.src AS src FROM b""")
+def html_blocks(spark, sf_dir):
+    blocks = H.html_to_blocks(load(spark, sf_dir, "markup"))
+    return blocks.select("page_id", "ord", "kind", "level", "ordered", "index", "depth", "text", "lang", "src")
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS page_id, p_size FROM part) SELECT page_id, 'h,k' AS header, 1::BIGINT AS n_rows, p_size || ',' AS first_row FROM t""")
+def html_tables(spark, sf_dir):
+    tables = H.html_to_blocks(load(spark, sf_dir, "markup")).where("kind = 'table'")
+    return tables.select("page_id", F.array_join("header", ",").alias("header"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.get("rows", F.lit(0)), ",").alias("first_row"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS doc_id, p_partkey % 3 AS k, p_brand, p_type, p_size FROM part)
+SELECT doc_id, CASE k WHEN 0 THEN p_brand || ' Some em and ' || p_type || ' with code. next line one ' || p_size || ' two three first second quoted ' || p_brand || ' select 1 ' WHEN 1 THEN 'Title ' || p_brand || ' a b ' || p_size || ' x raw ' || p_brand || ' indented'
+  ELSE p_brand || ' line link and [img] gone a*b & c Sub five six' END AS text, true AS standard_fonts FROM t""")
+def document_texts(spark, sf_dir):
+    return L.document_text(M.markdown_to_blocks(load(spark, sf_dir, "markdown")))
+
+
+@query("""SELECT c_nationkey::BIGINT AS doc_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS word_no, c_name AS text, c_custkey AS x0 FROM customer WHERE c_custkey % 4 <> 0""")
+def recognition_trees(spark, sf_dir):
+    """Words of trees in which some blocks, paragraphs and lines are null: a word each, in order, by fours under one block."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    word = F.struct(F.col("c_name").alias("text"), F.col("c_custkey").alias("x0"))
+    kinds = ["array<struct<words:array<struct<text:string,x0:bigint>>>>", "array<struct<lines:array<struct<words:array<struct<text:string,x0:bigint>>>>>>"]
+    line = F.struct(F.when(F.col("c_custkey") % 8 != 4, F.array(word)).alias("words"))
+    lines = F.when(F.col("c_custkey") % 16 != 8, F.array(line)).cast(kinds[0])
+    paragraphs = F.when(F.col("c_custkey") % 32 != 16, F.array(F.struct(lines.alias("lines")))).cast(kinds[1])
+    # words of every fourth customer are lost with their line, paragraph or block
+    kept = F.struct(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 != 0, paragraphs).alias("paragraphs"))
+    trees = rows.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(kept)), lambda b: F.struct(b["paragraphs"].alias("paragraphs"))).alias("blocks"))
+    return O.flattened_words(trees).select("doc_id", "word_no", "text", "x0")
+
+
+@query(f"""WITH {PIXELS_SQL}, ink AS (SELECT img_id, x, y FROM gray JOIN (SELECT img_id, avg(gray) AS mean FROM gray GROUP BY img_id) m USING (img_id) WHERE gray < mean * 0.85),
+rows_ AS (SELECT img_id, angle, floor(y - x * tan(radians(angle)) + 4 + 0.5) AS row FROM ink, (SELECT unnest(range(41)) * 0.25 - 5 AS angle) a),
+c AS (SELECT img_id, angle, row, count(*) AS c FROM rows_ GROUP BY ALL), v AS (SELECT img_id, angle::DOUBLE AS angle, sum(c * c) / 24.0 - pow(sum(c) / 24.0, 2) AS v FROM c GROUP BY img_id, angle),
+b AS (SELECT img_id, max(v) AS top, max(v) FILTER (angle = 0) AS zero FROM v GROUP BY img_id),
+k AS (SELECT img_id, angle FROM (SELECT img_id, angle, row_number() OVER (PARTITION BY img_id ORDER BY v DESC, abs(angle), angle) AS n FROM v) x WHERE n = 1)
+SELECT s.img_id, CASE WHEN top >= zero * 1.02 THEN coalesce(angle, 0.0) ELSE 0.0 END::DOUBLE AS angle FROM (SELECT DISTINCT img_id FROM px) s LEFT JOIN b USING (img_id) LEFT JOIN k USING (img_id)""")
+def estimated_skew(spark, sf_dir):
+    return R.estimated_skew(load(spark, sf_dir, "pixels")).select("img_id", F.col("angle").cast("double").alias("angle"))

@@ -130,6 +130,37 @@ INPUTS = {
         SELECT p_partkey AS doc_id, CAST(b.k AS INT) AS ord, CASE b.k WHEN 0 THEN 'paragraph' WHEN 1 THEN 'code' WHEN 2 THEN 'listItem' ELSE 'hr' END AS kind, b.k = 2 AS ordered, CAST(p_size AS INT) AS index, 0 AS depth,
           CASE b.k WHEN 0 THEN CAST(p_partkey AS VARCHAR(19)) WHEN 1 THEN concat('f(', CAST(p_size AS VARCHAR(9)), ')') WHEN 2 THEN '0' END AS text
         FROM {part} CROSS JOIN (SELECT DISTINCT r_regionkey AS k FROM {region} WHERE r_regionkey < 4) b""",
+    "phrases": """
+        SELECT p_partkey AS id, CASE p_partkey % 8
+            WHEN 0 THEN concat('  ', p_name, chr(9), chr(10), ' ', p_brand, '  ') WHEN 1 THEN concat(p_name, '.') WHEN 2 THEN concat('He said "', p_type, '!"') WHEN 3 THEN concat('Size ', CAST(p_size AS VARCHAR(9)), ':')
+            WHEN 4 THEN concat('a: ', p_brand, ':') WHEN 5 THEN concat('x', chr(1), chr(7), p_brand, chr(13), chr(10), 'y') WHEN 6 THEN concat('highlight language-', lower(substring(p_type, 1, 3)), ' x') ELSE concat('म ', p_brand, ' مر') END AS s
+        FROM {part}""",
+    "raw_layer": """
+        SELECT o_orderkey AS doc_id, CAST(1 + o_custkey % 3 AS INT) AS page_no, CAST(o_orderkey % 7 AS INT) AS item_no, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE o_orderpriority END AS str,
+          CAST(o_orderkey % 5 * 3 AS DOUBLE) AS c, CAST(o_orderkey % 5 * 4 AS DOUBLE) AS d, CAST(o_custkey % 500 AS DOUBLE) AS e, CAST(o_custkey % 700 AS DOUBLE) AS f,
+          CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 60 AS DOUBLE) END AS w, CASE WHEN o_custkey % 3 = 0 THEN 0 WHEN o_custkey % 3 = 1 THEN NULL ELSE 9 END * CAST(1 AS DOUBLE) AS h,
+          CASE o_custkey % 4 WHEN 0 THEN 'g_d0_f1' WHEN 1 THEN 'Arial-BoldMT' WHEN 2 THEN 'g_d0_f2' ELSE 'Times' END AS font_name
+        FROM {orders}""",
+    "uploads": """
+        SELECT c_custkey AS file_id, CASE c_custkey % 5 WHEN 0 THEN concat(c_name, '.pdf') WHEN 1 THEN concat(c_name, '.PDF') WHEN 2 THEN '' WHEN 3 THEN NULL ELSE concat(c_name, '.png') END AS name,
+          CASE c_custkey % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN '' ELSE NULL END AS mime, CASE c_custkey % 3 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN '%PDF' ELSE 'GIF89a' END AS head
+        FROM {customer}""",
+    "sources_of_images": """
+        SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://a.example/x/y' WHEN 1 THEN 'http://A.example:81/' ELSE 'https://b.example' END AS page_url,
+          CASE c_custkey % 8 WHEN 0 THEN 'pic.png' WHEN 1 THEN '/p/q.jpg' WHEN 2 THEN 'https://a.example/z.png' WHEN 3 THEN '//b.example/z.png' WHEN 4 THEN 'data:image/png;base64,AA' WHEN 5 THEN 'HTTP://a.example:81/k' WHEN 6 THEN 'http://a.example/k' ELSE 'ftp://a.example/k' END AS src
+        FROM {customer}""",
+    "raw_fields": """
+        SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS doc_id, concat('f', CAST(p_partkey AS VARCHAR(19))) AS name, CASE p_partkey % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'dropdown' WHEN 3 THEN 'radio' WHEN 4 THEN 'optionlist' ELSE 'signature' END AS field_type,
+          CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN p_brand ELSE 'مر' END AS text_value, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 = 1 END AS checked, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS chosen, p_size % 11 = 0 AS read_only
+        FROM {part}""",
+    "starts": """
+        SELECT l_orderkey AS page_no, CAST(l_linenumber AS INT) AS line_no, CAST(c.k AS INT) AS item_no, CAST(40 + 100 * c.k + (l_partkey + c.k) % 5 AS DOUBLE) AS x, CAST(6 AS DOUBLE) AS x_tol
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l CROSS JOIN (SELECT DISTINCT r_regionkey AS k FROM {region} WHERE r_regionkey < 4) c
+        WHERE c.k < 3 OR l_linenumber = 1""",
+    "markup": """
+        SELECT p_partkey AS page_id, concat('<body><h2>', p_brand, '</h2><ol start=3><li>', p_type, '<ul><li>in</ul><li>two</ol><pre><code class="language-sql">', chr(10), 'a &lt; b', chr(10), '</code></pre><table><thead><tr><th>h<th>k<tbody><tr><td>',
+          CAST(p_size AS VARCHAR(9)), '<td> <tr><td> <td></table><hr><figure><img src="i.png"><figcaption> cap ', p_brand, ' </figcaption></figure><div>in <b>line</b></div><blockquote>said</blockquote><p hidden>no</p><p style="display:none">no</p><section><p>yes</p>loose</section><custom>odd</custom>') AS html
+        FROM {part}""",
     "code": """SELECT p_partkey AS doc_id, concat(repeat(p_name, 1 + p_size % 9), chr(9), 'end', chr(10), chr(10), p_type) AS text FROM {part}""",
 }
 
