@@ -47,7 +47,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE, STEP = 1e-5, 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS, SIGNED_BYTES, FEW_ENTRIES = 4096, 16 << 20, 1 << 19, 500, 4 << 20, 250_000
+GROUP_ROWS, GROUP_BYTES, PAIRS, WIDE_ROWS, SIGNED_BYTES, FEW_ENTRIES = 4096, 16 << 20, 1 << 18, 500, 4 << 20, 250_000
+SLAB = 1 << 15
 SEED = 20_240_801
 
 _draw = np.random.default_rng(SEED)
@@ -143,10 +144,15 @@ def digests(h: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def signed(df: DataFrame) -> DataFrame:
-    """(id, text, ...) with row (a number of its own), digest, n_words, signature and bands."""
-    names = df.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, h, g): rows with two hashes of the text, by which it is found again."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(SEED), text).alias("g"))
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """(id, text, h, g) to (id, h, g, row, digest, n_words, signature, bands); row is a number of its own."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -157,23 +163,24 @@ def signed(df: DataFrame) -> DataFrame:
                 keys = band_keys(signature)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 made = [pa.array(np.arange(row, row + len(keys))), pa.array(digests(h, offsets), pa.binary()), pa.array(np.diff(offsets)), pa.array([x.tobytes() for x in signature], pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "row", "digest", "n_words", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "g")), *made], ["id", "h", "g", "row", "digest", "n_words", "signature", "bands"])
                 row += len(keys)
 
-    return df.mapInArrow(run, f"{kinds}, row long, digest binary, n_words long, signature binary, bands array<long>")
+    return rows.select("id", "text", "h", "g").mapInArrow(run, f"id {kind}, h long, g long, row long, digest binary, n_words long, signature binary, bands array<long>")
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
-    """(row, text, ...) to (row, ..., shingles): sorted distinct 64-bit hashes."""
+    """(text, ...) to (..., signature, shingles): the sets as sorted distinct 64-bit hashes."""
     names = [c for c in df.columns if c != "text"]
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles(*word_hashes(text_array(batch.column("text"))))
         sets = [np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
+        signature = pa.array([x.tobytes() for x in minhashes(values, at)], pa.binary())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), signature, pa.array(sets, pa.binary())], [*names, "signature", "shingles"])
 
-    return map_slices(df, run, f"{kinds}, shingles binary")
+    return map_slices(df, run, f"{kinds}, signature binary, shingles binary")
 
 
 def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +288,11 @@ class Groups:
         bit = np.int64(1) << np.arange(BANDS)
         for i, j in pairs_within(self.starts, self.sizes, self.left, self.whole):
             i, j = surviving(self.signature, self.signature, i, j, self.survival)
-            same = (keys[i] == keys[j]) & ((self.mask[i, None] & bit) != 0)
-            own = same.argmax(1) == self.band[i]
+            own = np.zeros(len(i), bool)
+            for a in range(0, len(i), SLAB):  # a slab's keys are 16 MB
+                x, y = i[a : a + SLAB], j[a : a + SLAB]
+                same = (keys[x] == keys[y]) & ((self.mask[x, None] & bit) != 0)
+                own[a : a + SLAB] = same.argmax(1) == self.band[x]
             yield i[own], j[own]
 
 
@@ -380,15 +390,17 @@ def bucket_members(reps: DataFrame) -> DataFrame:
 
 
 def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, text, ...) to its stored rows with `row` and `digest`, and the stored classes of
-    equal texts: digest, copy (least (no id, id, text hash, row)), copies, links, texts, class."""
+    """keyed() rows to two stored tables: every row's id, h, g, row and digest; and the classes of
+    equal texts: digest, copy (least (no id, id, h, row)), copies, links, texts, class."""
     if threshold < 0.8:
         raise ValueError("the bands are laid out for thresholds of 0.8 and more")
     exact, survival = Fraction(str(threshold)), survival_table(threshold)
     marks = stored(signed(rows), "signatures")
-    name = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
-    classes = stored(marks.where("digest is not null").select("digest", name.alias("copy")).groupBy("digest").agg(F.min("copy").alias("copy"), F.count("*").alias("copies")), "copies")
-    first = classes.select(F.col("copy.row").alias("row"), "copies")
+    names = stored(marks.select("id", "h", "g", "row", "digest"), "names")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "h", "row")
+    by_digest = names.where("digest is not null").select("digest", name.alias("copy"), "g").groupBy("digest")
+    classes = stored(by_digest.agg(F.min("copy").alias("copy"), F.min_by("g", "copy").alias("g"), F.count("*").alias("copies")), "copies")
+    first = classes.select(F.col("copy.row").alias("row"), F.col("copy.h").alias("h"), "g", "copies")
     places = bucket_members(marks.select("row", "n_words", "bands").join(few(first.select("row")), "row"))
     block = F.pmod(F.xxhash64("row"), F.col("p.n_blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)
@@ -398,9 +410,10 @@ def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     entries = entries.select("row", "signature", "mask", "key", "band", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     with arrow_rows(marks.sparkSession, WIDE_ROWS):
         hits = stored(with_survivors(entries, survival), "survivors")
-        wanted = hits.select("row").distinct().join(places.select("row", "mask"), "row").join(first, "row")
-        wanted = stored(wanted, "wanted")
-        sets = stored(shingle_sets(marks.select("row", "text", "signature").join(few(wanted, FEW_ENTRIES), "row")), "shingles")
+        wanted = stored(hits.select("row").distinct().join(places.select("row", "mask"), "row").join(first, "row"), "wanted")
+        # copies of a text are one group: pre-aggregated, so that no copy is shuffled
+        texts = rows.select("h", "g", "text").join(few(wanted.select("h", "g"), FEW_ENTRIES), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("text").alias("text"))
+        sets = stored(shingle_sets(texts.join(few(wanted, FEW_ENTRIES), ["h", "g"]).select("row", "mask", "copies", "text")), "shingles")
         links = stored(verified(sets.join(few(hits, FEW_ENTRIES), "row"), exact, survival), "links")
     counts = links.groupBy("row").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     tree = components(links.select(F.col("row").alias("a"), F.col("hub").alias("b")), "classes")
@@ -408,8 +421,8 @@ def link_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     info = stored(info.select("digest", "copy", "copies", F.coalesce("root", "row").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")), "linked")
     least = stored(info.groupBy("root").agg(F.min("copy").alias("class")), "least")  # stored: a hot root's join can be split
     linked = stored(info.join(least, "root").drop("root"), "linked-classes")
-    forget(classes, places, hits, wanted, sets, links, tree, info, least)
-    return marks, linked
+    forget(marks, classes, places, hits, wanted, sets, links, tree, info, least)
+    return names, linked
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -419,9 +432,8 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The bands are laid out for thresholds of 0.8 and more.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks, info = link_classes(rows, threshold)
-    joined = marks.select("id", "digest").join(info, "digest", "left")
+    names, info = link_classes(keyed(df, id_col, text_col), threshold)
+    joined = names.select("id", "digest").join(info, "digest", "left")
     n_links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long"))
     own = [F.coalesce(F.col(f"{c}.id"), F.col("id")).alias(f"{c}_id") for c in ("class", "copy")]
     return joined.select(F.col("id").alias(id_col), *own, n_links.alias("n_links"), F.coalesce("texts", F.lit(0).cast("long")).alias("n_texts"))
@@ -429,13 +441,26 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `df` without near copies: of each class the row with the least id (none
-    comes last; then by the text's hash) stays, and every row without words."""
-    others = [c for c in df.columns if c != text_col]
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("others"))
-    marks, info = link_classes(rows, threshold)
-    heads = info.where("copy = class").select(F.col("copy.row").alias("row"))
-    kept = marks.join(heads, "row", "left_semi").select("others", "text").unionByName(marks.where("digest is null").select("others", "text"))
-    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"others.{c}") for c in df.columns])
+    comes last; then by the text's hash) stays, and every row without words.
+
+    Rows are found again by id and text; where several rows share both, one of them stays.
+    """
+    rows = keyed(df, id_col, text_col)
+    names, info = link_classes(rows, threshold)
+    heads = info.where("copy = class").select(F.col("copy.none").alias("none"), F.col("copy.id").alias("head"), F.col("copy.h").alias("h"), F.col("copy.row").alias("row"))
+    key = [F.col("id").isNull().alias("none"), F.col("id").alias("head"), "h"]
+    sharing = names.where("digest is not null").groupBy(*key).agg(F.count("*").alias("n"))
+    found = stored(heads.join(sharing.where("n > 1").select("none", F.col("head").alias("of"), F.col("h").alias("its"), "n"), (F.col("h") == F.col("its")) & F.col("head").eqNullSafe(F.col("of")), "left").select("head", "h", "row", (F.coalesce("n", F.lit(1)) > 1).alias("shared")), "heads")
+    whole = df.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    match = (F.col("h") == F.col("own_h")) & F.col("id").eqNullSafe(F.col("head"))
+    kept = whole.withColumnRenamed("h", "own_h").join(few(found), match)
+    one = kept.where("shared").groupBy("row").agg(F.first("whole").alias("whole"))
+    wordless = names.where("digest is null").select("h", "g").distinct()
+    wordless = stored(wordless, "wordless")
+    forget(names, info)
+    text = F.col(text_col).cast("string")
+    empty = df.select(F.struct("*").alias("whole"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(SEED), text).alias("g")).join(few(wordless), ["h", "g"], "left_semi")
+    return kept.where("not shared").select("whole").unionByName(one.select("whole")).unionByName(empty.select("whole")).select("whole.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import stored
+from docloom.llm.common import forget, stored
 
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, SEED = 0.93, 4.0, 1 << 20, "mix"
 LEVELS, AT_ONCE, RANGE_BITS = 40, 4, 10
@@ -138,6 +138,7 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     border = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))
     state = F.when(border, "border").when((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") <= F.col("rest")), "in").otherwise("out")
     placed = stored(placed.select("key", "block", "before", state.alias("state")), "mixing-places")  # a known size: no shuffle of texts for few blocks
+    forget(sizes, *([light] if tokens is None else []))
     rows = df.select(F.struct("*").alias("row"), key.alias("key"), id_text.alias("id"), text.alias("text_hash"), *([] if tokens is None else [count.alias("given")]))
     again = word_count(F.col(f"row.{text_col}")) if tokens is None else F.col("given")
     dealt = rows.join(plan, "key").select("*", block).join(placed, ["key", "block"])

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, unit_hash
+from docloom.llm.common import forget, stored, unit_hash
 
 #: Fixed values of the contract: white space, symbols, window, limits.
 SPACE = " \t\n\x0b\f\r"
@@ -233,7 +233,10 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     stats = text_statistics(chosen.select(F.struct(id_col, "quality").alias("id"), text_col), "id", text_col).where(~base_failed())
     columns = [c.alias(k) for k, c in ratios().items()]
     table = stats.select(*columns, (F.col("id.quality") == 0).alias("bad"), (unit_hash(F.col(f"id.{id_col}"), 5) < 1 / 3).alias("prune"))
-    return learn_rules(stored(table, "quality-sample").coalesce(4))
+    sample = stored(table, "quality-sample")
+    rules = learn_rules(sample.coalesce(4))
+    forget(sample)
+    return rules
 
 
 def quality_verdicts(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

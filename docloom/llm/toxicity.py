@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bayes_join import band_keys, minhashes, mixed, shingles, word_hashes
-from docloom.llm.common import crc_mod, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
+from docloom.llm.common import crc_mod, forget, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
 
 BUCKETS, PREFIXES, SUFFIXES = 1 << 17, (3, 4, 5, 6, 7, 8), (3, 4)
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 64 << 20
@@ -272,7 +272,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = known.where(drawn < F.when(F.col("toxic"), share[0]).otherwise(share[1]))
     sample = docs.where(drawn < max(share)).select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, id_col)
     order = [F.xxhash64(id_col), F.xxhash64("text"), F.col("toxic")]
-    sample = stored(sample.select(*[c.alias(f"order{k}") for k, c in enumerate(order)], F.octet_length("text").alias("size"), "text", "toxic"), "toxicity-sample")
+    held = sample = stored(sample.select(*[c.alias(f"order{k}") for k, c in enumerate(order)], F.octet_length("text").alias("size"), "text", "toxic"), "toxicity-sample")
     # about max_toxic + max_clean rows: their sizes fit the driver, and then the chosen texts
     orders = ["order0", "order1", "order2"]
     listed = sample.select(*orders, "size").orderBy(*orders).toPandas()
@@ -280,6 +280,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if len(over):
         sample = sample.where(F.col("order0") < int(listed["order0"][max(1, int(over[0]))]))
     table = sample.orderBy(*orders).select("text", "toxic").toArrow()
+    forget(held)
     return train(text_array(table.column("text")), table.column("toxic").to_numpy(), sizes[0] / sum(sizes))
 
 
