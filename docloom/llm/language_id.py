@@ -120,15 +120,18 @@ def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """id, the columns of `extra`, lang_pred and score (the posterior) of every row."""
     extra = extra or {}
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in extra.items()])
+    has_letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in extra.items()], has_letter.alias("letter_"))
     # the best language so far, its log joint probability, and the log of the sum of all
     rows = rows.withColumns({"best_": F.lit(-1), "top_": F.lit(float("-inf")), "sum_": F.lit(float("-inf"))})
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     context = df.sparkSession.sparkContext
     for first, weights in model.blocks():
         shared = context.broadcast((weights, model.priors[first : first + LANGUAGE_BLOCK]))  # LANGUAGE_BLOCK * BUCKETS floats at most
+        last = first + LANGUAGE_BLOCK >= len(model.languages)
+        names = [c for c in rows.columns if not (last and c == "text")]  # texts go on only where another block reads them
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
-        def run(batch: pa.RecordBatch, shared=shared, first=first) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, shared=shared, first=first, names=tuple(names)) -> pa.RecordBatch:
             matrix, priors = shared.value
             joint = log_likelihoods(text_array(batch.column("text")), matrix) + priors
             here = joint.argmax(1)
@@ -137,15 +140,15 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
             better = value > top
             best, top = np.where(better, first + here, best), np.where(better, value, top)
             total = np.logaddexp(total, value + np.log(np.exp(joint - value[:, None]).sum(1)))
-            columns = [*batch.columns[:-3], pa.array(best.astype(np.int32)), pa.array(top), pa.array(total)]
-            return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            columns = [*(batch.column(c) for c in names[:-3]), pa.array(best.astype(np.int32)), pa.array(top), pa.array(total)]
+            return pa.RecordBatch.from_arrays(columns, list(names))
 
         rows = map_slices(rows, run, kinds)
-    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col("best_") >= 0)
-    names = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
+    has = F.col("letter_") & (F.col("best_") >= 0)
+    named = F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]])
     return rows.select(
         F.col("id").alias(id_col), *extra,
-        F.when(has, F.get(names, F.col("best_"))).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(has, F.get(named, F.col("best_"))).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(has, F.least(F.lit(1.0), F.exp(F.col("top_") - F.col("sum_")))).otherwise(0.0).alias("score"),
     )
 
