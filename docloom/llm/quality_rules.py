@@ -31,22 +31,18 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SAMPLE_ROWS, THRESHOLDS, MOST_RULES, MOST_CONDITIONS = 20_000, 31, 12, 4
 LEAST_PRECISION, LEAST_COVERED = 0.9, 3
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def without(column: Column, characters: str) -> Column:
-    return F.char_length(F.translate(column, characters, "")).cast("long")
-
-
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the base counts, and the further counts n_lines, n_unique, n_upper, n_shouts, n_chars."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pattern = r"[\x20\x09-\x0D]+"
-    words = F.filter(F.split("text", pattern), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    trimmed = F.btrim("text", F.lit(SPACE))  # so that the split leaves no empty words
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, pattern))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     rows = bound(rows, ["id", "text"], words=words, lines=lines)
     counted = bound(
         rows,
@@ -54,8 +50,8 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n_words=F.size("words").cast("long"),
         word_chars=F.char_length(F.array_join("words", "")).cast("long"),
         n_chars=F.char_length("text").cast("long"),
-        plain=without(F.col("text"), SYMBOLS),
-        not_upper=without(F.col("text"), UPPER),
+        n_symbols=F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long"),
+        n_upper=F.regexp_count("text", F.lit("[A-Z]")).cast("long"),
         not_shouts=F.char_length(F.replace("text", F.lit("!"), F.lit(""))).cast("long"),
         n_lines=F.size("lines").cast("long"),
         n_distinct_lines=F.size(F.array_distinct("lines")).cast("long"),
@@ -72,11 +68,9 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once = F.size(F.array_distinct("windows")) == F.size("windows")
     return bound(
         counted,
-        ["id", "n_words", "word_chars", "n_lines", "n_unique", "n_chars"],
-        n_symbols=F.col("n_chars") - F.col("plain"),
+        ["id", "n_words", "word_chars", "n_lines", "n_unique", "n_chars", "n_symbols", "n_upper"],
         n_dup_lines=F.col("n_lines") - F.col("n_distinct_lines"),
         n_repeat_words=F.when(once, F.lit(0)).otherwise(repeated_words(F.col("windows"))).cast("long"),
-        n_upper=F.col("n_chars") - F.col("not_upper"),
         n_shouts=F.col("n_chars") - F.col("not_shouts"),
     )
 
