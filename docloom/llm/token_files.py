@@ -5,8 +5,9 @@ A data set is a folder of shards in ascending order of document id.  Shard k has
   docs-k.idx  64-bit unsigned offsets into the data set's ids, one per document
               and one at the end; the shard's base comes from prefix sums,
   names-k.arrow  the document ids (Arrow file).
-Texts are encoded where they are read and stored as packed ids; these, not texts, are
-then dealt by ranges of (id, hash of the text) into shards of about SHARD_BYTES.
+Texts are encoded where they are read; packed ids, not texts, are then dealt by ranges
+of (id, hash of the text) into shards of about SHARD_BYTES.  The ranges come from the
+sizes of about SAMPLE_ROWS rows; they decide where a shard ends, not what is in it.
 Files are written under a name of their own and moved into place, so that a task
 that runs again leaves the same files.  The folder is in the shared storage that
 spark.checkpoint.dir names; local files are memory-mapped when read.
@@ -18,6 +19,7 @@ shards; an empty table gives an empty data set; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 import zlib
@@ -31,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.chunk_ids import ChunkEncoder
-from docloom.llm.common import checkpoint_dir, forget, library_tokenizer, slices, stored, text_array, tokenizer_path
+from docloom.llm.common import checkpoint_dir, library_tokenizer, slices, text_array, tokenizer_path, unit_hash
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, SAMPLE_ROWS = 64 << 20, 50_000
 
 
 def storage(path: str) -> tuple[pafs.FileSystem, str]:
@@ -69,26 +71,43 @@ def names_of(path: str, shard: int) -> pa.Array:
     return table.column(0).combine_chunks() if table.num_rows else pa.array([], table.schema.field(0).type)
 
 
-def packed_ids(df: DataFrame, vocabulary: str, dtype: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash of the text, ids as bytes) of every row; the end id stands last."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
+def range_ends(rows: DataFrame, shard_bytes: int) -> list[tuple]:
+    """Greatest keys (has id, id, hash) of all shards but the last."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 2
+    total, n = rows.agg(F.sum(size), F.count("*")).first()
+    n_shards = max(-(-(total or 0) // shard_bytes), min(rows.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // (1 << 20))), 1)
+    share = min(1.0, SAMPLE_ROWS / max(1, n))
+    drawn = rows.where(unit_hash(F.struct("id", "hash"), 3) < share).select("id", "hash", size.alias("size"))
+    sample = sorted(((r["id"] is not None, r["id"], r["hash"]), r["size"]) for r in drawn.groupBy("id", "hash").agg(F.sum("size").alias("size")).collect())
+    ends, held, whole = [], 0, sum(x for _, x in sample)
+    for key, x in sample:
+        held += x
+        if len(ends) + 1 < n_shards and held * n_shards >= whole * (len(ends) + 1):
+            ends.append(key)
+    return ends
+
+
+def packed_ids(rows: DataFrame, vocabulary: str, dtype: str, end_id: int, ends: list[tuple]) -> DataFrame:
+    """(id, hash, text) to (shard, id, hash, ids as bytes); the end id stands last."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         encoder = ChunkEncoder(vocabulary)
         for batch in batches:
             for part in slices(batch):
                 ids, offsets = encoder.encode(text_array(part.column("text")))
-                ends = np.cumsum(np.diff(offsets) + 1)
-                out = np.full(len(ids) + len(ends), end_id, dtype)
+                stops = np.cumsum(np.diff(offsets) + 1)
+                out = np.full(len(ids) + len(stops), end_id, dtype)
                 spot = np.ones(len(out), bool)
-                spot[ends - 1] = False
+                spot[stops - 1] = False
                 out[spot] = ids
-                at = pa.py_buffer((np.append(0, ends) * out.itemsize).astype("<i8"))
-                long = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, at, pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), long.cast(pa.binary())], ["id", "hash", "ids"])
+                at = pa.py_buffer((np.append(0, stops) * out.itemsize).astype("<i8"))
+                long = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, at, pa.py_buffer(out)])
+                keys = zip(part.column("id").to_pylist(), part.column("hash").to_pylist(), strict=True)
+                shard = [bisect.bisect_left(ends, (i is not None, i, h)) for i, h in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column("id"), part.column("hash"), long.cast(pa.binary())], ["shard", "id", "hash", "ids"])
 
-    return rows.mapInArrow(run, f"id {kind}, hash long, ids binary")
+    return rows.mapInArrow(run, f"shard long, id {kind}, hash long, ids binary")
 
 
 def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> dict:
@@ -98,36 +117,51 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, id_col: str = "
     kind = df.schema[id_col].dataType.simpleString()
     fs, at = storage(path)
     fs.create_dir(at, recursive=True)
-    packed = stored(packed_ids(df, vocabulary, dtype, end_id, id_col, text_col), "packed-ids")
-    size = packed.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    n_shards = max(-(-size // shard_bytes), min(spark.sparkContext.defaultParallelism, -(-size // (1 << 20))), 1)
-    order = [F.col("id").asc_nulls_first(), F.col("hash")]
-    ordered = packed.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    ends = range_ends(rows, shard_bytes)
+    packed = packed_ids(rows, vocabulary, dtype, end_id, ends)
+    ordered = packed.repartition(len(ends) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "hash")
+    width = np.dtype(dtype).itemsize
 
     def write(batches):
-        shard, sizes, names, total = TaskContext.get().partitionId(), [], [], 0
-
-        def flat():
-            nonlocal total
-            for batch in batches:
-                ids = batch.column("ids")
-                names.append(batch.column("id"))
-                sizes.append(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize)
-                total += int(sizes[-1].sum())
-                yield from (x.as_buffer() for x in ids)
-
-        put(path, f"ids-{shard:06d}.bin", flat())
-        column = pa.chunked_array(names) if names else pa.array([], pa.int64())
-        sink = pa.BufferOutputStream()
-        table = pa.table({"id": column})
-        with pa.ipc.new_file(sink, table.schema) as file:
-            file.write_table(table)
-        put(path, f"names-{shard:06d}.arrow", [sink.getvalue()])
-        put(path, f"sizes-{shard:06d}.bin", [np.concatenate([np.zeros(0, "<u8"), *sizes]).astype("<u8").tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(table)]), pa.array([total])], ["shard", "n_docs", "n_tokens"])
+        """Shards come one after the other; a shard's file is open while its rows come."""
+        shard, name, out, sizes, names = None, "", None, [], []
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            fs.move(f"{at}/{name}", f"{at}/ids-{shard:06d}.bin")
+            table, sink = pa.table({"id": pa.chunked_array(names)}), pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, table.schema) as file:
+                file.write_table(table)
+            put(path, f"names-{shard:06d}.arrow", [sink.getvalue()])
+            every = np.concatenate(sizes)
+            put(path, f"sizes-{shard:06d}.bin", [every.astype("<u8").tobytes()])
+            sizes.clear()
+            names.clear()
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(every)]), pa.array([int(every.sum())])], ["shard", "n_docs", "n_tokens"])
+
+        fs, at = storage(path)
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b <= a:
+                    continue
+                if of[a] != shard:
+                    if out:
+                        yield close()
+                    shard, name = int(of[a]), f"_ids-{int(of[a]):06d}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(f"{at}/{name}")
+                ids = batch.column("ids").slice(a, b - a)
+                names.append(batch.column("id").slice(a, b - a))
+                sizes.append(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // width)
+                for x in ids:
+                    out.write(x.as_buffer())
+        if out:
+            yield close()
 
     done = sorted(ordered.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())  # one row a shard
-    forget(packed)
     bases, base = {}, 0
     for shard, _, tokens in done:
         bases[shard] = base

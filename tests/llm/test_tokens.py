@@ -110,3 +110,16 @@ def test_slots_hold_each_piece_once(histogram):
         for w, o in zip(window.tolist(), offset.tolist(), strict=True):
             seen |= {(w, o + k) for k in range(length)}
     assert len(seen) == sum(k * n for k, n in histogram.items())
+
+
+def test_shards_of_any_size(spark, tokens, tmp_path, prose):
+    """Many shards, equal and null ids in several of them, one order over all."""
+    rows = [(None if k % 4 == 0 else k // 8, prose(5 + k % 40, k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, size in (("many", 2000), ("one", 1 << 30)):
+        about = write_token_files(df, f"file://{tmp_path}/{n}", tokens, shard_bytes=size)
+        found = sorted(read_token_files(spark, f"file://{tmp_path}/{n}").collect(), key=lambda r: r["start"])
+        assert [r["id"] for r in found] == sorted((k for k, _ in rows), key=lambda x: (x is not None, x))
+        assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1]]
+        assert (len(about["shards"]) > 10) == (n == "many")
+        assert sorted((r["n_tokens"], r["ids_crc32"]) for r in found) == sorted((len(i) + 1, crc([*i, 1])) for i in (ids_of(tokens, t) for _, t in rows))
