@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import arrow_rows, few, forget, map_slices, ragged_gather, segment_sum, slices, split_words, stored, text_array
+from docloom.llm.common import arrow_rows, few, forget, give_back, map_slices, ragged_gather, segment_sum, slices, split_words, stored, text_array
 from docloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -165,6 +165,7 @@ def signed(rows: DataFrame) -> DataFrame:
                 made = [pa.array(np.arange(row, row + len(keys))), pa.array(digests(h, offsets), pa.binary()), pa.array(np.diff(offsets)), pa.array([x.tobytes() for x in signature], pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "h", "g")), *made], ["id", "h", "g", "row", "digest", "n_words", "signature", "bands"])
                 row += len(keys)
+        give_back()
 
     return rows.select("id", "text", "h", "g").mapInArrow(run, f"id {kind}, h long, g long, row long, digest binary, n_words long, signature binary, bands array<long>")
 
@@ -334,6 +335,7 @@ def with_survivors(df: DataFrame, survival: dict[int, int]) -> DataFrame:
                 hit[i] = hit[j] = True
             if hit.any():
                 yield from table.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
+        give_back()
 
     return sorted_groups(df).mapInArrow(run, "row long, key long, band int, block long, bi long, bj long")
 
@@ -369,6 +371,7 @@ def verified(df: DataFrame, threshold: Fraction, survival: dict[int, int]) -> Da
             some = np.flatnonzero(texts)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (row, links, texts, label)], ["row", "links", "texts", "hub"])
+        give_back()
 
     return sorted_groups(df).mapInArrow(run, "row long, links long, texts long, hub long")
 

@@ -8,6 +8,7 @@ the slice's distinct words only.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import os
 import tempfile
@@ -141,6 +142,14 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; allocators keep it otherwise, beside a JVM or a later stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone
+    if trim:
+        trim(0)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Batches of at most n rows to Python workers, for stages that start and end inside: rows are wide there."""

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.bayes_join import band_keys, minhashes, mixed, shingles, word_hashes
-from docloom.llm.common import crc_mod, forget, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
+from docloom.llm.bayes_join import BANDS, band_keys, minhashes, mixed, shingles, word_hashes
+from docloom.llm.common import crc_mod, forget, give_back, map_slices, segment_sum, slices, split_words, stored, text_array, unit_hash
 
 BUCKETS, PREFIXES, SUFFIXES = 1 << 17, (3, 4, 5, 6, 7, 8), (3, 4)
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 64 << 20
 ROUNDS, RATE, DECAY = 60, 0.25, 1e-4
 LEAST_EVIDENCE = 1.8
-SEGMENT, FIELD_TOKENS = 64, 1 << 17
+SEGMENT, FIELD_TOKENS, WORDS = 64, 1 << 17, 1 << 15
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¡¿…–—"
 
 
@@ -168,31 +168,57 @@ def text_slices(texts: pa.StringArray):
 
 def without_near_copies(texts: pa.StringArray) -> np.ndarray:
     """Places of texts that share no MinHash band with an earlier text of the sample."""
-    seen, kept, at = set(), [], 0
+    keys = [np.zeros((0, BANDS), np.int64), *(band_keys(minhashes(*shingles(*word_hashes(part)))) for part in text_slices(texts))]
+    keys = np.concatenate(keys)
+    _, first, own = np.unique(keys, return_index=True, return_inverse=True)
+    return np.flatnonzero((first[own].reshape(-1, BANDS) // BANDS == np.arange(len(keys))[:, None]).all(1))
+
+
+def coded_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """What split_words() gives, made of one slice after the other, with codes of four bytes."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
     for part in text_slices(texts):
-        for row in band_keys(minhashes(*shingles(*word_hashes(part)))).tolist():
-            if seen.isdisjoint(row):
-                kept.append(at)
-            seen.update(row)
-            at += 1
-    return np.array(kept, np.int64)
+        codes, offsets, words = split_words(part)
+        parts.append(pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), words))
+        sizes.append(np.diff(offsets))
+    parts = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().chunks
+    words = parts[0].dictionary if parts else pa.array([], pa.string())
+    return np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in parts)]), np.cumsum(np.concatenate(sizes)), words
+
+
+def listed_features(words: pa.StringArray) -> np.ndarray:
+    """word_features() of all words, made of some at a time, in four bytes each."""
+    out = np.zeros((len(words), 1 + len(PREFIXES) + len(SUFFIXES)), np.int32)
+    for a in range(0, len(words), WORDS):
+        out[a : a + WORDS] = word_features(words.slice(a, WORDS))
+    return out
+
+
+def runs_of(offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole texts of about FIELD_TOKENS words."""
+    begin = np.flatnonzero(np.diff(offsets[:-1] // FIELD_TOKENS, prepend=-1))
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(offsets) - 1], strict=True))
 
 
 def token_labels(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Labels of all tokens, and the evidence of every distinct word."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(offsets))
-    pairs = np.unique(doc * len(features) + codes)
-    doc_of, word_of = pairs // len(features), pairs % len(features)
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    held = np.zeros((2, features.shape[1], BUCKETS), np.int32)  # clean and toxic texts with each feature
+    for a, b in runs_of(offsets):
+        doc = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        pairs = np.unique(doc * len(features) + codes[offsets[a] : offsets[b]])
+        doc_of, word_of = pairs // len(features), pairs % len(features)
+        for k, column in enumerate(features.T):
+            found = np.unique(doc_of * BUCKETS + column[word_of])
+            bucket, is_toxic = found % BUCKETS, toxic[a + found // BUCKETS]
+            for kind in (0, 1):
+                held[kind, k] += np.bincount(bucket[is_toxic == kind], minlength=BUCKETS).astype(np.int32)
     evidence = np.full(len(features), -np.inf)
-    for column in features.T:
-        held = np.unique(doc_of * BUCKETS + column[word_of])
-        bucket, is_toxic = held % BUCKETS, toxic[held // BUCKETS]
-        t, c = (np.bincount(bucket[m], minlength=BUCKETS).astype(np.float64) for m in (is_toxic, ~is_toxic))
+    for column, c, t in zip(features.T, *held, strict=True):
         value = np.log((np.maximum(t - 1.5 * np.sqrt(t), 0) + 0.02) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
         value[(t < 3) | (np.arange(BUCKETS) == 0)] = -np.inf
         evidence = np.maximum(evidence, value[column])
-    return (evidence[codes] >= LEAST_EVIDENCE) & toxic[doc], evidence
+    return (evidence >= LEAST_EVIDENCE)[codes] & np.repeat(toxic, np.diff(offsets)), evidence
 
 
 def fit_field(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -200,25 +226,25 @@ def fit_field(codes: np.ndarray, offsets: np.ndarray, features: np.ndarray, labe
     n_features = BUCKETS + 5  # weights, bias, transitions
     theta, m, v = np.zeros(n_features), np.zeros(n_features), np.zeros(n_features)
     theta[BUCKETS] = -4.0
-    begins = np.zeros(len(codes), bool)
-    begins[offsets[:-1][np.diff(offsets) > 0]] = True
-    y = label.astype(np.int64)
-    previous = np.where(begins, 0, np.concatenate([[0], y[:-1]]))
-    observed = np.bincount(previous * 2 + y, minlength=4).astype(np.float64)
-    flat = features.ravel()
-    # whole texts in runs of about FIELD_TOKENS words, whose gradients add up
-    runs = np.flatnonzero(np.diff(offsets[:-1] // FIELD_TOKENS, prepend=-1))
-    runs = list(zip(runs, [*runs[1:], len(offsets) - 1], strict=True))
+    runs, observed = runs_of(offsets), np.zeros(4)  # gradients of the runs add up
+    for a, b in runs:
+        y = label[offsets[a] : offsets[b]].astype(np.int64)
+        previous = np.append(0, y)[:-1]
+        begins = offsets[a:b][np.diff(offsets[a : b + 1]) > 0] - offsets[a]
+        previous[begins] = 0
+        observed += np.bincount(previous * 2 + y, minlength=4)
+    some_words = [slice(a, a + WORDS) for a in range(0, max(1, len(features)), WORDS)]
     for k in range(1, ROUNDS + 1):
-        each = theta[features].sum(1) + theta[BUCKETS]
+        each = np.concatenate([theta[features[part]].sum(1) for part in some_words]) + theta[BUCKETS]
         by_word, expected = np.zeros(len(features)), np.zeros((2, 2))
         for a, b in runs:
             part = slice(offsets[a], offsets[b])
             marginal, some = forward_backward(each[codes[part]], offsets[a : b + 1] - offsets[a], theta[BUCKETS + 1 :].reshape(2, 2))
-            by_word += np.bincount(codes[part], weights=y[part] - marginal, minlength=len(features))
+            by_word += np.bincount(codes[part], weights=label[part].astype(np.int64) - marginal, minlength=len(features))
             expected += some
-        slope = np.empty(n_features)
-        slope[:BUCKETS] = np.bincount(flat, weights=np.repeat(by_word, features.shape[1]), minlength=BUCKETS)
+        slope = np.zeros(n_features)
+        for part in some_words:
+            np.add.at(slope, features[part].ravel(), np.repeat(by_word[part], features.shape[1]))
         slope[0] = 0.0
         slope[BUCKETS] = by_word.sum()
         slope[BUCKETS + 1 :] = observed - expected.ravel()
@@ -247,8 +273,8 @@ def train(texts: pa.StringArray, toxic: np.ndarray, share: float) -> ToxicityMod
     texts, toxic = texts.take(pa.array(kept)), toxic[kept]
     if not toxic.any() or toxic.all():
         return constant_model(share)
-    codes, offsets, words = split_words(texts)
-    features = word_features(words)
+    codes, offsets, words = coded_words(texts)
+    features = listed_features(words)
     label, _ = token_labels(codes, offsets, features, toxic)
     weights, bias, transition = fit_field(codes, offsets, features, label)
     model = ToxicityModel(weights, bias, transition, np.zeros(4))
@@ -275,13 +301,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     held = sample = stored(sample.select(*[c.alias(f"order{k}") for k, c in enumerate(order)], F.octet_length("text").alias("size"), "text", "toxic"), "toxicity-sample")
     # about max_toxic + max_clean rows: their sizes fit the driver, and then the chosen texts
     orders = ["order0", "order1", "order2"]
-    listed = sample.select(*orders, "size").orderBy(*orders).toPandas()
-    over = np.flatnonzero(listed["size"].to_numpy(np.int64).cumsum() > max_bytes)
+    listed = sample.select(*orders, "size").orderBy(*orders).toArrow()
+    over = np.flatnonzero(listed.column("size").to_numpy().astype(np.int64).cumsum() > max_bytes)
     if len(over):
-        sample = sample.where(F.col("order0") < int(listed["order0"][max(1, int(over[0]))]))
+        sample = sample.where(F.col("order0") < listed.column("order0")[max(1, int(over[0]))].as_py())
     table = sample.orderBy(*orders).select("text", "toxic").toArrow()
     forget(held)
-    return train(text_array(table.column("text")), table.column("toxic").to_numpy(), sizes[0] / sum(sizes))
+    model = train(text_array(table.column("text")), table.column("toxic").to_numpy(), sizes[0] / sum(sizes))
+    del listed, table
+    give_back()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, spans: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,46 @@ def test_scores_equal_enumeration(toxic_corpus):
         assert model.score(found, offsets)[0] == pytest.approx(want, abs=1e-5)
 
 
+def many_words(n_texts, n_words):
+    return [" ".join(f"w{(k * 31 + i * i) % 5000}" for i in range(n_words)) + (" scum vile scum" if k % 3 == 0 else "") for k in range(n_texts)]
+
+
+def test_training_takes_few_bytes_a_word(monkeypatch):
+    """On the driver, beside its JVM: arrays over all words of the sample hold one code and one label each."""
+    monkeypatch.setattr(X, "ROUNDS", 2)
+    monkeypatch.setattr(X, "FIELD_TOKENS", 1 << 14)
+    texts = many_words(900, 1000)
+    texts, toxic = pa.array(texts), np.arange(len(texts)) % 3 == 0
+    words = sum(len(t.split()) for t in texts.to_pylist())
+    tracemalloc.start()
+    try:
+        X.train(texts, toxic, 0.3)
+        assert tracemalloc.get_traced_memory()[1] < 48 * words
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("texts", [["", "  "], ["a b a", "", " b\n c ", "c", "a d"], many_words(9, 40)])
+def test_words_of_slices_equal_those_of_all(monkeypatch, texts):
+    monkeypatch.setattr(X, "text_slices", lambda texts: (texts.slice(k, 2) for k in range(0, len(texts), 2)))
+    (codes, offsets, words), want = X.coded_words(pa.array(texts)), X.split_words(pa.array(texts))
+    assert codes.tolist() == want[0].tolist() and offsets.tolist() == want[1].tolist() and words.to_pylist() == want[2].to_pylist()
+    monkeypatch.setattr(X, "WORDS", 3)
+    assert (X.listed_features(words) == X.word_features(words)).all()
+
+
+def test_near_copies_of_any_earlier_text_go(prose):
+    a, b = prose(200, 1), prose(200, 2)
+    texts = [a, b, a + " more", prose(200, 3), b + " more", a + " more again", "", ""]
+    assert X.without_near_copies(pa.array(texts)).tolist() == [0, 1, 3, 6]
+    assert X.without_near_copies(pa.array([], pa.string())).tolist() == []
+
+
+def test_training_on_texts_without_words():
+    model = X.train(pa.array(["", " x1", "  "]), np.array([True, False, False]), 0.5)
+    assert np.isfinite(model.logistic).all()
+
+
 def test_sample_is_bounded_by_bytes(spark, toxic_corpus, monkeypatch):
     given = {}
     monkeypatch.setattr(X, "train", lambda texts, toxic, share: given.update(texts=texts.to_pylist(), share=share))
