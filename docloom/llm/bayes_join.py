@@ -181,7 +181,7 @@ def shingle_sets(df: DataFrame) -> DataFrame:
         signature = pa.array([x.tobytes() for x in minhashes(values, at)], pa.binary())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), signature, pa.array(sets, pa.binary())], [*names, "signature", "shingles"])
 
-    return map_slices(df, run, f"{kinds}, signature binary, shingles binary")
+    return map_slices(df, run, f"{kinds}, signature binary, shingles binary", after=give_back)
 
 
 def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:

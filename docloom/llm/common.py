@@ -96,8 +96,8 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded size."""
+def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over slices of bounded size; `after` follows a task's last slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,6 +105,8 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = f(part)
                 if out is not None:
                     yield out
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.chunk_ids import ChunkEncoder
-from docloom.llm.common import slices, stored, text_array, tokenizer_path
+from docloom.llm.common import give_back, slices, stored, text_array, tokenizer_path
 
 WINDOW = 2048
 
@@ -145,6 +145,8 @@ def token_pieces(df: DataFrame, path: str, id_col: str, text_col: str, end_id: i
                     [part.column("id").take(pa.array(doc)), *map(pa.array, (start, length, crc, sizes[doc], np.full(len(doc), task, np.int64), rank))],
                     ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "task_rank"],
                 )
+        encoder = ids = flat = None  # the worker waits for later stages
+        give_back()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, task_rank long"
     return rows.mapInArrow(run, schema)

@@ -336,7 +336,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
         return pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{kinds}, score double, predicted int" + ", spans array<struct<start:int,end:int,probability:double>>" * spans
-    return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
+    return map_slices(rows, run, schema, after=give_back).withColumnRenamed("id", id_col)
 
 
 def offending(text: str, marginal: np.ndarray) -> list[dict]:

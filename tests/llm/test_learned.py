@@ -138,6 +138,20 @@ def test_near_copies_of_any_earlier_text_go(prose):
     assert X.without_near_copies(pa.array([], pa.string())).tolist() == []
 
 
+def test_scoring_tasks_end_with_giving_memory_back(spark, toxic_corpus, monkeypatch):
+    """A worker that waits for the next stage holds little of what the last one took."""
+    ended, run_of = [], {}
+    monkeypatch.setattr(X, "give_back", lambda: ended.append(True))
+    texts = pa.array([t for _, t, _ in toxic_corpus])
+    model = X.train(texts, np.array([t == 1 for *_, t in toxic_corpus]), 0.2)
+    df = spark.createDataFrame(toxic_corpus, "doc_id long, text string, toxic int")
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: (run_of.update(run=run), plain(self, run, schema))[1])
+    X.score_toxicity(df, model)
+    scored = list(run_of["run"](iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["id", "text"])])))
+    assert sum(x.num_rows for x in scored) == len(texts) and ended == [True]
+
+
 def test_training_on_texts_without_words():
     model = X.train(pa.array(["", " x1", "  "]), np.array([True, False, False]), 0.5)
     assert np.isfinite(model.logistic).all()
