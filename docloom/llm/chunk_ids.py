@@ -1,16 +1,18 @@
-"""Whole-text token ids through the tokenizers library, one call per distinct chunk.
+"""Whole-text token ids through the tokenizers library, once per distinct pre-token.
 
 The vocabulary drops white space, so the ids of a text are the ids of its
-white-space-separated chunks in order; a chunk is encoded once per worker and
-then looked up.  Chunks of ASCII and Latin-1 characters, on which normalising is
-lower-casing alone, are cut into pre-tokens here and only their distinct
-pre-tokens go through the library's model; all others go through the library
-whole.  `tests/llm` compares with the library on whole texts.
+white-space-separated chunks in order.  Chunks of ASCII and Latin-1 characters, on
+which normalising is lower-casing alone, are cut into pre-tokens here, a slice's
+distinct chunks at once over their bytes; a pre-token goes through the library's
+model once per task and is then looked up.  All other chunks, and all chunks of
+a vocabulary with another pattern, go through the library whole.  `tests/llm`
+compares with the library on whole texts and with the pattern on chunks.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -21,6 +23,10 @@ from docloom.llm.common import library_tokenizer, ragged_gather, split_words
 
 CACHE_CHUNKS, CACHE_BYTES = 800_000, 64 << 20
 SIMPLE = regex.compile(r"[!-~¡-ÿ]+")
+#: The pattern that cut() follows, and how much goes through the library in one call.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CALL_PIECES, CALL_CHARS = 20_000, 1 << 20
+LETTER, DIGIT, OTHER, STRANGE = range(4)
 
 
 @functools.lru_cache(maxsize=2)
@@ -43,10 +49,24 @@ LETTERS = byte_letters() | {10: "\n"}
 
 @functools.lru_cache(maxsize=2)
 def model_tokenizer(path: str):
-    """The library's model alone; its input is cut and written in byte letters before."""
-    from tokenizers import Tokenizer
+    """The library's model alone, over pre-tokens in byte letters with white space between them."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer(library_tokenizer(path).model)
+    tokenizer = Tokenizer(library_tokenizer(path).model)
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return tokenizer
+
+
+@functools.lru_cache(maxsize=2)
+def last_ids(path: str) -> np.ndarray | None:
+    """Which ids end a pre-token; none where the pattern is another one or ids don't tell."""
+    suffix, vocabulary = library_tokenizer(path).model.end_of_word_suffix, library_tokenizer(path).get_vocab(with_added_tokens=False)
+    letters = byte_letters().values()
+    if pattern_of(path).pattern != PATTERN + r"|\n" or not suffix or not all(x in vocabulary and x + suffix in vocabulary for x in letters):
+        return None
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+    return last
 
 
 def pre_tokens(path: str, chunks: list[str]) -> tuple[list[str], np.ndarray]:
@@ -58,6 +78,54 @@ def pre_tokens(path: str, chunks: list[str]) -> tuple[list[str], np.ndarray]:
     return [x for x in found if x != "\n"], offsets
 
 
+def kind_of(character: str) -> int:
+    if not SIMPLE.fullmatch(character):
+        return STRANGE
+    return LETTER if regex.match(r"\p{L}", character) else DIGIT if regex.match(r"\p{N}", character) else OTHER
+
+
+KINDS = np.array([kind_of(chr(c)) for c in range(256)], np.uint8)
+BYTE_KINDS = np.where(np.arange(256) < 128, KINDS, STRANGE).astype(np.uint8)
+
+
+def cut(words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Pre-tokens of all (non-empty) words in lower case, len(words) + 1 offsets, and which words
+    are not simple or hold "<|": those stay whole and as they are."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    n = len(data)
+    low, first = np.zeros(n + 4, np.uint8), np.zeros(n + 4, bool)  # with room to look ahead
+    low[:n], first[at] = data, True
+    kinds = BYTE_KINDS[low]
+    lead = np.flatnonzero((data & 0xFE) == 0xC2)
+    after = low[lead + 1]
+    kinds[lead] = kinds[lead + 1] = KINDS[(data[lead] & 3) << 6 | after & 0x3F]
+    low[:n] += (((data - np.uint8(65)) < 26) * 32).astype(np.uint8)
+    low[lead + 1] += ((data[lead] == 0xC3) & (after < 0x9F) & (after != 0x97)).astype(np.uint8) * np.uint8(32)
+    starts = first.copy()
+    starts[1:n] |= (kinds[1:n] != kinds[: n - 1]) | (kinds[1:n] == DIGIT)
+    starts[:n] &= (data & 0xC0) != 0x80
+    mark = np.flatnonzero((data == 39) & starts[:n])
+    mark = mark[(kinds[mark + 1] == LETTER) & ~first[mark + 1]]  # an apostrophe alone before letters
+    a, b = low[mark + 1], low[mark + 2]
+    one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+    two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & ~first[mark + 2]
+    starts[mark[one | two] + 1] = False
+    starts[mark[one] + 2] = True
+    starts[mark[two] + 3] = True
+    whole = np.zeros(len(words), bool)
+    for spots in (np.flatnonzero(kinds[:n] == STRANGE), np.flatnonzero((data == ord("<")) & (low[1 : n + 1] == ord("|")) & ~first[1 : n + 1])):
+        whole[np.searchsorted(at, spots, "right") - 1] = True
+    if whole.any():
+        of = np.repeat(whole, np.diff(at))
+        starts[:n] &= first[:n] | ~of
+        low[:n][of] = data[of]
+    ends = np.flatnonzero(starts[: n + 1])
+    pieces = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low[:n]))
+    return pieces, np.searchsorted(ends, at), whole
+
+
 class Store:
     """Keys with their id runs in one flat array."""
 
@@ -84,50 +152,60 @@ class Store:
 
 
 class ChunkEncoder:
-    """Encodes slices of texts; keeps at most about CACHE_CHUNKS chunks of CACHE_BYTES between slices."""
+    """Encodes slices of texts; keeps at most about CACHE_CHUNKS pre-tokens of CACHE_BYTES between slices."""
 
     def __init__(self, path: str):
-        self.path, self.chunks, self.pieces, self.held = path, Store(), Store(), 0
-
-    def _pieces(self, pieces: list[str]) -> None:
-        fresh = list(dict.fromkeys(x for x in pieces if x not in self.pieces.known))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            spelled = "\n".join(part).encode().decode("latin-1").translate(LETTERS).split("\n")
-            done = model_tokenizer(self.path).encode(spelled, is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
-            self.pieces.add(part, np.array(done.ids, np.uint32), lengths)
-
-    def _learn(self, fresh: list[str]) -> None:
-        simple = [x for x in fresh if SIMPLE.fullmatch(x) and "<|" not in x]
-        if simple:
-            pieces, offsets = pre_tokens(self.path, simple)
-            self._pieces(pieces)
-            place = np.fromiter(map(self.pieces.known.__getitem__, pieces), np.int64, len(pieces))
-            ids, lengths = self.pieces.gather(place)
-            ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
-            self.chunks.add(simple, ids, np.diff(ends))
-        if len(simple) < len(fresh):
-            others = [x for x in fresh if x not in self.chunks.known]
-            for at in range(0, len(others), 20_000):
-                part = others[at : at + 20_000]
-                ids = [e.ids for e in library_tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)]
-                lengths = np.array([len(x) for x in ids], np.int64)
-                self.chunks.add(part, np.array([i for x in ids for i in x], np.uint32), lengths)
+        self.path, self.pieces, self.held = path, Store(), 0
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pre-tokens through the model, many in one call; the last id of each tells where it ends."""
+        call = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // CALL_CHARS + np.arange(len(pieces)) // CALL_PIECES
+        cuts = [0, *(np.flatnonzero(np.diff(call)) + 1).tolist(), len(pieces)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = pieces[a:b]
+            spelled = "\n".join(part).encode().decode("latin-1").translate(LETTERS)
+            (done,) = model_tokenizer(self.path).encode_batch_fast([spelled], add_special_tokens=False)
+            ids = np.array(done.ids, np.uint32)
+            self.pieces.add(part, ids, np.diff(np.flatnonzero(last_ids(self.path)[ids]), prepend=-1))
+
+    def _learn_whole(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), CALL_PIECES):
+            part = chunks[at : at + CALL_PIECES]
+            ids = [e.ids for e in library_tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)]
+            lengths = np.array([len(x) for x in ids], np.int64)
+            self.pieces.add(part, np.array([i for x in ids for i in x], np.uint32), lengths)
+
+    def _ids_of(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of each of some distinct words."""
+        if last_ids(self.path) is None:
+            pieces, offsets, whole = words, np.arange(len(words) + 1), np.ones(len(words), bool)
+        else:
+            pieces, offsets, whole = cut(words)
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.pieces.known) + len(coded.dictionary) > CACHE_CHUNKS or self.held + coded.dictionary.nbytes > CACHE_BYTES:
+            self.pieces, self.held = Store(), 0
+        known, names = self.pieces.known, coded.dictionary.to_pylist()
+        place = np.fromiter(map(known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        kept = np.zeros(len(names), bool)
+        kept[codes] = np.repeat(whole, np.diff(offsets))  # a whole chunk is no pre-token of another one
+        for learn, fresh in ((self._learn, ~kept & (place < 0)), (self._learn_whole, kept & (place < 0))):
+            if fresh.any():
+                at = np.flatnonzero(fresh)
+                new = [names[k] for k in at.tolist()]
+                place[at] = np.arange(len(known), len(known) + len(new))
+                learn(new)
+                self.held += sum(map(len, new))
+        ids, lengths = self.pieces.gather(place[codes])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and len(texts) + 1 offsets."""
         codes, offsets, words = split_words(texts, ascii_only=True)
-        if len(self.chunks.known) + len(words) > CACHE_CHUNKS or self.held + words.nbytes > CACHE_BYTES:
-            self.chunks, self.pieces, self.held = Store(), Store(), 0
-        chunks = words.to_pylist()
-        fresh = [x for x in chunks if x not in self.chunks.known]
-        self.held += sum(map(len, fresh))
-        self._learn(fresh)
-        place = np.fromiter(map(self.chunks.known.__getitem__, chunks), np.int64, len(chunks))
-        ids, lengths = self.chunks.gather(place)
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).take(pa.array(codes))
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        runs = self._ids_of(words).take(pa.array(codes))
         starts = np.asarray(runs.offsets).astype(np.int64)
         flat = runs.values.to_numpy(zero_copy_only=False)
         return flat[starts[0] : starts[-1]], (starts - starts[0])[offsets]

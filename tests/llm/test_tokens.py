@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import packing as P
-from docloom.llm.chunk_ids import ChunkEncoder
+from docloom.llm.chunk_ids import SIMPLE, ChunkEncoder, Store, cut, pre_tokens
 from docloom.llm.common import library_tokenizer
 from docloom.llm.token_counts import TokenCounter, token_counts
 from docloom.llm.token_files import read_token_files, write_token_files
@@ -43,6 +43,55 @@ def test_any_text(texts):
     assert TokenCounter(path).count(pa.array(texts)).tolist() == [len(w) for w in want]
 
 
+LATIN = "".join(chr(c) for c in range(0x21, 0x100) if SIMPLE.fullmatch(chr(c)))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(LATIN + "'" * 60 + "'sStTrReEvVmMlLdD" * 8 + "<|0½ÀÞ×漢\x7f"), min_size=1, max_size=12), min_size=1, max_size=8))
+def test_cut_follows_the_pattern(words):
+    import public_tokenizers
+
+    pieces, offsets, whole = cut(pa.array(["x", *words]).slice(1))
+    assert whole.tolist() == [not SIMPLE.fullmatch(w) or "<|" in w for w in words]
+    for k, w in enumerate(words):
+        want = [w] if whole[k] else pre_tokens(public_tokenizers.path("word_bpe_49k.json"), [w])[0]
+        assert pieces.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist() == want
+
+
+def test_pre_tokens_are_learned_once(tokens, monkeypatch):
+    """Spellings of few words with other signs and cases around them cost and keep no more than the words."""
+    words = [f"{c}{w}{a}{b}" for w in ("alpha", "BETA", "Gamma") for c in "(['*" for a in ".,;:" for b in ")]'*"]
+    encoder, learned = ChunkEncoder(tokens), []
+    monkeypatch.setattr(ChunkEncoder, "_learn", lambda self, new, f=ChunkEncoder._learn: (learned.extend(new), f(self, new)))
+    for _ in range(2):
+        ids, offsets = encoder.encode(pa.array([" ".join(words)] * 2))
+        assert list(ids[: offsets[1]]) == ids_of(tokens, " ".join(words))
+    assert len(learned) == len(set(learned)) == sum(len(x.known) for x in vars(encoder).values() if isinstance(x, Store))
+    assert {x for x in learned if x.isalpha()} == {"alpha", "beta", "gamma"}
+
+
+def test_calls_of_any_size_and_full_stores(tokens, monkeypatch, prose):
+    from docloom.llm import chunk_ids
+
+    texts = [prose(50, k) + " 漢字 <|endoftext|>x it's" for k in range(8)]
+    want = [ids_of(tokens, t) for t in texts]
+    for calls, chars, kept in ((1, 1, 1), (7, 20, 40), (20_000, 1 << 20, 10**6)):
+        monkeypatch.setattr(chunk_ids, "CALL_PIECES", calls)
+        monkeypatch.setattr(chunk_ids, "CALL_CHARS", chars)
+        monkeypatch.setattr(chunk_ids, "CACHE_CHUNKS", kept)
+        encoder = ChunkEncoder(tokens)
+        assert [list(encoder.encode(pa.array([t]))[0]) for t in texts] == want
+
+
+def test_other_vocabularies_go_through_the_library_whole(tokens, tmp_path):
+    text = open(tokens, encoding="utf-8").read()
+    assert text.count("'ve|'m|'ll|'d|") == 1
+    (tmp_path / "other.json").write_text(text.replace("'ve|'m|'ll|'d|", "'ve|'m|'d|"), encoding="utf-8")
+    texts, path = ["we'll see it's 12 Äpfel", "", "漢字 a"], str(tmp_path / "other.json")
+    ids, offsets = ChunkEncoder(path).encode(pa.array(texts))
+    assert [list(ids[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)] == [ids_of(path, t) for t in texts]
+
+
 def test_count_rows(spark, odd, empty, tokens):
     rows = token_counts(odd, tokens).collect()
     assert len(rows) == len(ODD_TEXTS)
