@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.chunk_ids import ChunkEncoder
-from docloom.llm.common import checkpoint_dir, library_tokenizer, slices, text_array, tokenizer_path, unit_hash
+from docloom.llm.common import checkpoint_dir, give_back, library_tokenizer, slices, text_array, tokenizer_path, unit_hash
 
 SHARD_BYTES, SAMPLE_ROWS = 64 << 20, 50_000
 
@@ -106,6 +106,8 @@ def packed_ids(rows: DataFrame, vocabulary: str, dtype: str, end_id: int, ends:
                 keys = zip(part.column("id").to_pylist(), part.column("hash").to_pylist(), strict=True)
                 shard = [bisect.bisect_left(ends, (i is not None, i, h)) for i, h in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column("id"), part.column("hash"), long.cast(pa.binary())], ["shard", "id", "hash", "ids"])
+        encoder = ids = out = at = long = None  # the worker waits for later stages
+        give_back()
 
     return rows.mapInArrow(run, f"shard long, id {kind}, hash long, ids binary")
 

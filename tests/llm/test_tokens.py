@@ -5,12 +5,13 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm import packing as P
 from docloom.llm.chunk_ids import SIMPLE, ChunkEncoder, Store, cut, pre_tokens
 from docloom.llm.common import library_tokenizer
 from docloom.llm.token_counts import TokenCounter, token_counts
-from docloom.llm.token_files import read_token_files, write_token_files
+from docloom.llm.token_files import packed_ids, read_token_files, write_token_files
 
 from .conftest import ODD_TEXTS
 
@@ -111,6 +112,23 @@ def test_token_files(spark, odd, empty, tokens, tmp_path):
     assert read_token_files(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_token_files_learn_pre_tokens_once(tokens, monkeypatch):
+    """A task that packs ids asks the model for each pre-token once, over all its batches and spellings."""
+    texts = [f"{a}field{b} {a}HILL{b} Cloud{b}" for a in "(['*" for b in ".,;:)]"]
+    learned, batch = [], pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["id", "hash", "text"])
+    monkeypatch.setattr(ChunkEncoder, "_learn", lambda self, new, f=ChunkEncoder._learn: (learned.extend(new), f(self, new)))
+
+    class Rows:
+        schema = StructType([StructField("id", LongType())])
+
+        def mapInArrow(self, run, schema):
+            return run([batch, batch])
+
+    out = [x for b in packed_ids(Rows(), tokens, "<u2", 1, []) for x in b.column("ids").to_pylist()]
+    assert [np.frombuffer(x, "<u2").tolist() for x in out] == [[*ids_of(tokens, t), 1] for t in texts] * 2
+    assert {x for x in learned if x.isalpha()} == {"field", "hill", "cloud"} and len(learned) == len(set(learned)) <= 3 + 10
+
+
 def test_packing_rows(spark, odd, empty, tokens):
     rows = P.packed_documents(odd, tokens, window=64).collect()
     total = sum(len(ids_of(tokens, t)) + 1 for t in ODD_TEXTS)
