@@ -39,12 +39,14 @@ def trim_runs(runs: list[dict]) -> list[dict]:
 def merged(runs: list[dict]) -> list[dict]:
     """merge_runs for the runs of one block in memory."""
     out: list[dict] = []
+    before = None
     for r in runs:
         if not r["text"]:
             continue
-        style = [bool(r.get(c)) for c in STYLE[:3]] + [r.get(c) for c in STYLE[3:]]
-        if out and style == [bool(out[-1].get(c)) for c in STYLE[:3]] + [out[-1].get(c) for c in STYLE[3:]]:
+        style = bool(r.get("bold")), bool(r.get("italic")), bool(r.get("code")), r.get("href"), r.get("color")
+        if style == before:
             out[-1]["text"] += r["text"]
         else:
             out.append(dict(r))
+            before = style
     return out
