@@ -3,7 +3,8 @@
 items: keys (document and page, or a segment), item_no, str, x, y, w, h, and for
 reconstruction font_size and bold; y grows upwards.  A page is one group; lines
 anchor on their first item, which a window can't express, so the grouping of a
-page's items runs in Arrow batches of whole pages.  Statistics, classification and
+page's items runs in Arrow batches of whole pages: the functions of one page below say what
+is done, and `pages` does it for thousands of pages at once.  Statistics, classification and
 band joins are plain DataFrame operations.
 """
 
@@ -31,7 +32,8 @@ X_LEAST, X_SHARE, RUN_LINES, TABLE_COLUMNS, MATCHES, UNMATCHED = 4.0, 0.6, 3, 2,
 NEAR_Y, BASELINE, WORD_GAP, BACKWARD = 0.5, 0.4, 0.25, 0.5
 H1, H2, H2_BOLD, HEADING_CHARS = 1.5, 1.15, 1.05, 120
 PARAGRAPH_GAP, SIZE_TOLERANCE, MARGIN_FILL, BULLET_INDENT = 1.6, 0.2, 0.85, 0.5
-BULLET = re.compile(rf"(?:[•\-–▪◦·*]|[0-9]{{1,3}}[.)]){S}+")
+BULLET_MARKS = r"[•\-–▪◦·*]|[0-9]{1,3}[.)]"
+BULLET = re.compile(rf"(?:{BULLET_MARKS}){S}+")
 SENTENCE_END = re.compile(r"""[.!?:;]["')\]]?\Z""")
 BOLD_NAME = r"(?i)bold|black|heavy|semibold|demibold"
 
@@ -284,19 +286,25 @@ def blocks_of(items: list[dict]) -> list[tuple[str, str]]:
     return [(k, t) for k, t in out]
 
 
-def per_page(items: DataFrame, keys: list[str], f, schema: str, columns: list[str]) -> DataFrame:
-    """Rows of f(items of a page as dicts, in item_no order)."""
+def per_page(items: DataFrame, keys: list[str], f, schema: str, columns: list[str], fast: str | None = None, prose: bool = False) -> DataFrame:
+    """Rows of f(items of a page as dicts, in item_no order); fast names the function of `pages` that does
+    the same for many pages at once, prose says that it needs sizes and weights."""
     kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    if fast:
+        from docloom.operators import pages
+
+        return pages.map_pages(items, keys, getattr(pages, fast), f, schema, columns, types, prose)
     return map_groups(items, keys, ["item_no"], f, schema, columns, types)
 
 
+def line_rows(page: list[dict]) -> list[tuple]:
+    return [(k, x["y"], x["h"], len(x["items"]), joined_items(x["items"])) for k, x in enumerate(visual_lines(page))]
+
+
 def group_lines(items: DataFrame, keys: list[str]) -> DataFrame:
     """line_no, y, h, n_items, text of each visual line of a page."""
-    def rows(page):
-        return [(k, x["y"], x["h"], len(x["items"]), joined_items(x["items"])) for k, x in enumerate(visual_lines(page))]
-
-    return per_page(items, keys, rows, "line_no int, y double, h double, n_items int, text string", ["line_no", "y", "h", "n_items", "text"])
+    return per_page(items, keys, line_rows, "line_no int, y double, h double, n_items int, text string", ["line_no", "y", "h", "n_items", "text"], "group_lines")
 
 
 def sheet_lines(page: list[dict]) -> list[str]:
@@ -306,22 +314,26 @@ def sheet_lines(page: list[dict]) -> list[str]:
 
 def lines_to_rows(items: DataFrame, keys: list[str]) -> DataFrame:
     """Lines with text, numbered anew: what a sheet shows where no table is found."""
-    return per_page(items, keys, lambda page: list(enumerate(sheet_lines(page))), "row_no int, text string", ["row_no", "text"])
+    return per_page(items, keys, lambda page: list(enumerate(sheet_lines(page))), "row_no int, text string", ["row_no", "text"], "lines_to_rows")
+
+
+def table_rows(page: list[dict]) -> list[tuple]:
+    return [(t, r, c, text, table["y_top"], table["y_bottom"]) for t, table in enumerate(tables_of(page)) for r, row in enumerate(table["rows"]) for c, text in enumerate(row)]
 
 
 def detect_tables(items: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of all tables: table_no, row_no, col_no, text, y_top, y_bottom."""
     names = ["table_no", "row_no", "col_no", "text", "y_top", "y_bottom"]
+    return per_page(items, keys, table_rows, "table_no int, row_no int, col_no int, text string, y_top double, y_bottom double", names, "detect_tables")
 
-    def rows(page):
-        return [(t, r, c, text, table["y_top"], table["y_bottom"]) for t, table in enumerate(tables_of(page)) for r, row in enumerate(table["rows"]) for c, text in enumerate(row)]
 
-    return per_page(items, keys, rows, "table_no int, row_no int, col_no int, text string, y_top double, y_bottom double", names)
+def block_rows(page: list[dict]) -> list[tuple]:
+    return [(k, *b) for k, b in enumerate(blocks_of(page))]
 
 
 def reconstruct_blocks(items: DataFrame, keys: list[str]) -> DataFrame:
     """ord, kind, text of the blocks of each segment."""
-    return per_page(items, keys, lambda page: [(k, *b) for k, b in enumerate(blocks_of(page))], "ord int, kind string, text string", ["ord", "kind", "text"])
+    return per_page(items, keys, block_rows, "ord int, kind string, text string", ["ord", "kind", "text"], "reconstruct_blocks", prose=True)
 
 
 def parts_of(page: list[dict]) -> list[tuple]:
@@ -357,7 +369,7 @@ def sheet_cells(items: DataFrame, doc: str, page: str) -> DataFrame:
     for a page without tables; numbers apart from texts."""
     from docloom.functions.text import cell_number
 
-    found = per_page(items, [doc, page], sheets_of, "what string, row_no int, col_no int, text string", ["what", "row_no", "col_no", "text"])
+    found = per_page(items, [doc, page], sheets_of, "what string, row_no int, col_no int, text string", ["what", "row_no", "col_no", "text"], "sheet_cells")
     sheet = F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(" "), F.col("what"))
     return found.select(doc, page, sheet.alias("sheet"), "row_no", "col_no", "text", cell_number("text").alias("number"))
 
