@@ -57,21 +57,16 @@ def x_tolerances(items: DataFrame, keys: list[str]) -> DataFrame:
 def x_clusters(starts: DataFrame, keys: list[str], tol: str = "x_tol") -> DataFrame:
     """Chained clusters of x starts (line_no, x): a gap above the tolerance opens a new one;
     clusters on at least two lines and half of all stay, as (cluster, center, n_lines)."""
-    w = Window.partitionBy(*keys).orderBy("x", "line_no", "item_no")
-    rows = starts.withColumn("new", F.when(F.col("x") - F.lag("x").over(w) > F.col(tol), 1).otherwise(0))
-    rows = rows.withColumn("cluster", F.sum("new").over(w))
-    lines = starts.groupBy(*keys).agg(F.count_distinct("line_no").alias("lines"))
-    found = rows.groupBy(*keys, "cluster").agg(F.count_distinct("line_no").alias("n_lines"), F.avg("x").alias("center"))
-    return found.join(lines, keys).where(F.col("n_lines") >= F.greatest(F.lit(2), F.ceil(F.col("lines") / 2))).drop("lines")
+    from docloom.operators import pages
+
+    return pages.map_clusters(starts, keys, tol)
 
 
 def nearest_column(items: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
     """Each item with the column (in order of centers) whose center is nearest; ties go left.
     Both sides meet on the page's key; a page has few columns."""
-    order = Window.partitionBy(*keys).orderBy("center")
-    numbered = centers.withColumn("col_no", F.row_number().over(order) - 1)
-    packed = numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col_no", "center"))).alias("columns"))
-    best = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(c["center"] - F.col("x")).alias("d"), c["col_no"].alias("k"))))["k"]
+    packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list("center")).alias("columns"))
+    best = F.array_min(F.transform("columns", lambda c, k: F.struct(F.abs(c - F.col("x")).alias("d"), k.alias("k"))))["k"]
     return items.join(packed, keys).withColumn("col_no", best).drop("columns")
 
 

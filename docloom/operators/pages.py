@@ -412,3 +412,51 @@ def map_pages(df: DataFrame, keys: list[str], fast, slow, schema: str, names: li
 
     chosen = df.select(*keys, *own)
     return chosen.repartition(*keys).sortWithinPartitions(*keys, "item_no").mapInArrow(run, f"{kinds}, {schema}")
+
+
+def distinct_counts(group: np.ndarray, n: int, codes: np.ndarray) -> np.ndarray:
+    """How many different codes each of n groups (ascending) has; codes below 0 don't count."""
+    order = np.lexsort((codes, group))
+    g, c = group[order], codes[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    return np.bincount(g[new & (c >= 0)], minlength=n)
+
+
+def clusters(page: np.ndarray, n_pages: int, x: pa.Array, tol: pa.Array, line: pa.Array) -> tuple:
+    """Page, cluster, n_lines and center of the clusters that stay, of starts in the order of x."""
+    known = pc.and_(x.is_valid(), tol.is_valid()).to_numpy(zero_copy_only=False)
+    value, limit = (pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in (x, tol))
+    code = pc.fill_null(line.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    there = x.is_valid().to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore"):
+        gap = value[1:] - value[:-1]
+        wide = (gap > limit[1:]) | (np.isnan(gap) & ~np.isnan(limit[1:]))  # no number is beyond all numbers
+    new = np.ones(len(page), bool)
+    new[1:] = (page[1:] != page[:-1]) | (wide & known[1:] & there[:-1])
+    cluster, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    own = page[starts]
+    n_lines, lines = distinct_counts(cluster, len(starts), code), distinct_counts(page, n_pages, code)
+    kept = np.flatnonzero(n_lines >= np.maximum(2, -(-lines[own] // 2)))
+    with np.errstate(invalid="ignore"):
+        center = (np.add.reduceat(value.astype(np.longdouble), starts) / np.add.reduceat(there, starts, dtype=np.int64)).astype(float)
+    first = starts_of(own)
+    number = np.arange(len(starts)) - np.repeat(first, counts_of(first, len(starts)))
+    empty = np.add.reduceat(there, starts, dtype=np.int64)[kept] == 0
+    return own[kept], number[kept], n_lines[kept], pa.array(center[kept], pa.float64(), mask=empty)
+
+
+def map_clusters(starts: DataFrame, keys: list[str], tol: str) -> DataFrame:
+    """Clusters of the starts of each page whose keys are known: one sort by page and x, then one pass."""
+    kinds = ", ".join(f"{k} {starts.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for chunk, begins in whole_pages(batches, keys):
+            page = np.repeat(np.arange(len(begins)), counts_of(begins, chunk.num_rows))
+            at, number, n_lines, center = clusters(page, len(begins), chunk.column("x"), chunk.column(tol), chunk.column("line_no"))
+            if len(at):
+                first = pa.array(begins[at], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(chunk.column(k).take(first) for k in keys), pa.array(number, pa.int64()), pa.array(n_lines, pa.int64()), center], [*keys, "cluster", "n_lines", "center"])
+
+    chosen = starts.select(*keys, "line_no", "x", tol).dropna(subset=keys)
+    return chosen.repartition(*keys).sortWithinPartitions(*keys, "x").mapInArrow(run, f"{kinds}, cluster long, n_lines long, center double")

@@ -105,3 +105,34 @@ def test_pages_are_never_cut(least):
             assert len({(x["a"], x["b"]) for x in rows}) == 1
             seen.append((rows[0]["a"], rows[0]["b"], [x["n"] for x in rows]))
     assert len(seen) == 60 and [n for *_, own in seen for n in own] == list(range(len(keys)))
+
+
+def test_clusters_of_many_pages(spark):
+    r, expected, rows = random.Random(2), [], []
+    for p in range(60):
+        own = [(p, r.choice([0, 1, 2, 5]), k, r.choice([None, 1.0, 4.0, 7.5, 11.5, 12.0, 40.0]), 4.0) for k in range(r.choice([1, 4, 20]))]
+        rows += own
+        ordered = sorted(own, key=lambda s: (s[3] is not None, s[3] or 0.0))
+        found: list[list] = []
+        for s in ordered:
+            if not found or (s[3] is not None and found[-1][-1][3] is not None and s[3] - found[-1][-1][3] > 4.0):
+                found.append([])
+            found[-1].append(s)
+        for k, c in enumerate(found):
+            xs = [s[3] for s in c if s[3] is not None]
+            if len({s[1] for s in c}) >= max(2, -(-len({s[1] for s in own}) // 2)):
+                expected.append((p, k, len({s[1] for s in c}), sum(xs) / len(xs) if xs else None))
+    df = spark.createDataFrame([*rows, (None, 1, 1, 1.0, 4.0), (None, 2, 1, 1.0, 4.0)], "page_no long, line_no int, item_no int, x double, x_tol double")
+    made = I.x_clusters(df, ["page_no"])
+    assert made.columns == ["page_no", "cluster", "n_lines", "center"]
+    rounded = lambda found: sorted((*r[:3], r[3] is None or round(r[3], 9)) for r in found)
+    assert rounded(map(tuple, made.collect())) == rounded(expected)
+
+
+def test_clusters_and_columns_take_one_sort_each(spark):
+    """The memory of a task is that of its sorts and hash tables: one for the clusters, and no window beside the join."""
+    df = spark.createDataFrame([(1, 1, 1, 1.0, 4.0), (1, 2, 1, 1.0, 4.0)], "page_no long, line_no int, item_no int, x double, x_tol double")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    made = plan(I.x_clusters(df, ["page_no"]))
+    assert made.count(" Sort [") == 1 and "Window" not in made and "Join" not in made and "Aggregate" not in made
+    assert "Window" not in plan(I.nearest_column(df, I.x_clusters(df, ["page_no"]).select("page_no", "center"), ["page_no"]))
