@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_slices
+from docloom.llm.common import give_back, map_slices
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 192, 64, 32
 #: Fixed values of the format: bytes per value of the field types; tags; compression schemes.
@@ -387,30 +387,52 @@ def feature_of(image: np.ndarray) -> str:
     return f"{int(''.join('01'[int(b)] for b in bits), 2):016x}-{image.mean():.4f}-{image.std():.4f}"
 
 
-def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, media) to digests of the payload read back from each file's pages."""
-    kind = df.schema[id_col].dataType.simpleString()
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+DIGESTS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "n_pages": "long"}
+
+
+def digests(n: int, media: bytes) -> tuple:
+    """Values of DIGESTS for a stored text of n bytes: its payload is read back from the file's pages."""
+    pages = list(read_pages(media))
+    payload = b"".join(p.pixels for p in pages)
+    image = np.frombuffer(payload, np.uint8).reshape(-1, pages[0].width)
+    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(image), len(pages)
+
+
+def map_digests(df: DataFrame, each) -> DataFrame:
+    """id and DIGESTS of rows (id, ...); each(batch, k) gives those of row k, so that one file is held at a time."""
+    types = [pa.int64() if t == "long" else pa.string() for t in DIGESTS.values()]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                pages = list(read_pages(media))
-                payload = b"".join(p.pixels for p in pages)
-                image = np.frombuffer(payload, np.uint8).reshape(-1, pages[0].width)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(image), len(pages)))
+            rows = [each(batch, k) for k in range(batch.num_rows)]
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["id", *DIGESTS])
+            give_back()
+
+    kind = df.schema["id"].dataType.simpleString()
+    return df.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} {t}" for c, t in DIGESTS.items()))
+
+
+def media_digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, media) to digests of the payload read back from each file's pages."""
+    rows = df.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    return map_digests(rows, lambda batch, k: digests(batch.column("n_bytes")[k].as_py(), batch.column("media")[k].as_py())).withColumnRenamed("id", id_col)
+
+
+def stored_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_digests(store_texts(df)) in one pass: each text is stored and read back in the same worker,
+    so that a task has one worker and no batch of files."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def each(batch: pa.RecordBatch, k: int) -> tuple:
+        payload, n = padded(batch.column("text")[k].as_py())
+        return digests(n, write_gray(payload))
 
-    out = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
-    return df.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return map_digests(rows, each).withColumnRenamed("id", id_col)
 
 
 def op2_tiff(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return media_digests(store_texts(docs))
+    return stored_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def tiff_payloads(spark, sf_dir: str) -> DataFrame:

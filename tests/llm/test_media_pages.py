@@ -315,3 +315,14 @@ def test_words_alone_do_not_drop_articles(spark, prose):
         rows.append((k, "http://w.example/", f"<html><body>{page}</body></html>", a if k // 4 % 4 == 0 else f"{a} {b}"))
     found = H.extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in found} == {r[0]: r[3] for r in rows}
+
+
+def test_texts_are_stored_and_read_back_in_one_worker(spark):
+    from docloom.llm import tiff
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "b" * 20_000), (3, ""), (1, "é€ " * 300), (4, "\U0001f600")], "doc_id long, text string")
+    once, twice = tiff.stored_digests(df), tiff.media_digests(tiff.store_texts(df))
+    assert once.schema == twice.schema
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+    plan = tiff.op2_tiff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
